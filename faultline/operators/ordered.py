@@ -243,7 +243,7 @@ def window_counts(
     and the counts.
     """
     names = list(counts)
-    item_rows = items.select(
+    item_rows = items.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(
         _group(keys),
         epoch_us(item_ts).alias("_t"),
         F.lit(1).alias("_rank"),

@@ -1,0 +1,174 @@
+"""Queries over log and document text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from faultline.functions import text as X
+from faultline.operators import logs as ops
+from faultline.plans import derived
+from faultline.plans.registry import query
+
+derived.DERIVED["failed_runs"] = "SELECT * FROM {task_runs} WHERE event_type = 'error'"
+
+KEYS = ["cluster", "dag_id", "task_id"]
+FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+@query(
+    "latest_attempt",
+    """SELECT cluster, dag_id, task_id, execution_date, attempt, run_id, length(log_text) AS log_chars
+       FROM {task_runs}
+       QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
+         ORDER BY execution_date DESC, attempt DESC, run_id DESC) = 1""",
+)
+def _(t):
+    rows = ops.latest_attempt(t.task_runs, KEYS, ["execution_date", "attempt", "run_id"])
+    return rows.select(
+        *KEYS, "execution_date", "attempt", "run_id", F.length("log_text").cast("long").alias("log_chars")
+    )
+
+
+@query(
+    "tail_lines",
+    """SELECT doc_id, array_to_string(l[greatest(len(l) - 49, 1):], chr(10))
+         || CASE WHEN text LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS tail
+       FROM (SELECT doc_id, text, string_split(CASE WHEN text LIKE '%' || chr(10)
+           THEN substr(text, 1, length(text) - 1) ELSE text END, chr(10)) AS l FROM {documents}) d""",
+)
+def _(t):
+    return ops.tail_lines(t.documents, 50, "text").select("doc_id", F.col("text").alias("tail"))
+
+
+@query(
+    "tail_attempt_logs",
+    """SELECT run_id, array_to_string(l[greatest(len(l) - 3, 1):], chr(10)) AS tail
+       FROM (SELECT run_id, string_split(log_text, chr(10)) AS l FROM {task_runs}) d""",
+)
+def _(t):
+    return ops.tail_lines(t.task_runs, 4).select("run_id", F.col("log_text").alias("tail"))
+
+
+EVIDENCE = """SELECT {id}, array_to_string(e[greatest(len(e) - 5, 1):], '|') AS evidence
+  FROM (SELECT {id}, list_filter(list_transform(l[greatest(len(l) - 39, 1):],
+      lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS e
+    FROM (SELECT {id}, string_split(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), chr(10)) AS l
+      FROM {rel}) a) b"""
+
+
+@query(
+    "evidence_lines",
+    EVIDENCE.replace("{id}", "doc_id").replace("{text}", "text").replace("{rel}", "{documents}"),
+)
+def _(t):
+    rows = ops.evidence_lines(t.documents, column="text")
+    return rows.select("doc_id", F.array_join("evidence", "|").alias("evidence"))
+
+
+@query(
+    "attempt_evidence",
+    EVIDENCE.replace("{id}", "run_id").replace("{text}", "log_text").replace("{rel}", "{failed_runs}"),
+)
+def _(t):
+    rows = ops.evidence_lines(t.failed_runs)
+    return rows.select("run_id", F.array_join("evidence", "|").alias("evidence"))
+
+
+def _sql_redact(text: str) -> str:
+    for pattern, replacement in X.CREDENTIALS:
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        pattern = pattern.removeprefix("(?i)").replace("'", "''")
+        replacement = replacement.replace("$", "\\")
+        text = f"regexp_replace({text}, '{pattern}', '{replacement}', '{flags}')"
+    return text.replace("{16}", "{{16}}")
+
+
+@query(
+    "redact_logs",
+    f"SELECT doc_id, {_sql_redact('text')} AS text, text <> {_sql_redact('text')} AS changed FROM {{documents}}",
+)
+def _(t):
+    rows = ops.redact(t.documents.withColumn("_before", F.col("text")), "text")
+    return rows.select("doc_id", "text", (F.col("text") != F.col("_before")).alias("changed"))
+
+
+HEAD = r"^\[(\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}\.\d{{3}})\+0000\] \{{([^:}}]+):(\d+)\}} ([A-Z]+) - "
+
+derived.DERIVED["log_lines"] = rf"""
+SELECT run_id, cluster, line_no, line, NOT is_head AS is_continuation,
+  last_value(CASE WHEN is_head THEN regexp_extract(line, '{HEAD}', 4) END IGNORE NULLS)
+    OVER (PARTITION BY run_id ORDER BY line_no) AS level,
+  last_value(CASE WHEN is_head THEN regexp_extract(line, '{HEAD}', 2) END IGNORE NULLS)
+    OVER (PARTITION BY run_id ORDER BY line_no) AS src_file
+FROM (SELECT run_id, cluster, line_no, line, regexp_matches(line, '{HEAD}') AS is_head
+  FROM (SELECT run_id, cluster, generate_subscripts(l, 1) AS line_no, unnest(l) AS line
+    FROM (SELECT run_id, cluster, string_split(log_text, chr(10)) AS l FROM {{task_runs}}) a) b) c
+"""
+
+
+@query(
+    "log_line_levels",
+    """SELECT cluster, level, src_file, count(*) AS n_lines,
+         count(*) FILTER (WHERE is_continuation) AS n_continuation
+       FROM {log_lines} GROUP BY ALL""",
+)
+def _(t):
+    rows = ops.parse_lines(t.task_runs, ["cluster"])
+    return rows.groupBy("cluster", "level", "src_file").agg(
+        F.count("*").alias("n_lines"), F.count_if("is_continuation").alias("n_continuation")
+    )
+
+
+@query(
+    "log_records",
+    rf"""SELECT run_id, count(*) AS n_records, cast(sum(n_lines) AS bigint) AS n_lines,
+           strftime(max(try_strptime(stamp, '%Y-%m-%dT%H:%M:%S.%g')), '%Y-%m-%d %H:%M:%S.%f') AS last_logged_at,
+           cast(max(src_line) AS int) AS max_src_line
+         FROM (SELECT run_id, rec, count(*) AS n_lines, max(stamp) AS stamp, max(src_line) AS src_line
+           FROM (SELECT run_id, line, sum(CASE WHEN regexp_matches(line, '{HEAD}') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY run_id ORDER BY line_no) AS rec,
+                nullif(regexp_extract(line, '{HEAD}', 1), '') AS stamp,
+                cast(nullif(regexp_extract(line, '{HEAD}', 3), '') AS int) AS src_line
+              FROM {{log_lines}}) a GROUP BY run_id, rec) b GROUP BY run_id""",
+)
+def _(t):
+    rows = ops.parse_records(t.task_runs, ["run_id"])
+    return rows.groupBy("run_id").agg(
+        F.count("*").alias("n_records"),
+        F.sum("n_lines").alias("n_lines"),
+        F.date_format(F.max("logged_at"), FORMAT).alias("last_logged_at"),
+        F.max("src_line").alias("max_src_line"),
+    )
+
+
+def _sql_numbers(text: str, signal: str) -> str:
+    pattern = X.SIGNALS[signal].replace("'", "''")
+    return f"regexp_extract_all({text}, '{pattern}', 1)"
+
+
+@query(
+    "log_signals",
+    " UNION ALL ".join(
+        f"""SELECT run_id, '{name}' AS signal, cast(unnest(range(len(v))) AS int) AS occurrence,
+              cast(replace(unnest(v), ',', '') AS double) AS value
+            FROM (SELECT run_id, {_sql_numbers('log_text', name)} AS v FROM {{task_runs}}) s"""
+        for name in X.SIGNALS
+    ),
+)
+def _(t):
+    return ops.extract_signals(t.task_runs, ["run_id"])
+
+
+@query(
+    "run_peaks",
+    rf"""SELECT run_id, greatest(list_max(list_transform({_sql_numbers('log_text', 'rss_mib')}, lambda x: cast(x AS double))),
+             list_max(list_transform({_sql_numbers('log_text', 'peak_rss_mib')}, lambda x: cast(x AS double)))) AS peak_rss_mib,
+           coalesce(list_max(list_transform({_sql_numbers('log_text', 'utilization_pct')}, lambda x: cast(x AS double))), -1) AS utilization_pct,
+           list_max(list_transform({_sql_numbers('log_text', 'model_index')}, lambda x: cast(x AS double))) AS models_done,
+           list_max(list_transform({_sql_numbers('log_text', 'model_total')}, lambda x: cast(x AS double))) AS models_total,
+           0.9 AS duration_seconds
+         FROM {{task_runs}}""".replace("0.9 AS", "cast(0.9 AS double) AS"),
+)
+def _(t):
+    peaks = ops.run_peaks(t.task_runs, ["run_id"])
+    return peaks.withColumn("utilization_pct", F.coalesce("utilization_pct", F.lit(-1.0)))

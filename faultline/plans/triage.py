@@ -100,7 +100,7 @@ def pairs(column: str) -> Column:
 
 
 def decisions(t: Tables) -> DataFrame:
-    return ops.evaluate_policy(ops.classify_failures(t.task_runs))
+    return ops.evaluate_policy(ops.classify_failures(t.failed_runs))
 
 
 def routed(t: Tables) -> DataFrame:
@@ -109,7 +109,7 @@ def routed(t: Tables) -> DataFrame:
 
 @query("classify_failures", "SELECT run_id, cluster, dag_id, failure_category FROM {classified}")
 def _(t):
-    return ops.classify_failures(t.task_runs).select("run_id", "cluster", "dag_id", "failure_category")
+    return ops.classify_failures(t.failed_runs).select("run_id", "cluster", "dag_id", "failure_category")
 
 
 @query(
@@ -126,7 +126,7 @@ def _(t):
       ELSE failure_category END AS failure_category FROM {classified}""",
 )
 def _(t):
-    return ops.classify_failures(t.task_runs, strict=True).select("run_id", "failure_category")
+    return ops.classify_failures(t.failed_runs, strict=True).select("run_id", "failure_category")
 
 
 @query(
@@ -134,7 +134,7 @@ def _(t):
     "SELECT operator, idempotency_level, count(*) AS n FROM {leveled} GROUP BY ALL",
 )
 def _(t):
-    rows = ops.check_idempotency(t.task_runs.where("state = 'failed'"))
+    rows = ops.check_idempotency(t.failed_runs)
     return rows.groupBy("operator", "idempotency_level").agg(F.count("*").alias("n"))
 
 
