@@ -81,7 +81,7 @@ SELECT event_id, user_id, ts, value, event_type, cluster, dag_id, task_id, run_i
 FROM {runs_base}
 """
 
-DEPENDS: dict[str, tuple[str, ...]] = {}
+DERIVED["failed_runs"] = "SELECT * FROM {task_runs} WHERE event_type = 'error'"
 
 
 def names_in(text: str) -> list[str]:

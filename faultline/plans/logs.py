@@ -9,8 +9,6 @@ from faultline.operators import logs as ops
 from faultline.plans import derived
 from faultline.plans.registry import query
 
-derived.DERIVED["failed_runs"] = "SELECT * FROM {task_runs} WHERE event_type = 'error'"
-
 KEYS = ["cluster", "dag_id", "task_id"]
 FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
