@@ -1,6 +1,6 @@
 """Whole queries over the analytics tables, each with its SQL counterpart."""
 
-from faultline.plans import alerts, code, logs, quality, sources, telemetry, triage  # noqa: F401
+from faultline.plans import alerts, code, logs, quality, sources, streams, telemetry, triage  # noqa: F401
 from faultline.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
