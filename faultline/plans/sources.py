@@ -198,3 +198,14 @@ def _(t):
     runs = t.task_runs.withColumn("execution_date", F.col("run_id"))
     logs = runs.where("event_id % 3 = 0").select("cluster", "dag_id", "task_id", "execution_date", "attempt", "log_text")
     return lake.with_attempt_log(runs.drop("log_text"), logs).select("run_id", "log_found")
+
+
+@query(
+    "scan_repo_files",
+    """SELECT source AS repo, cast(sum(length(text) + 1) AS bigint) AS n_chars FROM {documents} GROUP BY source""",
+)
+def _(t):
+    root = scratch_dir(t.spark, "git-repos")
+    lake.write_lake(t.documents.select(F.col("text").alias("value"), F.col("source").alias("repo")), root, ["repo"], "text")
+    files = lake.scan_repo_files(t.spark, root, "*.txt")
+    return files.groupBy(F.substring_index("repo", "=", -1).alias("repo")).agg(F.sum(F.length("content")).alias("n_chars"))

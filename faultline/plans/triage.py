@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from faultline.functions import coordinates as C
+from faultline.functions.policy import PolicyLimits
+from faultline.functions.sql import register_functions
 from faultline.operators import triage as ops
 from faultline.plans import derived
 from faultline.plans.registry import Tables, query
@@ -224,3 +227,62 @@ def _(t):
 )
 def _(t):
     return ops.incident_rollup(routed(t))
+
+
+@query(
+    "policy_strict_gates",
+    """SELECT run_id, CASE WHEN failure_category = 'DEPENDENCY_LAG' THEN attempt <= 2 AND idempotency_level <> 'POTENTIALLY_UNSAFE'
+         ELSE can_auto_remediate END AS can_auto_remediate FROM {decided}""",
+)
+def _(t):
+    strict = ops.evaluate_policy(ops.classify_failures(t.failed_runs), PolicyLimits(strict_gates=True))
+    return strict.select("run_id", "can_auto_remediate")
+
+
+@query(
+    "policy_inferred_code",
+    """SELECT run_id, CASE WHEN event_id % 2 = 0 THEN code WHEN dag_id LIKE '%dbt%' THEN 'dbt run' ELSE 'MERGE INTO' END AS code,
+         CASE WHEN event_id % 2 = 0 THEN idempotency_level ELSE 'GUARANTEED_IDEMPOTENT' END AS idempotency_level FROM {leveled}""",
+)
+def _(t):
+    known = F.when(F.col("event_id") % 2 == 0, F.col("code"))
+    rows = ops.check_idempotency(ops.infer_code(t.failed_runs.withColumn("code", known)))
+    return rows.select("run_id", "code", "idempotency_level")
+
+
+@query(
+    "route_reviewed",
+    """SELECT run_id, CASE WHEN failure_category = 'STRUCTURAL_DIVISION_BY_ZERO' THEN 'approval' ELSE route END AS route FROM {routed}""",
+)
+def _(t):
+    rows = ops.route_incidents(decisions(t), ("STRUCTURAL_SCHEMA_DRIFT", "STRUCTURAL_DIVISION_BY_ZERO"))
+    return rows.select("run_id", "route")
+
+
+@query(
+    "action_quantities",
+    """SELECT run_id, CASE failure_category WHEN 'TRANSIENT_OOM' THEN mem WHEN 'TRANSIENT_DISK_FULL' THEN 51200 ELSE -1 END AS mib,
+         CASE failure_category WHEN 'TRANSIENT_STATEMENT_TIMEOUT' THEN 7200 ELSE -1 END AS seconds
+       FROM {decided} WHERE parameters <> ''""",
+)
+def _(t):
+    params = F.col("action_parameters")
+    size = F.coalesce(params["memory_limit"], params["ephemeral_storage_limit"])
+    return decisions(t).where(F.size(params) > 0).select(
+        "run_id",
+        F.coalesce(C.memory_mib(size), F.lit(-1)).cast("int").alias("mib"),
+        F.coalesce(C.duration_seconds(params["statement_timeout"]), F.lit(-1)).cast("int").alias("seconds"),
+    )
+
+
+@query(
+    "sql_functions",
+    """SELECT run_id, failure_category, idempotency_level, round(10.0 / nullif(attempt - 2, 0), 6) AS ratio FROM {leveled}""",
+)
+def _(t):
+    register_functions(t.spark)
+    return t.spark.sql(
+        """SELECT run_id, failure_category(log_text) AS failure_category, idempotency_level(operator, code) AS idempotency_level,
+             round(safe_ratio(10, attempt - 2), 6) AS ratio FROM {runs}""",
+        runs=t.failed_runs,
+    )
