@@ -2,51 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 # Shape of a log line header, [time+0000] {file:line} LEVEL - message.
 HEADER = r"^\[(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3})\+0000\] \{([^:}]+):(\d+)\} ([A-Z]+) - "
 HEADER_AHEAD = r"\n(?=\[\d{4}-\d{2}-\d{2}T[^\]\n]*\] \{)"
 
-# Figures a log may state, as pattern with one group each.
-SIGNALS: dict[str, str] = {
-    "exit_code": r"exit code:? (\d+)",
-    "rss_mib": r"Current RSS: (\d+)MiB",
-    "peak_rss_mib": r"Peak container memory RSS: (\d+)MiB",
-    "utilization_pct": r"utilization: ([\d.]+)%",
-    "model_index": r"Model (\d+)/\d+",
-    "model_total": r"Model \d+/(\d+)",
-    "model_seconds": r"completed in ([\d.]+)s",
-    "duplicate_keys": r"(\d+) duplicate keys found",
-    "rows_received": r"received ([\d,]+) rows",
-    "rows_baseline": r"baseline: ([\d,]+)",
-    "rows_tolerance": r"\+/- ([\d,]+)",
-    "retry_after_s": r"Retry-After'?: '?(\d+)",
-    "clock_drift_s": r"drifted by (\d+) seconds",
-    "disk_used_gi": r"usage ([\d.]+)Gi",
-    "disk_limit_gi": r"exceeded limit ([\d.]+)Gi",
-    "max_connections": r"max_connections=(\d+)",
-    "active_tasks": r"(\d+) (?:Airflow )?worker tasks connected",
-    "statement_timeout_ms": r"\((\d+)ms exceeded\)",
+# Figures a log may state. Each pattern has one group; the literal
+# before it occurs in every match, so texts without it skip the pattern.
+SIGNALS: dict[str, tuple[str, str]] = {
+    "exit_code": ("exit code", r"exit code:? (\d+)"),
+    "rss_mib": ("Current RSS", r"Current RSS: (\d+)MiB"),
+    "peak_rss_mib": ("Peak container", r"Peak container memory RSS: (\d+)MiB"),
+    "utilization_pct": ("utilization", r"utilization: ([\d.]+)%"),
+    "model_index": ("Model ", r"Model (\d+)/\d+"),
+    "model_total": ("Model ", r"Model \d+/(\d+)"),
+    "model_seconds": ("completed in", r"completed in ([\d.]+)s"),
+    "duplicate_keys": ("duplicate keys", r"(\d+) duplicate keys found"),
+    "rows_received": ("received", r"received ([\d,]+) rows"),
+    "rows_baseline": ("baseline", r"baseline: ([\d,]+)"),
+    "rows_tolerance": ("+/-", r"\+/- ([\d,]+)"),
+    "retry_after_s": ("Retry-After", r"Retry-After'?: '?(\d+)"),
+    "clock_drift_s": ("drifted by", r"drifted by (\d+) seconds"),
+    "disk_used_gi": ("usage", r"usage ([\d.]+)Gi"),
+    "disk_limit_gi": ("exceeded limit", r"exceeded limit ([\d.]+)Gi"),
+    "max_connections": ("max_connections", r"max_connections=(\d+)"),
+    "active_tasks": ("tasks connected", r"(\d+) (?:Airflow )?worker tasks connected"),
+    "statement_timeout_ms": ("ms exceeded", r"\((\d+)ms exceeded\)"),
 }
 
-# Credentials to blank out, as (pattern, replacement).
-CREDENTIALS: tuple[tuple[str, str], ...] = (
+# Credentials to blank out, as (words, pattern, replacement). A match
+# holds one of the words, in any case.
+CREDENTIALS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (
+        ("token", "password", "passwd", "secret", "api"),
         r"""(?i)(^|[^A-Za-z0-9_])(token|password|passwd|secret|api[_-]?key)(\s*[=:]\s*)("[^"]*"|'[^']*'|[^\s,;]+)""",
         "$1$2$3***",
     ),
-    (r"(?i)(^|[^A-Za-z0-9_])(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1$2 ***"),
-    (r"([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
-    (r"(^|[^A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}", "$1***"),
+    (("bearer",), r"(?i)(^|[^A-Za-z0-9_])(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1$2 ***"),
+    (("://",), r"([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
+    (("akia", "asia"), r"(^|[^A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}", "$1***"),
 )
 
+BLANKS = " \t\n\r\f\x0b"
+
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end adds no empty line."""
-    parts = F.split(text, "\n")
-    closed = F.endswith(text, F.lit("\n")) | (text == "")
-    return F.when(closed, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
 
 
 def lines_with_ends(text: Column) -> Column:
@@ -55,7 +60,8 @@ def lines_with_ends(text: Column) -> Column:
 
 
 def last_items(items: Column, n: int) -> Column:
-    return F.slice(items, F.greatest(F.size(items) - n + 1, F.lit(1)), F.lit(n))
+    # Reversing twice names ``items`` once, so it is computed once.
+    return F.reverse(F.slice(F.reverse(items), 1, n))
 
 
 def tail(text: Column, n: int) -> Column:
@@ -64,23 +70,27 @@ def tail(text: Column, n: int) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def evidence(text: Column, keep: int = 6, within: int = 40) -> Column:
     """The last ``keep`` non-blank lines of the last ``within`` lines, stripped."""
-    stripped = F.transform(last_items(lines(strip(text)), within), strip)
+    stripped = F.transform(last_items(F.split(strip(text), "\n"), within), strip)
     return last_items(F.filter(stripped, lambda line: line != ""), keep)
 
 
-def redact(text: Column) -> Column:
-    """Blank out credentials."""
-    for pattern, replacement in CREDENTIALS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+def blank_out(
+    text: Column, lowered: Column, words: tuple[str, ...], pattern: str, replacement: str
+) -> Column:
+    """Apply one credential pattern where one of its words occurs."""
+    present = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in words))
+    return F.when(present, F.regexp_replace(text, pattern, replacement)).otherwise(text)
 
 
 def numbers(text: Column, signal: str) -> Column:
     """All values of one signal in the text, in order."""
-    found = F.regexp_extract_all(text, F.lit(SIGNALS[signal]), F.lit(1))
+    literal, pattern = SIGNALS[signal]
+    found = F.when(
+        F.contains(text, F.lit(literal)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    ).otherwise(F.array().cast("array<string>"))
     return F.transform(found, lambda v: F.replace(v, F.lit(","), F.lit("")).try_cast("double"))

@@ -223,30 +223,39 @@ def running_peak(
     )
 
 
-def window_counts(
+def around(
     marks: DataFrame,
     items: DataFrame,
     keys: list[str],
     mark_id: str,
     mark_ts: str,
     item_ts: str,
+    item_id: str,
     before_seconds: int,
     after_seconds: int,
     counts: dict[str, Column],
+    first_where: Column,
+    values: list[str],
     bucket_seconds: int = HOUR,
 ) -> DataFrame:
-    """Count items around each mark without forming mark-item pairs.
+    """Summary of the items in ``[t - before, t + after]`` around each mark, without
+    forming mark-item pairs.
 
-    ``counts`` maps names to boolean conditions on items. A count over
-    ``[t - before, t + after]`` is the difference of two running counts, so the
-    work is one sort, however many items lie around a mark. Returns ``mark_id``
-    and the counts.
+    Returns ``mark_id``, one count per condition in ``counts``, ``first`` (struct of
+    ``values`` of the first item where ``first_where`` holds) and ``last`` (of the
+    last item). A count is the difference of two running counts and the two items
+    are the nearest ones seen from the ends of the interval, so the work is one
+    shuffle and two sorts, however many items lie around a mark.
     """
     names = list(counts)
-    item_rows = items.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(
+    value = F.struct(epoch_us(item_ts).alias("_at"), item_id, *values)
+    item_rows = items.where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, item_ts])).select(
         _group(keys),
         epoch_us(item_ts).alias("_t"),
         F.lit(1).alias("_rank"),
+        F.col(item_id).alias("_tie"),
+        value.alias("_item"),
+        F.when(first_where, value).alias("_hit"),
         *[F.when(cond, 1).otherwise(0).alias(f"_c_{name}") for name, cond in counts.items()],
     )
     ends = F.explode(
@@ -269,36 +278,60 @@ def window_counts(
     both = mark_rows.unionByName(item_rows, allowMissingColumns=True).withColumn(
         "_bucket", time_bucket(F.col("_t"), bucket_seconds)
     )
-    inside = Window.partitionBy("_k", "_bucket").orderBy("_t", "_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = both.select(
+    span = (Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_k", "_bucket")
+    onward = inside.orderBy("_t", "_rank", "_tie").rowsBetween(*span)
+    backward = inside.orderBy(F.desc("_t"), F.desc("_rank"), F.desc("_tie")).rowsBetween(*span)
+    near = both.select(
         "_k",
         "_bucket",
         "_mark",
+        "_t",
         "_rank",
-        *[F.sum(f"_c_{name}").over(inside).alias(f"_r_{name}") for name in names],
+        F.last("_item", ignorenulls=True).over(onward).alias("_last"),
+        F.last("_hit", ignorenulls=True).over(backward).alias("_next"),
+        *[F.sum(f"_c_{name}").over(onward).alias(f"_r_{name}") for name in names],
     ).where("_rank <> 1")
-    totals = both.groupBy("_k", "_bucket").agg(
-        *[F.sum(f"_c_{name}").alias(f"_s_{name}") for name in names]
+    edges = both.groupBy("_k", "_bucket").agg(
+        F.max("_item").alias("_item"),
+        F.min("_hit").alias("_hit"),
+        *[F.sum(f"_c_{name}").alias(f"_s_{name}") for name in names],
     )
-    earlier = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
+    outside = (Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(*outside)
+    later = Window.partitionBy("_k").orderBy(F.desc("_bucket")).rowsBetween(*outside)
+    edges = edges.select(
         "_k",
         "_bucket",
+        F.last("_item", ignorenulls=True).over(earlier).alias("_far_last"),
+        F.last("_hit", ignorenulls=True).over(later).alias("_far_next"),
         *[
             F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}")
             for name in names
         ],
     )
     sign = F.when(F.col("_rank") == 2, 1).otherwise(-1)
-    return (
-        _join_edges(running, totals)
+    seen = (
+        _join_edges(near, edges)
         .groupBy(F.col("_mark").alias(mark_id))
         .agg(
+            F.min("_t").alias("_from"),
+            F.max("_t").alias("_to"),
+            F.max(F.when(F.col("_rank") == 2, F.coalesce("_last", "_far_last"))).alias("_last"),
+            F.max(F.when(F.col("_rank") == 0, F.coalesce("_next", "_far_next"))).alias("_next"),
             *[
                 F.sum(sign * (F.col(f"_r_{name}") + F.col(f"_o_{name}"))).alias(name)
                 for name in names
-            ]
+            ],
         )
     )
+
+    def kept(column: str, condition: Column) -> Column:
+        return F.when(condition, F.struct(*[F.col(f"{column}.{c}") for c in [item_id, *values]]))
+
+    return seen.select(
+        mark_id,
+        *names,
+        kept("_next", F.col("_next._at") <= F.col("_to")).alias("first"),
+        kept("_last", F.col("_last._at") >= F.col("_from")).alias("last"),
+    )

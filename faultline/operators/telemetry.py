@@ -27,43 +27,6 @@ def pod_events_each(events: DataFrame, extra: str | None = None, limit: int = 20
     return rows.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= limit)
 
 
-def pivotal_event(
-    incidents: DataFrame, events: DataFrame, window_seconds: int = 600, bucket_seconds: int = HOUR
-) -> DataFrame:
-    """Attach the first critical event of the cluster around each failure, else the
-    last event of any severity, as ``pivotal_id`` and ``pivotal_severity``.
-
-    Two as-of lookups from the ends of the window; no incident-event pairs.
-    """
-    span = F.make_dt_interval(secs=F.lit(window_seconds))
-    marked = incidents.withColumns({"_from": F.col("ts") - span, "_to": F.col("ts") + span})
-    critical = events.where("severity = 'CRITICAL'").select(
-        "cluster", F.col("ts").alias("_ets"), F.col("insert_id").alias("_crit")
-    )
-    anything = events.select(
-        "cluster",
-        F.col("ts").alias("_ets"),
-        F.col("insert_id").alias("_last"),
-        F.col("severity").alias("_sev"),
-    )
-    with_critical = ordered.asof_join(
-        marked, critical, ["cluster"], "_from", "_ets", ["_crit"], tie="_crit", forward=True,
-        tolerance_seconds=2 * window_seconds, bucket_seconds=bucket_seconds,
-    )
-    with_both = ordered.asof_join(
-        with_critical, anything, ["cluster"], "_to", "_ets", ["_last", "_sev"], tie="_last",
-        tolerance_seconds=2 * window_seconds, bucket_seconds=bucket_seconds,
-    )
-    return (
-        with_both.withColumn("pivotal_id", F.coalesce("_crit", "_last"))
-        .withColumn(
-            "pivotal_severity",
-            F.when(F.col("_crit").isNotNull(), "CRITICAL").otherwise(F.col("_sev")),
-        )
-        .drop("_from", "_to", "_crit", "_last", "_sev")
-    )
-
-
 def attach_telemetry(
     incidents: DataFrame,
     events: DataFrame,
@@ -71,17 +34,41 @@ def attach_telemetry(
     window_seconds: int = 600,
     bucket_seconds: int = HOUR,
 ) -> DataFrame:
-    """Event counts of the cluster around each failure, and the pivotal event."""
-    counts = ordered.window_counts(
-        incidents, events, ["cluster"], key, "ts", "ts", window_seconds, window_seconds,
+    """Add what the cluster's events say around each failure: ``n_events``,
+    ``n_errors``, ``n_critical`` and the pivotal event, which is the first critical
+    one, else the last of any severity."""
+    summary = ordered.around(
+        incidents,
+        events,
+        ["cluster"],
+        key,
+        "ts",
+        "ts",
+        "insert_id",
+        window_seconds,
+        window_seconds,
         {
             "n_events": F.lit(True),
             "n_errors": F.col("severity").isin("ERROR", "CRITICAL"),
             "n_critical": F.col("severity") == "CRITICAL",
         },
+        F.col("severity") == "CRITICAL",
+        ["severity"],
         bucket_seconds,
     )
-    return pivotal_event(incidents, events, window_seconds, bucket_seconds).join(counts, key, "left")
+    pivot = F.coalesce("first", "last")
+    return incidents.join(
+        summary.select(
+            key,
+            "n_events",
+            "n_errors",
+            "n_critical",
+            pivot["insert_id"].alias("pivotal_id"),
+            pivot["severity"].alias("pivotal_severity"),
+        ),
+        key,
+        "left",
+    )
 
 
 def metric_pick(metrics: DataFrame, name: str) -> DataFrame:

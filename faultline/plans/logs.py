@@ -73,7 +73,7 @@ def _(t):
 
 
 def _sql_redact(text: str) -> str:
-    for pattern, replacement in X.CREDENTIALS:
+    for _, pattern, replacement in X.CREDENTIALS:
         flags = "gi" if pattern.startswith("(?i)") else "g"
         pattern = pattern.removeprefix("(?i)").replace("'", "''")
         replacement = replacement.replace("$", "\\")
@@ -140,7 +140,7 @@ def _(t):
 
 
 def _sql_numbers(text: str, signal: str) -> str:
-    pattern = X.SIGNALS[signal].replace("'", "''")
+    pattern = X.SIGNALS[signal][1].replace("'", "''")
     return f"regexp_extract_all({text}, '{pattern}', 1)"
 
 

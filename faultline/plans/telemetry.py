@@ -95,7 +95,7 @@ PIVOTAL = """
        FROM {failed_runs} r""" + PIVOTAL,
 )
 def _(t):
-    return ops.pivotal_event(failures(t), t.cloud_events).select("run_id", "pivotal_id", "pivotal_severity")
+    return ops.attach_telemetry(failures(t), t.cloud_events).select("run_id", "pivotal_id", "pivotal_severity")
 
 
 @query(

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -63,11 +63,11 @@ def _local_root() -> str:
     return _LOCAL_ROOT
 
 
-def materialize(df, purpose: str):
-    """Write ``df`` to the scratch folder and read it back.
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table with fewer input splits than cores to all cores.
 
-    Cuts the lineage with data that outlives any executor.
+    Meant for small files ahead of heavy text work. A table with splits enough,
+    such as any large one, is returned as it is.
     """
-    path = scratch_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

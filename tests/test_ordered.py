@@ -91,16 +91,23 @@ def test_running_peak(spark):
         assert got[key] == max(sum(1 for s, e in mine if s <= t < e) for t, _ in mine)
 
 
-def test_window_counts(spark):
+def test_around(spark):
     marks, marks_df = series(spark, 150, 5, nulls=False)
     items, items_df = series(spark, 500, 6, nulls=False)
     got = {
-        r.id: (r.n, r.big)
-        for r in ordered.window_counts(
-            marks_df, items_df, ["k"], "id", "ts", "ts", 600, 600,
-            {"n": F.lit(True), "big": F.col("v") > 0.5}, bucket_seconds=1000,
+        r.id: r
+        for r in ordered.around(
+            marks_df, items_df, ["k"], "id", "ts", "ts", "id", 600, 300,
+            {"n": F.lit(True), "big": F.col("v") > 0.5}, F.col("v") > 0.9, ["v"], bucket_seconds=1000,
         ).collect()
     }
+    assert len(got) == len(marks)
     for i, k, ts, _ in marks:
-        near = [r for r in items if r[1] == k and abs((r[2] - ts).total_seconds()) <= 600]
-        assert got[i] == (len(near), sum(r[3] > 0.5 for r in near))
+        near = sorted(
+            (r for r in items if r[1] == k and -600 <= (r[2] - ts).total_seconds() <= 300),
+            key=lambda r: (r[2], r[0]),
+        )
+        high = [r for r in near if r[3] > 0.9]
+        assert (got[i].n, got[i].big) == (len(near), sum(r[3] > 0.5 for r in near))
+        assert (got[i]["last"].id if got[i]["last"] else None) == (near[-1][0] if near else None)
+        assert (got[i]["first"].id if got[i]["first"] else None) == (high[0][0] if high else None)
