@@ -41,7 +41,7 @@ class Tables:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CHECKS: dict[str, str] = {}
+_CHECKS: dict[str, str] = {}
 
 
 def query(name: str, check: str | None = None):
@@ -56,7 +56,12 @@ def query(name: str, check: str | None = None):
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if check is not None:
-            CHECKS[name] = derived.check_text(check)
+            _CHECKS[name] = check
         return fn
 
     return register
+
+
+def checks() -> dict[str, str]:
+    """Every SQL counterpart as one whole statement."""
+    return {name: derived.check_text(body) for name, body in _CHECKS.items()}
