@@ -60,6 +60,7 @@ def column_references(nodes: DataFrame) -> DataFrame:
     stands for a referenced model, directly or through a ``select *`` CTE.
 
     Works on alias-qualified columns; unqualified ones are not attributed.
+    ``taken`` lists all columns the node takes through the same alias.
     """
 
     def table(pattern: str, key: int, value: int):
@@ -79,13 +80,15 @@ def column_references(nodes: DataFrame) -> DataFrame:
         table(CTE, 1, 2).alias("_ctes"),
         table(ALIAS, 2, 1).alias("_aliases"),
         table(DIRECT, 2, 1).alias("_direct"),
-        F.explode(F.array_distinct(table(REFERENCE, 1, 2))).alias("_ref"),
-    )
+        F.array_distinct(table(REFERENCE, 1, 2)).alias("_refs"),
+    ).withColumn("_ref", F.explode("_refs"))
+    same_alias = F.filter("_refs", lambda r: r["k"] == F.col("_ref.k"))
     through_cte = lookup("_ctes", lookup("_aliases", F.col("_ref.k")))
     return parsed.select(
         "node",
         F.coalesce(lookup("_direct", F.col("_ref.k")), through_cte).alias("upstream"),
         F.col("_ref.v").alias("column"),
+        F.transform(same_alias, lambda r: r["v"]).alias("taken"),
     ).where("upstream IS NOT NULL")
 
 
@@ -95,15 +98,27 @@ def contract_breaks(nodes: DataFrame, messages: DataFrame | None = None) -> Data
 
     ``nodes`` has ``name``, ``raw_code`` and ``columns`` (array of names; models
     without any are not judged). A hint in a run ``message`` names the new column,
-    otherwise the declared column with the smallest edit distance does.
+    otherwise it is the declared column with the smallest edit distance, columns the
+    model already takes coming last.
     """
     declared = nodes.where("size(columns) > 0").select(F.col("name").alias("upstream"), "columns")
-    used = column_references(nodes).distinct()
+    used = (
+        column_references(nodes)
+        .groupBy("node", "upstream", "column")
+        .agg(F.flatten(F.collect_set("taken")).alias("taken"))
+    )
     # One row per reference joins one row per upstream model; declared columns
     # stay in their array.
     broken = used.join(declared, "upstream").where(~F.array_contains("columns", F.col("column")))
     nearest = F.array_min(
-        F.transform("columns", lambda c: F.struct(F.levenshtein(c, F.col("column")).alias("d"), c.alias("c")))
+        F.transform(
+            "columns",
+            lambda c: F.struct(
+                F.array_contains("taken", c).alias("known"),
+                F.levenshtein(c, F.col("column")).alias("d"),
+                c.alias("c"),
+            ),
+        )
     )["c"]
     if messages is None:
         return broken.select("node", "upstream", "column", nearest.alias("rename_to"))

@@ -23,6 +23,32 @@ def latest_attempt(logs: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return logs.join(newest, [*keys, *order], "left_semi")
 
 
+TASK_KEY = ["cluster", "dag_id", "task_id"]
+LOG_ORDER = ["execution_date", "attempt", "uri"]
+
+
+def lookup_logs(requests: DataFrame, logs: DataFrame) -> DataFrame:
+    """Add ``log_text``, ``uri`` and ``log_found`` to each request.
+
+    The log of the exact ``execution_date`` and ``attempt`` is taken, else the
+    newest log of the task. A task without logs has ``log_found = false``.
+    """
+    exact_key = [*TASK_KEY, "execution_date", "attempt"]
+    # Addresses are settled on narrow columns; the text is joined once, by address.
+    index = logs.select(*exact_key, "uri")
+    newest = latest_attempt(index, TASK_KEY, LOG_ORDER).select(
+        *TASK_KEY, F.col("uri").alias("_newest")
+    )
+    return (
+        requests.join(index.withColumnRenamed("uri", "_exact"), exact_key, "left")
+        .join(newest, TASK_KEY, "left")
+        .withColumn("uri", F.coalesce("_exact", "_newest"))
+        .drop("_exact", "_newest")
+        .join(logs.select("uri", "log_text"), "uri", "left")
+        .withColumn("log_found", F.col("log_text").isNotNull())
+    )
+
+
 def tail_lines(logs: DataFrame, n: int, column: str = "log_text") -> DataFrame:
     """Replace the text by its last ``n`` lines."""
     return logs.withColumn(column, X.tail(F.col(column), n))

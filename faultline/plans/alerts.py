@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from faultline.functions import coordinates as C
 from faultline.operators import alerts as ops
-from faultline.operators import ownership
+from faultline.operators import flow, ownership
+from faultline.operators import logs as log_ops
 from faultline.plans import derived
 from faultline.plans.registry import query
 
@@ -351,3 +352,55 @@ def _(t):
         C.repo_from_url(F.col("url")).alias("repo_name"),
         F.substring("html", 1, 800).alias("preview"),
     )
+
+
+derived.DERIVED["log_requests"] = """
+SELECT event_id, run_id AS request_id, cluster, dag_id, CASE WHEN event_id % 5 = 0 THEN 'no_such_task' ELSE task_id END AS task_id,
+  CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN run_id ELSE 'never' END AS execution_date, attempt FROM {failed_runs}
+"""
+
+# Run ids stand in for execution dates here, because a lake holds one log per key.
+derived.DERIVED["stored_logs"] = """
+SELECT cluster, dag_id, task_id, run_id AS execution_date, attempt, log_text, 'logs/' || run_id AS uri FROM {failed_runs}
+"""
+
+
+@query(
+    "lookup_logs",
+    """WITH newest AS (SELECT * FROM {stored_logs} QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
+           ORDER BY execution_date DESC, attempt DESC, uri DESC) = 1)
+       SELECT r.request_id, coalesce(e.uri, n.uri) AS uri, coalesce(length(coalesce(e.log_text, n.log_text)), -1) AS n_chars,
+         coalesce(e.uri, n.uri) IS NOT NULL AS log_found
+       FROM {log_requests} r
+       LEFT JOIN {stored_logs} e ON r.cluster = e.cluster AND r.dag_id = e.dag_id AND r.task_id = e.task_id
+         AND r.execution_date = e.execution_date AND r.attempt = e.attempt
+       LEFT JOIN newest n ON r.cluster = n.cluster AND r.dag_id = n.dag_id AND r.task_id = n.task_id""",
+)
+def _(t):
+    rows = log_ops.lookup_logs(t.log_requests, t.stored_logs)
+    n_chars = F.coalesce(F.length("log_text"), F.lit(-1)).cast("long").alias("n_chars")
+    return rows.select("request_id", "uri", n_chars, "log_found")
+
+
+@query(
+    "alert_decisions",
+    """WITH newest AS (SELECT * FROM {decided} QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
+           ORDER BY run_id DESC) = 1),
+         named AS (SELECT run_id AS alert_id, event_id, cluster, dag_id, task_id FROM {failed_runs})
+       SELECT a.alert_id, event_id_mod = 0 AS log_found, CASE WHEN event_id_mod = 0 THEN n.failure_category ELSE 'UNKNOWN' END AS failure_category,
+         CASE WHEN event_id_mod = 0 AND n.failure_category = 'STRUCTURAL_SCHEMA_DRIFT' THEN 'approval'
+           WHEN event_id_mod = 0 AND n.failure_category = 'DEPENDENCY_LAG' THEN 'execute'
+           WHEN event_id_mod = 0 AND n.failure_category NOT IN ('DATA_QUALITY', 'STRUCTURAL_DIVISION_BY_ZERO', 'SILENT_DATA_ANOMALY',
+             'STRUCTURAL_SYNTAX', 'TRANSIENT_NETWORK', 'UNKNOWN') AND a.try_number <= 2 THEN 'execute'
+           ELSE 'report' END AS route
+       FROM (SELECT run_id AS alert_id, event_id % 4 AS event_id_mod, attempt AS try_number, cluster, dag_id, task_id FROM {failed_runs}) a
+       LEFT JOIN newest n ON a.cluster = n.cluster AND a.dag_id = n.dag_id AND a.task_id = n.task_id""",
+)
+def _(t):
+    alerts = t.alerts.drop("log_text", "ts").withColumn("execution_date", F.lit(None).cast("string"))
+    # Bare and partial prompts name no task of this lake, so payload fields go.
+    alerts = alerts.withColumn("cluster", F.lit("")).withColumn(
+        "prompt", F.when(F.startswith("prompt", F.lit("Task failed")), F.col("prompt")).otherwise("no coordinates")
+    )
+    rows = flow.alert_decisions(alerts, t.stored_logs)
+    return rows.select("alert_id", "log_found", "failure_category", "route")

@@ -170,8 +170,9 @@ FROM {customer}
            unnest(regexp_extract_all(raw_code, '\bu\.(\w+)', 1)) AS col FROM {model_nodes}),
          decl AS (SELECT name AS upstream, string_split(declared, ',') AS cols FROM {model_nodes} WHERE declared IS NOT NULL),
          gone AS (SELECT node, u.upstream, col, cols FROM used u JOIN decl d ON u.upstream = d.upstream WHERE NOT list_contains(cols, col)),
-         scored AS (SELECT node, upstream, col, c, levenshtein(c, col) AS d FROM (SELECT *, unnest(cols) AS c FROM gone) g)
-       SELECT node, upstream, col AS "column", arg_min(c, struct_pack(d := d, c := c)) AS rename_to FROM scored GROUP BY ALL""",
+         scored AS (SELECT node, upstream, col, c, levenshtein(c, col) AS d,
+           (node, upstream, c) IN (SELECT (node, upstream, col) FROM used) AS known FROM (SELECT *, unnest(cols) AS c FROM gone) g)
+       SELECT node, upstream, col AS "column", arg_min(c, struct_pack(known := known, d := d, c := c)) AS rename_to FROM scored GROUP BY ALL""",
 )
 def _(t):
     nodes = t.model_nodes.select("name", "raw_code", F.split("declared", ",").alias("columns"))
