@@ -67,7 +67,8 @@ def scan_cloud_events(spark: SparkSession, root: str, lines: bool = False) -> Da
         F.col("resource.type").alias("resource_type"),
         F.col("resource.labels").alias("labels"),
         F.col("jsonPayload").alias("payload"),
-        "corrupt",
+        # A corrupt row has no other field; naming one lets callers query this alone.
+        F.when(F.col("timestamp").isNull(), F.col("corrupt")).alias("corrupt"),
         *folders,
     )
 
