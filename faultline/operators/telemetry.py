@@ -104,7 +104,7 @@ def upstream_cause(
     sensor_failures: DataFrame,
     dependencies: DataFrame,
     runs: DataFrame,
-    bucket_seconds: int = 24 * HOUR,
+    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Failed upstream run behind each sensor failure.
 
@@ -190,14 +190,16 @@ def metric_saturation(
     timed = ordered.neighbour(
         paired, keys, "ts", "used", {"_next": "ts"}, forward=True, bucket_seconds=bucket_seconds
     )
-    held = (ordered.epoch_us("_next") - ordered.epoch_us("ts")) / 1e6
+    held = ordered.epoch_us("_next") - ordered.epoch_us("ts")
     above = F.col("used") > F.col("allowed") * threshold
     return timed.groupBy(*keys).agg(
         F.max("used").alias("peak"),
         F.avg("used").alias("mean"),
         F.max_by("used", "ts").alias("last"),
         F.max(F.col("used") / F.nullif("allowed", F.lit(0.0))).alias("peak_share"),
-        F.sum(F.when(above & F.col("_next").isNotNull(), held).otherwise(0.0)).alias("seconds_above"),
+        (F.sum(F.when(above & F.col("_next").isNotNull(), held).otherwise(0)) / 1e6).alias(
+            "seconds_above"
+        ),
     )
 
 

@@ -9,7 +9,9 @@ from faultline.operators import ordered
 DAY = 24 * ordered.HOUR
 
 
-def last_touch(orders: DataFrame, sessions: DataFrame, days: int = 30, bucket_seconds: int = DAY) -> DataFrame:
+def last_touch(
+    orders: DataFrame, sessions: DataFrame, days: int = 30, bucket_seconds: int = ordered.HOUR
+) -> DataFrame:
     """The latest session of the same user within ``days`` before each order.
 
     Orders without one drop out, as in an inner join.

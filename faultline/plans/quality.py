@@ -53,7 +53,7 @@ def _(t):
 
 @query(
     "success_baseline",
-    """SELECT run_id, base_n, round(m, 6) AS base_mean, round(s, 6) AS base_std, base_last, round((value - m) / nullif(s, 0), 4) AS z_score
+    """SELECT run_id, base_n, round(m, 6) AS base_mean, round(s, 6) AS base_std, base_last, round((value - m) / nullif(s, 0), 4) + 0.0 AS z_score
        FROM (SELECT run_id, value, count(*) OVER w AS base_n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s,
            last_value(value) OVER w AS base_last FROM {task_runs} WHERE state = 'success'
          WINDOW w AS (PARTITION BY cluster, dag_id, task_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) b""",
@@ -63,7 +63,7 @@ def _(t):
     rows = ops.success_baseline(runs, TASK, "ts", "event_id", "value")
     return rows.select(
         "run_id", "base_n", F.round("base_mean", 6).alias("base_mean"), F.round("base_std", 6).alias("base_std"),
-        "base_last", F.round("z_score", 4).alias("z_score"),
+        "base_last", (F.round("z_score", 4) + 0.0).alias("z_score"),
     )
 
 

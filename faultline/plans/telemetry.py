@@ -52,6 +52,11 @@ FROM {events}
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
+def micros(seconds: str):
+    """Seconds as whole microseconds, which compare exactly."""
+    return F.round(F.col(seconds) * 1e6).cast("long")
+
+
 def failures(t):
     return t.failed_runs.select(
         "run_id", "cluster", "dag_id", "ts", F.concat(F.lit("airflow-worker-"), "task_id", F.lit("-pod")).alias("pod_name")
@@ -201,7 +206,7 @@ def usage(t):
     "metric_saturation",
     """SELECT cluster, pod_name, round(max(used), 6) AS peak, round(avg(used), 6) AS mean, round(arg_max(used, ts), 6) AS last,
          round(max(used / allowed), 6) AS peak_share,
-         round(sum(CASE WHEN used > allowed * 0.9 AND next IS NOT NULL THEN (epoch_us(next) - epoch_us(ts)) / 1e6 ELSE 0 END), 3) AS seconds_above
+         cast(sum(CASE WHEN used > allowed * 0.9 AND next IS NOT NULL THEN epoch_us(next) - epoch_us(ts) ELSE 0 END) AS bigint) AS micros_above
        FROM (SELECT *, lead(ts) OVER (PARTITION BY cluster, pod_name ORDER BY ts) AS next FROM {usage}) u
        GROUP BY cluster, pod_name""",
 )
@@ -209,7 +214,7 @@ def _(t):
     rows = ops.metric_saturation(usage(t), ["cluster", "pod_name"])
     return rows.select(
         "cluster", "pod_name", *[F.round(c, 6).alias(c) for c in ("peak", "mean", "last", "peak_share")],
-        F.round("seconds_above", 3).alias("seconds_above"),
+        micros("seconds_above").alias("micros_above"),
     )
 
 
@@ -219,12 +224,13 @@ def _(t):
           s AS (SELECT cluster, pod_name, max(value) AS peak, arg_max(value, ts) AS last,
             max(ts) FILTER (WHERE value <> 0) AS high FROM m GROUP BY ALL)
         SELECT s.cluster, s.pod_name, peak, last, peak > 0 AND last = 0 AS is_transient,
-          round((epoch_us((SELECT min(m.ts) FROM m WHERE m.cluster = s.cluster AND m.pod_name = s.pod_name AND m.ts > s.high))
-            - epoch_us(high)) / 1e6, 3) AS recovery_seconds FROM s""",
+          coalesce(epoch_us((SELECT min(m.ts) FROM m WHERE m.cluster = s.cluster AND m.pod_name = s.pod_name AND m.ts > s.high))
+            - epoch_us(high), -1) AS recovery_micros FROM s""",
 )
 def _(t):
     rows = ops.spike_recovery(t.metrics.where(F.col("metric") == LOCKS), ["cluster", "pod_name"])
-    return rows.withColumn("recovery_seconds", F.round("recovery_seconds", 3))
+    waited = F.coalesce(micros("recovery_seconds"), F.lit(-1))
+    return rows.withColumn("recovery_micros", waited).drop("recovery_seconds")
 
 
 @query(
@@ -265,7 +271,7 @@ def _(t):
              row_number() OVER (PARTITION BY run_id ORDER BY line_no) - 1 AS rec
            FROM {log_lines} WHERE NOT is_continuation) l)
        SELECT cluster, kind, ref, detail, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at,
-         round((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY cluster ORDER BY ts, kind || '/' || ref))) / 1e6, 3) AS gap_seconds
+         coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY cluster ORDER BY ts, kind || '/' || ref)), -1) AS gap_micros
        FROM rows""",
 )
 def _(t):
@@ -280,5 +286,6 @@ def _(t):
     )
     rows = ops.incident_timeline(records, events, metrics)
     return rows.select(
-        "cluster", "kind", "ref", "detail", F.date_format("ts", FORMAT).alias("at"), F.round("gap_seconds", 3).alias("gap_seconds")
+        "cluster", "kind", "ref", "detail", F.date_format("ts", FORMAT).alias("at"),
+        F.coalesce(micros("gap_seconds"), F.lit(-1)).alias("gap_micros"),
     )

@@ -29,6 +29,8 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+        # Rows that reach Python are whole files; keep batches of them small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
         **conf,
     }
     for key, value in settings.items():
