@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import coordinates as C
+from faultline.session import spread
 
 
 @dataclass(frozen=True)
@@ -44,6 +45,8 @@ def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = wanted.select("task_id").distinct()
     # Ids have at most a few hundred characters, so this list is short.
     lengths = ids.agg(F.sort_array(F.collect_set(F.length("task_id")))).scalar()
+    # A manifest is one document, hence one split; its nodes go to all cores.
+    nodes = spread(nodes.select("ord", "node_id", "original_file_path"))
     node = F.struct("ord", "node_id", "original_file_path")
     per_length = (
         nodes.withColumn("_lengths", lengths)
