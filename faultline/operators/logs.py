@@ -4,7 +4,7 @@ text: lines and figures are taken inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.functions import text as X
 
@@ -12,15 +12,13 @@ from faultline.functions import text as X
 def latest_attempt(logs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row per ``keys``, ``order`` ranking from old to new.
 
-    Only keys and ranking columns are aggregated, with partial aggregation before
-    the shuffle; the text joins back by full key, which is not skewed.
+    Spark applies the rank limit before the shuffle: each task sends one row per
+    key, so neither the texts nor a busy task's history move.
     """
-    newest = (
-        logs.groupBy(*keys)
-        .agg(F.max(F.struct(*order)).alias("_newest"))
-        .select(*keys, "_newest.*")
+    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return (
+        logs.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
     )
-    return logs.join(newest, [*keys, *order], "left_semi")
 
 
 TASK_KEY = ["cluster", "dag_id", "task_id"]

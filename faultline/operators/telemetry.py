@@ -74,13 +74,16 @@ def attach_telemetry(
 def metric_pick(metrics: DataFrame, name: str) -> DataFrame:
     """Series of each cluster whose metric name contains ``name``; a cluster
     without one answers with its first metric by name."""
-    names = metrics.select("cluster", "metric").distinct()
-    choice = names.groupBy("cluster").agg(
-        F.min_by(
-            "metric", F.struct((~F.contains("metric", F.lit(name))).alias("miss"), F.col("metric"))
-        ).alias("metric")
+    per_cluster = metrics.groupBy("cluster").agg(
+        F.min(
+            F.struct((~F.contains("metric", F.lit(name))).alias("miss"), F.col("metric"))
+        ).alias("best")
     )
-    return metrics.join(choice, ["cluster", "metric"], "left_semi")
+    # One entry per cluster, so the choice fits in a constant and no sample moves.
+    choice = per_cluster.agg(
+        F.map_from_entries(F.collect_list(F.struct("cluster", "best.metric")))
+    ).scalar()
+    return metrics.where(F.col("metric") == F.element_at(choice, F.col("cluster")))
 
 
 def metric_at_failure(
@@ -203,28 +206,30 @@ def metric_saturation(
     )
 
 
-def spike_recovery(metrics: DataFrame, keys: list[str]) -> DataFrame:
+def spike_recovery(
+    metrics: DataFrame, keys: list[str], tie: str = "value", bucket_seconds: int = HOUR
+) -> DataFrame:
     """Whether a series spiked and came back to zero, and how long the last spike
-    took to clear."""
-    nonzero = F.col("value") != 0
-    summary = metrics.groupBy(*keys).agg(
-        F.max("value").alias("peak"),
-        F.max_by("value", "ts").alias("last"),
-        F.max(F.when(nonzero, F.col("ts"))).alias("_last_high"),
-    )
-    cleared = (
-        metrics.join(summary.select(*keys, "_last_high"), keys)
-        .where(F.col("ts") > F.col("_last_high"))
-        .groupBy(*keys)
-        .agg(F.min("ts").alias("_cleared"))
+    took to clear: from its last sample to the one after it."""
+    timed = ordered.neighbour(
+        metrics, keys, "ts", tie, {"_next": "ts"}, forward=True, bucket_seconds=bucket_seconds
     )
-    wait = (ordered.epoch_us("_cleared") - ordered.epoch_us("_last_high")) / 1e6
-    return summary.join(cleared, keys, "left").select(
-        *keys,
-        "peak",
-        "last",
-        ((F.col("peak") > 0) & (F.col("last") == 0)).alias("is_transient"),
-        wait.alias("recovery_seconds"),
+    high_at = F.when(F.col("value") != 0, ordered.epoch_us("ts"))
+    wait = ordered.epoch_us("_next") - ordered.epoch_us("ts")
+    return (
+        timed.groupBy(*keys)
+        .agg(
+            F.max("value").alias("peak"),
+            F.max_by("value", "ts").alias("last"),
+            F.max_by(wait, high_at).alias("_wait"),
+        )
+        .select(
+            *keys,
+            "peak",
+            "last",
+            ((F.col("peak") > 0) & (F.col("last") == 0)).alias("is_transient"),
+            (F.col("_wait") / 1e6).alias("recovery_seconds"),
+        )
     )
 
 

@@ -69,6 +69,6 @@ def test_filter_on_category_does_not_repeat_the_rules(spark):
 
 @needs_data
 def test_rank_limits_run_before_the_shuffle(spark):
-    for name in ("triage_queue_per_team", "pod_events_each"):
+    for name in ("triage_queue_per_team", "pod_events_each", "latest_attempt"):
         text = plan(entry.queries()[name](spark, ROOT))
         assert "WindowGroupLimit" in text and "Partial" in text
