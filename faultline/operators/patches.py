@@ -99,6 +99,18 @@ def patch_memory_limit(files: DataFrame, new_memory: str = "4096Mi") -> DataFram
     )
 
 
+def affected_files(owners: DataFrame, files: DataFrame) -> DataFrame:
+    """Files that incidents point at, with ``n_incidents``.
+
+    ``owners`` has ``repo_name`` and ``target_file_path``; incidents are counted per
+    file before they meet the files.
+    """
+    targets = owners.groupBy(
+        F.col("repo_name").alias("repo"), F.col("target_file_path").alias("file_path")
+    ).agg(F.count("*").alias("n_incidents"))
+    return files.join(targets, ["repo", "file_path"])
+
+
 @F.pandas_udf(StringType())
 def _unified_diff(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series(

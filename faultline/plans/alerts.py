@@ -293,9 +293,8 @@ def _(t):
     return owned(t).join(ownership.catalog_match(catalog(t)), "dag_id").select("run_id", "listed.repo_name")
 
 
-@query(
-    "resolve_owner",
-    """SELECT run_id, tier,
+derived.DERIVED["owners"] = """
+SELECT run_id, tier,
       CASE tier WHEN 1 THEN 'environment' WHEN 2 THEN 'manifest' WHEN 3 THEN 'dag_tag' WHEN 4 THEN 'catalog' ELSE 'default' END AS discovery_method,
       CASE tier WHEN 1 THEN replace(split_part(git_repo, '/', -1), '.git', '') WHEN 3 THEN g.repo_name WHEN 4 THEN c.repo_name
         ELSE 'analytics-dbt' END AS repo_name,
@@ -308,8 +307,11 @@ def _(t):
         ELSE '@oncall-data-sre' END AS team_owner,
       CASE tier WHEN 3 THEN g.slack_channel WHEN 4 THEN c.slack_channel ELSE '#data-platform-alerts' END AS channel,
       CASE tier WHEN 3 THEN g.framework WHEN 4 THEN c.framework END AS framework
-    FROM {owned_tiers} o LEFT JOIN {catalog_rows} g ON g.ord = o.tag_ord LEFT JOIN {catalog_rows} c ON c.ord = o.cat_ord""",
-)
+    FROM {owned_tiers} o LEFT JOIN {catalog_rows} g ON g.ord = o.tag_ord LEFT JOIN {catalog_rows} c ON c.ord = o.cat_ord
+"""
+
+
+@query("resolve_owner", "SELECT * FROM {owners}")
 def _(t):
     return ownership.resolve_owner(owned(t), t.manifest_nodes, catalog(t)).drop(
         "dag_id", "task_id", "env_vars", "dag_tags", "hint"

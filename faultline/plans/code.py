@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import lineage, patches
-from faultline.plans import derived
+from faultline.operators import lineage, ownership, patches
+from faultline.plans import alerts, derived
 from faultline.plans.registry import query
 
 derived.DERIVED["repo_files"] = """
@@ -90,6 +90,20 @@ def _(t):
     )
 
 
+@query(
+    "patch_affected_files",
+    """SELECT g.doc_id, o.n_incidents, g.patched <> g.content AS changed
+       FROM (SELECT target_file_path, count(*) AS n_incidents FROM {owners} WHERE repo_name = 'analytics-dbt' GROUP BY 1) o
+       JOIN {guarded_named} g ON o.target_file_path = 'models/m_' || cast(g.doc_id AS string) || '.sql'""",
+)
+def _(t):
+    owners = ownership.resolve_owner(alerts.owned(t), t.manifest_nodes, alerts.catalog(t))
+    path = F.concat(F.lit("models/m_"), F.col("doc_id").cast("string"), F.lit(".sql"))
+    files = t.repo_files.withColumns({"repo": F.lit("analytics-dbt"), "file_path": path})
+    rows = patches.patch_zero_division(patches.affected_files(owners, files))
+    return rows.select("doc_id", "n_incidents", (F.col("content") != F.col("patched")).alias("changed"))
+
+
 derived.DERIVED["patch_requests"] = """
 SELECT run_id, task_id, CASE event_id % 4 WHEN 0 THEN 'dbt' WHEN 1 THEN 'custom-sql' WHEN 2 THEN 'airflow-dag' ELSE 'terraform' END AS framework,
   'models/marts/m_' || cast(user_id AS string) || '.sql' AS file_path, 'customer_account_id' AS old_column,

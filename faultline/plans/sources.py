@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.plans import telemetry  # noqa: F401  (registers the derived relations)
+from faultline.plans import telemetry
 from faultline.plans.registry import query
 from faultline.session import scratch_dir
 from faultline.sources import lake
@@ -209,3 +209,20 @@ def _(t):
     lake.write_lake(t.documents.select(F.col("text").alias("value"), F.col("source").alias("repo")), root, ["repo"], "text")
     files = lake.scan_repo_files(t.spark, root, "*.txt")
     return files.groupBy(F.substring_index("repo", "=", -1).alias("repo")).agg(F.sum(F.length("content")).alias("n_chars"))
+
+
+@query(
+    "scan_alerts",
+    """SELECT run_id, cluster, attempt AS try_number, operator, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS received_at FROM {failed_runs}""",
+)
+def _(t):
+    path = scratch_dir(t.spark, "alerts")
+    rows = t.failed_runs.select(
+        F.lit("AIRFLOW_TASK_FAILED").alias("event_type"), "cluster", "dag_id", "task_id", "run_id",
+        F.col("attempt").alias("try_number"), "operator", "execution_date", F.col("ts").cast("timestamp").alias("received_at"),
+    )
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    got = lake.scan_alerts(t.spark, path)
+    return got.select(
+        "run_id", "cluster", "try_number", "operator", F.date_format("received_at", telemetry.FORMAT).alias("received_at")
+    )

@@ -25,21 +25,32 @@ def event_time(text: Column) -> Column:
     )
 
 
-def scan_task_logs(spark: SparkSession, root: str) -> DataFrame:
-    """Attempt logs, one row per object: ``log_text``, the folder values, ``attempt``
-    as a number and ``uri``. ``attempt=N`` may be a file name or a folder."""
-    folders = ["cluster", "dag_id", "task_id", "execution_date"]
-    schema = _strings(["value", *folders])
-    rows = spark.read.schema(schema).text(root, wholetext=True)
+LOG_FOLDERS = ["cluster", "dag_id", "task_id", "execution_date"]
+
+
+def _attempt_logs(rows: DataFrame) -> DataFrame:
     attempt = F.regexp_extract("_metadata.file_path", r"attempt=(\d+)", 1).try_cast("int")
     return rows.select(
         F.col("value").alias("log_text"),
-        *folders,
+        *LOG_FOLDERS,
         attempt.alias("attempt"),
         F.col("_metadata.file_path").alias("uri"),
     )
 
 
+def scan_task_logs(spark: SparkSession, root: str) -> DataFrame:
+    """Attempt logs, one row per object: ``log_text``, the folder values, ``attempt``
+    as a number and ``uri``. ``attempt=N`` may be a file name or a folder."""
+    reader = spark.read.schema(_strings(["value", *LOG_FOLDERS]))
+    return _attempt_logs(reader.text(root, wholetext=True))
+
+
+def stream_task_logs(spark: SparkSession, root: str) -> DataFrame:
+    """The same logs as objects arrive."""
+    reader = spark.readStream.schema(_strings(["value", *LOG_FOLDERS]))
+    return _attempt_logs(reader.text(root, wholetext=True))
+
+
 def with_attempt_log(attempts: DataFrame, logs: DataFrame) -> DataFrame:
     """Attach each attempt's log; a missing one shows as ``log_found = false``."""
     keys = ["cluster", "dag_id", "task_id", "execution_date", "attempt"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from faultline.operators import logs as log_ops
 from faultline.operators import ownership, quality, telemetry
 from faultline.sources import lake
+from faultline.streaming.alerts import drain
 
 
 def put(root, key, content):
@@ -38,6 +39,9 @@ def test_task_logs(spark, tmp_path):
     plan = logs.where("cluster = 'c1'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(cluster" in plan
 
+    streamed = drain(lake.stream_task_logs(spark, root), str(tmp_path / "o"), str(tmp_path / "s"))
+    assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, logs.collect()))
+
     requests = spark.createDataFrame(
         [(1, "c1", "d", "t", date, 9), (2, "c1", "d", "t", None, None), (3, "c1", "d", "t", date, 77), (4, "c9", "d", "t", date, 1)],
         "id int, cluster string, dag_id string, task_id string, execution_date string, attempt int",
