@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from faultline.operators import triage
+from faultline.plans import QUERIES
 from faultline.plans.registry import Tables
 
 ROOT = "/root/testdata/sf0.001"
@@ -16,7 +17,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
 
 # Queries that need Python: the unified diff and the stateful retry count.
 PYTHON = {"patch_diffs", "stream_retry_budget"}
-WRITES = {n for n in entry.queries() if n.startswith(("stream_", "scan_", "lake_", "list_"))} | {
+WRITES = {n for n in QUERIES if n.startswith(("stream_", "scan_", "lake_", "list_"))} | {
     "lineage_closure", "blast_radius"
 }
 
@@ -40,7 +41,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITES))
 def test_plan_has_no_pair_joins_or_python(spark, name):
     text = plan(entry.queries()[name](spark, ROOT))
     assert "CartesianProduct" not in text
