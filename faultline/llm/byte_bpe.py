@@ -288,15 +288,15 @@ class Vocabulary:
         return self.decimal_bytes[gather(self.decimal_starts[ids], self.decimal_lengths[ids])]
 
 
-_LOADED: dict[int, Vocabulary] = {}
+_LOADED: dict[bytes, Vocabulary] = {}
 
 
 def _vocabulary(shared) -> Vocabulary:
     """One vocabulary per worker process, whatever the number of tasks."""
-    if shared.id not in _LOADED:
+    if shared.value not in _LOADED:
         _LOADED.clear()
-        _LOADED[shared.id] = Vocabulary(read_ranks(shared.value))
-    return _LOADED[shared.id]
+        _LOADED[shared.value] = Vocabulary(read_ranks(shared.value))
+    return _LOADED[shared.value]
 
 
 def share_ranks(spark: SparkSession, path: str):
