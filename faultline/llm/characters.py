@@ -27,3 +27,15 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     begins = np.flatnonzero((data & 0xC0) != 0x80)
     points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     return points, begins, np.searchsorted(begins, offsets)
+
+
+@cache
+def folded() -> np.ndarray:
+    """Lower case of every letter where that is one code point; a space for all else."""
+    table = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    for c in np.flatnonzero(classes() == LETTER).tolist():
+        low = chr(c).lower()
+        if len(low) == 1:
+            table[c] = ord(low)
+    table[classes() != LETTER] = 32
+    return table

@@ -182,7 +182,10 @@ def _grow_and_prune(rows: DataFrame, cuts: dict[str, list[float]]) -> Rule:
         return ()
     cut = -max(worth)[1]
     p, n = held[cut]
-    return tuple(conditions[: cut + 1]) if p >= LEAST_COVER and p >= LEAST_PRECISION * (p + n) else ()
+    if p < LEAST_COVER or p < LEAST_PRECISION * (p + n):
+        return ()
+    # Later conditions on the same side of a feature are the tighter ones.
+    return tuple({(c.feature, c.above): c for c in conditions[: cut + 1]}.values())
 
 
 def rule_sql(rule: Rule) -> str:
