@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import byte_bpe, language, quality_rules, secrets
+from faultline.llm import byte_bpe, chat, language, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -45,3 +45,49 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from two thirds of the documents."""
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One example per assistant turn of every conversation, read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], rows.schema)
+    return chat.read_back(chat.expand(rows.unionByName(extra)))
+
+
+# In SQL the digests come from the table itself: a whole round trip leaves it as it was.
+CHECKS["op2_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), ordered AS (
+  SELECT *, row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS is_last
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), digests AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+         coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+         (count(*) FILTER (role = 'assistant' OR is_last)) AS n_examples
+  FROM ordered GROUP BY conv_id
+), formatted AS (
+  SELECT conv_id, turn, role, text, is_last,
+         sum(length(role) + length(text) + 12 + length(text) - length(replace(text, '\', ''))
+             + (length(text) - length(replace(text, '<|', ' ')))
+             + (length(text) - length(replace(text, '|>', ' ')))
+             + (length(text) - length(replace(text, '<s>', '  ')))
+             + (length(text) - length(replace(text, '</s>', '   ')))
+             + (length(text) - length(replace(text, '[INST]', '     ')))
+             + (length(text) - length(replace(text, '[/INST]', '      ')))
+             + (length(text) - length(replace(text, '<<SYS>>', '      ')))
+             + (length(text) - length(replace(text, '<</SYS>>', '       '))))
+           OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS chars
+  FROM ordered
+)
+SELECT d.*, f.formatted_chars
+FROM digests d JOIN (
+  SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM formatted
+  WHERE role = 'assistant' OR is_last GROUP BY conv_id) f USING (conv_id)
+"""
