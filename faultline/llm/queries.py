@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import byte_bpe, chat, language, quality_rules, secrets
+from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -91,3 +91,9 @@ FROM digests d JOIN (
   SELECT conv_id, sum(chars)::BIGINT AS formatted_chars FROM formatted
   WHERE role = 'assistant' OR is_last GROUP BY conv_id) f USING (conv_id)
 """
+
+
+@query
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five-word shingles, similarity 0.8 or more."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))

@@ -157,11 +157,23 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/corpus/{purpose}-{uuid.uuid4().hex[:16]}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows as a written table in the shared folder: computed once, safe from lost executors."""
-    path = scratch(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows as a written table in the shared folder: computed once, safe from lost executors.
+
+    The shuffle files behind the table are removed as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, purpose)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def word_count(text: str = "text") -> "F.Column":
