@@ -82,10 +82,15 @@ def remainder(doc_id: str = "doc_id") -> Column:
 def _training_bits(docs: DataFrame, usable: Column, rows_per_language: int):
     """Language and presence bits of the training texts."""
     known = docs.select("doc_id", "lang").where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    # The smallest hashes are wanted: a share of them, a few times the number wanted, is
+    # cut out before rows of a language meet for their rank.
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows_per_language) / F.col("count"))
+    place = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = (
-        known.join(languages, "lang", "left_semi")
+        known.join(F.broadcast(languages), "lang")
+        .where(place.cast("double") / 2.0**63 <= 2 * share - 1)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rows_per_language)
         .select("doc_id", "lang").distinct()
