@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, secrets
+from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, repeated, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -97,3 +97,33 @@ FROM digests d JOIN (
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity 0.8 or more."""
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the 13-word windows that an earlier document has."""
+    return repeated.remove_repeated(table(spark, sf_dir, "documents"))
+
+
+CHECKS["op7_repeated_passages"] = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(generate_series(1, len(w) - 12)) AS pos, w FROM split WHERE len(w) >= 13
+), hashed AS (
+  SELECT doc_id, pos, md5(array_to_string(w[pos:pos + 12], ' ')) AS h FROM windows
+), firsts AS (
+  SELECT h, min(doc_id) AS first FROM hashed GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, pos + 12)) AS pos
+  FROM hashed JOIN firsts USING (h) WHERE first < doc_id
+), words AS (
+  SELECT doc_id, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS word FROM split
+), kept AS (
+  SELECT doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (g.pos IS NULL) AS text
+  FROM words LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
