@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, repeated, secrets
+from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, repeated, secrets, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -127,3 +128,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings").where(top_k.usable("embedding"))
+    points = vectors.select("vec_id", top_k.scaled("embedding").alias("point"))
+    return top_k.top_k(points, F.coalesce(F.col("vec_id") % 50 == 0, F.lit(False)), 5)
+
+
+CHECKS["op4_top_k"] = r"""
+WITH points AS (
+  SELECT vec_id, row_number() OVER () AS row, len(embedding) AS dim,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS point
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.row, q.vec_id AS query_id, c.vec_id, c.row AS other,
+         coalesce(list_sum(list_transform(list_zip(q.point, c.point), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM points q JOIN points c ON q.dim = c.dim AND q.row <> c.row WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id NULLS LAST, other) AS rank FROM scores
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
