@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, chat, language, ngram_join, quality_rules, repeated, secrets, top_k
+from faultline.llm import byte_bpe, chat, language, mixing, ngram_join, quality_rules, repeated, secrets, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -153,3 +153,9 @@ WITH points AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, with the targets of the sources."""
+    return mixing.report(table(spark, sf_dir, "documents"))
