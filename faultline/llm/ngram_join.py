@@ -15,8 +15,9 @@ uses this for several orders at once:
    its sets are compared.
 
 Equal sets are one node. Within the documents of one token all pairs would be too many, so each
-is first compared with the smallest and the largest node of the token. Then only
-pairs between different components are left to compare, and all these are. The
+is first compared with the nodes of the token that have most and least in common with
+the corpus. Then only pairs between different components are left to compare, and all
+these are that share a token in prefixes as short as the sizes of both allow. The
 links found this way connect exactly what all links connect.
 
 Null texts and texts without words have an empty set, link with nothing and are their
@@ -130,16 +131,12 @@ def _shared(rows: DataFrame) -> DataFrame:
     )
 
 
-def _spare_sql(n: str, percent: int) -> Column:
-    return F.least(F.expr(f"1 + {n} div 20"), _needed_sql(n, percent))
-
-
 def _needed_sql(n: str, percent: int) -> Column:
     return F.expr(f"({percent} * {n} + 99) div 100")
 
 
 def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """node, n and the prefix of each set under three orders of the shared tokens."""
+    """node, n, the number of shared tokens, and the prefix of each set under three orders of them."""
     rows = whole.select("node", "n", F.explode("tokens").alias("token"))
     counted = rows.join(_shared(rows).select("token", "df"), "token")
     kept = counted.groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
@@ -152,7 +149,7 @@ def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
     return (
         kept.withColumn("length", length.cast("int")).where("length > 0")
         .select(
-            "node", "n",
+            "node", "n", F.size("shared").alias("shared"),
             prefix("s.df").alias("rare"),
             prefix("xxhash64(s.token, 2)").alias("second"),
             prefix("xxhash64(s.token, 3)").alias("third"),
@@ -180,23 +177,43 @@ def _verified(pairs: DataFrame, prefixes: DataFrame, whole: DataFrame, percent:
     )
 
 
-def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
+def _needed_both(percent: int) -> Column:
+    """Tokens that sets of sizes a_n and b_n share if they are similar."""
+    return F.expr(f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}")
+
+
+def _can_share(percent: int) -> Column:
+    """Whether two sets have enough shared tokens for each other."""
+    return F.least("a_shared", "b_shared") >= _needed_both(percent)
+
+
+def _prefixes_meet(percent: int) -> Column:
+    """Whether a common token lies in the prefix of both sets that their sizes call for."""
+    needed = _needed_both(percent)
+    return (F.col("a_place") <= F.col("a_shared") - needed) & (F.col("b_place") <= F.col("b_shared") - needed)
+
+
+def _ordered_pair() -> tuple[Column, Column]:
+    return F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")
 
 
 def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between similar nodes that connect all nodes which any links connect."""
-    rows = written(prefixes.select("node", "n", F.explode("rare").alias("token")), "rows")
+    parts = ["node", "n", "shared"]
+    rows = written(prefixes.select(*parts, F.posexplode("rare").alias("place", "token")), "rows")
+    # Most likely to be close to all others: the set with the largest share of shared tokens.
+    whole_share = F.struct((F.col("shared") / F.col("n")).alias("share"), *parts)
     ends = (
         rows.groupBy("token")
-        .agg(F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-        .where("low.node < high.node")
+        .agg(F.max(whole_share).alias("high"), F.min(whole_share).alias("low"), F.min("node").alias("least"),
+             F.max("node").alias("most"))
+        .where("least < most").select("token", F.explode(F.array("high", "low")).alias("end"))
     )
     near = (
-        rows.join(ends, "token")
-        .select("node", "n", F.explode(F.array("low", "high")).alias("end"))
-        .where((F.col("node") != F.col("end.node")) & _sizes_fit("n", "end.n", percent))
-        .select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
+        rows.join(ends.select("token", *[F.col(f"end.{c}").alias(f"b_{c}") for c in parts]), "token")
+        .select(*[F.col(c).alias(f"a_{c}") for c in parts], *[f"b_{c}" for c in parts])
+        .where((F.col("a_node") != F.col("b_node")) & _can_share(percent))
+        .select(*_ordered_pair()).distinct()
     )
     first = written(_verified(near, prefixes, whole, percent), "first")
     named = components(first)
@@ -206,12 +223,11 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
         .where("least < most").select("token")
     )
     open_rows = written(rows.join(split, "token", "left_semi"), "open")
-    a = open_rows.select("token", *[F.col(c).alias(f"a_{c}") for c in ("node", "n", "component")])
-    b = open_rows.select("token", *[F.col(c).alias(f"b_{c}") for c in ("node", "n", "component")])
+    sides = [open_rows.select("token", *[F.col(c).alias(f"{k}_{c}") for c in (*parts, "place", "component")]) for k in "ab"]
     across = (
-        a.join(b, "token")
-        .where((F.col("a_component") < F.col("b_component")) & _sizes_fit("a_n", "b_n", percent))
-        .select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        sides[0].join(sides[1], "token")
+        .where((F.col("a_component") < F.col("b_component")) & _prefixes_meet(percent))
+        .select(*_ordered_pair()).distinct()
     )
     return first.union(written(_verified(across, prefixes, whole, percent), "across"))
 
@@ -219,13 +235,14 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Every document with ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
     heads_ = written(heads(docs, words, percent), "heads")
-    rows = heads_.select("doc_id", "node", "n_shingles", F.explode("head").alias("token"))
-    seen = rows.join(_shared(rows).select("token"), "token", "left_semi")
-    alive = (
-        seen.groupBy("doc_id", "node", "n_shingles").agg(F.count("*").alias("hits"))
-        .where(F.col("hits") >= _spare_sql("n_shingles", percent))
-        .groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    rows = heads_.select("node", F.explode("head").alias("token"))
+    hits = rows.join(_shared(rows).select("token"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
+    nodes = heads_.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")
     )
+    # Each copy of a set has counted all its hits.
+    least = F.least(F.expr("1 + n div 20"), _needed_sql("n", percent))
+    alive = nodes.join(hits, "node").where(F.col("hits") >= least * F.col("copies")).select("node", "doc_id")
     whole = written(_whole_sets(docs, alive, words), "sets")
     prefixes = written(_prefixes(whole, percent), "prefixes")
     named = written(components(links(prefixes, whole, percent)), "components")
