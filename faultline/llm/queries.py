@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, chat, language, mixing, ngram_join, quality_rules, repeated, secrets, top_k
+from faultline.llm import byte_bpe, chat, language, mixing, ngram_join, quality_rules, repeated, secrets, top_k, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -159,3 +159,64 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the mix takes each document, with the targets of the sources."""
     return mixing.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep=("page_id",))
+
+
+CHECKS["op8_warc_derivatives"] = r"""
+WITH pages_of AS (
+  SELECT page_id, url AS target_uri, '1970-01-01T00:00:00Z' AS date, coalesce(html, '') AS body,
+         sha256(concat_ws('|', 'response', page_id::VARCHAR, url)) AS k,
+         'Content-Type: text/html; charset=utf-8' AS h1, 'Content-Length: ' || strlen(coalesce(html, '')) AS h2
+  FROM pages
+), stripped AS (
+  SELECT *, chr(13) || chr(10) AS e,
+    '<urn:uuid:' || k[1:8] || '-' || k[9:12] || '-' || k[13:16] || '-' || k[17:20] || '-' || k[21:32] || '>' AS refers_to,
+    regexp_replace(regexp_replace(
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body,
+        '<!--.*?(?:-->|\z)', '', 'gs'),
+        '<script\b[^>]*>.*?(?:</script\s*>|\z)', '', 'gis'), '<style\b[^>]*>.*?(?:</style\s*>|\z)', '', 'gis'),
+        '<template\b[^>]*>.*?(?:</template\s*>|\z)', '', 'gis'), '<noscript\b[^>]*>.*?(?:</noscript\s*>|\z)', '', 'gis'),
+      '</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul)\b[^>]*>', chr(10), 'gi'),
+      '<[a-zA-Z/!?][^>]*>', '', 'g') AS t,
+    regexp_extract(body, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is') AS raw_title,
+    regexp_extract_all(body, '<a\b[^>]*\bhref\s*=\s*"([^"]*)"', 1, 'i') AS links
+  FROM pages_of
+), decoded AS (
+  SELECT *,
+    list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([0-9]{1,7});', 1))),
+      lambda a, x: replace(a, '&#' || x || ';', chr(x::INTEGER))) AS t1,
+    list_reduce(list_prepend(raw_title, list_distinct(regexp_extract_all(raw_title, '&#([0-9]{1,7});', 1))),
+      lambda a, x: replace(a, '&#' || x || ';', chr(x::INTEGER))) AS title1
+  FROM stripped
+), named AS (
+  SELECT *,
+    replace(replace(replace(replace(replace(replace(t1, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t2,
+    replace(replace(replace(replace(replace(replace(title1, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title2
+  FROM decoded
+), tidy AS (
+  SELECT *,
+    regexp_replace(regexp_replace(regexp_replace(t2, '[ \t\r\f\x0B\xA0]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
+    regexp_replace(regexp_replace(replace(title2, chr(10), ' '), '[ \t\r\f\x0B\xA0]+', ' ', 'g'), '^ +| +$', '', 'g') AS title,
+    'sha256:' || sha256('HTTP/1.1 200 OK' || e || h1 || e || h2 || e || e || body) AS source_block_digest,
+    'sha256:' || sha256(body) AS source_payload_digest
+  FROM named
+), blocks AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
+    'software: faultline' || e || 'source-status: HTTP/1.1 200 OK' || e || 'source-header: ' || h1 || e || 'source-header: ' || h2 || e
+    || 'source-block-digest: ' || source_block_digest || e || 'source-payload-digest: ' || source_payload_digest || e
+    || 'title: ' || title || e
+    || coalesce(array_to_string(list_transform(links, lambda v: 'outlink: ' || replace(v, '&amp;', '&') || e), ''), '') AS block
+  FROM tidy
+  UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM tidy
+), ids AS (SELECT *, sha256(record_type || '|' || refers_to) AS r FROM blocks)
+SELECT page_id, record_type,
+  '<urn:uuid:' || r[1:8] || '-' || r[9:12] || '-' || r[13:16] || '-' || r[17:20] || '-' || r[21:32] || '>' AS record_id,
+  refers_to, target_uri, date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest,
+  source_block_digest, source_payload_digest, block
+FROM ids
+"""
