@@ -135,12 +135,14 @@ def scores(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
     return (_normal(bits) @ model.landmarks.T) @ model.weights, bits.any(axis=1)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Every row with ``lang_pred`` and its ``score`` from 0 to 1; both replace such columns."""
-    kept = [f for f in docs.schema if f.name not in ("lang_pred", "score")]
+def predict(
+    docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """Every row with its language and a score from 0 to 1, in the columns ``into``, which they replace."""
+    kept = [f for f in docs.schema if f.name not in into]
     if model is None:
         plain = docs.select(*[f"`{f.name}`" for f in kept])
-        return plain.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return plain.withColumns({into[0]: F.lit(UNKNOWN), into[1]: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in kept]
 
@@ -154,10 +156,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [block.rows.column(block.rows.schema.get_field_index(n)) for n in names]
                 + [pa.array(label[best], pa.string()), pa.array(score, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                names=[*names, *into],
             )
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    more = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
     return docs.mapInArrow(run, T.StructType([*kept, *more]))
 
 

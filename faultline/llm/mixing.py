@@ -155,16 +155,15 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
-    chosen = decisions(docs).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("key").alias("_key"), F.col("copies").alias("_copies")
-    )
+    columns = {"doc_id": "__mix_id", "source": "__mix_source", "key": "__mix_key", "copies": "__mix_copies"}
+    chosen = decisions(docs).where("copies > 0").select(*[F.col(c).alias(n) for c, n in columns.items()])
     same = (
-        docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source"))
-        & (F.xxhash64(docs["text"]) == F.col("_key"))
+        docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source"))
+        & (F.xxhash64(docs["text"]) == F.col("__mix_key"))
     )
-    names = docs.columns
+    names = [f"`{n}`" for n in docs.columns]
     taken = docs.join(chosen, same)
-    return taken.withColumn("_copy", F.explode(F.expr("sequence(1, _copies)"))).select(*[f"`{n}`" for n in names])
+    return taken.withColumn("__mix_copy", F.explode(F.expr("sequence(1, __mix_copies)"))).select(*names)
 
 
 def report(docs: DataFrame) -> DataFrame:

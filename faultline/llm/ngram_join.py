@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.llm.components import components
-from faultline.llm.shared import LOWER, Block, blocks, lists, mix, runs, signed, slice_hashes, written
+from faultline.llm.shared import LOWER, Block, blocks, discard, lists, mix, runs, signed, slice_hashes, written
 
 WORDS = 5
 PERCENT = 80
@@ -76,7 +76,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, node, n_shingles and the head of the set in hash order."""
+    """doc_id, text_hash, node, n_shingles and the head of the set in hash order."""
 
     def run(batches):
         for block in blocks(batches):
@@ -87,16 +87,17 @@ def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [
                     block.rows.column("doc_id"),
+                    block.rows.column("text_hash"),
                     pa.array([_node(s) for s in found], pa.int64()),
                     pa.array(size, pa.int64()),
                     lists(signed(head), np.array(cut)),
                 ],
-                names=["doc_id", "node", "n_shingles", "head"],
+                names=["doc_id", "text_hash", "node", "n_shingles", "head"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, node long, n_shingles long, head array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, f"doc_id {kind}, text_hash long, node long, n_shingles long, head array<long>"
     )
 
 
@@ -232,24 +233,58 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
     return first.union(written(_verified(across, prefixes, whole, percent), "across"))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Every document with ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every row's doc_id, text_hash, n_shingles, and component with its smallest id; null for empty sets."""
     heads_ = written(heads(docs, words, percent), "heads")
+    ids = written(heads_.select("doc_id", "text_hash", "node", "n_shingles"), "ids")
     rows = heads_.select("node", F.explode("head").alias("token"))
     hits = rows.join(_shared(rows).select("token"), "token", "left_semi").groupBy("node").agg(F.count("*").alias("hits"))
-    nodes = heads_.groupBy("node").agg(
+    nodes = ids.groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")
     )
-    # Each copy of a set has counted all its hits.
-    least = F.least(F.expr("1 + n div 20"), _needed_sql("n", percent))
+    # The smallest set that is similar has at least this many shared tokens in its head. Each
+    # copy of a set has counted all its hits.
+    least = F.least(F.expr(f"1 + (({percent} * n + 99) div 100) div 20"), _needed_sql("n", percent))
     alive = nodes.join(hits, "node").where(F.col("hits") >= least * F.col("copies")).select("node", "doc_id")
+    alive = written(alive, "alive")
+    discard(heads_)
     whole = written(_whole_sets(docs, alive, words), "sets")
     prefixes = written(_prefixes(whole, percent), "prefixes")
     named = written(components(links(prefixes, whole, percent)), "components")
-    nodes = heads_.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    discard(whole, prefixes)
+    nodes = ids.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # The smallest id of a component stands for it, over all its nodes.
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = nodes.join(least, "component").select("node", "component_id")
-    out = heads_.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
+    named = nodes.join(least, "component").select("node", "component", "component_id")
+    return ids.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Every document with ``n_shingles`` and ``component_id``, the smallest id it is linked with."""
+    out = classes(docs, words, percent)
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` without near duplicates of others: of each component one row with its smallest id.
+
+    Rows with an empty set are near duplicates of nothing and all stay.
+    """
+    named = written(classes(docs, words, percent), "classes")
+    grouped = named.where("component IS NOT NULL").groupBy("component")
+    first = grouped.agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    empty = named.where("component IS NULL").select("doc_id", "text_hash").distinct()
+    counts = named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    chosen = counts.join(first.withColumn("one", F.lit(True)).unionByName(empty.withColumn("one", F.lit(False))).select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "one"
+    ), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    mark, key = "__one_of_many", "__text_hash"
+    chosen = chosen.select(
+        F.col("id").alias("__doc_id"), F.col("hash").alias(key), (F.col("one") & (F.col("rows") > 1)).alias(mark)
+    )
+    kept = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col(key)))
+    # Only rows that are there more than once have to meet.
+    several = kept.where(mark).dropDuplicates(["__doc_id", key])
+    names = [f"`{n}`" for n in docs.columns]
+    return kept.where(f"NOT {mark}").select(*names).unionByName(several.select(*names))
