@@ -2,69 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.session import scratch_dir
+from faultline.session import remove, scratch_dir
 
 
-def lineage_closure(edges: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """All (``node``, ``ancestor``) pairs with the shortest distance ``depth``.
+def _walk(start: DataFrame, edges: DataFrame, come: str, go: str, kind: str) -> DataFrame:
+    """Pairs (``a``, ``b``) reached from ``start`` over edges from ``come`` to ``go``, with the least ``depth``.
 
-    ``edges`` has ``node`` and ``parent``. Each round extends only the pairs found
-    in the round before and writes its new pairs to the shared scratch folder, so
-    a lost executor costs one round. Cycles end by themselves.
+    Each round extends only the pairs found in the round before and writes its new
+    pairs to the shared scratch folder, so a lost executor costs one round. It ends
+    when a round finds nothing new, so cycles end by themselves.
     """
     spark = edges.sparkSession
-    root = scratch_dir(spark, "closure")
-    kind = edges.schema["node"].dataType.simpleString()
-    schema = f"node {kind}, ancestor {kind}, depth int"
-    step = edges.select("node", "parent").distinct()
+    root = scratch_dir(spark, "walk")
+    step = edges.select(F.col(come).alias("b"), F.col(go).alias("_next")).distinct()
     step.write.parquet(f"{root}/edges")
     step = spark.read.schema(step.schema).parquet(f"{root}/edges")
-    fresh = step.select("node", F.col("parent").alias("ancestor"))
-    for depth in range(1, max_depth + 1):
+    fresh, depth = start, 1
+    while True:
         path = f"{root}/pairs/depth={depth}"
         fresh.write.parquet(path)
-        found = spark.read.schema(f"node {kind}, ancestor {kind}").parquet(path)
-        known = spark.read.schema(schema).parquet(f"{root}/pairs")
+        found = spark.read.schema(f"a {kind}, b {kind}").parquet(path)
+        known = spark.read.schema(f"a {kind}, b {kind}, depth int").parquet(f"{root}/pairs")
         if found.isEmpty():
+            remove(spark, f"{root}/edges")
             return known
-        fresh = (
-            found.join(step.withColumnsRenamed({"node": "ancestor", "parent": "_up"}), "ancestor")
-            .select("node", F.col("_up").alias("ancestor"))
-            .distinct()
-            .join(known, ["node", "ancestor"], "left_anti")
-        )
-    raise RuntimeError(f"lineage is deeper than {max_depth}")
+        onward = found.join(step, "b").select("a", F.col("_next").alias("b")).distinct()
+        fresh, depth = onward.join(known, ["a", "b"], "left_anti"), depth + 1
+
+
+def lineage_closure(edges: DataFrame) -> DataFrame:
+    """All (``node``, ``ancestor``) pairs with the shortest distance ``depth``.
+
+    ``edges`` has ``node`` and ``parent``.
+    """
+    kind = edges.schema["node"].dataType.simpleString()
+    start = edges.select(F.col("node").alias("a"), F.col("parent").alias("b")).distinct()
+    return _walk(start, edges, "node", "parent", kind).withColumnsRenamed({"a": "node", "b": "ancestor"})
 
 
-def blast_radius(closure: DataFrame, broken: DataFrame) -> DataFrame:
+def blast_radius(edges: DataFrame, broken: DataFrame) -> DataFrame:
     """For each broken node: how many nodes depend on it, directly or not, and how
-    far the damage reaches."""
-    hit = closure.join(broken.select(F.col("node").alias("ancestor")).distinct(), "ancestor", "left_semi")
-    return hit.groupBy(F.col("ancestor").alias("node")).agg(
+    far the damage reaches.
+
+    The walk starts from the broken nodes, so only what lies below them is visited.
+    Broken nodes on which nothing depends are absent.
+    """
+    kind = edges.schema["node"].dataType.simpleString()
+    roots = broken.select(F.col("node").alias("parent")).distinct()
+    start = edges.join(roots, "parent").select(F.col("parent").alias("a"), F.col("node").alias("b")).distinct()
+    reached = _walk(start, edges, "parent", "node", kind)
+    return reached.groupBy(F.col("a").alias("node")).agg(
         F.count("*").alias("n_downstream"), F.max("depth").alias("reach")
     )
 
 
-CTE = r"(\w+)\s+as\s*\(\s*select\s+\*\s+from\s+\{\{\s*ref\('([^']+)'\)\s*\}\}\s*\)"
-ALIAS = r"(?:from|join)\s+(\w+)\s+(\w+)"
-DIRECT = r"(?:from|join)\s+\{\{\s*ref\('([^']+)'\)\s*\}\}\s+(\w+)"
-REFERENCE = r"(\w+)\.(\w+)"
+# Model code is looked at in lower case, without comments and with single blanks.
+REF = r"\{\{ ?ref\( ?'([^']+)' ?\) ?\}\}"
+CTE = rf"(\w+) as ?\( ?select \* from {REF} ?\)"
+ALIAS = r"\b(?:from|join) (\w+) (?:as )?(\w+)"
+DIRECT = rf"\b(?:from|join) {REF} (?:as )?(\w+)"
+REFERENCE = r"\b([a-z_]\w*)\.(\w+)"
 RENAME_HINT = r"""HINT:.*?"(\w+)\.(\w+)\""""
 MISSING_HINT = r"""column "(\w+)" does not exist in relation "(\w+)\""""
 
 
+def plain_code(code: Column) -> Column:
+    """Model code in lower case without comments, runs of blanks as one."""
+    code = F.regexp_replace(code, r"(?s)/\*.*?\*/|\{#.*?#\}", " ")
+    code = F.regexp_replace(code, r"--[^\n]*", " ")
+    return F.lower(F.regexp_replace(F.replace(code, F.lit('"'), F.lit("'")), r"\s+", " "))
+
+
 def column_references(nodes: DataFrame) -> DataFrame:
     """(``node``, ``upstream``, ``column``) for every ``alias.column`` whose alias
     stands for a referenced model, directly or through a ``select *`` CTE.
 
-    Works on alias-qualified columns; unqualified ones are not attributed.
-    ``taken`` lists all columns the node takes through the same alias.
+    Case, comments and line breaks do not matter, ``as`` before an alias may be left
+    out, and a CTE may be used under its own name. Columns come in lower case. Works
+    on qualified columns; unqualified ones are not attributed. ``taken`` lists all
+    columns the node takes through the same alias.
     """
 
     def table(pattern: str, key: int, value: int):
-        hits = F.regexp_extract_all("raw_code", F.lit(pattern), F.lit(0))
+        hits = F.regexp_extract_all("_code", F.lit(pattern), F.lit(0))
         return F.transform(
             hits,
             lambda h: F.struct(
@@ -75,8 +97,12 @@ def column_references(nodes: DataFrame) -> DataFrame:
     def lookup(pairs: str, key):
         return F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
 
-    parsed = nodes.select(
-        F.col("name").alias("node"),
+    # One element is exploded so that the code is made plain once for all patterns.
+    plain = nodes.select(
+        F.col("name").alias("node"), F.explode(F.array(plain_code(F.col("raw_code")))).alias("_code")
+    )
+    parsed = plain.select(
+        "node",
         table(CTE, 1, 2).alias("_ctes"),
         table(ALIAS, 2, 1).alias("_aliases"),
         table(DIRECT, 2, 1).alias("_direct"),
@@ -86,7 +112,9 @@ def column_references(nodes: DataFrame) -> DataFrame:
     through_cte = lookup("_ctes", lookup("_aliases", F.col("_ref.k")))
     return parsed.select(
         "node",
-        F.coalesce(lookup("_direct", F.col("_ref.k")), through_cte).alias("upstream"),
+        F.coalesce(
+            lookup("_direct", F.col("_ref.k")), through_cte, lookup("_ctes", F.col("_ref.k"))
+        ).alias("upstream"),
         F.col("_ref.v").alias("column"),
         F.transform(same_alias, lambda r: r["v"]).alias("taken"),
     ).where("upstream IS NOT NULL")
@@ -101,7 +129,9 @@ def contract_breaks(nodes: DataFrame, messages: DataFrame | None = None) -> Data
     otherwise it is the declared column with the smallest edit distance, columns the
     model already takes coming last.
     """
-    declared = nodes.where("size(columns) > 0").select(F.col("name").alias("upstream"), "columns")
+    declared = nodes.where("size(columns) > 0").select(
+        F.lower("name").alias("upstream"), F.transform("columns", F.lower).alias("columns")
+    )
     used = (
         column_references(nodes)
         .groupBy("node", "upstream", "column")
@@ -124,9 +154,9 @@ def contract_breaks(nodes: DataFrame, messages: DataFrame | None = None) -> Data
         return broken.select("node", "upstream", "column", nearest.alias("rename_to"))
     hints = (
         messages.select(
-            F.regexp_extract("message", MISSING_HINT, 2).alias("upstream"),
-            F.regexp_extract("message", MISSING_HINT, 1).alias("column"),
-            F.regexp_extract("message", RENAME_HINT, 2).alias("_hint"),
+            F.lower(F.regexp_extract("message", MISSING_HINT, 2)).alias("upstream"),
+            F.lower(F.regexp_extract("message", MISSING_HINT, 1)).alias("column"),
+            F.lower(F.regexp_extract("message", RENAME_HINT, 2)).alias("_hint"),
         )
         .where("column <> '' AND _hint <> ''")
         .groupBy("upstream", "column")

@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from faultline.functions import coordinates as C
-from faultline.session import spread
 
 
 @dataclass(frozen=True)
@@ -33,45 +32,59 @@ class OwnerDefaults:
 METHODS = ("environment", "manifest", "dag_tag", "catalog", "default")
 
 
+def newest_manifest(nodes: DataFrame) -> DataFrame:
+    """The nodes of the newest manifest of each project, where manifests have ``project`` and ``run_id``."""
+    if not {"project", "run_id"} <= set(nodes.columns):
+        return nodes
+    newest = nodes.groupBy(F.col("project").alias("_p")).agg(F.max("run_id").alias("_r"))
+    return nodes.join(
+        newest, F.col("project").eqNullSafe(F.col("_p")) & F.col("run_id").eqNullSafe(F.col("_r")), "left_semi"
+    )
+
+
 def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each distinct (``task_id``, ``hint``): the first manifest node whose id
     contains the task id or whose path equals the hint.
 
-    Containment becomes equality: every node id is cut into its pieces of the
+    Only the newest manifest of a project counts. Where ``tasks`` names a ``project``,
+    its nodes alone are looked at; else the first project by name that has a match
+    answers. Containment becomes equality: every node id is cut into its pieces of the
     lengths task ids have, each piece keeps its first node, and pieces join by
     value. ``nodes`` has ``ord``, ``node_id``, ``original_file_path``.
     """
-    wanted = tasks.select("task_id", C.or_default(F.col("hint"), F.lit(None)).alias("hint")).distinct()
-    ids = wanted.select("task_id").distinct()
+    scope = ["project"] if "project" in tasks.columns and "project" in nodes.columns else []
+    wanted = tasks.select(*scope, "task_id", C.or_default(F.col("hint"), F.lit(None)).alias("hint")).distinct()
+    ids = wanted.select(*scope, "task_id").distinct()
     # Ids have at most a few hundred characters, so this list is short.
     lengths = ids.agg(F.sort_array(F.collect_set(F.length("task_id")))).scalar()
-    # A manifest is one document, hence one split; its nodes go to all cores.
-    nodes = spread(nodes.select("ord", "node_id", "original_file_path"))
-    node = F.struct("ord", "node_id", "original_file_path")
+    project = F.col("project") if "project" in nodes.columns else F.lit("")
+    node = F.struct(project.alias("project"), "ord", "node_id", "original_file_path")
+    nodes = newest_manifest(nodes).select(*scope, node.alias("_node"))
     per_length = (
         nodes.withColumn("_lengths", lengths)
-        .select(node.alias("_node"), F.explode("_lengths").alias("_n"))
+        .select(*scope, "_node", F.explode("_lengths").alias("_n"))
         .where("_n <= length(_node.node_id)")
     )
     starts = F.sequence(F.lit(1), F.length("_node.node_id") - F.col("_n") + 1)
     by_id = (
-        per_length.select("_node", "_n", F.explode(starts).alias("_i"))
-        .select("_node", F.expr("substring(_node.node_id, _i, _n)").alias("task_id"))
-        .join(ids, "task_id", "left_semi")
-        .groupBy("task_id")
+        per_length.select(*scope, "_node", "_n", F.explode(starts).alias("_i"))
+        .select(*scope, "_node", F.expr("substring(_node.node_id, _i, _n)").alias("task_id"))
+        .join(ids, [*scope, "task_id"], "left_semi")
+        .groupBy(*scope, "task_id")
         .agg(F.min("_node").alias("_by_id"))
     )
     by_path = (
-        nodes.where("original_file_path IS NOT NULL")
-        .groupBy(F.col("original_file_path").alias("hint"))
-        .agg(F.min(node).alias("_by_path"))
+        nodes.where("_node.original_file_path IS NOT NULL")
+        .groupBy(*scope, F.col("_node.original_file_path").alias("hint"))
+        .agg(F.min("_node").alias("_by_path"))
     )
     first = F.least("_by_id", "_by_path")
     return (
-        wanted.join(by_id, "task_id", "left")
-        .join(by_path, "hint", "left")
+        wanted.join(by_id, [*scope, "task_id"], "left")
+        .join(by_path, [*scope, "hint"], "left")
         .where(first.isNotNull())
         .select(
+            *scope,
             "task_id",
             "hint",
             first["node_id"].alias("node_id"),
@@ -120,21 +133,30 @@ def resolve_owner(
     """Add repository, branch, path, method, team, channel, framework and tier.
 
     ``tasks`` has ``dag_id``, ``task_id``, ``env_vars`` (map), ``dag_tags`` (array)
-    and ``hint`` (failing file). Every task gets exactly one owner.
+    and ``hint`` (failing file), and may have ``project``, which then scopes the
+    manifest. Every task gets exactly one owner.
     """
     d = defaults
-    rows = tasks.withColumn("hint", C.or_default(F.col("hint"), F.lit(None)))
-    by_node = manifest_match(rows, nodes).withColumnsRenamed({"task_id": "_task", "hint": "_hint"})
+    env = {"_repo": F.element_at("env_vars", "GIT_SYNC_REPO"), "_branch": F.element_at("env_vars", "GIT_SYNC_BRANCH")}
+    scope = ["project"] if "project" in tasks.columns and "project" in nodes.columns else []
+    asked = ["dag_id", "task_id", "dag_tags", "_hint", "_repo", "_branch", *scope]
+    keyed = tasks.withColumns({"_hint": C.or_default(F.col("hint"), F.lit(None)), **env})
+    # Attempts ask the same few questions: each is answered once. A struct as the key
+    # makes null fields equal.
+    keyed = keyed.select(*tasks.columns, F.struct(*asked).alias("_asked"))
+    distinct = keyed.select("_asked").distinct().select("_asked", "_asked.*").withColumnRenamed("_hint", "hint")
+    # Tasks that name their repository need no manifest.
+    by_node = manifest_match(distinct.where("_repo IS NULL"), nodes)
+    by_node = by_node.withColumnsRenamed({c: f"_m_{c}" for c in (*scope, "task_id", "hint")})
+    same = F.col("_repo").isNull() & (F.col("task_id") == F.col("_m_task_id")) & F.col("hint").eqNullSafe(F.col("_m_hint"))
+    for column in scope:
+        same = same & (F.col(column) == F.col(f"_m_{column}"))
     rows = (
-        rows.join(
-            by_node,
-            (F.col("task_id") == F.col("_task")) & F.col("hint").eqNullSafe(F.col("_hint")),
-            "left",
-        )
-        .join(tag_match(tasks, catalog), "dag_tags", "left")
+        distinct.join(by_node, same, "left")
+        .join(tag_match(distinct, catalog), "dag_tags", "left")
         .join(catalog_match(catalog), "dag_id", "left")
     )
-    env_repo = F.element_at("env_vars", "GIT_SYNC_REPO")
+    env_repo = F.col("_repo")
     tier = (
         F.when(env_repo.isNotNull(), 1)
         .when(F.col("node_id").isNotNull(), 2)
@@ -155,12 +177,12 @@ def resolve_owner(
     own_file = F.concat(F.col("task_id"), F.lit(".sql"))
     model_file = F.coalesce(F.col("hint"), F.concat(F.lit("models/"), own_file))
     subpath = F.coalesce(listed["code_subpath"], F.lit(""))
-    return rows.select(
-        *tasks.columns,
+    answers = rows.select(
+        "_asked",
         pick(C.repo_from_url(env_repo), d.repo_name, tagged["repo_name"], listed["repo_name"], d.repo_name).alias("repo_name"),
         pick(env_repo, d.repo_url, tagged["repo_url"], listed["repo_url"], d.repo_url).alias("repo_url"),
         pick(
-            F.coalesce(F.element_at("env_vars", "GIT_SYNC_BRANCH"), F.lit(d.branch)),
+            F.coalesce("_branch", F.lit(d.branch)),
             d.branch,
             F.coalesce(tagged["default_branch"], F.lit(d.branch)),
             F.coalesce(listed["default_branch"], F.lit(d.branch)),
@@ -193,3 +215,4 @@ def resolve_owner(
         ).alias("framework"),
         "tier",
     )
+    return keyed.join(answers, "_asked").drop("_asked")

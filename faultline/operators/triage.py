@@ -162,14 +162,19 @@ def approval_requests(
 ) -> DataFrame:
     """One pending request per incident that a person must decide.
 
-    The id is derived from the incident, so a repeated job emits the same request.
+    The id is the whole digest of the incident, so a repeated job emits the same
+    request and no two incidents share one. ``code_diff`` and ``pr_url`` come along
+    where ``routed`` has them, else they are null.
     """
+    extra = [
+        F.col(c) if c in routed.columns else F.lit(None).cast("string").alias(c) for c in ("code_diff", "pr_url")
+    ]
     change = F.when(
         F.contains("remediation_action", F.lit("PR")),
         F.lit("merge the drafted change and clear the task"),
     ).otherwise(F.lit("raise the worker memory limit and clear the task"))
     return routed.where("requires_human").select(
-        F.concat(F.lit("apr-"), F.substring(F.sha2(incident_key(), 256), 1, 8)).alias("approval_id"),
+        F.concat(F.lit("apr-"), F.sha2(incident_key(), 256)).alias("approval_id"),
         "cluster",
         "dag_id",
         "task_id",
@@ -182,6 +187,7 @@ def approval_requests(
         .alias("channel"),
         F.col("failure_category").alias("root_cause"),
         F.col("approval_status").alias("status"),
+        *extra,
     )
 
 

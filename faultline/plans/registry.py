@@ -7,14 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from faultline.plans import derived
-from faultline.session import spread
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
-# Sources of log texts and documents, on which queries spend most time per row.
-TEXT_TABLES = ("events", "documents")
 
 
 class Tables:
@@ -28,8 +25,6 @@ class Tables:
         # Runs once per name: the plan is kept as an attribute.
         if name in BASE_TABLES:
             table = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            if name in TEXT_TABLES:
-                table = spread(table)
         elif name in derived.DERIVED:
             text = derived.spark_text(name)
             inputs = {n: getattr(self, n) for n in derived.names_in(text)}

@@ -172,8 +172,8 @@ def _(t):
 
 @query(
     "approval_queue",
-    """SELECT 'apr-' || substr(sha256(cluster || '/' || dag_id || '/' || task_id || '/' || run_id || '/'
-         || cast(attempt AS string)), 1, 8) AS approval_id, cluster, dag_id, task_id, run_id,
+    """SELECT 'apr-' || sha256(cluster || '/' || dag_id || '/' || task_id || '/' || run_id || '/'
+         || cast(attempt AS string)) AS approval_id, cluster, dag_id, task_id, run_id,
          remediation_action AS action_type, 'merge the drafted change and clear the task' AS proposed_change,
          'MEDIUM' AS risk_level,
          CASE WHEN dag_id LIKE '%dbt%' THEN '#team-analytics-eng' ELSE '#data-platform-alerts' END AS channel,
@@ -181,7 +181,7 @@ def _(t):
        FROM {routed} WHERE requires_human""",
 )
 def _(t):
-    return ops.approval_requests(routed(t))
+    return ops.approval_requests(routed(t)).drop("code_diff", "pr_url")
 
 
 @query(

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -41,35 +39,15 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for written intermediates, on storage every executor sees.
 
-    The parent is the cluster's ``spark.checkpoint.dir``. Only a local master,
-    where driver and executors share one disk, may fall back to a temporary
-    folder.
+    It lies below ``spark.checkpoint.dir``, or below the warehouse of a session that
+    does not set it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(
-                "set spark.checkpoint.dir to a folder shared by all executors"
-            )
-        root = _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/faultline/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
-_LOCAL_ROOT: str | None = None
-
-
-def _local_root() -> str:
-    global _LOCAL_ROOT
-    if _LOCAL_ROOT is None or not os.path.isdir(_LOCAL_ROOT):
-        _LOCAL_ROOT = tempfile.mkdtemp(prefix="faultline-")
-    return _LOCAL_ROOT
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a table with fewer input splits than cores to all cores.
-
-    Meant for small files ahead of heavy text work. A table with splits enough,
-    such as any large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def remove(spark: SparkSession, *folders: str) -> None:
+    """Remove scratch folders that nothing reads any more."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
