@@ -4,21 +4,29 @@ text: lines and figures are taken inside the row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions import text as X
 
 
 def latest_attempt(logs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row per ``keys``, ``order`` ranking from old to new.
+    """The newest row per ``keys``, ``order`` ranking from old to new; ``order`` must tell rows of a key apart.
 
-    Spark applies the rank limit before the shuffle: each task sends one row per
-    key, so neither the texts nor a busy task's history move.
+    The winners are found on the narrow columns, as maxima summed up before the
+    shuffle. Then only they fetch their texts, by a semi-join, for which Spark can
+    broadcast them or filter the text scan by them.
     """
-    newest = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return (
-        logs.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
+    best = F.max(F.struct(*order)).alias("_best")
+    winners = logs.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best)
+    winners = winners.select(*[f"_k{i}" for i in range(len(keys))], *[F.col("_best")[c].alias(f"_o{i}") for i, c in enumerate(order)])
+    same = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+        + [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)],
     )
+    return logs.join(winners, same, "left_semi")
 
 
 TASK_KEY = ["cluster", "dag_id", "task_id"]
@@ -30,19 +38,30 @@ def lookup_logs(requests: DataFrame, logs: DataFrame) -> DataFrame:
 
     The log of the exact ``execution_date`` and ``attempt`` is taken, else the
     newest log of the task. A task without logs has ``log_found = false``.
+
+    Addresses are settled on narrow columns. The few different addresses then pick
+    their texts out of the lake by an inner join, with the folder values among its
+    keys, and only those texts travel on to the requests.
     """
     exact_key = [*TASK_KEY, "execution_date", "attempt"]
-    # Addresses are settled on narrow columns; the text is joined once, by address.
     index = logs.select(*exact_key, "uri")
-    newest = latest_attempt(index, TASK_KEY, LOG_ORDER).select(
-        *TASK_KEY, F.col("uri").alias("_newest")
-    )
-    return (
-        requests.join(index.withColumnRenamed("uri", "_exact"), exact_key, "left")
+    newest = index.groupBy(*TASK_KEY).agg(F.max(F.struct(*LOG_ORDER)).alias("_newest"))
+    address = F.struct(*LOG_ORDER)
+    settled = (
+        requests.join(index.select(*exact_key, address.alias("_exact")), exact_key, "left")
         .join(newest, TASK_KEY, "left")
-        .withColumn("uri", F.coalesce("_exact", "_newest"))
+        .withColumn("_at", F.coalesce("_exact", "_newest"))
         .drop("_exact", "_newest")
-        .join(logs.select("uri", "log_text"), "uri", "left")
+    )
+    wanted = settled.where("_at IS NOT NULL").select(
+        *TASK_KEY, F.col("_at.execution_date").alias("execution_date"), F.col("_at.uri").alias("uri")
+    ).distinct()
+    texts = logs.select(*TASK_KEY, "execution_date", "uri", "log_text").join(
+        wanted, [*TASK_KEY, "execution_date", "uri"]
+    ).select("uri", "log_text")
+    return (
+        settled.withColumn("uri", F.col("_at.uri")).drop("_at")
+        .join(texts, "uri", "left")
         .withColumn("log_found", F.col("log_text").isNotNull())
     )
 
