@@ -138,18 +138,21 @@ def neighbour(
 
 
 def number_rows(
-    rows: DataFrame, keys: list[str], ts: str, tie: str, bucket_seconds: int = HOUR
+    rows: DataFrame, keys: list[str], ts: str, tie: str, bucket_seconds: int = HOUR, weight: str | None = None
 ) -> DataFrame:
-    """Add ``_n``: the row number per key in (ts, tie) order, counted from 0."""
+    """Add ``_n``: the row number per key in (ts, tie) order, counted from 0, or with
+    ``weight`` the sum of that column over the rows before."""
+    each = F.col(weight) if weight else F.lit(1)
     rows = rows.select("*", _group(keys)).withColumn("_t", epoch_us(ts)).withColumn(
         "_bucket", time_bucket(F.col("_t"), bucket_seconds)
     )
     inside = Window.partitionBy("_k", "_bucket").orderBy("_t", tie)
-    local = rows.withColumn("_local", F.row_number().over(inside) - 1)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumn("_local", F.coalesce(F.sum(each).over(earlier), F.lit(0)))
     before = Window.partitionBy("_k").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("_k", "_bucket")
-        .agg(F.count("*").alias("_size"))
+        .agg(F.sum(each).alias("_size"))
         .select(
             "_k", "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
         )
@@ -192,6 +195,42 @@ def preceding(
     )
 
 
+def preceding_where(
+    rows: DataFrame,
+    condition: Column,
+    keys: list[str],
+    ts: str,
+    tie: str,
+    n: int,
+    aggregates: dict[str, Column],
+    chunk: int = 50_000,
+    bucket_seconds: int = HOUR,
+) -> DataFrame:
+    """Aggregates over the last ``n`` rows before each row for which ``condition`` holds.
+
+    Rows learn how many such rows came before them. Those that hold carry the
+    aggregates up to and with themselves under the next number, and every row looks up
+    its own number; rows before the first one get nulls.
+    """
+    holds = F.coalesce(condition, F.lit(False))
+    numbered = number_rows(
+        rows.withColumn("_holds", holds.cast("int")), keys, ts, tie, bucket_seconds, weight="_holds"
+    )
+    held = numbered.where("_holds = 1")
+    own = F.floor(F.col("_n") / chunk)
+    in_tail = F.col("_n") % chunk >= chunk - n
+    placed = held.withColumn(
+        "_chunk", F.explode(F.when(in_tail, F.array(own, own + 1)).otherwise(F.array(own)))
+    )
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("_n").rowsBetween(1 - n, 0)
+    summed = (
+        placed.select(_group(keys), "_n", "_chunk", *[agg.over(frame).alias(name) for name, agg in aggregates.items()])
+        .where(F.col("_chunk") == own)
+        .select("_k", (F.col("_n") + 1).alias("_n"), *aggregates)
+    )
+    return numbered.select("*", _group(keys)).join(summed, ["_k", "_n"], "left").drop("_k", "_n", "_holds")
+
+
 def running_peak(
     steps: DataFrame, keys: list[str], ts: str, delta: str, bucket_seconds: int = HOUR
 ) -> DataFrame:

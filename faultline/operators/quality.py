@@ -43,11 +43,13 @@ def column_tests(rows: DataFrame, unique: list[str] = (), not_null: list[str] =
 def success_baseline(
     runs: DataFrame, keys: list[str], ts: str, tie: str, value: str, n: int = 5, **sizing: int
 ) -> DataFrame:
-    """Mean, deviation and last value of the ``n`` successful runs before each
-    successful run of the same task, and how far off the run itself is."""
-    good = runs.where("state = 'success'")
-    rows = ordered.preceding(
-        good, keys, ts, tie, n,
+    """Mean, deviation and last value of the ``n`` successful runs before each run of
+    the same task, and how far off the run itself is.
+
+    Every run is judged, failed ones above all; only successful ones are history.
+    """
+    rows = ordered.preceding_where(
+        runs, F.col("state") == "success", keys, ts, tie, n,
         {
             "base_n": F.count(value),
             "base_mean": F.avg(value),
@@ -55,7 +57,7 @@ def success_baseline(
             "base_last": F.last(value),
         },
         **sizing,
-    )
+    ).withColumn("base_n", F.coalesce("base_n", F.lit(0)))
     return rows.withColumn(
         "z_score", (F.col(value) - F.col("base_mean")) / F.nullif("base_std", F.lit(0.0))
     )
@@ -70,21 +72,26 @@ def volume_contract(
     n: int = 5,
     k: float = 2.0,
     tolerance: float | None = None,
+    least: int = 3,
+    accepted: str | None = None,
     **sizing: int,
 ) -> DataFrame:
-    """Judge each delivery against the ``n`` before it.
+    """Judge each delivery against the last ``n`` accepted ones before it.
 
     Empty deliveries are ``ZERO_ROWS``; others are ``OUT_OF_RANGE`` when they miss
     the mean by more than ``tolerance`` rows, or without one by more than ``k``
-    deviations.
+    deviations. With fewer than ``least`` accepted deliveries before it, a delivery is
+    only judged for being empty. ``accepted`` is a SQL condition on what the consumer
+    took in; without one every delivery with rows counts.
     """
-    rows = ordered.preceding(
-        deliveries, keys, ts, tie, n,
-        {"base_mean": F.avg(rows_column), "base_std": F.stddev_samp(rows_column)},
+    taken = F.expr(accepted) if accepted else F.col(rows_column) > 0
+    rows = ordered.preceding_where(
+        deliveries, taken, keys, ts, tie, n,
+        {"base_n": F.count(rows_column), "base_mean": F.avg(rows_column), "base_std": F.stddev_samp(rows_column)},
         **sizing,
     )
     allowed = F.lit(tolerance) if tolerance is not None else F.col("base_std") * k
-    off = F.abs(F.col(rows_column) - F.col("base_mean")) > allowed
+    off = (F.col("base_n") >= least) & (F.abs(F.col(rows_column) - F.col("base_mean")) > allowed)
     return rows.withColumn(
         "verdict",
         F.when(F.col(rows_column) == 0, "ZERO_ROWS").when(off, "OUT_OF_RANGE").otherwise("OK"),

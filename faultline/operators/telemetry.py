@@ -79,11 +79,11 @@ def metric_pick(metrics: DataFrame, name: str) -> DataFrame:
             F.struct((~F.contains("metric", F.lit(name))).alias("miss"), F.col("metric"))
         ).alias("best")
     )
-    # One entry per cluster, so the choice fits in a constant and no sample moves.
-    choice = per_cluster.agg(
-        F.map_from_entries(F.collect_list(F.struct("cluster", "best.metric")))
-    ).scalar()
-    return metrics.where(F.col("metric") == F.element_at(choice, F.col("cluster")))
+    # One row per cluster, null among them, joins by equality with its samples.
+    choice = per_cluster.select(F.col("cluster").alias("_of"), F.col("best.metric").alias("_metric"))
+    return metrics.join(
+        choice, F.col("cluster").eqNullSafe(F.col("_of")) & (F.col("metric") == F.col("_metric")), "left_semi"
+    )
 
 
 def metric_at_failure(
@@ -129,17 +129,32 @@ def upstream_cause(
     ).where("upstream_state = 'failed'")
 
 
-def missing_partitions(present: DataFrame, keys: list[str], at: str, step: str = "1 hour") -> DataFrame:
-    """Partitions between the first and last of each key that were never written,
-    with their distance to the last one in seconds."""
-    have = present.groupBy(*keys, F.date_trunc("hour", at).alias("part")).agg(F.lit(1).alias("_one"))
-    span = have.groupBy(*keys).agg(F.min("part").alias("_first"), F.max("part").alias("_last"))
-    expected = span.select(
-        *keys, "_last", F.explode(F.expr(f"sequence(_first, _last, interval {step})")).alias("part")
-    )
-    return expected.join(have, [*keys, "part"], "left_anti").select(
-        *keys, "part", (F.unix_seconds("_last") - F.unix_seconds("part")).alias("lag_seconds")
+def partition_calendar(spans: DataFrame, keys: list[str], first: str, until: str, step: str = "1 hour") -> DataFrame:
+    """(keys, ``part``): the partitions due from ``first`` to ``until``, every ``step``.
+
+    Partitions count from ``first``, so a daily calendar that starts at 06:00 expects 06:00.
+    """
+    due = F.explode(F.expr(f"sequence({first}, {until}, interval {step})"))
+    return spans.where(f"{first} <= {until}").select(*keys, due.alias("part"))
+
+
+def missing_partitions(expected: DataFrame, present: DataFrame, keys: list[str], at: str = "part") -> DataFrame:
+    """Expected partitions (keys, ``part``) that were never written, and by how many
+    seconds each lies after the last one written before it (null if there is none).
+
+    A row of ``present`` fills the latest partition due at or before its time ``at``,
+    so partitions need no fixed length, and the one a sensor waits for now is reported
+    even though nothing was written after it.
+    """
+    due = expected.select(*keys, "part").distinct()
+    filled = (
+        ordered.asof_join(present.select(*keys, F.col(at).alias("_at")), due, keys, "_at", "part", ["part"])
+        .where("part IS NOT NULL").select(*keys, "part").distinct()
     )
+    missing = due.join(filled, [*keys, "part"], "left_anti")
+    written = filled.select(*keys, F.col("part").alias("_written"))
+    found = ordered.asof_join(missing, written, keys, "part", "_written", ["_written"])
+    return found.select(*keys, "part", (F.unix_seconds("part") - F.unix_seconds("_written")).alias("lag_seconds"))
 
 
 WAIT_TEXT = r"Process (\d+) waits for \w+; blocked by process (\d+)"

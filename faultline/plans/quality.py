@@ -12,7 +12,7 @@ from faultline.plans.registry import query
 TASK = ["cluster", "dag_id", "task_id"]
 
 derived.DERIVED["deliveries"] = """
-SELECT event_id, dag_id, ts, CASE WHEN event_id % 37 = 0 THEN 0 ELSE cast(floor(value * 100) AS bigint) END AS rows
+SELECT event_id, dag_id, ts, CASE WHEN event_id % 37 IN (0, 1, 2, 3) THEN 0 ELSE cast(floor(value * 100) AS bigint) END AS rows
 FROM {runs_base}
 """
 
@@ -51,27 +51,38 @@ def _(t):
     return ops.column_tests(rows, ["o_orderkey", "o_custkey"], ["o_orderkey", "late_status"])
 
 
+def _history(relation: str, keys: str, taken: str, n: int, value: str) -> str:
+    """SQL: every row with the last n rows before it that were taken, found by their ordinals."""
+    names = keys.split(", ")
+    return f"""WITH r AS (SELECT *, count(*) FILTER (WHERE {taken}) OVER (PARTITION BY {keys} ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {{{relation}}}),
+           h AS (SELECT {', '.join(f'{k} AS h_{k}' for k in names)}, before + 1 AS ord, {value} AS h_value FROM r WHERE {taken}),
+           b AS (SELECT event_id, count(h_value) AS n, avg(h_value) AS m, stddev_samp(h_value) AS s, arg_max(h_value, ord) AS l
+             FROM r LEFT JOIN h ON {' AND '.join(f'{k} = h_{k}' for k in names)} AND ord BETWEEN before - {n - 1} AND before
+             GROUP BY event_id)
+    """
+
+
 @query(
     "success_baseline",
-    """SELECT run_id, base_n, round(m, 6) AS base_mean, round(s, 6) AS base_std, base_last, round((value - m) / nullif(s, 0), 4) + 0.0 AS z_score
-       FROM (SELECT run_id, value, count(*) OVER w AS base_n, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s,
-           last_value(value) OVER w AS base_last FROM {task_runs} WHERE state = 'success'
-         WINDOW w AS (PARTITION BY cluster, dag_id, task_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) b""",
+    _history("task_runs", "cluster, dag_id, task_id", "state = 'success'", 5, "value")
+    + """SELECT run_id, state, n AS base_n, round(m, 6) AS base_mean, round(s, 6) AS base_std, l AS base_last,
+           round((value - m) / nullif(s, 0), 4) + 0.0 AS z_score FROM r JOIN b USING (event_id)""",
 )
 def _(t):
     runs = t.task_runs.select(*TASK, "ts", "event_id", "run_id", "state", "value")
     rows = ops.success_baseline(runs, TASK, "ts", "event_id", "value")
     return rows.select(
-        "run_id", "base_n", F.round("base_mean", 6).alias("base_mean"), F.round("base_std", 6).alias("base_std"),
+        "run_id", "state", "base_n", F.round("base_mean", 6).alias("base_mean"), F.round("base_std", 6).alias("base_std"),
         "base_last", (F.round("z_score", 4) + 0.0).alias("z_score"),
     )
 
 
 @query(
     "volume_anomalies",
-    """SELECT event_id, rows, CASE WHEN rows = 0 THEN 'ZERO_ROWS' WHEN abs(rows - m) > 2 * s THEN 'OUT_OF_RANGE' ELSE 'OK' END AS verdict
-       FROM (SELECT *, avg(rows) OVER w AS m, stddev_samp(rows) OVER w AS s FROM {deliveries}
-         WINDOW w AS (PARTITION BY dag_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) d""",
+    _history("deliveries", "dag_id", "rows > 0", 5, "rows")
+    + """SELECT event_id, rows, CASE WHEN rows = 0 THEN 'ZERO_ROWS' WHEN n >= 3 AND abs(rows - m) > 2 * s THEN 'OUT_OF_RANGE' ELSE 'OK' END AS verdict
+         FROM r JOIN b USING (event_id)""",
 )
 def _(t):
     return ops.volume_contract(t.deliveries, ["dag_id"], "ts", "event_id").select("event_id", "rows", "verdict")
@@ -79,12 +90,14 @@ def _(t):
 
 @query(
     "volume_tolerance",
-    """SELECT event_id, CASE WHEN rows = 0 THEN 'ZERO_ROWS' WHEN abs(rows - m) > 15000 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS verdict
-       FROM (SELECT *, avg(rows) OVER (PARTITION BY dag_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS m
-         FROM {deliveries}) d""",
+    _history("deliveries", "dag_id", "rows BETWEEN 1 AND 25000", 3, "rows")
+    + """SELECT event_id, CASE WHEN rows = 0 THEN 'ZERO_ROWS' WHEN n >= 1 AND abs(rows - m) > 15000 THEN 'OUT_OF_RANGE' ELSE 'OK' END AS verdict
+         FROM r JOIN b USING (event_id)""",
 )
 def _(t):
-    rows = ops.volume_contract(t.deliveries, ["dag_id"], "ts", "event_id", n=3, tolerance=15000.0)
+    rows = ops.volume_contract(
+        t.deliveries, ["dag_id"], "ts", "event_id", n=3, tolerance=15000.0, least=1, accepted="rows BETWEEN 1 AND 25000"
+    )
     return rows.select("event_id", "verdict")
 
 

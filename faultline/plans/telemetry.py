@@ -115,13 +115,22 @@ def _(t):
     )
 
 
+# One cluster without the metric asked for, and one without a name.
+derived.DERIVED["some_metrics"] = """
+SELECT nullif(cluster, 'apac-data-1') AS cluster, metric, value FROM {metrics}
+WHERE cluster <> 'us-prod-1' OR metric <> 'pg_stat_database_deadlocks'
+"""
+
+
 @query(
     "metric_pick",
-    """SELECT cluster, metric, count(*) AS n, cast(sum(cast(value AS decimal(18,2))) AS double) AS total
-       FROM {metrics} WHERE metric = 'container_memory_working_set_bytes' GROUP BY ALL""",
+    """WITH named AS (SELECT DISTINCT cluster, metric, contains(metric, 'stat_database') AS hit FROM {some_metrics}),
+         picked AS (SELECT cluster, coalesce(min(metric) FILTER (WHERE hit), min(metric)) AS metric FROM named GROUP BY cluster)
+       SELECT m.cluster, m.metric, count(*) AS n, cast(sum(cast(value AS decimal(18,2))) AS double) AS total
+       FROM {some_metrics} m JOIN picked p ON m.cluster IS NOT DISTINCT FROM p.cluster AND m.metric = p.metric GROUP BY ALL""",
 )
 def _(t):
-    rows = ops.metric_pick(t.metrics, "container_memory_working_set")
+    rows = ops.metric_pick(t.some_metrics, "stat_database")
     return rows.groupBy("cluster", "metric").agg(
         F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total")
     )
@@ -158,16 +167,25 @@ def _(t):
 @query(
     "missing_partitions",
     """WITH have AS (SELECT DISTINCT cluster, dag_id, date_trunc('hour', ts) AS part FROM {task_runs} WHERE state = 'success'),
-         span AS (SELECT cluster, dag_id, min(part) AS first, max(part) AS last FROM have GROUP BY ALL),
-         want AS (SELECT cluster, dag_id, last, unnest(generate_series(first, last, INTERVAL 1 HOUR)) AS part FROM span)
-       SELECT cluster, dag_id, strftime(part, '%Y-%m-%d %H:%M:%S.%f') AS part,
-         cast(epoch(last) - epoch(part) AS bigint) AS lag_seconds
-       FROM want ANTI JOIN have USING (cluster, dag_id, part)""",
+         span AS (SELECT cluster, dag_id, min(date_trunc('hour', ts)) AS first, max(date_trunc('hour', ts)) + INTERVAL 3 HOUR AS until
+           FROM {task_runs} GROUP BY ALL),
+         want AS (SELECT cluster, dag_id, unnest(generate_series(first, until, INTERVAL 1 HOUR)) AS part FROM span)
+       SELECT w.cluster, w.dag_id, strftime(w.part, '%Y-%m-%d %H:%M:%S.%f') AS part,
+         coalesce(cast(epoch(w.part) - epoch(max(b.part)) AS bigint), -1) AS lag_seconds
+       FROM (SELECT * FROM want ANTI JOIN have USING (cluster, dag_id, part)) w
+       LEFT JOIN have b ON w.cluster = b.cluster AND w.dag_id = b.dag_id AND b.part < w.part GROUP BY w.cluster, w.dag_id, w.part""",
 )
 def _(t):
-    present = t.task_runs.where("state = 'success'").select("cluster", "dag_id", "ts")
-    rows = ops.missing_partitions(present, ["cluster", "dag_id"], "ts")
-    return rows.withColumn("part", F.date_format("part", FORMAT))
+    keys = ["cluster", "dag_id"]
+    hour = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    # The calendar goes three hours past the last run of any kind: a sensor waits for those.
+    spans = t.task_runs.groupBy(*keys).agg(F.min(hour).alias("first"), (F.max(hour) + F.expr("interval 3 hours")).alias("until"))
+    expected = ops.partition_calendar(spans, keys, "first", "until")
+    present = t.task_runs.where("state = 'success'").select(*keys, F.col("ts").cast("timestamp").alias("ts"))
+    rows = ops.missing_partitions(expected, present, keys, "ts")
+    return rows.select(
+        *keys, F.date_format("part", FORMAT).alias("part"), F.coalesce("lag_seconds", F.lit(-1)).alias("lag_seconds")
+    )
 
 
 @query(
