@@ -1,16 +1,14 @@
 """Code patches over source files, one row per file.
 
-Files have ``repo``, ``file_path`` and ``content``. Edits are column expressions;
-only the unified diff, for changed files, needs Python.
+Files have ``repo``, ``file_path`` and ``content``. Edits and diffs are column
+expressions.
 """
 
 from __future__ import annotations
 
-import difflib
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from faultline.functions import text as X
 
@@ -23,8 +21,15 @@ MEMORY_UNITS = ("Mi", "Gi")
 
 GUARD_NOTE = " -- divisor guarded against zero"
 MEMORY_NOTE = "  # memory limit raised for good"
-# Branch names and titles of the three frameworks.
-FRAMEWORKS = ("dbt", "custom-sql", "airflow-dag")
+# What the catalog calls a framework, by the patch that fits it (fixed values).
+FRAMEWORKS = {
+    "rename": ("dbt-core", "dbt"),
+    "guard": ("custom-sql",),
+    "memory": ("airflow-native", "airflow-dag"),
+}
+# Unchanged lines shown around a change.
+CONTEXT = 3
+NO_LINE_END = "\n\\ No newline at end of file\n"
 
 
 def _edit_lines(content: Column, applies, edit, note: str) -> Column:
@@ -50,7 +55,8 @@ def patch_column_rename(
     new = F.lit(new) if isinstance(new, str) else new
     if whole_words:
         pattern = F.concat(F.lit(r"\b\Q"), old, F.lit(r"\E\b"))
-        patched = F.regexp_replace(F.col("content"), pattern, new)
+        literal = F.replace(F.replace(new, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        patched = F.regexp_replace(F.col("content"), pattern, literal)
     else:
         patched = F.replace(F.col("content"), old, new)
     return files.withColumn("patched", patched)
@@ -111,57 +117,146 @@ def affected_files(owners: DataFrame, files: DataFrame) -> DataFrame:
     return files.join(targets, ["repo", "file_path"])
 
 
-@F.pandas_udf(StringType())
-def _unified_diff(before: pd.Series, after: pd.Series, path: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            "".join(
-                difflib.unified_diff(
-                    old.splitlines(keepends=True),
-                    new.splitlines(keepends=True),
-                    fromfile=f"a/{name}",
-                    tofile=f"b/{name}",
-                    n=3,
-                )
-            )
-            for old, new, name in zip(before, after, path)
-        ]
+def unified_diff(old: str, new: str, places: str, path: str) -> Column:
+    """The unified diff of two arrays of lines with their ends and of equal length.
+
+    ``places`` is the array of positions (from 0) at which they differ. All four are
+    names of columns.
+    """
+    gap = 2 * CONTEXT + 1
+    last = F.size(old) - 1
+    begins = F.filter(places, lambda p, i: (i == 0) | (p - F.get(places, i - 1) > gap))
+    ends = F.filter(places, lambda p, i: (i == F.size(places) - 1) | (F.get(places, i + 1) - p > gap))
+
+    def marked(sign: str, line: Column) -> Column:
+        whole = F.concat(F.lit(sign), line)
+        return F.when(F.endswith(line, F.lit("\n")), whole).otherwise(F.concat(whole, F.lit(NO_LINE_END)))
+
+    def step(state: Column, i: Column) -> Column:
+        before, after = F.get(old, i), F.get(new, i)
+        same = before == after
+        # Lines that change together stand together, the old ones first.
+        return F.struct(
+            F.when(same, F.concat(state["out"], state["minus"], state["plus"], marked(" ", before)))
+            .otherwise(state["out"]).alias("out"),
+            F.when(same, "").otherwise(F.concat(state["minus"], marked("-", before))).alias("minus"),
+            F.when(same, "").otherwise(F.concat(state["plus"], marked("+", after))).alias("plus"),
+        )
+
+    def hunk(begin: Column, end: Column) -> Column:
+        first, to = F.greatest(begin - CONTEXT, F.lit(0)), F.least(end + CONTEXT, last)
+        size = to - first + 1
+        place = F.concat((first + 1).cast("string"), F.when(size == 1, "").otherwise(F.concat(F.lit(","), size.cast("string"))))
+        empty = F.struct(F.lit("").alias("out"), F.lit("").alias("minus"), F.lit("").alias("plus"))
+        body = F.aggregate(
+            F.sequence(first, to), empty, step, lambda s: F.concat(s["out"], s["minus"], s["plus"])
+        )
+        return F.concat(F.lit("@@ -"), place, F.lit(" +"), place, F.lit(" @@\n"), body)
+
+    return F.concat(
+        F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n"), F.array_join(F.zip_with(begins, ends, hunk), "")
     )
 
 
 def patch_diffs(patched: DataFrame) -> DataFrame:
-    """Unified diff of each changed file; unchanged files drop out before Python."""
-    return patched.where("content <> patched").withColumn(
-        "unified_diff", _unified_diff("content", "patched", "file_path")
+    """Unified diff of each changed file; unchanged files drop out first.
+
+    Every edit here keeps the number of lines, so lines pair by position.
+    """
+    lines = patched.where("content <> patched").select(
+        "*",
+        F.inline(F.array(F.struct(X.lines_with_ends(F.col("content")).alias("_old"), X.lines_with_ends(F.col("patched")).alias("_new")))),
+    )
+    differ = F.filter(F.sequence(F.lit(0), F.size("_old") - 1), lambda i: F.get("_old", i) != F.get("_new", i))
+    placed = lines.select("*", F.inline(F.array(F.struct(differ.alias("_places")))))
+    return placed.withColumn("unified_diff", unified_diff("_old", "_new", "_places", "file_path")).drop("_old", "_new", "_places")
+
+
+def patch_kind(framework: Column | str, category: Column | str | None = None) -> Column:
+    """Which patch fits: by framework, or without one by the failure category."""
+    framework = F.col(framework) if isinstance(framework, str) else framework
+    known = reduce(
+        lambda case, kind: case.when(framework.isin(*FRAMEWORKS[kind]), kind),
+        list(FRAMEWORKS)[1:],
+        F.when(framework.isin(*FRAMEWORKS["rename"]), "rename"),
+    )
+    if category is None:
+        return known
+    by_category = (
+        F.when(F.col(category) == "STRUCTURAL_SCHEMA_DRIFT", "rename")
+        .when(F.col(category) == "STRUCTURAL_DIVISION_BY_ZERO", "guard")
+        .when(F.col(category) == "TRANSIENT_OOM", "memory")
     )
+    return F.when(framework.isNull(), by_category).otherwise(known)
 
 
 def patch_plan(requests: DataFrame) -> DataFrame:
-    """Branch, title and status for each requested patch.
+    """Kind, branch, title, body and status for each requested patch.
 
     ``requests`` has ``framework``, ``file_path``, ``old_column``, ``new_column``,
-    ``task_id`` and ``new_memory``; a framework without a patcher fails.
+    ``task_id`` and ``new_memory``, and may have ``failure_category``, which decides
+    where the owner has no framework. A framework without a patcher fails.
     """
     name = F.substring_index("file_path", "/", -1)
-    dbt, sql, dag = (F.col("framework") == f for f in FRAMEWORKS)
+    kind = patch_kind("framework", "failure_category" if "failure_category" in requests.columns else None)
+    requests = requests.withColumn("patch_kind", kind)
+    rename, guard, memory = (F.col("patch_kind") == k for k in FRAMEWORKS)
+    reason = (
+        F.when(rename, F.format_string("The upstream model declares `%s`; `%s` is gone. Every whole-word use of the old name in `%s` is replaced.", "new_column", "old_column", "file_path"))
+        .when(guard, F.format_string("Divisors in `%s` can be zero. Each is wrapped in NULLIF, so such rows become null instead of failing the job.", "file_path"))
+        .when(memory, F.format_string("Task `%s` ran out of memory. Its limit in `%s` becomes %s.", "task_id", "file_path", "new_memory"))
+    )
     return requests.withColumns(
         {
-            "status": F.when(dbt | sql | dag, "SUCCESS").otherwise("FAILED"),
-            "branch_name": F.when(dbt, F.concat(F.lit("fix/dbt-rename-"), "new_column"))
-            .when(sql, F.lit("fix/sql-nullif-guard"))
-            .when(dag, F.concat(F.lit("infra/raise-memory-"), "task_id")),
+            "status": F.when(F.col("patch_kind").isNotNull(), "SUCCESS").otherwise("FAILED"),
+            "branch_name": F.when(rename, F.concat(F.lit("fix/dbt-rename-"), "new_column"))
+            .when(guard, F.lit("fix/sql-nullif-guard"))
+            .when(memory, F.concat(F.lit("infra/raise-memory-"), "task_id")),
             "title": F.when(
-                dbt, F.format_string("fix(dbt): use %s for %s in %s", "new_column", "old_column", name)
+                rename, F.format_string("fix(dbt): use %s for %s in %s", "new_column", "old_column", name)
             )
-            .when(sql, F.format_string("fix(sql): guard divisors in %s", name))
-            .when(dag, F.format_string("infra(dag): %s memory for task %s", "new_memory", "task_id")),
+            .when(guard, F.format_string("fix(sql): guard divisors in %s", name))
+            .when(memory, F.format_string("infra(dag): %s memory for task %s", "new_memory", "task_id")),
+            "body": F.concat(reason, F.lit("\n\nReview the diff, merge it and clear the task.")),
             "error": F.when(
-                ~(dbt | sql | dag), F.format_string("no patcher for framework %s", "framework")
+                F.col("patch_kind").isNull(),
+                F.concat(F.lit("no patcher for framework "), F.coalesce("framework", F.lit("(none)"))),
             ),
         }
     )
 
 
+def incident_patches(requests: DataFrame, files: DataFrame, new_memory: str = "4096Mi") -> DataFrame:
+    """The patch of every incident whose file is known: plan, ``patched`` file, ``code_diff`` and ``pr_url``.
+
+    ``requests`` has what ``patch_plan`` needs, with ``repo_name``, ``repo_url`` and
+    ``target_file_path`` of the owner. Each file is patched once per kind and pair of
+    names and joined back. Incidents without a file, or whose file needs no change,
+    keep their plan with a null diff.
+    """
+    if "new_memory" not in requests.columns:
+        requests = requests.withColumn("new_memory", F.lit(new_memory))
+    plan = patch_plan(requests.withColumn("file_path", F.col("target_file_path")))
+    job = ["repo_name", "file_path", "patch_kind", "old_column", "new_column"]
+    jobs = plan.where("patch_kind IS NOT NULL").select(*job).distinct()
+    found = jobs.join(files.withColumnRenamed("repo", "repo_name"), ["repo_name", "file_path"])
+    edits = {
+        "rename": lambda rows: patch_column_rename(rows, F.col("old_column"), F.col("new_column")),
+        "guard": patch_zero_division,
+        "memory": lambda rows: patch_memory_limit(rows, new_memory),
+    }
+    patched = reduce(
+        DataFrame.unionByName, [edit(found.where(F.col("patch_kind") == kind)) for kind, edit in edits.items()]
+    )
+    diffs = patch_diffs(patched).select(*[F.col(c).alias(f"_{c}") for c in job], F.col("unified_diff").alias("code_diff"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in job])
+    link = F.concat(F.regexp_replace("repo_url", r"(?:\.git)?/*$", ""), F.lit("/compare/"), "branch_name")
+    return (
+        plan.join(diffs, same, "left").drop(*[f"_{c}" for c in job])
+        .withColumn("pr_url", F.when(F.col("code_diff").isNotNull(), link))
+    )
+
+
 DIVISION = r"(\w+)\s*/\s*([A-Za-z_][\w.]*)(\s*\()?"
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.operators import lineage, ownership, patches
+from faultline.operators import lineage, ownership, patches, triage
 from faultline.plans import alerts, derived
 from faultline.plans.registry import query
+from faultline.plans.triage import routed
 
 derived.DERIVED["repo_files"] = """
 SELECT doc_id, source AS repo, 'queries/q_' || cast(doc_id AS string) || '.sql' AS file_path,
@@ -73,21 +74,39 @@ def _(t):
     return patches.patch_memory_limit(t.repo_files).select("doc_id", "patched")
 
 
+# The whole diff from numbered lines: changes with up to six lines between them share a hunk, and
+# within a hunk lines that change together list their old forms first.
+DIFF = """
+  WITH {source},
+    l AS (SELECT id, unnest(string_split(substr(content, 1, length(content) - 1), chr(10))) AS o,
+        unnest(string_split(substr(patched, 1, length(patched) - 1), chr(10))) AS n,
+        unnest(range(len(string_split(substr(content, 1, length(content) - 1), chr(10))))) AS i FROM src WHERE content <> patched),
+    c AS (SELECT id, i, i - lag(i) OVER (PARTITION BY id ORDER BY i) > 7 AS far FROM l WHERE o <> n),
+    h AS (SELECT id, g, greatest(min(i) - 3, 0) AS lo, max(i) + 3 AS hi FROM (
+        SELECT id, i, sum(CASE WHEN far THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) AS g FROM c) x GROUP BY id, g),
+    b AS (SELECT l.id, h.g, l.i, l.o, l.n, l.o <> l.n AS d, l.i - row_number() OVER (PARTITION BY l.id, h.g, l.o <> l.n ORDER BY l.i) AS island
+        FROM l JOIN h ON l.id = h.id AND l.i BETWEEN h.lo AND h.hi),
+    s AS (SELECT id, g, CASE WHEN d THEN min(i) OVER (PARTITION BY id, g, d, island) ELSE i END AS place, sign, i, CASE WHEN d THEN sign ELSE ' ' END
+          || CASE WHEN sign = '+' THEN n ELSE o END || chr(10) AS line
+        FROM b, (SELECT unnest(['-', '+']) AS sign) z WHERE d OR sign = '-'),
+    t AS (SELECT id, g, '@@ -' || span || ' +' || span || ' @@' || chr(10) || body AS hunk FROM (
+        SELECT s.id, s.g, (min(s.i) + 1) || CASE WHEN max(s.i) = min(s.i) THEN '' ELSE ',' || (max(s.i) - min(s.i) + 1) END AS span,
+          string_agg(line, '' ORDER BY place, CASE sign WHEN '-' THEN 0 ELSE 1 END, s.i) AS body FROM s GROUP BY s.id, s.g) y)
+"""
+
+
 @query(
     "patch_diffs",
-    """SELECT doc_id, '--- a/queries/q_' || cast(doc_id AS string) || '.sql' AS first_line,
-         (length(patched) - length(replace(patched, '-- divisor guarded', ''))) // 18 AS n_marked
-       FROM {guarded_named} WHERE content <> patched""",
+    DIFF.replace(
+        "{source}",
+        "src AS (SELECT doc_id AS id, content, patched, 'queries/q_' || cast(doc_id AS string) || '.sql' AS path FROM {guarded_named})",
+    )
+    + """SELECT id AS doc_id, '--- a/' || any_value(path) || chr(10) || '+++ b/' || any_value(path) || chr(10) || string_agg(hunk, '' ORDER BY g) AS unified_diff
+      FROM t JOIN (SELECT id, path FROM src) p USING (id) GROUP BY id""",
 )
 def _(t):
     diffs = patches.patch_diffs(patches.patch_zero_division(t.repo_files))
-    return diffs.select(
-        "doc_id",
-        F.substring_index("unified_diff", "\n", 1).alias("first_line"),
-        F.size(F.regexp_extract_all("unified_diff", F.lit(r"(?m)^\+.*-- divisor guarded"), F.lit(0)))
-        .cast("long")
-        .alias("n_marked"),
-    )
+    return diffs.select("doc_id", "unified_diff")
 
 
 @query(
@@ -105,7 +124,7 @@ def _(t):
 
 
 derived.DERIVED["patch_requests"] = """
-SELECT run_id, task_id, CASE event_id % 4 WHEN 0 THEN 'dbt' WHEN 1 THEN 'custom-sql' WHEN 2 THEN 'airflow-dag' ELSE 'terraform' END AS framework,
+SELECT run_id, task_id, CASE event_id % 5 WHEN 0 THEN 'dbt-core' WHEN 1 THEN 'custom-sql' WHEN 2 THEN 'airflow-native' WHEN 3 THEN 'terraform' END AS framework,
   'models/marts/m_' || cast(user_id AS string) || '.sql' AS file_path, 'customer_account_id' AS old_column,
   'account_' || cast(user_id % 3 AS string) AS new_column, '4096Mi' AS new_memory
 FROM {task_runs} WHERE event_type = 'error'
@@ -114,19 +133,73 @@ FROM {task_runs} WHERE event_type = 'error'
 
 @query(
     "patch_plan",
-    """SELECT run_id, framework, CASE WHEN framework = 'terraform' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-         CASE framework WHEN 'dbt' THEN 'fix/dbt-rename-' || new_column WHEN 'custom-sql' THEN 'fix/sql-nullif-guard'
-           WHEN 'airflow-dag' THEN 'infra/raise-memory-' || task_id END AS branch_name,
-         CASE framework WHEN 'dbt' THEN 'fix(dbt): use ' || new_column || ' for customer_account_id in ' || split_part(file_path, '/', -1)
+    """SELECT run_id, framework, CASE WHEN framework IN ('dbt-core', 'custom-sql', 'airflow-native') THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+         CASE framework WHEN 'dbt-core' THEN 'fix/dbt-rename-' || new_column WHEN 'custom-sql' THEN 'fix/sql-nullif-guard'
+           WHEN 'airflow-native' THEN 'infra/raise-memory-' || task_id END AS branch_name,
+         CASE framework WHEN 'dbt-core' THEN 'fix(dbt): use ' || new_column || ' for customer_account_id in ' || split_part(file_path, '/', -1)
            WHEN 'custom-sql' THEN 'fix(sql): guard divisors in ' || split_part(file_path, '/', -1)
-           WHEN 'airflow-dag' THEN 'infra(dag): 4096Mi memory for task ' || task_id END AS title,
-         CASE WHEN framework = 'terraform' THEN 'no patcher for framework terraform' END AS error
+           WHEN 'airflow-native' THEN 'infra(dag): 4096Mi memory for task ' || task_id END AS title,
+         CASE WHEN framework = 'terraform' THEN 'no patcher for framework terraform' WHEN framework IS NULL THEN 'no patcher for framework (none)' END AS error
        FROM {patch_requests}""",
 )
 def _(t):
     return patches.patch_plan(t.patch_requests).select("run_id", "framework", "status", "branch_name", "title", "error")
 
 
+# Files of the owners' repositories: the source files of the corpus under the paths that owners point at.
+derived.DERIVED["owned_files"] = """
+SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN 'analytics-dbt' ELSE 'financial-core-sql' END AS repo,
+  'models/m_' || cast(doc_id AS string) || '.sql' AS file_path, content FROM {repo_files}
+"""
+
+derived.DERIVED["drifts"] = """
+SELECT run_id, cluster, dag_id, task_id, attempt, event_id, event_id % 400 AS file_no,
+  CASE event_id % 7 WHEN 0 THEN 'custom-sql' WHEN 1 THEN 'airflow-native' WHEN 2 THEN 'terraform' WHEN 3 THEN 'dbt-core' END AS framework
+FROM {failed_runs}
+"""
+
+
+@query(
+    "incident_patches",
+    DIFF.replace(
+        "{source}",
+        r"""req AS (SELECT d.*, r.failure_category, r.route, CASE WHEN d.event_id % 3 = 0 THEN 'financial-core-sql' ELSE 'analytics-dbt' END AS repo_name,
+              'models/m_' || file_no || '.sql' AS file_path,
+              CASE WHEN framework = 'dbt-core' THEN 'rename' WHEN framework = 'custom-sql' THEN 'guard' WHEN framework = 'airflow-native' THEN 'memory'
+                WHEN framework IS NULL THEN CASE failure_category WHEN 'STRUCTURAL_SCHEMA_DRIFT' THEN 'rename'
+                  WHEN 'STRUCTURAL_DIVISION_BY_ZERO' THEN 'guard' WHEN 'TRANSIENT_OOM' THEN 'memory' END END AS kind
+              FROM {drifts} d JOIN {routed} r ON d.run_id = r.run_id),
+            jobs AS (SELECT DISTINCT repo_name, file_path, kind FROM req WHERE kind IS NOT NULL),
+            src AS (SELECT repo_name || '|' || j.file_path || '|' || kind AS id, j.file_path AS path, f.content,
+                CASE kind WHEN 'rename' THEN regexp_replace(f.content, '\bcustomer_account_id\b', 'net$_id', 'g')
+                  WHEN 'guard' THEN g.patched ELSE m.patched END AS patched
+              FROM jobs j JOIN {owned_files} f ON f.repo = j.repo_name AND f.file_path = j.file_path
+              JOIN {guarded_named} g ON g.doc_id = f.doc_id JOIN {resized} m ON m.doc_id = f.doc_id)""",
+    )
+    + """, diffs AS (SELECT id, '--- a/' || any_value(path) || chr(10) || '+++ b/' || any_value(path) || chr(10) || string_agg(hunk, '' ORDER BY g) AS code_diff
+            FROM t JOIN (SELECT id, path FROM src) p USING (id) GROUP BY id)
+       SELECT run_id, repo_name, CASE WHEN kind IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status, code_diff,
+         CASE WHEN code_diff IS NOT NULL THEN 'https://git.example.com/' || repo_name || '/compare/'
+           || CASE kind WHEN 'rename' THEN 'fix/dbt-rename-net$_id' WHEN 'guard' THEN 'fix/sql-nullif-guard' ELSE 'infra/raise-memory-' || task_id END END AS pr_url,
+         CASE WHEN route = 'approval' THEN 'apr-' || sha256(cluster || '/' || dag_id || '/' || task_id || '/' || run_id || '/' || attempt) END AS approval_id
+       FROM req LEFT JOIN diffs ON id = repo_name || '|' || file_path || '|' || kind""",
+)
+def _(t):
+    repo = F.when(F.col("event_id") % 3 == 0, "financial-core-sql").otherwise("analytics-dbt")
+    decided = routed(t)
+    requests = t.drifts.join(decided.select("run_id", "failure_category"), "run_id").select(
+        "run_id", "task_id", "framework", "failure_category", repo.alias("repo_name"),
+        F.concat(F.lit("https://git.example.com/"), repo, F.lit(".git")).alias("repo_url"),
+        F.concat(F.lit("models/m_"), F.col("file_no").cast("string"), F.lit(".sql")).alias("target_file_path"),
+        F.lit("customer_account_id").alias("old_column"), F.lit("net$_id").alias("new_column"),
+    )
+    plan = patches.incident_patches(requests, t.owned_files.select("repo", "file_path", "content"))
+    asked = triage.approval_requests(decided.join(plan.select("run_id", "code_diff", "pr_url"), "run_id", "left"))
+    return plan.drop("code_diff", "pr_url").join(
+        plan.select("run_id", "code_diff", "pr_url").join(asked.select("run_id", "approval_id"), "run_id", "left"), "run_id"
+    ).select("run_id", "repo_name", "status", "code_diff", "pr_url", "approval_id")
+
+
 @query(
     "division_scan",
     r"""SELECT file_path, line_no, regexp_extract(hit, '(\w+)\s*/\s*([A-Za-z_][\w.]*)', 1) AS numerator,
@@ -165,23 +238,31 @@ def _(t):
 )
 def _(t):
     broken = t.customer.where("c_custkey % 7 = 3").select(F.col("c_custkey").alias("node"))
-    return lineage.blast_radius(lineage.lineage_closure(t.model_edges), broken)
+    return lineage.blast_radius(t.model_edges, broken)
 
 
+# The same model in four spellings: plain, upper case with AS, a direct reference with a
+# remark, and a CTE under its own name after a block of comment.
 derived.DERIVED["model_nodes"] = """
-SELECT 'm_' || cast(c_custkey AS string) AS name,
-  'with up as (select * from {{{{ ref(''m_' || cast(IDIV(c_custkey, 2) AS string) || ''') }}}})' || chr(10) || 'select u.id, u.customer_account_id,'
-  || chr(10) || '  u.balance_' || cast(c_custkey % 3 AS string) || chr(10) || 'from up u' || chr(10) || 'where u.id > 0' AS raw_code,
+SELECT 'm_' || cast(c_custkey AS string) AS name, CASE c_custkey % 4
+  WHEN 0 THEN 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10) || 'select u.id, u.customer_account_id,'
+    || chr(10) || '  u.balance_' || no || chr(10) || 'from up u' || chr(10) || 'where u.id > 0'
+  WHEN 1 THEN 'WITH UP AS (' || chr(10) || '  SELECT * FROM {{{{ ref(''' || up || ''') }}}}' || chr(10) || ')' || chr(10)
+    || 'SELECT U.id, U.customer_account_id, U.balance_' || no || chr(10) || 'FROM up AS U'
+  WHEN 2 THEN 'select u.id, u.customer_account_id, u.balance_' || no || ' -- not u.remark, from old u' || chr(10)
+    || 'from {{{{ ref("' || up || '") }}}} as u'
+  ELSE '/* from {{{{ ref(''m_0'') }}}} up, up.gone */' || chr(10) || 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10)
+    || 'select up.id, up.customer_account_id, up.balance_' || no || ' from up' END AS raw_code,
+  up, no,
   CASE WHEN c_custkey % 4 = 0 THEN 'id,account_id,balance_0,balance_1' WHEN c_custkey % 11 = 1 THEN NULL
     ELSE 'id,customer_account_id,balance_0,balance_1,balance_2' END AS declared
-FROM {customer}
+FROM (SELECT c_custkey, 'm_' || cast(IDIV(c_custkey, 2) AS string) AS up, cast(c_custkey % 3 AS string) AS no FROM {customer}) c
 """
 
 
 @query(
     "contract_breaks",
-    r"""WITH used AS (SELECT DISTINCT name AS node, 'm_' || regexp_extract(raw_code, 'm_(\d+)', 1) AS upstream,
-           unnest(regexp_extract_all(raw_code, '\bu\.(\w+)', 1)) AS col FROM {model_nodes}),
+    r"""WITH used AS (SELECT name AS node, up AS upstream, unnest(['id', 'customer_account_id', 'balance_' || no]) AS col FROM {model_nodes}),
          decl AS (SELECT name AS upstream, string_split(declared, ',') AS cols FROM {model_nodes} WHERE declared IS NOT NULL),
          gone AS (SELECT node, u.upstream, col, cols FROM used u JOIN decl d ON u.upstream = d.upstream WHERE NOT list_contains(cols, col)),
          scored AS (SELECT node, upstream, col, c, levenshtein(c, col) AS d,

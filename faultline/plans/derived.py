@@ -55,25 +55,25 @@ SELECT event_id, user_id, ts, value, event_type, cluster, dag_id, task_id, run_i
        '[' || stamp || '.500+0000] {{operator.py:' || cast(msg_no + 40 AS string) || '}} '
        || CASE WHEN msg_no % 3 = 0 THEN 'CRITICAL' ELSE 'ERROR' END || ' - '
        || CASE msg_no
-          WHEN 0 THEN 'Container terminated with Exit Code 137. Reason: OOMKilled'
-          WHEN 1 THEN 'Pod received SIGTERM (exit code 143). Reason: TerminatedByPreemption.'
-          WHEN 2 THEN 'OSError: [Errno 28] No space left on device. usage 21.4Gi exceeded limit 20Gi'
-          WHEN 3 THEN 'canceling statement due to Statement Timeout (3600000ms exceeded)'
-          WHEN 4 THEN 'Database connection pool exhausted (max_connections=200). 64 worker tasks connected'
-          WHEN 5 THEN 'RequestTimeTooSkewed: system clock drifted by 1024 seconds'
-          WHEN 6 THEN 'psycopg2.errors.DivisionByZero: division by zero'
-          WHEN 7 THEN 'contract violated: ZERO_ROWS_DELIVERED. received 0 rows (baseline: 420,000 +/- 15,000 rows)'
-          WHEN 8 THEN 'DeadlockDetected: (Error 40P01)' || chr(10) || 'Process ' || cast(1000 + user_id % 40 AS string)
+          WHEN 0 THEN 'worker process gone: OOMKilled, exit code 137'
+          WHEN 1 THEN 'worker node reclaimed by its provider, exit code 143 (TerminatedByPreemption)'
+          WHEN 2 THEN 'spill failed, No space left on device; usage 53.5Gi exceeded limit 48Gi'
+          WHEN 3 THEN 'query stopped by Statement Timeout (900000ms exceeded)'
+          WHEN 4 THEN 'Database connection pool exhausted (max_connections=350); 118 worker tasks connected'
+          WHEN 5 THEN 'store refused the signature: RequestTimeTooSkewed, clock drifted by 733 seconds'
+          WHEN 6 THEN 'margin step failed with division by zero'
+          WHEN 7 THEN 'feed check ZERO_ROWS_DELIVERED: received 0 rows, baseline: 91,500 +/- 2,750'
+          WHEN 8 THEN 'transaction rolled back, DeadlockDetected' || chr(10) || 'Process ' || cast(1000 + user_id % 40 AS string)
                || ' waits for ShareLock; blocked by process ' || cast(1000 + event_id % 40 AS string)
-          WHEN 9 THEN 'HTTP error Too Many Requests: Rate Limit exceeded. Retry-After: 30'
-          WHEN 10 THEN 'FAIL unique_orders_pk [42 duplicate keys found in 2.82s]'
-          WHEN 11 THEN 'column "customer_account_id" does not exist in relation "stg_customers"'
-          WHEN 12 THEN 'Compilation Error: syntax error at or near FROM'
-          WHEN 13 THEN 'Sensor has timed out: partition not ready'
-          WHEN 14 THEN 'upstream answered 503 Service Unavailable; Connection reset by peer'
+          WHEN 9 THEN 'partner service said Too Many Requests, Rate Limit reached, Retry-After: 45'
+          WHEN 10 THEN 'key test of invoices: 17 duplicate keys found'
+          WHEN 11 THEN 'column "ledger_code" does not exist in relation "stg_invoices"'
+          WHEN 12 THEN 'model could not be built: syntax error at or near WHERE'
+          WHEN 13 THEN 'Sensor has timed out while the hour was not there'
+          WHEN 14 THEN 'gateway gave 503 Service Unavailable, later Connection reset by peer'
           WHEN 15 THEN 'out of memory after lock wait timeout'
           WHEN 16 THEN 'division by zero while the statement timeout was pending'
-          WHEN 17 THEN 'settled amount 14294 units, then the job stopped'
+          WHEN 17 THEN 'booked 64293 units before the job ended'
           WHEN 18 THEN 'bad column reference' || chr(10) || '  hint: relation was not found'
           ELSE 'worker stopped for an unspecified cause' END || chr(10)
        || 'Traceback (most recent call last):' || chr(10) || '  File "job.py", line 12   ' || chr(10)
