@@ -116,11 +116,11 @@ def _(t):
     "stream_correlate",
     """WITH mark AS (SELECT least((SELECT date_trunc('millisecond', max(ts)) FROM {failed_runs}),
            (SELECT date_trunc('millisecond', max(ts)) FROM {cloud_events})) - INTERVAL 10 MINUTE AS w),
-         e AS (SELECT cluster, time_bucket(INTERVAL 10 MINUTE, ts) AS slot, count(*) AS n_events,
-           count(*) FILTER (WHERE severity = 'CRITICAL') AS n_critical FROM {cloud_events} GROUP BY ALL)
-       SELECT f.run_id AS alert_id, f.cluster, strftime(e.slot, '%Y-%m-%d %H:%M:%S.%f') AS slot_start, n_events, n_critical
-       FROM {failed_runs} f JOIN e ON f.cluster = e.cluster AND time_bucket(INTERVAL 10 MINUTE, f.ts) = e.slot, mark
-       WHERE e.slot + INTERVAL 10 MINUTE <= mark.w""",
+         a AS (SELECT run_id, cluster, date_trunc('minute', ts) - INTERVAL 10 MINUTE AS start, date_trunc('minute', ts) + INTERVAL 11 MINUTE AS stop FROM {failed_runs})
+       SELECT a.run_id AS alert_id, a.cluster, strftime(a.start, '%Y-%m-%d %H:%M:%S.%f') AS slot_start, count(e.insert_id) AS n_events,
+         count(*) FILTER (WHERE e.severity = 'CRITICAL') AS n_critical
+       FROM a LEFT JOIN {cloud_events} e ON a.cluster = e.cluster AND e.ts >= a.start AND e.ts < a.stop, mark
+       WHERE a.stop <= mark.w GROUP BY ALL""",
 )
 def _(t):
     events = t.cloud_events.withColumn("ts", F.col("ts").cast("timestamp"))

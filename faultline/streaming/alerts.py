@@ -6,8 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from faultline.functions.policy import PolicyLimits
@@ -33,7 +32,8 @@ def deduplicate(
 class RetryBudget(StatefulProcessor):
     """Counts the retries granted to a task run and refuses those past the cap.
 
-    A run is forgotten when event time has moved ``ttl_ms`` past its last alert.
+    State is a number and a time, whatever the number of alerts. A run is forgotten
+    when event time has moved ``ttl_ms`` past its last alert.
     """
 
     def __init__(self, cap: int, ttl_ms: int):
@@ -44,26 +44,20 @@ class RetryBudget(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("budget", "used int, expires bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        # Repeats were dropped before, so a run has at most as many rows as tries.
-        alerts = pd.concat(list(rows)).sort_values(["received_at", "alert_id"])
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         used, expires = self.state.get() if self.state.exists() else (0, None)
-        last_ms = int(alerts["received_at"].max().timestamp() * 1000)
+        # Only the order within a batch is open: ids and times of its tries, no frames.
+        tries = sorted((r["received_at"], r["alert_id"]) for r in rows)
+        for n, (_, alert_id) in enumerate(tries, used + 1):
+            yield Row(alert_id=alert_id, retry=n, allowed=n <= self.cap)
+        last_ms = int(tries[-1][0].timestamp() * 1000)
         if expires is not None:
             self.handle.deleteTimer(expires)
         expires = max(expires or 0, last_ms + self.ttl_ms)
         self.handle.registerTimer(expires)
-        self.state.update((used + len(alerts), expires))
-        ordinals = range(used + 1, used + len(alerts) + 1)
-        yield pd.DataFrame(
-            {
-                "alert_id": alerts["alert_id"].to_numpy(),
-                "retry": list(ordinals),
-                "allowed": [n <= self.cap for n in ordinals],
-            }
-        )
+        self.state.update((used + len(tries), expires))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
         return iter(())
 
@@ -80,13 +74,14 @@ def retry_budget(
 ) -> DataFrame:
     """Number the retries of each run and allow the first ``cap``.
 
-    Feed it deduplicated alerts. Needs the RocksDB state store.
+    Repeats of an alert (same id) that arrive within ``delay`` count once. Needs the RocksDB state store.
     """
     return (
         alerts.select(*keys, "alert_id", "received_at")
         .withWatermark("received_at", delay)
+        .dropDuplicatesWithinWatermark(["alert_id"])
         .groupBy(*keys)
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=RetryBudget(cap, ttl_hours * 3_600_000),
             outputStructType="alert_id string, retry int, allowed boolean",
             outputMode="Append",
@@ -140,26 +135,40 @@ def incident_sessions(
 
 
 def correlate(
-    alerts: DataFrame, events: DataFrame, window: str = "10 minutes", delay: str = "10 minutes"
+    alerts: DataFrame,
+    events: DataFrame,
+    reach_minutes: int = 10,
+    step_minutes: int = 1,
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """Attach to each alert a summary of its cluster's events in the same window.
+    """Attach to each alert a summary of its cluster's events around it.
 
-    Events shrink to one row per cluster and window before the join, so an alert
-    matches one row, not every event around it.
+    The window reaches ``reach_minutes`` to both sides of the step of the clock in which the alert
+    lies, so no border cuts off an event next to it. Events are summed up per cluster
+    and sliding window before the join, so an alert matches one row, not every
+    event around it. An alert without events comes out with zeros once the watermark
+    has passed its window. Windows still open at the end of the input are not reported.
     """
+    width = f"{2 * reach_minutes + step_minutes} minutes"
     summary = (
         events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", window).alias("slot"), "cluster")
+        .groupBy(F.window("ts", width, f"{step_minutes} minutes").alias("slot"), "cluster")
         .agg(
             F.count("*").alias("n_events"),
             F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"),
         )
     )
-    slotted = alerts.withWatermark("received_at", delay).withColumn(
-        "slot", F.window("received_at", window)
-    )
-    return slotted.join(summary, ["slot", "cluster"]).select(
-        "alert_id", "cluster", F.col("slot.start").alias("slot_start"), "n_events", "n_critical"
+    reach = F.expr(f"interval {reach_minutes} minutes")
+    own = F.window("received_at", f"{step_minutes} minutes")
+    # The one sliding window that has the alert's step in its middle.
+    middle = F.struct((own["start"] - reach).alias("start"), (own["end"] + reach).alias("end"))
+    marked = alerts.withWatermark("received_at", delay).withColumn("slot", middle)
+    return (
+        marked.join(summary.select("slot", "cluster", "n_events", "n_critical"), ["slot", "cluster"], "left_outer")
+        .select(
+            "alert_id", "cluster", F.col("slot.start").alias("slot_start"),
+            F.coalesce("n_events", F.lit(0)).alias("n_events"), F.coalesce("n_critical", F.lit(0)).alias("n_critical"),
+        )
     )
 
 
