@@ -371,7 +371,7 @@ SELECT cluster, dag_id, task_id, run_id AS execution_date, attempt, log_text, 'l
     "lookup_logs",
     """WITH newest AS (SELECT * FROM {stored_logs} QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
            ORDER BY execution_date DESC, attempt DESC, uri DESC) = 1)
-       SELECT r.request_id, coalesce(e.uri, n.uri) AS uri, coalesce(length(coalesce(e.log_text, n.log_text)), -1) AS n_chars,
+       SELECT r.request_id, coalesce(e.uri, n.uri) AS uri, coalesce(md5(coalesce(e.log_text, n.log_text)), '') AS log_md5,
          coalesce(e.uri, n.uri) IS NOT NULL AS log_found
        FROM {log_requests} r
        LEFT JOIN {stored_logs} e ON r.cluster = e.cluster AND r.dag_id = e.dag_id AND r.task_id = e.task_id
@@ -380,29 +380,41 @@ SELECT cluster, dag_id, task_id, run_id AS execution_date, attempt, log_text, 'l
 )
 def _(t):
     rows = log_ops.lookup_logs(t.log_requests, t.stored_logs)
-    n_chars = F.coalesce(F.length("log_text"), F.lit(-1)).cast("long").alias("n_chars")
-    return rows.select("request_id", "uri", n_chars, "log_found")
+    return rows.select("request_id", "uri", F.coalesce(F.md5("log_text"), F.lit("")).alias("log_md5"), "log_found")
+
+
+# Alerts with the execution date of their run, with one that never was, and without.
+derived.DERIVED["dated_alerts"] = """
+SELECT a.alert_id, a.try_number, a.prompt, a.cluster, a.dag_id, a.task_id, a.run_id, a.operator,
+  CASE f.event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'never' ELSE f.run_id END AS execution_date
+FROM {alerts} a JOIN {failed_runs} f ON a.alert_id = f.run_id
+"""
 
 
 @query(
     "alert_decisions",
-    """WITH newest AS (SELECT * FROM {decided} QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
+    r"""WITH named AS (SELECT alert_id, try_number, execution_date,
+           CASE WHEN prompt LIKE '%cluster ''%' THEN regexp_extract(prompt, 'cluster ''([^'']*)', 1)
+             WHEN prompt LIKE '%cluster %' THEN trim(split_part(split_part(prompt, 'cluster ', 2), ' ', 1), ''',"')
+             ELSE coalesce(nullif(cluster, ''), 'gke-prod-us-central1') END AS cluster,
+           CASE WHEN prompt LIKE '%DAG ''%' THEN split_part(split_part(prompt, 'DAG ''', 2), '''', 1)
+             WHEN prompt LIKE '%dag_id=%' THEN trim(split_part(split_part(prompt, 'dag_id=', 2), ' ', 1), ''',"')
+             ELSE coalesce(nullif(dag_id, ''), 'analytics_daily_etl') END AS dag_id,
+           CASE WHEN prompt LIKE '%task ''%' THEN split_part(split_part(prompt, 'task ''', 2), '''', 1)
+             WHEN prompt LIKE '%task_id=%' THEN trim(split_part(split_part(prompt, 'task_id=', 2), ' ', 1), ''',"')
+             ELSE coalesce(nullif(task_id, ''), 'run_dbt_heavy_aggregation') END AS task_id FROM {dated_alerts}),
+         newest AS (SELECT * FROM {decided} QUALIFY row_number() OVER (PARTITION BY cluster, dag_id, task_id
            ORDER BY run_id DESC) = 1),
-         named AS (SELECT run_id AS alert_id, event_id, cluster, dag_id, task_id FROM {failed_runs})
-       SELECT a.alert_id, event_id_mod = 0 AS log_found, CASE WHEN event_id_mod = 0 THEN n.failure_category ELSE 'UNKNOWN' END AS failure_category,
-         CASE WHEN event_id_mod = 0 AND n.failure_category = 'STRUCTURAL_SCHEMA_DRIFT' THEN 'approval'
-           WHEN event_id_mod = 0 AND n.failure_category = 'DEPENDENCY_LAG' THEN 'execute'
-           WHEN event_id_mod = 0 AND n.failure_category NOT IN ('DATA_QUALITY', 'STRUCTURAL_DIVISION_BY_ZERO', 'SILENT_DATA_ANOMALY',
-             'STRUCTURAL_SYNTAX', 'TRANSIENT_NETWORK', 'UNKNOWN') AND a.try_number <= 2 THEN 'execute'
-           ELSE 'report' END AS route
-       FROM (SELECT run_id AS alert_id, event_id % 4 AS event_id_mod, attempt AS try_number, cluster, dag_id, task_id FROM {failed_runs}) a
-       LEFT JOIN newest n ON a.cluster = n.cluster AND a.dag_id = n.dag_id AND a.task_id = n.task_id""",
+         found AS (SELECT a.*, coalesce(e.run_id, n.run_id) AS log_of, coalesce(e.failure_category, n.failure_category, 'UNKNOWN') AS failure_category
+           FROM named a LEFT JOIN {decided} e ON a.cluster = e.cluster AND a.dag_id = e.dag_id AND a.task_id = e.task_id
+             AND a.execution_date = e.run_id AND a.try_number = e.attempt
+           LEFT JOIN newest n ON a.cluster = n.cluster AND a.dag_id = n.dag_id AND a.task_id = n.task_id)
+       SELECT alert_id, log_of IS NOT NULL AS log_found, failure_category,
+         CASE WHEN failure_category = 'STRUCTURAL_SCHEMA_DRIFT' THEN 'approval' WHEN failure_category = 'DEPENDENCY_LAG' THEN 'execute'
+           WHEN failure_category NOT IN ('DATA_QUALITY', 'STRUCTURAL_DIVISION_BY_ZERO', 'SILENT_DATA_ANOMALY',
+             'STRUCTURAL_SYNTAX', 'TRANSIENT_NETWORK', 'UNKNOWN') AND try_number <= 2 THEN 'execute' ELSE 'report' END AS route
+       FROM found""",
 )
 def _(t):
-    alerts = t.alerts.drop("log_text", "ts").withColumn("execution_date", F.lit(None).cast("string"))
-    # Bare and partial prompts name no task of this lake, so payload fields go.
-    alerts = alerts.withColumn("cluster", F.lit("")).withColumn(
-        "prompt", F.when(F.startswith("prompt", F.lit("Task failed")), F.col("prompt")).otherwise("no coordinates")
-    )
-    rows = flow.alert_decisions(alerts, t.stored_logs)
+    rows = flow.alert_decisions(t.dated_alerts, t.stored_logs)
     return rows.select("alert_id", "log_found", "failure_category", "route")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.plans import telemetry
+from faultline.operators import ownership
+from faultline.plans import alerts, code, telemetry  # noqa: F401  (derived relations)
 from faultline.plans.registry import query
 from faultline.session import scratch_dir
 from faultline.sources import lake
@@ -26,16 +27,27 @@ def _log_lake(t) -> str:
     return root
 
 
+# Files may hold several logs in any order, so their lines are compared as a whole.
+def _lines(rows, keys: list[str], text: str):
+    return rows.select(*keys, F.explode(F.split(text, "\n")).alias("line")).where("line <> ''").groupBy(*keys).agg(
+        F.count("*").alias("n_lines"), F.count_distinct("line").alias("n_different"),
+        F.md5(F.min("line")).alias("first_md5"), F.md5(F.max("line")).alias("last_md5"),
+    )
+
+
+LINES = """SELECT {keys}, count(*) AS n_lines, count(DISTINCT line) AS n_different, md5(min(line)) AS first_md5, md5(max(line)) AS last_md5
+  FROM (SELECT {named}, unnest(string_split({text}, chr(10))) AS line FROM {rel}) l WHERE line <> '' GROUP BY ALL"""
+
+
 @query(
     "scan_task_logs",
-    """SELECT cluster, dag_id, task_id, substr(cast(ts AS string), 1, 7) || '-01' AS execution_date, attempt,
-         cast(sum(length(log_text) + 1) AS bigint) AS n_chars FROM {task_runs} GROUP BY ALL""",
+    LINES.replace("{keys}", "cluster, dag_id, task_id, execution_date, attempt")
+    .replace("{named}", "cluster, dag_id, task_id, substr(cast(ts AS string), 1, 7) || '-01' AS execution_date, attempt")
+    .replace("{text}", "log_text").replace("{rel}", "{task_runs}"),
 )
 def _(t):
     logs = lake.scan_task_logs(t.spark, _log_lake(t))
-    return logs.groupBy("cluster", "dag_id", "task_id", "execution_date", "attempt").agg(
-        F.sum(F.length("log_text")).alias("n_chars")
-    )
+    return _lines(logs, ["cluster", "dag_id", "task_id", "execution_date", "attempt"], "log_text")
 
 
 @query(
@@ -51,16 +63,49 @@ def _(t):
 
 @query(
     "list_objects",
-    """SELECT DISTINCT cluster || '/' || dag_id || '/' || substr(cast(ts AS string), 1, 10) AS folder FROM {task_runs}
-       WHERE cluster = 'us-prod-1' ORDER BY folder LIMIT 20""",
+    """SELECT DISTINCT 'cluster=' || cluster || '/dag_id=' || dag_id || '/day=' || substr(cast(ts AS string), 1, 10) AS folder FROM {task_runs}
+       WHERE cluster = 'us-prod-1' AND starts_with(dag_id, 'db')""",
 )
 def _(t):
     root = scratch_dir(t.spark, "listing")
     rows = t.task_runs.select("run_id", "cluster", "dag_id", _day().alias("day"))
     lake.write_lake(rows, root, ["cluster", "dag_id", "day"], "json")
-    listed = lake.objects(t.spark, f"{root}/cluster=us-prod-1")
-    folder = F.regexp_replace(F.regexp_extract("path", "cluster=(.*)/[^/]+$", 1), "(dag_id|day)=", "")
-    return listed.select(folder.alias("folder")).distinct().orderBy("folder").limit(20)
+    # Half a name as the prefix; the limit lies above the number of objects here.
+    listed = lake.list_objects(t.spark, root, "cluster=us-prod-1/dag_id=db", max_keys=1_000_000)
+    return listed.select(F.regexp_extract("key", "^(.*)/[^/]+$", 1).alias("folder")).distinct()
+
+
+@query(
+    "catalog_file",
+    """SELECT o.run_id, c.repo_name, c.team_owner, c.framework FROM {owned} o
+       JOIN (SELECT unnest(string_split(dags, ',')) AS dag, arg_min(repo_name, ord) AS repo_name, arg_min(team_owner, ord) AS team_owner,
+           arg_min(framework, ord) AS framework
+         FROM (SELECT ord, dags, repo_name, team_owner, framework FROM {catalog_rows}) r GROUP BY dag) c ON o.dag_id = c.dag""".replace(
+        "unnest(string_split(dags, ',')) AS dag, arg_min", "dag, arg_min"
+    ).replace("FROM (SELECT ord, dags, repo_name", "FROM (SELECT ord, unnest(string_split(dags, ',')) AS dag, repo_name"),
+)
+def _(t):
+    # The catalog as the one JSON file it is kept in, then read like any other.
+    path = scratch_dir(t.spark, "catalog")
+    rows = t.catalog_rows.withColumn("matching_dags", F.split("dags", ","))
+    fields = ["repo_name", "repo_url", "default_branch", "code_subpath", "team_owner", "slack_channel", "matching_dags", "framework"]
+    entries = F.sort_array(F.collect_list(F.struct("ord", "repo_name", F.struct(*fields).alias("entry"))))
+    keyed = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["repo_name"], e["entry"])))
+    rows.agg(keyed.alias("repositories")).coalesce(1).write.json(path)
+    catalog = lake.load_service_catalog(t.spark, path)
+    found = t.owned.join(ownership.catalog_match(catalog), "dag_id")
+    return found.select("run_id", "listed.repo_name", "listed.team_owner", "listed.framework")
+
+
+@query(
+    "result_bundle",
+    """SELECT r.run_id, f.repo, f.file_path, md5(f.content) AS content_md5
+       FROM (SELECT run_id, event_id % 500 AS no FROM {task_runs}) r LEFT JOIN {repo_files} f ON f.doc_id = r.no""",
+)
+def _(t):
+    number = F.concat(F.lit("model.finance.q_"), (F.col("event_id") % 500).cast("string"))
+    bundle = lake.result_bundle(t.task_runs.select("run_id", number.alias("unique_id")), t.repo_files)
+    return bundle.select("run_id", "repo", "file_path", F.md5("content").alias("content_md5"))
 
 
 @query(
@@ -202,13 +247,20 @@ def _(t):
 
 @query(
     "scan_repo_files",
-    """SELECT source AS repo, cast(sum(length(text) + 1) AS bigint) AS n_chars FROM {documents} GROUP BY source""",
+    LINES.replace("{keys}", "repo, file_path").replace("{named}", "source AS repo, 'kind=a+b ' || lang AS file_path")
+    .replace("{text}", "text").replace("{rel}", "{documents}"),
 )
 def _(t):
     root = scratch_dir(t.spark, "git-repos")
-    lake.write_lake(t.documents.select(F.col("text").alias("value"), F.col("source").alias("repo")), root, ["repo"], "text")
+    # Folders whose names readers report percent-encoded.
+    rows = t.documents.select(
+        F.col("text").alias("value"), F.col("source").alias("repo"), F.concat(F.lit("a+b "), "lang").alias("kind")
+    )
+    lake.write_lake(rows, root, ["repo", "kind"], "text")
     files = lake.scan_repo_files(t.spark, root, "*.txt")
-    return files.groupBy(F.substring_index("repo", "=", -1).alias("repo")).agg(F.sum(F.length("content")).alias("n_chars"))
+    folder = F.substring_index("file_path", "/", 1).alias("file_path")
+    named = files.select(F.substring_index("repo", "=", -1).alias("repo"), folder, "content")
+    return _lines(named, ["repo", "file_path"], "content")
 
 
 @query(

@@ -160,11 +160,16 @@ def result_bundle(results: DataFrame, files: DataFrame) -> DataFrame:
     return results.withColumn("_model", model).join(named, "_model", "left").drop("_model")
 
 
+def object_path(uri: Column) -> Column:
+    """A path as it is stored; readers report it percent-encoded. A plus stays one."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def scan_repo_files(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFrame:
     """Source files below ``root``/<repo>/, whole: ``repo``, ``file_path``, ``content``."""
     rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     anchor = root.rstrip("/").rsplit("/", 1)[-1]
-    below = F.substring_index("_metadata.file_path", f"/{anchor}/", -1)
+    below = F.substring_index(object_path(F.col("_metadata.file_path")), f"/{anchor}/", -1)
     return rows.select(
         F.substring_index(below, "/", 1).alias("repo"),
         F.regexp_extract(below, "^[^/]+/(.*)$", 1).alias("file_path"),
@@ -218,10 +223,19 @@ def objects(spark: SparkSession, root: str) -> DataFrame:
 
 
 def list_objects(spark: SparkSession, root: str, prefix: str = "", max_keys: int = 50) -> DataFrame:
-    """The first ``max_keys`` objects whose key starts with ``prefix``, sorted. The
-    prefix names a folder, which bounds the listing itself."""
-    anchor = f"{root.rstrip('/')}/{prefix.strip('/')}".rstrip("/")
-    return objects(spark, anchor).orderBy("path").limit(max_keys)
+    """The first ``max_keys`` objects whose key starts with the string ``prefix``, by
+    key: ``key``, ``path``, ``length``, ``modificationTime``.
+
+    The folders that ``prefix`` names whole bound the listing; the rest of it, such
+    as the begin of a name, filters the keys.
+    """
+    root, prefix = root.rstrip("/"), prefix.lstrip("/")
+    folder = prefix.rpartition("/")[0]
+    anchor = f"{root}/{folder}".rstrip("/")
+    base = root.rsplit("/", 1)[-1]
+    key = F.substring_index("path", f"/{base}/", -1)
+    listed = objects(spark, anchor).select(key.alias("key"), "path", "length", "modificationTime")
+    return listed.where(F.startswith("key", F.lit(prefix))).orderBy("key").limit(max_keys)
 
 
 def inventory(listed: DataFrame, group: Column) -> DataFrame:

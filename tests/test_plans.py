@@ -15,10 +15,10 @@ from faultline.plans.registry import Tables
 ROOT = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
 
-# Queries that need Python: the unified diff and the stateful retry count.
-PYTHON = {"patch_diffs", "stream_retry_budget"}
+# The query that needs Python: the stateful retry count.
+PYTHON = {"stream_retry_budget"}
 WRITES = {n for n in QUERIES if n.startswith(("stream_", "scan_", "lake_", "list_"))} | {
-    "lineage_closure", "blast_radius"
+    "lineage_closure", "blast_radius", "catalog_file"
 }
 
 
@@ -53,8 +53,6 @@ def test_plan_has_no_pair_joins_or_python(spark, name):
 @needs_data
 def test_decisions_are_one_stage_with_pushdown(spark):
     t = Tables(spark, ROOT)
-    runs = spark.read.parquet(f"{ROOT}/events.parquet")
-    t.__dict__["events"] = runs  # without the spread of small files
     text = plan(triage.route_incidents(triage.evaluate_policy(triage.classify_failures(t.failed_runs))))
     assert "Exchange" not in text
     assert "EqualTo(event_type,error)" in text
@@ -70,6 +68,37 @@ def test_filter_on_category_does_not_repeat_the_rules(spark):
 
 @needs_data
 def test_rank_limits_run_before_the_shuffle(spark):
-    for name in ("triage_queue_per_team", "pod_events_each", "latest_attempt"):
+    for name in ("triage_queue_per_team", "pod_events_each"):
         text = plan(entry.queries()[name](spark, ROOT))
         assert "WindowGroupLimit" in text and "Partial" in text
+
+
+@needs_data
+def test_texts_do_not_move_with_their_index(spark):
+    t = Tables(spark, ROOT)
+    stored = f"{ROOT}/../sf0.001/documents.parquet"
+    logs = spark.read.parquet(stored).selectExpr(
+        "lang AS cluster", "source AS dag_id", "'t' AS task_id", "cast(doc_id AS string) AS execution_date",
+        "1 AS attempt", "cast(doc_id AS string) AS uri", "text AS log_text",
+    )
+    from faultline.operators import logs as log_ops
+
+    newest = plan(log_ops.latest_attempt(logs, log_ops.TASK_KEY, log_ops.LOG_ORDER))
+    found = plan(log_ops.lookup_logs(logs.drop("uri", "log_text"), logs))
+    # No sort or shuffle holds a text but behind the join that picks the wanted ones.
+    assert "BroadcastHashJoin" in newest and "Window" not in newest
+    assert t.spark is spark and "CartesianProduct" not in found
+
+
+@needs_data
+def test_building_owners_runs_no_job(spark):
+    from faultline.operators import ownership
+    from faultline.plans import alerts
+
+    t = Tables(spark, ROOT)
+    inputs = alerts.owned(t).repartition(3, "run_id"), t.manifest_nodes.repartition(3), alerts.catalog(t)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("owners", "owners")
+    ownership.resolve_owner(*inputs)
+    assert list(tracker.getJobIdsForGroup("owners")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
