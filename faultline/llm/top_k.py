@@ -198,10 +198,14 @@ def _visit(cells: DataFrame, k: int) -> DataFrame:
     return cells.select(*names).mapInArrow(run, _FOUND)
 
 
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    """Number of parts of about ``size`` rows, one row per vector length."""
+    return rows.groupBy("dim").count().select("dim", F.expr(f"1 + count div {size}").alias("parts"))
+
+
 def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
     """Rows with a part number, by vector length, such that parts hold about ``size`` rows."""
-    total = rows.groupBy("dim").count().select("dim", F.expr(f"1 + count div {size}").alias("parts"))
-    return rows.join(F.broadcast(total), "dim").withColumn(name, F.expr("pmod(xxhash64(row), parts)"))
+    return rows.join(_parts(rows, size), "dim").withColumn(name, F.expr("pmod(xxhash64(row), parts)"))
 
 
 def top_k(vectors: DataFrame, asked: Column, k: int = 5) -> DataFrame:
@@ -223,13 +227,12 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 5) -> DataFrame:
         .groupBy("dim", "block").applyInArrow(_pack, "dim int, block long, own binary, queries binary"),
         "queries",
     )
-    shards = trees.groupBy("dim").agg(F.sort_array(F.collect_list("shard")).alias("shards"))
-    visits = blocks.join(F.broadcast(shards), "dim").withColumn("home", F.expr("shards[block % size(shards)]"))
+    visits = blocks.join(_parts(rows, SHARD_ROWS), "dim").withColumn("home", F.expr("block % parts"))
     first = visits.withColumn("shard", F.col("home")).withColumn("floor", F.lit(None).cast("binary"))
     found = written(_visit(first.join(trees, ["dim", "shard"]), k), "home")
     # The k-th scores of a block, in the order of its queries.
     known = found.groupBy("row").agg(F.max("bound").alias("bound"))
-    rest = _floors(visits, known).withColumn("shard", F.explode("shards")).where("shard <> home")
+    rest = _floors(visits, known).withColumn("shard", F.explode(F.expr("sequence(0L, parts - 1)"))).where("shard <> home")
     later = _visit(rest.join(trees, ["dim", "shard"]), k)
     best = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "other")
     ranked = found.unionByName(later).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
