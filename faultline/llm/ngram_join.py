@@ -40,6 +40,8 @@ from faultline.llm.shared import LOWER, Block, blocks, discard, lists, mix, runs
 
 WORDS = 5
 PERCENT = 80
+# One token in so many more than a prefix needs is counted, and must be shared.
+SPARE = 16
 
 
 def _needed(n: int, percent: int) -> int:
@@ -48,8 +50,8 @@ def _needed(n: int, percent: int) -> int:
 
 
 def _spare(n: int) -> int:
-    """Shared tokens that the counted head of a set must have at least."""
-    return 1 + n // 20
+    """Tokens by which the counted head of a set is longer than its prefix."""
+    return n // SPARE
 
 
 def sets(block: Block, words: int) -> list[np.ndarray]:
@@ -82,7 +84,7 @@ def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
         for block in blocks(batches):
             found = sets(block, words)
             size = [len(s) for s in found]
-            cut = [n - _needed(n, percent) + min(_spare(n), _needed(n, percent)) for n in size]
+            cut = [min(n, n - _needed(n, percent) + 1 + _spare(n)) for n in size]
             head = np.concatenate([s[:c] for s, c in zip(found, cut, strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [
@@ -103,9 +105,9 @@ def heads(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
 
 def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, n and the whole set of each node, from the document that stands for it."""
-    chosen = docs.select("doc_id", "text").join(
-        nodes.select(F.col("doc_id").alias("chosen"), "node"), F.col("doc_id").eqNullSafe(F.col("chosen"))
-    )
+    # The same join at every size, so that a run on a part foretells the whole.
+    wanted = nodes.select(F.col("doc_id").alias("chosen"), "node").hint("merge")
+    chosen = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("chosen")))
 
     def run(batches):
         for block in blocks(batches):
@@ -201,7 +203,7 @@ def _ordered_pair() -> tuple[Column, Column]:
 def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between similar nodes that connect all nodes which any links connect."""
     parts = ["node", "n", "shared"]
-    rows = written(prefixes.select(*parts, F.posexplode("rare").alias("place", "token")), "rows")
+    rows_ = rows = written(prefixes.select(*parts, F.posexplode("rare").alias("place", "token")), "rows")
     # Most likely to be close to all others: the set with the largest share of shared tokens.
     whole_share = F.struct((F.col("shared") / F.col("n")).alias("share"), *parts)
     ends = (
@@ -230,7 +232,9 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
         .where((F.col("a_component") < F.col("b_component")) & _prefixes_meet(percent))
         .select(*_ordered_pair()).distinct()
     )
-    return first.union(written(_verified(across, prefixes, whole, percent), "across"))
+    last = written(_verified(across, prefixes, whole, percent), "across")
+    discard(rows_, open_rows)
+    return first.union(last)
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -244,11 +248,12 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     )
     # The smallest set that is similar has at least this many shared tokens in its head. Each
     # copy of a set has counted all its hits.
-    least = F.least(F.expr(f"1 + (({percent} * n + 99) div 100) div 20"), _needed_sql("n", percent))
+    least = F.least(F.expr(f"1 + (({percent} * n + 99) div 100) div {SPARE}"), _needed_sql("n", percent))
     alive = nodes.join(hits, "node").where(F.col("hits") >= least * F.col("copies")).select("node", "doc_id")
     alive = written(alive, "alive")
     discard(heads_)
     whole = written(_whole_sets(docs, alive, words), "sets")
+    discard(alive)
     prefixes = written(_prefixes(whole, percent), "prefixes")
     named = written(components(links(prefixes, whole, percent)), "components")
     discard(whole, prefixes)
