@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOUR = 3600
+MINUTE = 60
 
 
 def epoch_us(ts: Column | str) -> Column:

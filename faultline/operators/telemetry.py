@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.operators import ordered
-from faultline.operators.ordered import HOUR
+from faultline.operators.ordered import HOUR, MINUTE
 
 
 def pod_events(
@@ -32,11 +32,12 @@ def attach_telemetry(
     events: DataFrame,
     key: str = "run_id",
     window_seconds: int = 600,
-    bucket_seconds: int = HOUR,
+    bucket_seconds: int = MINUTE,
 ) -> DataFrame:
     """Add what the cluster's events say around each failure: ``n_events``,
     ``n_errors``, ``n_critical`` and the pivotal event, which is the first critical
-    one, else the last of any severity."""
+    one, else the last of any severity. A cluster is a coarse key, so buckets are
+    minutes."""
     summary = ordered.around(
         incidents,
         events,
@@ -287,12 +288,14 @@ def incident_timeline(
     events: DataFrame,
     metrics: DataFrame,
     where: str | Column | None = None,
-    bucket_seconds: int = HOUR,
+    bucket_seconds: int = MINUTE,
 ) -> DataFrame:
     """Log records, cloud events and metric samples per cluster in time order, with
     the gap to the entry before. ``where`` narrows it to one incident.
 
-    Each input has ``cluster``, ``ts`` and a unique ``ref``; the result is sorted.
+    Each input has ``cluster``, ``ts`` and a unique ``ref``; the result is sorted. Inputs
+    are read twice, once for the borders of buckets. A cluster is a coarse key, so
+    buckets are minutes.
     """
     parts = [
         records.select("cluster", "ts", F.lit("log").alias("kind"), "ref", F.col("level").alias("detail")),

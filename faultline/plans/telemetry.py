@@ -9,6 +9,7 @@ from faultline.operators import telemetry as ops
 from faultline.operators import triage
 from faultline.plans import derived
 from faultline.plans.registry import query
+from faultline.session import scratch_dir
 
 FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 USED, ALLOWED, LOCKS = (
@@ -297,6 +298,10 @@ def _(t):
         "cluster", F.col("logged_at").alias("ts"),
         F.concat_ws("#", "run_id", F.col("record_no").cast("string")).alias("ref"), "level",
     )
+    # The logs are parsed once; what the timeline reads twice is the narrow result.
+    path = scratch_dir(t.spark, "records")
+    records.write.parquet(path)
+    records = t.spark.read.schema(records.schema).parquet(path)
     events = t.cloud_events.select("cluster", F.col("ts").cast("timestamp").alias("ts"), F.col("insert_id").alias("ref"), "severity")
     metrics = t.metrics.select(
         "cluster", F.col("ts").cast("timestamp").alias("ts"),

@@ -18,7 +18,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
 # The query that needs Python: the stateful retry count.
 PYTHON = {"stream_retry_budget"}
 WRITES = {n for n in QUERIES if n.startswith(("stream_", "scan_", "lake_", "list_"))} | {
-    "lineage_closure", "blast_radius", "catalog_file"
+    "lineage_closure", "blast_radius", "catalog_file", "incident_timeline"
 }
 
 
