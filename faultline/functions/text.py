@@ -33,13 +33,11 @@ SIGNALS: dict[str, tuple[str, str]] = {
     "statement_timeout_ms": ("ms exceeded", r"\((\d+)ms exceeded\)"),
 }
 
-# Names that announce a credential, alone or as part of a longer name.
+# Names that announce a credential, alone or within a longer name.
 _NAMED = (
-    r"(?:^|[^A-Za-z0-9_.-])(?:[A-Za-z0-9_.-]*[_.-])?"
-    r"(?:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)"
+    r"(?:token|passw(?:or)?d|pwd|secret|(?:api|access|private)[_-]?key|credentials?)"
     r"(?:[_.-][A-Za-z0-9_.-]*)?[\"']?\s*[=:]\s*"
 )
-_NAMES = ("token", "password", "passwd", "pwd", "secret", "key", "credential")
 
 # Credentials to blank out, as (words, pattern, replacement). A match holds one of the
 # words, in any case. Quotes around a value stay, so JSON stays JSON.
@@ -49,16 +47,23 @@ CREDENTIALS: tuple[tuple[tuple[str, ...], str, str], ...] = (
         r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(?s:.*?)(-----END [A-Z ]*PRIVATE KEY-----|\z)",
         "$1***$2",
     ),
-    (("authorization",), r"(?i)(authorization[\"']?\s*[=:]\s*[\"']?(?:basic|token|bearer)\s+)[^\s\"',;]+", "$1***"),
-    (("bearer",), r"(?i)(^|[^A-Za-z0-9_])(bearer)\s+[A-Za-z0-9._~+/=-]+", "$1$2 ***"),
-    (_NAMES, rf"(?i)({_NAMED}\")(?:[^\"\\\n]|\\.)*\"", '$1***"'),
-    (_NAMES, rf"(?i)({_NAMED}')(?:[^'\\\n]|\\.)*'", "$1***'"),
-    (_NAMES, rf"(?i)({_NAMED})[^\s,;&}}\"']+", "$1***"),
-    (("://",), r"([A-Za-z][A-Za-z0-9+.-]*://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
+    (
+        ("authorization", "bearer"),
+        r"(?i)(authorization[\"']?\s*[=:]\s*[\"']?(?:basic|token)\s+|(?<![A-Za-z0-9_])bearer\s+)[A-Za-z0-9._~+/=-]+",
+        "$1***",
+    ),
+    (
+        ("token", "passw", "pwd", "secret", "key", "credential"),
+        rf"(?i)({_NAMED})(?:(\")(?:[^\"\\\n]|\\.)*\"|(')(?:[^'\\\n]|\\.)*'|[^\s,;&}}\"']+)",
+        "$1$2$3***$2$3",
+    ),
+    (("://",), r"(://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
     (("hooks.",), r"(https://hooks\.[A-Za-z0-9.-]+/)[^\s\"'<>]+", "$1***"),
-    (("akia", "asia"), r"(^|[^A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}", "$1***"),
-    (("gh", "github_pat_"), r"(^|[^A-Za-z0-9_])(?:gh[opsur]_|github_pat_)[A-Za-z0-9_]{8,}", "$1***"),
-    (("xox",), r"(^|[^A-Za-z0-9])xox[abeoprs]-[A-Za-z0-9-]{8,}", "$1***"),
+    (
+        ("akia", "asia", "gh", "xox"),
+        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsur]_|github_pat_)[A-Za-z0-9_]{8,}|xox[abeoprs]-[A-Za-z0-9-]{8,})",
+        "***",
+    ),
 )
 
 BLANKS = " \t\n\r\f\x0b"
