@@ -259,6 +259,7 @@ def _located(segments: DataFrame) -> DataFrame:
         segments.groupBy("anchor").count().where(f"count > {most}")
         .selectExpr("anchor", f"1 + count div {most} AS spread")
     )
+    wide = written(wide, "wide")
     shard = F.pmod("anchor", F.lit(shards)).alias("shard")
     dealt = segments.join(wide, "anchor", "left").select(
         shard, F.expr("pmod(segment, coalesce(spread, 1))").alias("part"), "anchor", "segment", "text", "least", "most"
@@ -318,7 +319,9 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     anchors = written(_anchors(docs), "anchors")
     rows = anchors.select("row", F.explode("anchors").alias("anchor"))
     seen = rows.groupBy("anchor").agg(F.min("row").alias("least"), F.max("row").alias("most")).where("least < most")
-    hits = rows.join(seen.select("anchor"), "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
+    # Written, so that Spark can split the rows of an anchor that very many texts have.
+    seen = written(seen.select("anchor"), "seen")
+    hits = rows.join(seen, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("anchors"))
     origins = anchors.groupBy("row", "n_words").agg(F.min("doc_id").alias("origin"))
     firsts = origins.join(hits, "row", "left")
     known = (
@@ -327,7 +330,7 @@ def occurrences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 F.when(F.col("doc_id") == F.col("origin"), F.col("anchors")).alias("anchors"))
     )
     known = written(known, "known")
-    discard(anchors)
+    discard(anchors, seen)
     prepared = written(_prepared(docs, known), "prepared")
     discard(known)
     places = prepared.select("doc_id", "row", F.inline("segments")).withColumn("segment", F.xxhash64("text"))

@@ -167,7 +167,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, purpose)
-    before = spark.conf.get(_CLEANUP)
+    before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.parquet(path)
