@@ -18,8 +18,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star rounds: every round links neighbours to the smallest one
     they know, from above and then from below, until nothing changes. Minima are
-    summed up before the shuffle and joined back, so a node with very many neighbours
-    is no task of its own. Each round is a written table.
+    summed up before the shuffle and written before they are joined back: a join of two
+    tables lets Spark split the edges of a node with very many neighbours, which a join
+    with a grouping of its own key would not. Each round is a written table.
     """
     edges = written(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
@@ -28,13 +29,14 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         # Large star: neighbours above a node go to the smallest node around it.
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        least = written(_least(both), "least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "large")
         # Small star: a node and its neighbours below go to the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
         before, edges = edges, written(small.where("u <> v").distinct(), "star")
-        discard(before)
+        discard(before, least, large, low)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

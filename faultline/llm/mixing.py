@@ -142,6 +142,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     open_, level = planned, 0
     while True:
         counts = open_.groupBy("source").agg(F.expr(f"1 + (count(*) - 1) div {BUCKET_UNITS}").alias("buckets"))
+        counts = written(counts, "counts")
         last = (counts.agg(F.max("buckets")).first()[0] or 1) == 1
         flown = written(_fly(open_, counts, level), f"flight{level}")
         sure = flown if last else flown.where("chance IN (0, 1)")

@@ -42,6 +42,8 @@ WORDS = 5
 PERCENT = 80
 # One token in so many more than a prefix needs is counted, and must be shared.
 SPARE = 16
+# Of the orders by hash.
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def _needed(n: int, percent: int) -> int:
@@ -126,11 +128,16 @@ def _whole_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Tokens that different nodes have, with the number of rows that have them."""
-    return (
+    """Tokens that different nodes have, with the number of rows that have them.
+
+    A written table: joined with a grouping of its own key, the rows of a token that very
+    many nodes have could not be split over tasks; joined with a table, they are.
+    """
+    return written(
         rows.groupBy("token")
         .agg(F.count("*").alias("df"), F.min("node").alias("least"), F.max("node").alias("most"))
-        .where("least < most")
+        .where("least < most").select("token", "df"),
+        "shared",
     )
 
 
@@ -139,24 +146,52 @@ def _needed_sql(n: str, percent: int) -> Column:
 
 
 def _prefixes(whole: DataFrame, percent: int) -> DataFrame:
-    """node, n, the number of shared tokens, and the prefix of each set under three orders of them."""
+    """node, n, the number of shared tokens, and the prefix of each set under three orders of them.
+
+    The shared tokens of a node arrive one after the other, so a task holds those of
+    one node and of one batch.
+    """
     rows = whole.select("node", "n", F.explode("tokens").alias("token"))
-    counted = rows.join(_shared(rows).select("token", "df"), "token")
-    kept = counted.groupBy("node", "n").agg(F.collect_set(F.struct("df", "token")).alias("shared"))
-    length = F.size("shared") - _needed_sql("n", percent) + 1
+    counted = rows.join(_shared(rows), "token").select("node", "n", "token", "df")
 
-    def prefix(order: str) -> Column:
-        ranked = F.expr(f"array_sort(transform(shared, s -> struct({order} AS place, s.token AS token)))")
-        return F.slice(ranked["token"], F.lit(1), F.col("length"))
+    def ends(node: int, n: int, token: np.ndarray, df: np.ndarray):
+        # Rows that are there more than once bring their tokens again.
+        token, first = np.unique(token, return_index=True)
+        length = len(token) - _needed(n, percent) + 1
+        if length > 0:
+            orders = (np.argsort(df[first], kind="stable"), *[np.argsort(mix(token ^ np.uint64(seed))) for seed in SEEDS])
+            return node, n, len(token), *[token[order[:length]] for order in orders]
+        return None
 
-    return (
-        kept.withColumn("length", length.cast("int")).where("length > 0")
-        .select(
-            "node", "n", F.size("shared").alias("shared"),
-            prefix("s.df").alias("rare"),
-            prefix("xxhash64(s.token, 2)").alias("second"),
-            prefix("xxhash64(s.token, 3)").alias("third"),
-        )
+    def run(batches):
+        names, kept = ("node", "n", "token", "df"), None
+        for batch in batches:
+            columns = [batch.column(c).to_numpy() for c in names]
+            if kept is not None:
+                columns = [np.concatenate(pair) for pair in zip(kept, columns, strict=True)]
+            border = np.flatnonzero(np.diff(columns[0])) + 1
+            last = border[-1] if len(border) else 0
+            kept = [c[last:] for c in columns]
+            yield from made([c[:last] for c in columns], border[:-1])
+        if kept is not None:
+            yield from made(kept, np.zeros(0, np.int64))
+
+    def made(columns, border):
+        if not len(columns[0]):
+            return
+        node, n, token, df = columns
+        starts = np.append(0, border)
+        parts = zip(starts.tolist(), np.append(border, len(node)).tolist(), strict=True)
+        found = [ends(int(node[a]), int(n[a]), token[a:b].view(np.uint64), df[a:b]) for a, b in parts]
+        found = [f for f in found if f is not None]
+        if found:
+            plain = [pa.array([f[k] for f in found], pa.int64()) for k in range(3)]
+            size = np.array([len(f[3]) for f in found])
+            arrays = [lists(signed(np.concatenate([f[k] for f in found])), size) for k in (3, 4, 5)]
+            yield pa.RecordBatch.from_arrays(plain + arrays, names=["node", "n", "shared", "rare", "second", "third"])
+
+    return counted.repartition("node").sortWithinPartitions("node").mapInArrow(
+        run, "node long, n long, shared long, rare array<long>, second array<long>, third array<long>"
     )
 
 
@@ -212,6 +247,7 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
              F.max("node").alias("most"))
         .where("least < most").select("token", F.explode(F.array("high", "low")).alias("end"))
     )
+    ends = written(ends, "ends")
     near = (
         rows.join(ends.select("token", *[F.col(f"end.{c}").alias(f"b_{c}") for c in parts]), "token")
         .select(*[F.col(c).alias(f"a_{c}") for c in parts], *[f"b_{c}" for c in parts])
@@ -221,9 +257,10 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
     first = written(_verified(near, prefixes, whole, percent), "first")
     named = components(first)
     rows = rows.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = (
+    split = written(
         rows.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-        .where("least < most").select("token")
+        .where("least < most").select("token"),
+        "split",
     )
     open_rows = written(rows.join(split, "token", "left_semi"), "open")
     sides = [open_rows.select("token", *[F.col(c).alias(f"{k}_{c}") for c in (*parts, "place", "component")]) for k in "ab"]
@@ -233,7 +270,7 @@ def links(prefixes: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
         .select(*_ordered_pair()).distinct()
     )
     last = written(_verified(across, prefixes, whole, percent), "across")
-    discard(rows_, open_rows)
+    discard(rows_, ends, split, open_rows)
     return first.union(last)
 
 
@@ -259,8 +296,9 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     discard(whole, prefixes)
     nodes = ids.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    nodes = written(nodes, "nodes")
     # The smallest id of a component stands for it, over all its nodes.
-    least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = written(nodes.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     named = nodes.join(least, "component").select("node", "component", "component_id")
     return ids.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", "component", "component_id")
 

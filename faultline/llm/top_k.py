@@ -199,8 +199,11 @@ def _visit(cells: DataFrame, k: int) -> DataFrame:
 
 
 def _parts(rows: DataFrame, size: int) -> DataFrame:
-    """Number of parts of about ``size`` rows, one row per vector length."""
-    return rows.groupBy("dim").count().select("dim", F.expr(f"1 + count div {size}").alias("parts"))
+    """Number of parts of about ``size`` rows, one row per vector length.
+
+    Written, so that Spark knows its size when it plans the join with the vectors.
+    """
+    return written(rows.groupBy("dim").count().select("dim", F.expr(f"1 + count div {size}").alias("parts")), "parts")
 
 
 def _dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
