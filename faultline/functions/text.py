@@ -33,14 +33,16 @@ SIGNALS: dict[str, tuple[str, str]] = {
     "statement_timeout_ms": ("ms exceeded", r"\((\d+)ms exceeded\)"),
 }
 
-# Names that announce a credential, alone or within a longer name.
+# Names that announce a credential, alone or as parts of a longer name.
 _NAMED = (
-    r"(?:token|passw(?:or)?d|pwd|secret|(?:api|access|private)[_-]?key|credentials?)"
-    r"(?:[_.-][A-Za-z0-9_.-]*)?[\"']?\s*[=:]\s*"
+    r"(?<![A-Za-z0-9])(?:token|passw(?:or)?d|pwd|secret|(?:api|access|private)[_-]?key|credentials?)"
+    r"(?:[_.-][A-Za-z0-9_.-]*)?"
 )
+_NAMES = ("token", "passw", "pwd", "secret", "key", "credential")
+_VALUE = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s,;&}\"']+"
 
 # Credentials to blank out, as (words, pattern, replacement). A match holds one of the
-# words, in any case. Quotes around a value stay, so JSON stays JSON.
+# words, in any case.
 CREDENTIALS: tuple[tuple[tuple[str, ...], str, str], ...] = (
     (
         ("private key",),
@@ -52,11 +54,13 @@ CREDENTIALS: tuple[tuple[tuple[str, ...], str, str], ...] = (
         r"(?i)(authorization[\"']?\s*[=:]\s*[\"']?(?:basic|token)\s+|(?<![A-Za-z0-9_])bearer\s+)[A-Za-z0-9._~+/=-]+",
         "$1***",
     ),
+    # After a quoted name, as in JSON, the quotes of the value stay.
     (
-        ("token", "passw", "pwd", "secret", "key", "credential"),
-        rf"(?i)({_NAMED})(?:(\")(?:[^\"\\\n]|\\.)*\"|(')(?:[^'\\\n]|\\.)*'|[^\s,;&}}\"']+)",
+        _NAMES,
+        rf"(?i)({_NAMED}[\"']\s*[=:]\s*)(?:(\")(?:[^\"\\\n]|\\.)*\"|(')(?:[^'\\\n]|\\.)*'|[^\s,;&}}\"']+)",
         "$1$2$3***$2$3",
     ),
+    (_NAMES, rf"(?i)({_NAMED}\s*[=:]\s*)(?:{_VALUE})", "$1***"),
     (("://",), r"(://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
     (("hooks.",), r"(https://hooks\.[A-Za-z0-9.-]+/)[^\s\"'<>]+", "$1***"),
     (

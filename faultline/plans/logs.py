@@ -84,7 +84,7 @@ chr(10) || 'DB_PASSWORD=hunter' || n || ' access_token=abc' || n || ', AWS_SECRE
 MASKED_TAIL = """
 chr(10) || 'DB_PASSWORD=*** access_token=***, AWS_SECRET_ACCESS_KEY=***;'
 || chr(10) || '{"password": "***", "user": "me", "api_key":"***"}' || chr(10)
-|| 'pushed with *** by token = ''***'' to https://hooks.chat.example/***' || chr(10)
+|| 'pushed with *** by token = *** to https://hooks.chat.example/***' || chr(10)
 || 'Authorization: Basic *** then Bearer *** then postgres://me:***@host/db ***'
 || chr(10) || '-----BEGIN RSA PRIVATE KEY-----***-----END RSA PRIVATE KEY-----' || chr(10)
 || 'max_tokens=' || n || ' monkey: ' || n || ' the secret of it' || chr(10)
@@ -97,7 +97,7 @@ derived.DERIVED["secret_logs"] = f"SELECT doc_id, text, n, text || {SECRET_TAIL}
     "redact_logs",
     # The tail has one right answer; the forms that the documents themselves hold are few.
     rf"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
-             'password=[0-9a-zA-Z]+', 'password=***', 'g'), 'token = "[^"]*"', 'token = "***"', 'g'),
+             'password=[0-9a-zA-Z]+', 'password=***', 'g'), 'token = "[^"]*"', 'token = ***', 'g'),
              'AKIA[A-Z0-9]{{{{16}}}}', '***', 'g') || {MASKED_TAIL.replace('{', '{{').replace('}', '}}')} AS log
          FROM (SELECT *, cast(doc_id AS string) AS n FROM {{documents}}) d""",
 )

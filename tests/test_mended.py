@@ -90,7 +90,7 @@ FORMS = [
     ("AWS_SECRET_ACCESS_KEY=wJa/lr+x y", "AWS_SECRET_ACCESS_KEY=*** y"),
     ('{"password": "hunter2", "a": 1}', '{"password": "***", "a": 1}'),
     ('{"client_secret":"a\\"b"}', '{"client_secret":"***"}'),
-    ("api-key: 'a b'", "api-key: '***'"),
+    ("api-key: 'a b'", "api-key: ***"),
     ("use ghp_16C7e42F292c6912E7 now", "use *** now"),
     ("xoxb-1234567890-abc ok", "*** ok"),
     ("Authorization: Basic dXNlcg==", "Authorization: Basic ***"),
