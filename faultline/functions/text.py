@@ -93,6 +93,11 @@ def tail(text: Column, n: int) -> Column:
     return F.array_join(last_items(lines_with_ends(text), n), "")
 
 
+def preview(text: Column, chars: int = 800) -> Column:
+    """The first ``chars`` characters, as shown to a person who decides on a change."""
+    return F.substring(text, 1, chars)
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from faultline.functions import coordinates as C
+from faultline.functions import text as X
 from faultline.operators import alerts as ops
 from faultline.operators import flow, ownership
 from faultline.operators import logs as log_ops
@@ -352,7 +353,7 @@ def _(t):
         "page_id",
         C.last_segment(F.col("url")).alias("last_segment"),
         C.repo_from_url(F.col("url")).alias("repo_name"),
-        F.substring("html", 1, 800).alias("preview"),
+        X.preview(F.col("html")).alias("preview"),
     )
 
 

@@ -97,7 +97,11 @@ def saturation_alarms(
     slide: str = "1 minute",
     delay: str = "10 minutes",
 ) -> DataFrame:
-    """Windows in which a pod's usage passed ``threshold``."""
+    """Windows in which a pod's usage passed ``threshold``.
+
+    A window is reported once the watermark has passed it, so those still open at the
+    end of the input are absent.
+    """
     return (
         usage.withWatermark("ts", delay)
         .groupBy(F.window("ts", window, slide), "cluster", "pod_name")
@@ -117,7 +121,10 @@ def saturation_alarms(
 def incident_sessions(
     alerts: DataFrame, time: str = "received_at", gap: str = "30 minutes", delay: str = "10 minutes"
 ) -> DataFrame:
-    """Alerts of a task that follow each other closely form one incident."""
+    """Alerts of a task that follow each other closely form one incident.
+
+    Sessions still open at the end of the input are absent.
+    """
     return (
         alerts.withWatermark(time, delay)
         .groupBy(F.session_window(time, gap).alias("_w"), "cluster", "dag_id", "task_id")
@@ -177,6 +184,8 @@ def await_approvals(
 ) -> DataFrame:
     """Decision of each approval request, or ``TIMED_OUT`` when none came in time.
 
+    Requests that are undecided and not yet overdue at the end of the input are absent.
+
     ``requests`` has ``approval_id``, ``requested_at``; ``decisions`` has
     ``approval_id``, ``decided_at``, ``decision``.
     """

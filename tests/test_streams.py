@@ -97,3 +97,47 @@ def test_late_alerts_are_kept(spark, tmp_path):
     writer.trigger(availableNow=True).start().awaitTermination()
     assert {r.alert_id for r in spark.read.parquet(on_time).collect()} == {"a0", "a1"}
     assert {r.alert_id for r in spark.read.parquet(late).collect()} == {"a2", "a3"}
+
+
+EVENT = "cluster string, ts timestamp, severity string"
+
+
+def at(minute, second=0):
+    return T0 + dt.timedelta(minutes=minute, seconds=second)
+
+
+def test_correlation_crosses_borders_and_keeps_lonely_alerts(spark, tmp_path):
+    alerts = batches(
+        spark, str(tmp_path / "alerts"), ALERT,
+        [alert(1, "r1", 10), alert(2, "r2", 100)], [alert(3, "r3", 300)], [alert(4, "r4", 301)],
+    )
+    events = batches(
+        spark, str(tmp_path / "events"), EVENT,
+        # A second before the alert's own step, at both ends of the reach, and beyond them.
+        [("c", at(9, 59), "CRITICAL"), ("c", at(0), "INFO"), ("c", at(20, 59), "INFO"), ("c", at(21), "INFO"), ("d", at(10), "INFO")],
+        [("c", at(300), "INFO")], [("c", at(301), "INFO")],
+    )
+    got = {r.alert_id: (r.n_events, r.n_critical) for r in drain(ops.correlate(alerts, events), tmp_path).collect()}
+    assert got == {"a1": (3, 1), "a2": (0, 0)}
+
+
+def test_saturation_over_batches(spark, tmp_path):
+    schema = "cluster string, pod_name string, ts timestamp, value double"
+    usage = batches(
+        spark, str(tmp_path / "in"), schema,
+        [("c", "p", at(0), 5.0), ("c", "p", at(1), 95.0)], [("c", "p", at(2), 96.0), ("c", "q", at(2), 10.0)],
+        [("c", "p", at(60), 1.0)], [("c", "p", at(61), 1.0)],
+    )
+    got = {(r.window_start, r.peak, r.samples) for r in drain(ops.saturation_alarms(usage, 90.0), tmp_path).collect()}
+    want = set()
+    for start in range(-4, 3):
+        inside = [v for m, v in ((0, 5.0), (1, 95.0), (2, 96.0)) if start <= m < start + 5]
+        if max(inside) > 90:
+            want.add((at(start), max(inside), len(inside)))
+    assert got == want
+
+
+def test_retry_budget_counts_repeats_once(spark, tmp_path):
+    stream = batches(spark, str(tmp_path / "in"), ALERT, [alert(1, "r1", 0), alert(1, "r1", 0), alert(2, "r1", 5)], [alert(2, "r1", 5), alert(3, "r1", 9)])
+    got = sorted((r.alert_id, r.retry, r.allowed) for r in drain(ops.retry_budget(stream), tmp_path).collect())
+    assert got == [("a1", 1, True), ("a2", 2, True), ("a3", 3, False)]
