@@ -87,8 +87,9 @@ def _decoded(text: Column) -> Column:
 
 def _tidy(text: Column) -> Column:
     """Runs of blanks as one, lines trimmed, empty lines gone."""
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B\xA0]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    # A blank by itself is left alone, as most are.
+    text = F.regexp_replace(text, r"[ \t\r\f\x0B\xA0]{2,}|[\t\r\f\x0B\xA0]", " ")
+    return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def _once(df: DataFrame, **new: Column) -> DataFrame:
