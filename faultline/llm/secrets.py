@@ -2,8 +2,9 @@
 
 Each text is the first layer of a worklist. A layer is scanned for secrets, then
 unwrapped in every way that applies: percent escapes, Unicode escapes, base64 runs, and
-compressed data inside these. What comes out is a new layer unless the text has
-been seen for this document, so the list ends even where layers decode into each other.
+compressed data inside these. What comes out is a new layer unless the same text has been
+seen for the same characters of this document, so the list ends even where layers decode
+into each other, and each copy of an encoded secret has its own span.
 Every character of a layer knows the characters of the original it came from, so a
 finding in any layer is a span of the original text.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -77,6 +79,13 @@ class Layer:
             start, end = self.start[start], self.end[end - 1]
         return Layer(text, f"{self.path}/{how}" if self.path else how, start, end)
 
+    def key(self) -> bytes:
+        """Equal for layers of equal text from the same characters."""
+        out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"))
+        if self.start is not None:
+            out.update(self.start.tobytes() + self.end.tobytes())
+        return out.digest()
+
 
 def scan(text: str) -> Iterator[tuple[str, int, int]]:
     """The findings in one layer."""
@@ -209,15 +218,15 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
     is listed once, with the outermost.
     """
     found: dict[tuple[int, int, int], str] = {}
-    work, seen = [Layer(text)], {text}
+    work, seen = [Layer(text)], set()
     for layer in work:
         for kind, start, end in scan(layer.text):
             a, b = layer.original(start, end)
             found.setdefault((a, KINDS.index(kind), b), layer.path)
         for unwrap in (_percent, _unicode, _base64):
             for new in unwrap(layer):
-                if new.text not in seen:
-                    seen.add(new.text)
+                if (key := new.key()) not in seen:
+                    seen.add(key)
                     work.append(new)
     return [(KINDS[k], a, b, found[a, k, b]) for a, k, b in sorted(found)]
 

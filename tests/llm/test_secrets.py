@@ -75,6 +75,22 @@ def test_nested_layers_map_to_the_original(packed, path):
         assert (found[0][1], found[0][2]) == (9, 9 + len(packed))
 
 
+def test_each_copy_of_an_encoded_secret_has_a_span(spark):
+    packed = wrap64("key " + SECRET + "!")
+    text = f"a {packed} b {packed}, c {packed}."
+    starts = [m.start() for m in re.finditer(re.escape(packed), text)]
+    found = secrets.findings(text)
+    assert len(found) == 3
+    for at, (kind, start, end, _) in zip(starts, found, strict=True):
+        assert kind == "assign" and at <= start < end <= at + len(packed)
+    # Two encodings of one text.
+    both = f"{packed} {base64.b64encode(gzip.compress(('key ' + SECRET + '!').encode(), mtime=0)).decode()}"
+    assert len(secrets.findings(both)) == 2
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = secrets.redact(docs).collect()
+    assert row.text.count("[assign]") == 3
+
+
 def test_cycles_end():
     # Decoding gives the same text again through another escape.
     assert secrets.findings("%2541%252541 \\u005cu0041 %25%32%35") == []
