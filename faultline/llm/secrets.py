@@ -4,7 +4,8 @@ Each text is the first layer of a worklist. A layer is scanned for secrets, then
 unwrapped in every way that applies: percent escapes, Unicode escapes, base64 runs, and
 compressed data inside these. What comes out is a new layer unless the same text has been
 seen for the same characters of this document, so the list ends even where layers decode
-into each other, and each copy of an encoded secret has its own span.
+into each other, and each copy of an encoded secret has its own span. Decoded bytes need
+not be clean text: they are read byte by byte, and as UTF-16 where they look like it.
 Every character of a layer knows the characters of the original it came from, so a
 finding in any layer is a span of the original text.
 
@@ -46,6 +47,10 @@ _ESCAPE = re.compile(
     r"((?:\\u[0-9A-Fa-f]{4})+)|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|&\#([0-9]{1,7});|&\#[xX]([0-9A-Fa-f]{1,6});"
 )
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A secret, plain or encoded, has at least this many ASCII characters in a row, the second
+# in UTF-16 of either order.
+_NARROW = re.compile(rb"[\t\n\r -~]{12}")
+_WIDE = re.compile(rb"(?:[\t\n\r -~]\0){12,}|(?:\0[\t\n\r -~]){12,}")
 _STANDARD = str.maketrans("-_", "+/")
 # A compressed layer that unfolds beyond this many bytes is left packed, as a defence
 # against archives made to fill the memory.
@@ -177,12 +182,20 @@ def _unpacked(raw: bytes) -> tuple[bytes, str] | None:
     return (out, how) if out and len(out) <= LARGEST_LAYER else None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
+def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Texts that bytes can stand for: text, its first byte, bytes of a character.
+
+    Patterns and encodings are ASCII, so Latin-1 reads UTF-8 and everything else that
+    keeps ASCII, controls and marks included. Bytes that can hold no finding have no reading.
+    """
+    if _NARROW.search(raw):
+        yield raw.decode("latin-1"), 0, 1
+    if b"\0" not in raw:
+        return
+    for order, first in sorted({("<u2" if m[0][1] == 0 else ">u2", m.start() % 2) for m in _WIDE.finditer(raw)}):
+        units = np.frombuffer(raw, order, (len(raw) - first) // 2, first).astype("<u2")
+        units[units >> 11 == 27] = 0xFFFD
+        yield units.tobytes().decode("utf-16-le"), first, 2
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -194,20 +207,18 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(packed + "=" * (-len(packed) % 4))
         except binascii.Error:
             continue
-        text, how, begin, finish = _readable(raw), "base64", m.start(), m.end()
-        if text is not None:
-            marks = np.array(_marks(text, 1), np.int64)
-            stop = np.append(marks[1:], len(raw))
-            yield layer.child(text, how, begin + marks * 4 // 3, np.minimum(begin + -(-stop * 4 // 3), finish))
-            continue
-        seen = set()
-        while text is None and raw not in seen and (more := _unpacked(raw)) is not None:
+        begin, finish = m.start(), m.end()
+        for text, first, width in _readings(raw):
+            marks = first + width * np.arange(len(text))
+            stop = marks + width
+            yield layer.child(text, "base64", begin + marks * 4 // 3, np.minimum(begin + -(-stop * 4 // 3), finish))
+        seen, how = set(), "base64"
+        while raw not in seen and (more := _unpacked(raw)) is not None:
             seen.add(raw)
             raw, how = more[0], f"{how}/{more[1]}"
-            text = _readable(raw)
-        if text is not None:
-            size = len(text)
-            yield layer.child(text, how, np.full(size, begin), np.full(size, finish))
+            for text, _, _ in _readings(raw):
+                size = len(text)
+                yield layer.child(text, how, np.full(size, begin), np.full(size, finish))
 
 
 def findings(text: str) -> list[tuple[str, int, int, str]]:

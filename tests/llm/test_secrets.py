@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import io
 import random
 import re
+import tarfile
 import urllib.parse
 
 import pytest
@@ -91,6 +93,37 @@ def test_each_copy_of_an_encoded_secret_has_a_span(spark):
     assert row.text.count("[assign]") == 3
 
 
+def tarred(data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as tar:
+        info = tarfile.TarInfo("a.env")
+        info.size = len(data)
+        tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        f"key {SECRET} é".encode("utf-16-le"),
+        f"key {SECRET} é".encode("utf-16"),
+        f"key {SECRET} é".encode("utf-16-be"),
+        f"key {SECRET} é".encode("utf-8-sig"),
+        f"key {SECRET} é".encode("latin-1"),
+        f"\0\x1b[31mkey {SECRET}\x1b[0m".encode(),
+        f"zero\u200bwidth {SECRET}".encode(),
+        gzip.compress(f"key {SECRET} é".encode("latin-1"), mtime=0),
+        tarred(SECRET.encode()),
+        b"\xff\0" + wrap64("key " + SECRET).encode() + b"\xff",
+    ],
+)
+def test_layers_that_are_not_clean_text(raw):
+    packed = base64.b64encode(raw).decode()
+    found = secrets.findings(f"é before {packed} after")
+    assert [f[0] for f in found] == ["assign"]
+    assert 9 <= found[0][1] < found[0][2] <= 9 + len(packed)
+
+
 def test_cycles_end():
     # Decoding gives the same text again through another escape.
     assert secrets.findings("%2541%252541 \\u005cu0041 %25%32%35") == []
