@@ -6,6 +6,8 @@ compressed data inside these. What comes out is a new layer unless the same text
 seen for the same characters of this document, so the list ends even where layers decode
 into each other, and each copy of an encoded secret has its own span. Decoded bytes need
 not be clean text: they are read byte by byte, and as UTF-16 where they look like it.
+Base64 is read from each of its first four characters, line by line and over line ends;
+where a line alone and the joined lines both show a secret, both spans are listed.
 Every character of a layer knows the characters of the original it came from, so a
 finding in any layer is a span of the original text.
 
@@ -15,10 +17,10 @@ Null and empty texts have no findings. Equal rows give equal rows. Extra columns
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -51,6 +53,11 @@ _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 # in UTF-16 of either order.
 _NARROW = re.compile(rb"[\t\n\r -~]{12}")
 _WIDE = re.compile(rb"(?:[\t\n\r -~]\0){12,}|(?:\0[\t\n\r -~]){12,}")
+# Lines of base64, cut by line ends (also escaped ones) and indentation only.
+_LINE_END = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t]*")
+_WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
+)
 _STANDARD = str.maketrans("-_", "+/")
 # A compressed layer that unfolds beyond this many bytes is left packed, as a defence
 # against archives made to fill the memory.
@@ -198,27 +205,44 @@ def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
         yield units.tobytes().decode("utf-16-le"), first, 2
 
 
+def _places(text: str, begin: int, finish: int) -> np.ndarray:
+    """Where the characters of a run over several lines stand."""
+    parts, at = [], begin
+    for m in _LINE_END.finditer(text, begin, finish):
+        parts.append(np.arange(at, m.start()))
+        at = m.end()
+    return np.concatenate([*parts, np.arange(at, finish)])
+
+
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        packed = m[0].rstrip("=").translate(_STANDARD)
-        if len(packed) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(packed + "=" * (-len(packed) % 4))
-        except binascii.Error:
-            continue
+    """Runs within a line, and runs over lines, each from its first four characters on.
+
+    A piece of a run, as after a path or a name, is read in full by the reading that begins
+    in step with it: / and - and _ before or after it do not become part of a secret.
+    """
+    for m in itertools.chain(_BASE64.finditer(layer.text), _WRAPPED.finditer(layer.text)):
         begin, finish = m.start(), m.end()
-        for text, first, width in _readings(raw):
-            marks = first + width * np.arange(len(text))
-            stop = marks + width
-            yield layer.child(text, "base64", begin + marks * 4 // 3, np.minimum(begin + -(-stop * 4 // 3), finish))
-        seen, how = set(), "base64"
-        while raw not in seen and (more := _unpacked(raw)) is not None:
-            seen.add(raw)
-            raw, how = more[0], f"{how}/{more[1]}"
-            for text, _, _ in _readings(raw):
-                size = len(text)
-                yield layer.child(text, how, np.full(size, begin), np.full(size, finish))
+        wrapped = m.re is _WRAPPED
+        packed = _LINE_END.sub("", m[0]) if wrapped else m[0]
+        packed = packed.rstrip("=").translate(_STANDARD)
+        places = None
+        for skip in range(min(4, len(packed) - 15)):
+            size = len(packed) - skip
+            size -= size % 4 == 1
+            raw = binascii.a2b_base64(packed[skip : skip + size] + "=" * (-size % 4))
+            for text, first, width in _readings(raw):
+                if places is None:
+                    places = _places(layer.text, begin, begin + len(m[0].rstrip("="))) if wrapped else np.arange(begin, finish)
+                marks = first + width * np.arange(len(text))
+                last = np.minimum(skip - (-(marks + width) * 4 // 3), skip + size) - 1
+                yield layer.child(text, "base64", places[skip + marks * 4 // 3], places[last] + 1)
+            seen, how = set(), "base64"
+            while raw not in seen and (more := _unpacked(raw)) is not None:
+                seen.add(raw)
+                raw, how = more[0], f"{how}/{more[1]}"
+                for text, _, _ in _readings(raw):
+                    count = len(text)
+                    yield layer.child(text, how, np.full(count, begin), np.full(count, finish))
 
 
 def findings(text: str) -> list[tuple[str, int, int, str]]:

@@ -124,6 +124,38 @@ def test_layers_that_are_not_clean_text(raw):
     assert 9 <= found[0][1] < found[0][2] <= 9 + len(packed)
 
 
+@pytest.mark.parametrize("width", [20, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n    ", "\\n"])
+def test_base64_over_lines(width, end):
+    secret = "password=" + "hunter2" * 20
+    for clear, size in ((f"a key {secret} and more", len(secret)), ("x" * 90 + f" {secret}!", len(secret))):
+        packed = wrap64(clear)
+        lines = end.join(packed[k : k + width] for k in range(0, len(packed), width))
+        found = [(a, b) for _, a, b, _ in secrets.findings(f"é {lines} after")]
+        # From the first to the last character that holds a part of the secret.
+        at = clear.index(secret)
+        place = [k for k in range(len(lines)) if not any(lines[j : j + len(end)] == end for j in range(max(0, k - len(end) + 1), k + 1))]
+        assert (2 + place[at * 4 // 3], 3 + place[-(-(at + size) * 4 // 3) - 1]) in found
+
+
+def test_compressed_base64_over_lines():
+    rng = random.Random(5)
+    clear = " ".join(f"{rng.random()}" for _ in range(200)) + " " + SECRET
+    packed = base64.encodebytes(gzip.compress(clear.encode(), mtime=0)).decode()
+    assert packed.count("\n") > 3
+    assert [f[0] for f in secrets.findings(f"é before:\n{packed}after it")] == ["assign"]
+
+
+@pytest.mark.parametrize("before", ["/x/", "key_", "a-", "data/ab/", "k", "ke", "key", "/x_y-z/"])
+@pytest.mark.parametrize("after", ["", "/y/file", "_x", "-1"])
+@pytest.mark.parametrize("clear", ["key " + SECRET, SECRET, SECRET + "3"])
+def test_base64_in_paths_and_names(before, after, clear):
+    packed = wrap64(clear).rstrip("=")
+    found = secrets.findings(f"see {before}{packed}{after} there")
+    start = 4 + len(before) + clear.index("password") * 4 // 3
+    assert [(k, a, b) for k, a, b, _ in found] == [("assign", start, 4 + len(before) + len(packed))]
+
+
 def test_cycles_end():
     # Decoding gives the same text again through another escape.
     assert secrets.findings("%2541%252541 \\u005cu0041 %25%32%35") == []
