@@ -8,6 +8,8 @@ into each other, and each copy of an encoded secret has its own span. Decoded by
 not be clean text: they are read byte by byte, and as UTF-16 where they look like it.
 Base64 is read from each of its first four characters, line by line and over line ends;
 where a line alone and the joined lines both show a secret, both spans are listed.
+Compressed data (gzip, zlib, bzip2, xz, zstandard) is unpacked to its end, all members, as a
+stream in pieces, at any place of a layer; its findings have the range of the data as span.
 Every character of a layer knows the characters of the original it came from, so a
 finding in any layer is a span of the original text.
 
@@ -18,12 +20,14 @@ Null and empty texts have no findings. Equal rows give equal rows. Extra columns
 from __future__ import annotations
 
 import binascii
+import bisect
 import bz2
 import hashlib
 import itertools
 import lzma
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,9 +63,21 @@ _WRAPPED = re.compile(
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:(?:\r?\n|(?:\\r)?\\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}"
 )
 _STANDARD = str.maketrans("-_", "+/")
-# A compressed layer that unfolds beyond this many bytes is left packed, as a defence
-# against archives made to fill the memory.
-LARGEST_LAYER = 64 << 20
+# How compressed data begins, as characters and as bytes.
+_PACKED = re.compile(
+    "\x1f\x8b\x08|x[\x01^\x9c\xda]|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\\x00|\\(\xb5/\xfd|[P-_]\\*M\x18"
+)
+_PACKED_BYTES = re.compile(_PACKED.pattern.encode("latin-1"))
+# The escapes above, and the short ones of strings.
+_STRING = re.compile(_ESCAPE.pattern + r"""|\\([nrtbfav0'"\\/])""")
+_SHORT = dict(zip("nrtbfav0", "\n\r\t\b\f\a\v\0", strict=True))
+# Places between bytes that no secret and no encoding of one has inside, unless there are escapes around.
+_BORDER = re.compile(
+    rb"[,()<>\[\]!?*~^|$@;\x80-\xff](?=[^\0&])|[A-Za-z0-9.] (?=[A-Za-z0-9])|\n(?=\r?\n)|[.:}\"']\r?\n(?=[^\0])|\0\0(?=\0)"
+)
+_ESCAPED = re.compile(rb"\\[xu]|%[0-9A-Fa-f]{2}|&#")
+# Bytes unpacked in one step, bytes put in for zstandard, and bytes of unpacked text scanned at once.
+STEP, STEP_IN, PIECE = 1 << 16, 1 << 10, 1 << 20
 
 SPAN = T.StructType(
     [
@@ -75,27 +91,39 @@ _ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", p
 
 
 class Layer:
-    """A text, how it was unwrapped, and the original characters behind each of its own."""
+    """A text, how it was unwrapped, and the original characters behind each of its own.
 
-    def __init__(self, text: str, path: str = "", start=None, end=None):
+    ``outer`` is the range of the whole layer. Without ``start`` and ``end`` all of an
+    unwrapped layer comes from there. The compressed data of a ``cut`` layer is read elsewhere.
+    """
+
+    def __init__(self, text: str, path: str = "", start=None, end=None, outer=None, depth: int = 0, cut: bool = False):
         self.text, self.path, self.start, self.end = text, path, start, end
+        self.outer, self.depth, self.cut = outer, depth, cut
 
     def original(self, start: int, end: int) -> tuple[int, int]:
-        if self.start is None:
-            return start, end
-        return int(self.start[start]), int(self.end[end - 1])
+        if self.start is not None:
+            return int(self.start[start]), int(self.end[end - 1])
+        return self.outer or (start, end)
 
-    def child(self, text: str, how: str, start: np.ndarray, end: np.ndarray) -> Layer:
-        """A layer whose characters come from the ranges [start, end) of this one."""
+    def child(self, text: str, how: str, start: np.ndarray, end: np.ndarray, outer=None, cut: bool = False) -> Layer:
+        """A layer whose characters come from the ranges [start, end) of this one, all of them from ``outer``."""
         if self.start is not None:
             start, end = self.start[start], self.end[end - 1]
-        return Layer(text, f"{self.path}/{how}" if self.path else how, start, end)
+        elif self.outer:
+            start = end = None
+        outer = self.original(*outer) if outer else self.outer
+        return Layer(text, self.way(how), start, end, outer, self.depth + 1, cut)
+
+    def way(self, how: str) -> str:
+        return f"{self.path}/{how}" if self.path else how
 
     def key(self) -> bytes:
         """Equal for layers of equal text from the same characters."""
         out = hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"))
         if self.start is not None:
             out.update(self.start.tobytes() + self.end.tobytes())
+        out.update(repr((self.outer, self.cut)).encode())
         return out.digest()
 
 
@@ -126,32 +154,33 @@ def _rewritten(layer: Layer, how: str, changes: list[tuple[int, int, str, list[i
     )
 
 
-def _marks(text: str, unit: int) -> list[int]:
-    """Where each character of decoded bytes begins in its escapes of ``unit`` characters a byte."""
-    out, at = [], 0
-    for c in text:
-        out.append(at * unit)
-        at += len(c.encode())
-    return out
-
-
 def _percent(layer: Layer) -> Iterator[Layer]:
+    """Escapes as bytes, like those of base64; data that is packed also with + as a blank."""
     changes = []
     for m in _PERCENT.finditer(layer.text):
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            new = raw.decode()
-            changes.append((m.start(), m.end(), new, _marks(new, 3)))
-        except UnicodeDecodeError:
-            new = raw.decode("latin-1")
-            changes.append((m.start(), m.end(), new, [3 * k for k in range(len(raw))]))
+        new = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+        changes.append((m.start(), m.end(), new, list(range(0, 3 * len(new), 3))))
     if changes:
-        yield _rewritten(layer, "url", changes)
+        yield (new := _rewritten(layer, "url", changes))
+        if "+" in layer.text and _PACKED.search(new.text):
+            blanks = [(m.start(), m.end(), " ", [0]) for m in re.finditer(r"\+", layer.text)]
+            yield _rewritten(layer, "url", sorted(changes + blanks))
 
 
 def _unicode(layer: Layer) -> Iterator[Layer]:
+    """Escapes as characters; data that is packed also with the short escapes of strings."""
+    if changes := _unescaped(_ESCAPE, layer.text):
+        yield (new := _rewritten(layer, "unicode", changes))
+        if _PACKED.search(new.text) or "\x1f\x8b" in new.text:
+            yield _rewritten(layer, "unicode", _unescaped(_STRING, layer.text))
+
+
+def _unescaped(pattern: re.Pattern, text: str) -> list[tuple[int, int, str, list[int]]]:
     changes = []
-    for m in _ESCAPE.finditer(layer.text):
+    for m in pattern.finditer(text):
+        if pattern is _STRING and m[6]:
+            changes.append((m.start(), m.end(), _SHORT.get(m[6], m[6]), [0]))
+            continue
         if m[1]:
             units = bytes.fromhex(m[1].replace("\\u", ""))
             new = units.decode("utf-16-be", "replace")
@@ -164,29 +193,168 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         point = int(m[2] or m[3] or m[5], 16) if m[4] is None else int(m[4])
         if point < 0x110000 and not 0xD800 <= point < 0xE000:
             changes.append((m.start(), m.end(), chr(point), [0]))
-    if changes:
-        yield _rewritten(layer, "unicode", changes)
-
-
-def _unpacked(raw: bytes) -> tuple[bytes, str] | None:
-    """Data unpacked from one compressed format, or None."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78":
-            tool, how = zlib.decompressobj(47), "zlib"
-        elif raw[:3] == b"BZh":
-            tool, how = bz2.BZ2Decompressor(), "bz2"
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            tool, how = lzma.LZMADecompressor(memlimit=2 * LARGEST_LAYER), "xz"
-        elif raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                out = reader.read(LARGEST_LAYER + 1)
-            return (out, "zstd") if len(out) <= LARGEST_LAYER else None
-        else:
-            return None
-        out = tool.decompress(raw, LARGEST_LAYER + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    return (out, how) if out and len(out) <= LARGEST_LAYER else None
+    return changes
+
+
+class _Zstandard:
+    """A frame, unpacked from so little at a time that no step is large."""
+
+    def __init__(self):
+        self.tool, self.eof, self.unused_data, self.unconsumed_tail = zstandard.ZstdDecompressor().decompressobj(), False, b"", b""
+
+    def decompress(self, data: bytes, _: int) -> bytes:
+        out = self.tool.decompress(data[:STEP_IN]) if data else b""
+        self.eof, self.unconsumed_tail = self.tool.eof, data[STEP_IN:]
+        if self.eof:
+            self.unused_data = self.tool.unused_data + data[STEP_IN:]
+        return out
+
+
+def _tool(data: bytes):
+    """What unpacks data that begins like this, and its name, or None."""
+    if data[:3] == b"\x1f\x8b\x08" or data[:1] == b"\x78" and int.from_bytes(data[:2]) % 31 == 0:
+        return zlib.decompressobj(47), "zlib"
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor(), "bz2"
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(), "xz"
+    if data[:4] == b"\x28\xb5\x2f\xfd" or data[1:4] == b"*M\x18" and 0x50 <= data[0] < 0x60:
+        return _Zstandard(), "zstd"
+    return None
+
+
+class _Unpacked:
+    """The content of all members or frames that follow each other, in chunks.
+
+    Afterwards ``used`` is the number of bytes they took and ``whole`` the number of
+    members that ended. ``open`` means that the data ended before the last member.
+    """
+
+    def __init__(self, source: Iterator[bytes]):
+        self.source, self.used, self.whole, self.open = iter(source), 0, 0, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data, taken = b"", 0
+        try:
+            while True:
+                while len(data) < 6 and (more := next(self.source, b"")):
+                    data, taken = data + more, taken + len(more)
+                if (found := _tool(data)) is None:
+                    # Members may be padded with zeros.
+                    if self.whole and data[:1] == b"\0":
+                        data = data.lstrip(b"\0")
+                        continue
+                    return
+                tool = found[0]
+                while not tool.eof:
+                    out = tool.decompress(data, STEP)
+                    data = getattr(tool, "unconsumed_tail", b"")
+                    if out:
+                        yield out
+                    elif not data and not tool.eof:
+                        if not (data := next(self.source, b"")):
+                            self.open, self.used = True, taken
+                            return
+                        taken += len(data)
+                data, self.whole = tool.unused_data, self.whole + 1
+                self.used = taken - len(data)
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            self.used = self.used if self.whole else taken
+
+
+def _after(text: str, at: int) -> Iterator[bytes]:
+    """The bytes that the characters from a place on stand for."""
+    for k in range(at, len(text), STEP):
+        part = text[k : k + STEP]
+        try:
+            yield part.encode("latin-1")
+        except UnicodeEncodeError as e:
+            yield part[: e.start].encode("latin-1")
+            return
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """Chunks joined and cut where no secret and no encoded data goes on.
+
+    Where there is no such place the piece grows, so memory holds the longest unbroken run.
+    """
+    held, size, least = [], 0, PIECE
+    for chunk in chunks:
+        held.append(chunk)
+        size += len(chunk)
+        if size < least:
+            continue
+        cut = 0
+        for start in (max(0, len(chunk) - 4096), 0):
+            for m in _BORDER.finditer(chunk, start, max(start, len(chunk) - 8)):
+                if not _ESCAPED.search(chunk, max(0, m.end() - 64), m.end() + 64):
+                    cut = m.end()
+            if cut:
+                break
+        if not cut:
+            continue
+        piece = b"".join(held)
+        cut += size - len(chunk)
+        at = 0
+        while (m := _PACKED_BYTES.search(piece, at)) and m.start() < cut:
+            # Packed data that goes on after the cut stays together.
+            inner, at = _Unpacked(iter([piece[m.start() :]])), m.start() + 1
+            for _ in inner:
+                pass
+            if inner.open or inner.whole and m.start() + inner.used > cut:
+                cut = m.start()
+            elif inner.whole:
+                at = m.start() + inner.used
+        if cut:
+            yield piece[:cut]
+        held, size = [piece[cut:]], len(piece) - cut
+        least = max(PIECE, 2 * size)
+    if size:
+        yield b"".join(held)
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """What compressed data in the layer unfolds to, piece by piece, all from its one range."""
+    text, at = layer.text, 0
+    while not layer.cut and (m := _PACKED.search(text, at)):
+        begin, at = m.start(), m.start() + 1
+        how, seen, size = [], set(), 0
+
+        def source(begin=begin):
+            return _after(text, begin)
+
+        while (found := _tool(b"".join(itertools.islice(_sized(source()), 1)))) is not None:
+            # Once through for the end and for data that unfolds to itself.
+            inner, digest, some = _Unpacked(source()), hashlib.blake2b(), False
+            for chunk in inner:
+                digest.update(chunk)
+                some = True
+            if not size:
+                size = inner.used
+                at = begin + size if inner.whole else at
+            if not some or digest.digest() in seen:
+                break
+            seen.add(digest.digest())
+            how.append(found[1])
+            whole = begin == 0 and size == len(text) and layer.outer
+            outer = layer.outer if whole else layer.original(begin, begin + size)
+
+            def source(before=source):
+                return iter(_Unpacked(before()))
+
+            for piece in _pieces(source()):
+                for new, _, _ in _readings(piece):
+                    yield Layer(new, layer.way("/".join(how)), outer=outer, depth=layer.depth + 1)
+
+
+def _sized(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """The first bytes of a stream, enough to know its format."""
+    head = b""
+    for chunk in chunks:
+        head += chunk
+        if len(head) >= 6:
+            break
+    yield head
 
 
 def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
@@ -195,7 +363,7 @@ def _readings(raw: bytes) -> Iterator[tuple[str, int, int]]:
     Patterns and encodings are ASCII, so Latin-1 reads UTF-8 and everything else that
     keeps ASCII, controls and marks included. Bytes that can hold no finding have no reading.
     """
-    if _NARROW.search(raw):
+    if _NARROW.search(raw) or _PACKED_BYTES.search(raw):
         yield raw.decode("latin-1"), 0, 1
     if b"\0" not in raw:
         return
@@ -220,9 +388,13 @@ def _base64(layer: Layer) -> Iterator[Layer]:
     A piece of a run, as after a path or a name, is read in full by the reading that begins
     in step with it: / and - and _ before or after it do not become part of a secret.
     """
-    for m in itertools.chain(_BASE64.finditer(layer.text), _WRAPPED.finditer(layer.text)):
+    joined = list(_WRAPPED.finditer(layer.text))
+    ends = [m.end() for m in joined]
+    for m in itertools.chain(_BASE64.finditer(layer.text), joined):
         begin, finish = m.start(), m.end()
         wrapped = m.re is _WRAPPED
+        k = bisect.bisect_left(ends, finish)
+        cut = not wrapped and k < len(joined) and joined[k].start() <= begin
         packed = _LINE_END.sub("", m[0]) if wrapped else m[0]
         packed = packed.rstrip("=").translate(_STANDARD)
         places = None
@@ -235,14 +407,7 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                     places = _places(layer.text, begin, begin + len(m[0].rstrip("="))) if wrapped else np.arange(begin, finish)
                 marks = first + width * np.arange(len(text))
                 last = np.minimum(skip - (-(marks + width) * 4 // 3), skip + size) - 1
-                yield layer.child(text, "base64", places[skip + marks * 4 // 3], places[last] + 1)
-            seen, how = set(), "base64"
-            while raw not in seen and (more := _unpacked(raw)) is not None:
-                seen.add(raw)
-                raw, how = more[0], f"{how}/{more[1]}"
-                for text, _, _ in _readings(raw):
-                    count = len(text)
-                    yield layer.child(text, how, np.full(count, begin), np.full(count, finish))
+                yield layer.child(text, "base64", places[skip + marks * 4 // 3], places[last] + 1, (places[skip], finish), cut)
 
 
 def findings(text: str) -> list[tuple[str, int, int, str]]:
@@ -252,18 +417,30 @@ def findings(text: str) -> list[tuple[str, int, int, str]]:
     itself, else the ways it was unwrapped. A span found in several layers
     is listed once, with the outermost.
     """
-    found: dict[tuple[int, int, int], str] = {}
-    work, seen = [Layer(text)], set()
-    for layer in work:
+    found: dict[tuple[int, int, int], tuple[int, str]] = {}
+    _collect(Layer(text), found, set())
+    return [(KINDS[k], a, b, found[a, k, b][1]) for a, k, b in sorted(found)]
+
+
+def _collect(first: Layer, found: dict, seen: set) -> None:
+    work = deque([first])
+    while work:
+        layer = work.popleft()
         for kind, start, end in scan(layer.text):
             a, b = layer.original(start, end)
-            found.setdefault((a, KINDS.index(kind), b), layer.path)
-        for unwrap in (_percent, _unicode, _base64):
+            key = a, KINDS.index(kind), b
+            if key not in found or layer.depth < found[key][0]:
+                found[key] = layer.depth, layer.path
+        for unwrap in (_percent, _unicode, _base64, _packed):
             for new in unwrap(layer):
-                if (key := new.key()) not in seen:
-                    seen.add(key)
+                if (key := new.key()) in seen:
+                    continue
+                seen.add(key)
+                # Pieces of a stream are settled one by one, so that it need not fit in memory.
+                if unwrap is _packed:
+                    _collect(new, found, seen)
+                else:
                     work.append(new)
-    return [(KINDS[k], a, b, found[a, k, b]) for a, k, b in sorted(found)]
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
