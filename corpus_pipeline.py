@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 from faultline.llm import byte_bpe, language, mixing, ngram_join, secrets
 from faultline.llm.shared import discard, written
 
-# A text whose best language scores less than this has no language the model knows.
+# A text whose best language scores less than this has no language the model knows, unless
+# its score is small because the text is very short or long: measured scores of such texts in
+# a known language are from 0.63 of what the size allows.
 LEAST_SCORE = 0.1
+LEAST_SHARE = 0.5
 # Ranks that encode the texts that are left.
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -28,9 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     The model learns from ``lang`` of the documents given, and ``lang`` stays as it is.
     """
-    found, score = "__language", "__language_score"
-    scored = language.predict(docs, language.train(docs, F.lit(True)), into=(found, score))
-    return scored.where((F.col(found) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).drop(found, score)
+    found, score, share = into = ("__language", "__language_score", "__language_share")
+    scored = language.predict(docs, language.train(docs, F.lit(True)), into=into)
+    near = (F.col(score) >= LEAST_SCORE) | (F.col(share) >= LEAST_SHARE)
+    return scored.where((F.col(found) != language.UNKNOWN) & near).drop(*into)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

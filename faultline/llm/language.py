@@ -44,6 +44,8 @@ class Model(NamedTuple):
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    # Norm of a usual landmark before it is scaled.
+    norm: float = 1.0
 
 
 def presence(block: Block) -> np.ndarray:
@@ -116,33 +118,47 @@ def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LAN
     languages = sorted(set(names))
     if not languages:
         return None
-    x = _normal(np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :_SIZE])
+    present = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :_SIZE]
+    x = _normal(present)
     y = np.array([[float(n == lang) for lang in languages] for n in names])
     each = max(1, LANDMARKS // len(languages))
     rows = [k for lang in languages for k in [j for j, n in enumerate(names) if n == lang][:each]]
     landmarks = np.unique(x[rows], axis=0)
+    norm = float(np.median(np.linalg.norm(present[rows] * _SCALE, axis=1)))
     values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
     good = values > 1e-6 * max(values[-1], 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
     features = (x @ landmarks.T) @ root
     gram = features.T @ features + RIDGE * len(x) * np.eye(features.shape[1]) / features.shape[1]
-    return Model(languages, landmarks, (root @ np.linalg.solve(gram, features.T @ y)).astype(np.float32))
+    return Model(languages, landmarks, (root @ np.linalg.solve(gram, features.T @ y)).astype(np.float32), norm)
 
 
 def scores(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Scores of each text by language, and whether the text has a letter."""
+    by_language, real, _ = _scored(model, block)
+    return by_language, real
+
+
+def _scored(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Also the kernel value that a text reaches at most with a usual landmark, by the norms of both."""
     bits = presence(block)
-    return (_normal(bits) @ model.landmarks.T) @ model.weights, bits.any(axis=1)
+    norms = np.linalg.norm(bits * _SCALE, axis=1)
+    most = np.minimum(norms, model.norm) / np.maximum(np.maximum(norms, model.norm), 1e-12)
+    return (_normal(bits) @ model.landmarks.T) @ model.weights, bits.any(axis=1), np.maximum(most, 1e-12)
 
 
 def predict(
-    docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")
+    docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, ...] = ("lang_pred", "score")
 ) -> DataFrame:
-    """Every row with its language and a score from 0 to 1, in the columns ``into``, which they replace."""
+    """Every row with its language and a score from 0 to 1, in the columns ``into``, which they replace.
+
+    Kernel values of texts with far fewer or far more grams than the landmarks are small
+    whatever the language. A third column has the score as a share of what the size of the text allows.
+    """
     kept = [f for f in docs.schema if f.name not in into]
     if model is None:
         plain = docs.select(*[f"`{f.name}`" for f in kept])
-        return plain.withColumns({into[0]: F.lit(UNKNOWN), into[1]: F.lit(0.0)})
+        return plain.withColumns({into[0]: F.lit(UNKNOWN), **{n: F.lit(0.0) for n in into[1:]}})
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f.name for f in kept]
 
@@ -150,16 +166,17 @@ def predict(
         known = shared.value
         label = np.array([*known.languages, UNKNOWN], object)
         for block in blocks(batches, text):
-            by_language, real = scores(known, block)
+            by_language, real, most = _scored(known, block)
             best = np.where(real, by_language.argmax(axis=1), len(known.languages))
-            score = np.where(real, np.clip(by_language.max(axis=1), 0, 1), 0.0)
+            score = by_language.max(axis=1)
+            values = [np.where(real, np.clip(v, 0, 1), 0.0) for v in (score, score / most)[: len(into) - 1]]
             yield pa.RecordBatch.from_arrays(
                 [block.rows.column(block.rows.schema.get_field_index(n)) for n in names]
-                + [pa.array(label[best], pa.string()), pa.array(score, pa.float64())],
+                + [pa.array(label[best], pa.string()), *[pa.array(v, pa.float64()) for v in values]],
                 names=[*names, *into],
             )
 
-    more = [T.StructField(into[0], T.StringType()), T.StructField(into[1], T.DoubleType())]
+    more = [T.StructField(into[0], T.StringType()), *[T.StructField(n, T.DoubleType()) for n in into[1:]]]
     return docs.mapInArrow(run, T.StructType([*kept, *more]))
 
 

@@ -80,3 +80,18 @@ def test_empty_table_and_run(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars int")
     assert [d.count() for d in through(spark, empty)] == [0] * 6
     assert corpus_pipeline.run(spark, ROOT).count() > 0
+
+
+def test_short_and_long_texts_keep_their_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    words = [(10**6 + k, r.text.split()[5], None, r.source) for k, r in enumerate(docs) if r.text and len(r.text.split()) > 10]
+    words = [w for w in words if any(c.isalpha() for c in w[1])]
+    long = []
+    for lang in sorted({r.lang for r in docs if r.lang}):
+        long.append((2 * 10**6 + len(long), " ".join(r.text for r in docs if r.text and r.lang == lang), None, "a"))
+    far = [(3 * 10**6, "Съешь же ещё этих мягких французских булок, да выпей чаю", None, "a")]
+    rows = [tuple(r) for r in docs] + words + long + far
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, frame, ROOT).collect()}
+    lettered = {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
+    assert lettered - kept == {3 * 10**6}
