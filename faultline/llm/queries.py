@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import byte_bpe, chat, language, mixing, ngram_join, quality_rules, repeated, secrets, top_k, warc
+from faultline.llm import (
+    byte_bpe,
+    chat,
+    language,
+    mixing,
+    ngram_join,
+    quality_rules,
+    repeated,
+    runs,
+    secrets,
+    sharding,
+    top_k,
+    warc,
+    whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -220,3 +234,48 @@ SELECT page_id, record_type,
   source_block_digest, source_payload_digest, block
 FROM ids
 """
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text, and digests of the texts without the repeats."""
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and place of every document, and its shard once one more joins."""
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+# The checksum is computed byte by byte, as this engine has none.
+CHECKS["op12_rendezvous_shards"] = r"""
+WITH entries AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), bytes AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS k, strlen(coalesce(text, '')) + 1 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b
+  FROM documents
+), summed AS (
+  SELECT doc_id, k, size, xor(list_reduce(list_prepend(4294967295, b),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32
+  FROM bytes, entries
+), drawn AS (
+  SELECT *, list_transform(range(17), lambda s:
+    1.0 / -ln((('0x' || substr(md5(k || ':' || s), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)) AS d
+  FROM summed
+), placed AS (
+  SELECT *, list_position(d[1:16], list_max(d[1:16])) - 1 AS shard FROM drawn
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(k), k, size, text_crc32) - 1 AS slot,
+       (CASE WHEN d[17] > list_max(d[1:16]) THEN 16 ELSE shard END)::INTEGER AS grown_shard
+FROM placed
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all usable embeddings."""
+    return whitening.report(table(spark, sf_dir, "embeddings"))
