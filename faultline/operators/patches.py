@@ -10,11 +10,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from faultline.functions import text as X
+from faultline.functions import text as X, tokens
 
 # What the edits look for.
 ANY_DIVISION = r"(\w+)\s*/\s*(\w+)"
-NAMED_DIVISION = r"(\w+)\s*/\s*([A-Za-z_]\w*+(?:\.\w++)*+)(?!\s*\()"
 MEMORY_SETTING = r"""('memory':\s*'[0-9]+[A-Za-z]+'|"memory":\s*"[0-9]+[A-Za-z]+")"""
 MEMORY_WORDS = ("limits", "resources", "memory")
 MEMORY_UNITS = ("Mi", "Gi")
@@ -63,18 +62,21 @@ def patch_column_rename(
 
 
 def patch_zero_division(files: DataFrame, literal_too: bool = False) -> DataFrame:
-    """Guard divisors with ``NULLIF`` on lines that are not comments.
+    """Guard divisors with ``NULLIF``.
 
-    By default only column divisors are guarded, and a second run changes nothing.
-    ``literal_too`` guards the word after every slash, whatever it is.
+    Divisors that name a column are guarded, alone or in brackets, wherever they stand in
+    a chain; literals, calls, strings, comments and templates are left alone, and a second run
+    changes nothing. ``literal_too`` instead guards the word after every slash on
+    lines that are not comments, whatever it is.
     """
-    pattern = ANY_DIVISION if literal_too else NAMED_DIVISION
+    if not literal_too:
+        return tokens.guard_divisors(files, "content", "patched", GUARD_NOTE)
 
     def applies(line: Column) -> Column:
         return F.contains(line, F.lit("/")) & ~F.startswith(X.strip(line), F.lit("--"))
 
     def edit(line: Column) -> Column:
-        return F.regexp_replace(line, pattern, "$1 / NULLIF($2, 0)")
+        return F.regexp_replace(line, ANY_DIVISION, "$1 / NULLIF($2, 0)")
 
     patched = _edit_lines(F.col("content"), applies, edit, GUARD_NOTE)
     return files.withColumn(
@@ -257,25 +259,10 @@ def incident_patches(requests: DataFrame, files: DataFrame, new_memory: str = "4
     )
 
 
-DIVISION = r"(\w+)\s*/\s*([A-Za-z_][\w.]*)(\s*\()?"
-
-
 def division_scan(files: DataFrame) -> DataFrame:
-    """Every unguarded division by a named column: where the next failure may be."""
-    numbered = files.select("repo", "file_path", F.posexplode(F.split("content", "\n")).alias("_pos", "_line"))
-    candidates = numbered.where(
-        F.contains("_line", F.lit("/")) & ~F.startswith(X.strip(F.col("_line")), F.lit("--"))
-    )
-    hits = candidates.select(
-        "repo",
-        "file_path",
-        (F.col("_pos") + 1).alias("line_no"),
-        F.explode(F.regexp_extract_all("_line", F.lit(DIVISION), F.lit(0))).alias("_hit"),
-    ).where(~F.endswith("_hit", F.lit("(")))
-    return hits.select(
-        "repo",
-        "file_path",
-        "line_no",
-        F.regexp_extract("_hit", DIVISION, 1).alias("numerator"),
-        F.regexp_extract("_hit", DIVISION, 2).alias("denominator"),
-    )
+    """Every unguarded division by a column: where the next failure may be.
+
+    ``numerator`` and ``denominator`` are names with their qualifiers, literals, or ``(...)`` for brackets.
+    """
+    some = files.where(F.contains("content", F.lit("/"))).select("repo", "file_path", "content")
+    return tokens.with_divisors(some, "content").select("repo", "file_path", F.inline(tokens.divisions()))

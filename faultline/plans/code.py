@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from faultline.operators import lineage, ownership, patches, triage
@@ -9,15 +11,64 @@ from faultline.plans import alerts, derived
 from faultline.plans.registry import query
 from faultline.plans.triage import routed
 
-derived.DERIVED["repo_files"] = """
-SELECT doc_id, source AS repo, 'queries/q_' || cast(doc_id AS string) || '.sql' AS file_path,
-  text || chr(10) || 'select net_' || cast(doc_id AS string) || ' / gross_' || cast(doc_id % 7 AS string) || ' as rate,' || chr(10)
-  || '  -- a / b only a remark' || chr(10) || '  cents / 100.0 as usd, t.paid/t.due as share,   ' || chr(10)
-  || '  total / count(x) as mean, x / NULLIF(y, 0) as safe' || chr(10)
-  || '  c.customer_account_id, my_customer_account_id_x' || chr(10)
-  || 'resources = dict("memory": "2048Mi", "cpu": "1000m")' || chr(10)
-  || CASE WHEN doc_id % 2 = 0 THEN 'limits: ''memory'': ''8Gi''' || chr(10) ELSE '' END AS content
-FROM {documents}
+# Lines of a source file, their guarded form, and the divisions on them as (numerator, denominator). ``#`` stands for the
+# number of the file, ``%`` for a remainder of it, ``@`` for the text of the document.
+NOTE = patches.GUARD_NOTE
+FILE_LINES = (
+    (
+        "select net_# / gross_% as rate, 'data/raw' as p,",
+        f"select net_# / NULLIF(gross_%, 0) as rate, 'data/raw' as p,{NOTE}",
+        [("net_#", "gross_%")],
+    ),
+    ("  -- a / b only a remark", None, []),
+    (
+        "  cents / 100.0 as usd, t.paid/t.due as share,   ",
+        f"  cents / 100.0 as usd, t.paid / NULLIF(t.due, 0) as share,{NOTE}",
+        [("t.paid", "t.due")],
+    ),
+    ("  total / count(x) as mean, x / NULLIF(y, 0) as safe, 'http://host/path' as url", None, []),
+    (
+        "  a/b/c as chain, (a + b)/c as part, -- d / e",
+        f"  a / NULLIF(b, 0) / NULLIF(c, 0) as chain, (a + b) / NULLIF(c, 0) as part, -- d / e{NOTE}",
+        [("a", "b"), ("b", "c"), ("(...)", "c")],
+    ),
+    (
+        "  p / (q - f(r)) as gap, p / (2 * 3) as sixth",
+        f"  p / NULLIF((q - f(r)), 0) as gap, p / (2 * 3) as sixth{NOTE}",
+        [("p", "(...)")],
+    ),
+    (
+        "  'it''s / not' || \"m / n\".o / \"s\"",
+        f"  'it''s / not' || \"m / n\".o / NULLIF(\"s\", 0){NOTE}",
+        [('"m / n".o', '"s"')],
+    ),
+    ("  , {{ ref('x/y') }} as z, k / {{ w }} as late, g / h[1] as one", None, []),
+    ("  c.customer_account_id, my_customer_account_id_x /* e / f", None, []),
+    ("  @ g / h */, i / j as after", f"  @ g / h */, i / NULLIF(j, 0) as after{NOTE}", [("i", "j")]),
+    ('resources = dict("memory": "2048Mi", "cpu": "1000m")', None, []),
+)
+COLUMNS = {"#": "cast(doc_id AS string)", "%": "cast(doc_id % 7 AS string)", "@": "text"}
+
+
+def _literal(line: str) -> str:
+    """A line as an SQL expression."""
+    pieces = []
+    for piece in re.split("([#%@])", line):
+        quoted = "'" + piece.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
+        pieces.append(COLUMNS.get(piece, quoted))
+    return " || ".join(pieces)
+
+
+def _file(lines) -> str:
+    """Lines and, in every second file, one more, as an SQL expression."""
+    body = " || ".join(f"{_literal(line)} || chr(10)" for line in lines)
+    return body + " || CASE WHEN doc_id % 2 = 0 THEN 'limits: ''memory'': ''8Gi''' || chr(10) ELSE '' END"
+
+
+derived.DERIVED["repo_files"] = f"""
+SELECT doc_id, text, source AS repo, 'queries/q_' || cast(doc_id AS string) || '.sql' AS file_path,
+  {_file(line for line, _, _ in FILE_LINES)} AS content
+FROM {{documents}}
 """
 
 # Content always ends with a line end, so lines are the parts before the last one.
@@ -31,18 +82,16 @@ def edited(condition: str, edit: str, note: str) -> str:
 
 
 NULLIF_ANY = r"regexp_replace(x, '(\w+)\s*/\s*(\w+)', '\1 / NULLIF(\2, 0)', 'g')"
-# Calls are masked first, because this pattern language cannot look ahead.
-NULLIF_NAMED = (
-    r"replace(regexp_replace(regexp_replace(x, '(\w+\s*)/(\s*[A-Za-z_]\w*(?:\.\w+)*\s*\()', '\1§\2', 'g'), "
-    r"'(\w+)\s*/\s*([A-Za-z_]\w*(?:\.\w+)*)', '\1 / NULLIF(\2, 0)', 'g'), '§', '/')"
-)
 MEMORY = r"""regexp_replace(x, '(''memory'':\s*''[0-9]+[A-Za-z]+''|"memory":\s*"[0-9]+[A-Za-z]+")', '''memory'': ''4096Mi''', 'g')"""
 IS_MEMORY = (
     "(contains(x, 'limits') OR contains(x, 'resources') OR contains(x, 'memory')) AND (contains(x, 'Mi') OR contains(x, 'Gi'))"
 )
 
 derived.DERIVED["guarded_any"] = edited(IS_CODE, NULLIF_ANY, patches.GUARD_NOTE)
-derived.DERIVED["guarded_named"] = edited(IS_CODE, NULLIF_NAMED, patches.GUARD_NOTE)
+# The guarded file is put together from the lines above; no pattern takes part.
+derived.DERIVED["guarded_named"] = f"""
+SELECT doc_id, content, {_file(guarded or line for line, guarded, _ in FILE_LINES)} AS patched FROM {{repo_files}}
+"""
 derived.DERIVED["resized"] = edited(IS_MEMORY, MEMORY, patches.MEMORY_NOTE)
 
 
@@ -200,16 +249,21 @@ def _(t):
     ).select("run_id", "repo_name", "status", "code_diff", "pr_url", "approval_id")
 
 
-@query(
-    "division_scan",
-    r"""SELECT file_path, line_no, regexp_extract(hit, '(\w+)\s*/\s*([A-Za-z_][\w.]*)', 1) AS numerator,
-         regexp_extract(hit, '(\w+)\s*/\s*([A-Za-z_][\w.]*)', 2) AS denominator
-       FROM (SELECT file_path, line_no, unnest(regexp_extract_all(x, '(\w+)\s*/\s*([A-Za-z_][\w.]*)(\s*\()?')) AS hit
-         FROM (SELECT file_path, cast(generate_subscripts(l, 1) AS int) AS line_no, unnest(l) AS x
-           FROM (SELECT file_path, string_split(content, chr(10)) AS l FROM {repo_files}) a) b
-         WHERE contains(x, '/') AND NOT starts_with(regexp_replace(x, '^\s+', ''), '--')) c
-       WHERE NOT ends_with(hit, '(')""",
-)
+def _division_rows() -> str:
+    """The divisions of the lines above, one SELECT each; lines behind the text of the document move down."""
+    found, moved = [], False
+    for number, (line, _, divisions) in enumerate(FILE_LINES, 1):
+        moved = moved or "@" in line
+        more = " + length(text) - length(replace(text, chr(10), ''))" if moved else ""
+        for numerator, denominator in divisions:
+            found.append(
+                f"SELECT file_path, cast({number}{more} AS int) AS line_no, {_literal(numerator)} AS numerator, "
+                f"{_literal(denominator)} AS denominator FROM {{repo_files}} WHERE content IS NOT NULL"
+            )
+    return " UNION ALL ".join(found)
+
+
+@query("division_scan", _division_rows())
 def _(t):
     return patches.division_scan(t.repo_files).select("file_path", "line_no", "numerator", "denominator")
 

@@ -26,8 +26,8 @@ GUARD = patches.GUARD_NOTE + "\n"
         ("a / t.b\n", "a / NULLIF(t.b, 0)" + GUARD, "a / NULLIF(t, 0).b" + GUARD),
         ("a / f(x)\n", None, "a / NULLIF(f, 0)(x)" + GUARD),
         ("a / NULLIF(b, 0)\n", None, "a / NULLIF(NULLIF, 0)(b, 0)" + GUARD),
-        ("a/b/c\n", "a / NULLIF(b, 0)/c" + GUARD, "a / NULLIF(b, 0)/c" + GUARD),
-        ("(a + b)/c\n", None, None),
+        ("a/b/c\n", "a / NULLIF(b, 0) / NULLIF(c, 0)" + GUARD, "a / NULLIF(b, 0)/c" + GUARD),
+        ("(a + b)/c\n", "(a + b) / NULLIF(c, 0)" + GUARD, None),
         ("  -- a / b\n", None, None),
         ("no slash\n", None, None),
         ("last / line", "last / NULLIF(line, 0)" + GUARD, "last / NULLIF(line, 0)" + GUARD),
@@ -79,6 +79,61 @@ def test_division_scan(spark):
     ).collect()
     assert {(r.line_no, r.numerator, r.denominator) for r in rows} == {(1, "a", "b"), (3, "e", "f.g")}
 
+TRICKY = """select a / b, 'data/raw', 'http://h/p', x/y/z as c,   -- e / f
+ /* c / d
+ and */ p / (q - r) as k, (a + b)/c, a / 100.0, n / f(x), n/NULLIF(m, 0), 'multi
+line' || u / v, 'it''s / a', {{ ref('a/b') }} / w, "q / r"."s" / "t x"."u",
+ a / (100 * 2), a / /* per */ b::numeric, t / arr[1], t / interval '1 day', a / b{{ c }}, $$ a / b $$, $x$ c / d $x$
+ a // b, a /
+   longname, (a / (b / c)), `p/q` / r -- done
+ , m / n /* to be
+ continued */ + 1 {# o / p #} {% if a / b %}
+from t
+"""
+TRICKY_GUARDED = """select a / NULLIF(b, 0), 'data/raw', 'http://h/p', x / NULLIF(y, 0) / NULLIF(z, 0) as c,   -- e / f@
+ /* c / d
+ and */ p / NULLIF((q - r), 0) as k, (a + b) / NULLIF(c, 0), a / 100.0, n / f(x), n/NULLIF(m, 0), 'multi
+line' || u / NULLIF(v, 0), 'it''s / a', {{ ref('a/b') }} / NULLIF(w, 0), "q / r"."s" / NULLIF("t x"."u", 0),@
+ a / (100 * 2), a / /* per */ NULLIF(b, 0)::numeric, t / arr[1], t / interval '1 day', a / b{{ c }}, $$ a / b $$, $x$ c / d $x$@
+ a // b, a /
+   NULLIF(longname, 0), (a / NULLIF((b / NULLIF(c, 0)), 0)), `p/q` / NULLIF(r, 0) -- done@
+ , m / NULLIF(n, 0) /* to be
+ continued */ + 1 {# o / p #} {% if a / b %}@
+from t
+"""
+
+
+def test_guard_touches_tokens_only(spark):
+    assert patched(spark, TRICKY, patches.patch_zero_division) == TRICKY_GUARDED.replace("@", patches.GUARD_NOTE)
+    again = patched(spark, TRICKY_GUARDED, patches.patch_zero_division)
+    assert again == TRICKY_GUARDED
+
+
+@pytest.mark.parametrize(
+    "text", ["", "/", "a /", "/ a", "(a/(b", "a / (b", "'a / b", "/* a / b", "{{ a / b", "$$ a / b", "a / 'b'", "a / -b", "\n\n", "a / null"]
+)
+def test_guard_leaves_the_rest(spark, text):
+    assert patched(spark, text, patches.patch_zero_division) == text
+
+
+def test_guard_of_marks_nulls_and_long_files(spark):
+    rows = [("a / b ﷐",), (None,), ("x / y,\n" * 3000,), ("'" + "a / b " * 20000 + "'",)]
+    files = spark.createDataFrame([("r", str(k), t) for k, (t,) in enumerate(rows)], "repo string, file_path string, content string")
+    got = {r.file_path: r.patched for r in patches.patch_zero_division(files).collect()}
+    assert got["0"] == rows[0][0] and got["1"] is None and got["3"] == rows[3][0]
+    assert got["2"] == ("x / NULLIF(y, 0)," + GUARD) * 3000
+    found = patches.division_scan(files.where("file_path = '2'")).collect()
+    assert [r.line_no for r in found] == list(range(1, 3001))
+
+
+def test_division_scan_of_tokens(spark):
+    rows = run(spark, TRICKY, patches.division_scan).collect()
+    assert [(r.line_no, r.numerator, r.denominator) for r in rows] == [
+        (1, "a", "b"), (1, "x", "y"), (1, "y", "z"), (3, "p", "(...)"), (3, "(...)", "c"), (4, "u", "v"),
+        (4, "{{ ref('a/b') }}", "w"), (4, '"q / r"."s"', '"t x"."u"'), (5, "a", "b"), (6, "a", "longname"),
+        (7, "a", "(...)"), (7, "b", "c"), (7, "`p/q`", "r"), (8, "m", "n"),
+    ]
+
 
 MODEL = """with invoices as (select * from {{ ref('stg_invoices') }}),
      shops as (
