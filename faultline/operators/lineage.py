@@ -2,34 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from faultline.session import remove, scratch_dir
-
-
-def _walk(start: DataFrame, edges: DataFrame, come: str, go: str, kind: str) -> DataFrame:
-    """Pairs (``a``, ``b``) reached from ``start`` over edges from ``come`` to ``go``, with the least ``depth``.
-
-    Each round extends only the pairs found in the round before and writes its new
-    pairs to the shared scratch folder, so a lost executor costs one round. It ends
-    when a round finds nothing new, so cycles end by themselves.
-    """
-    spark = edges.sparkSession
-    root = scratch_dir(spark, "walk")
-    step = edges.select(F.col(come).alias("b"), F.col(go).alias("_next")).distinct()
-    step.write.parquet(f"{root}/edges")
-    step = spark.read.schema(step.schema).parquet(f"{root}/edges")
-    fresh, depth = start, 1
-    while True:
-        path = f"{root}/pairs/depth={depth}"
-        fresh.write.parquet(path)
-        found = spark.read.schema(f"a {kind}, b {kind}").parquet(path)
-        known = spark.read.schema(f"a {kind}, b {kind}, depth int").parquet(f"{root}/pairs")
-        if found.isEmpty():
-            remove(spark, f"{root}/edges")
-            return known
-        onward = found.join(step, "b").select("a", F.col("_next").alias("b")).distinct()
-        fresh, depth = onward.join(known, ["a", "b"], "left_anti"), depth + 1
+from faultline.operators.columns import column_references
+from faultline.operators.walks import walk
 
 
 def lineage_closure(edges: DataFrame) -> DataFrame:
@@ -39,7 +15,7 @@ def lineage_closure(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["node"].dataType.simpleString()
     start = edges.select(F.col("node").alias("a"), F.col("parent").alias("b")).distinct()
-    return _walk(start, edges, "node", "parent", kind).withColumnsRenamed({"a": "node", "b": "ancestor"})
+    return walk(start, edges, "node", "parent", kind).withColumnsRenamed({"a": "node", "b": "ancestor"})
 
 
 def blast_radius(edges: DataFrame, broken: DataFrame) -> DataFrame:
@@ -52,74 +28,17 @@ def blast_radius(edges: DataFrame, broken: DataFrame) -> DataFrame:
     kind = edges.schema["node"].dataType.simpleString()
     roots = broken.select(F.col("node").alias("parent")).distinct()
     start = edges.join(roots, "parent").select(F.col("parent").alias("a"), F.col("node").alias("b")).distinct()
-    reached = _walk(start, edges, "parent", "node", kind)
+    reached = walk(start, edges, "parent", "node", kind)
     return reached.groupBy(F.col("a").alias("node")).agg(
         F.count("*").alias("n_downstream"), F.max("depth").alias("reach")
     )
 
 
-# Model code is looked at in lower case, without comments and with single blanks.
-REF = r"\{\{ ?ref\( ?'([^']+)' ?\) ?\}\}"
-CTE = rf"(\w+) as ?\( ?select \* from {REF} ?\)"
-ALIAS = r"\b(?:from|join) (\w+) (?:as )?(\w+)"
-DIRECT = rf"\b(?:from|join) {REF} (?:as )?(\w+)"
-REFERENCE = r"\b([a-z_]\w*)\.(\w+)"
+# What a failed run says about a column.
 RENAME_HINT = r"""HINT:.*?"(\w+)\.(\w+)\""""
 MISSING_HINT = r"""column "(\w+)" does not exist in relation "(\w+)\""""
 
 
-def plain_code(code: Column) -> Column:
-    """Model code in lower case without comments, runs of blanks as one."""
-    code = F.regexp_replace(code, r"(?s)/\*.*?\*/|\{#.*?#\}", " ")
-    code = F.regexp_replace(code, r"--[^\n]*", " ")
-    return F.lower(F.regexp_replace(F.replace(code, F.lit('"'), F.lit("'")), r"\s+", " "))
-
-
-def column_references(nodes: DataFrame) -> DataFrame:
-    """(``node``, ``upstream``, ``column``) for every ``alias.column`` whose alias
-    stands for a referenced model, directly or through a ``select *`` CTE.
-
-    Case, comments and line breaks do not matter, ``as`` before an alias may be left
-    out, and a CTE may be used under its own name. Columns come in lower case. Works
-    on qualified columns; unqualified ones are not attributed. ``taken`` lists all
-    columns the node takes through the same alias.
-    """
-
-    def table(pattern: str, key: int, value: int):
-        hits = F.regexp_extract_all("_code", F.lit(pattern), F.lit(0))
-        return F.transform(
-            hits,
-            lambda h: F.struct(
-                F.regexp_extract(h, pattern, key).alias("k"), F.regexp_extract(h, pattern, value).alias("v")
-            ),
-        )
-
-    def lookup(pairs: str, key):
-        return F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
-
-    # One element is exploded so that the code is made plain once for all patterns.
-    plain = nodes.select(
-        F.col("name").alias("node"), F.explode(F.array(plain_code(F.col("raw_code")))).alias("_code")
-    )
-    parsed = plain.select(
-        "node",
-        table(CTE, 1, 2).alias("_ctes"),
-        table(ALIAS, 2, 1).alias("_aliases"),
-        table(DIRECT, 2, 1).alias("_direct"),
-        F.array_distinct(table(REFERENCE, 1, 2)).alias("_refs"),
-    ).withColumn("_ref", F.explode("_refs"))
-    same_alias = F.filter("_refs", lambda r: r["k"] == F.col("_ref.k"))
-    through_cte = lookup("_ctes", lookup("_aliases", F.col("_ref.k")))
-    return parsed.select(
-        "node",
-        F.coalesce(
-            lookup("_direct", F.col("_ref.k")), through_cte, lookup("_ctes", F.col("_ref.k"))
-        ).alias("upstream"),
-        F.col("_ref.v").alias("column"),
-        F.transform(same_alias, lambda r: r["v"]).alias("taken"),
-    ).where("upstream IS NOT NULL")
-
-
 def contract_breaks(nodes: DataFrame, messages: DataFrame | None = None) -> DataFrame:
     """Columns that models take from an upstream model which no longer declares
     them, with the likely new name.
@@ -129,17 +48,14 @@ def contract_breaks(nodes: DataFrame, messages: DataFrame | None = None) -> Data
     otherwise it is the declared column with the smallest edit distance, columns the
     model already takes coming last.
     """
-    declared = nodes.where("size(columns) > 0").select(
-        F.lower("name").alias("upstream"), F.transform("columns", F.lower).alias("columns")
-    )
-    used = (
-        column_references(nodes)
-        .groupBy("node", "upstream", "column")
-        .agg(F.flatten(F.collect_set("taken")).alias("taken"))
+    used = column_references(nodes)
+    declared = nodes.where("size(columns) > 0").groupBy(F.lower("name").alias("upstream")).agg(
+        F.first(F.transform("columns", F.lower)).alias("columns")
     )
-    # One row per reference joins one row per upstream model; declared columns
-    # stay in their array.
-    broken = used.join(declared, "upstream").where(~F.array_contains("columns", F.col("column")))
+    taken = used.groupBy("node", "upstream").agg(F.collect_set("column").alias("taken"))
+    missing = used.where("NOT is_declared").select("node", "upstream", "column")
+    # Declared columns stay in their array.
+    broken = missing.join(declared, "upstream").join(taken, ["node", "upstream"])
     nearest = F.array_min(
         F.transform(
             "columns",

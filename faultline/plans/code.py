@@ -295,20 +295,28 @@ def _(t):
     return lineage.blast_radius(t.model_edges, broken)
 
 
-# The same model in four spellings: plain, upper case with AS, a direct reference with a
-# remark, and a CTE under its own name after a block of comment.
+# The same three columns in seven spellings: a CTE, upper case with AS, a direct reference with a remark, a CTE under its own
+# name after a comment, unqualified names, a CTE over a CTE, and two relations of which one holds a name. One model in eleven
+# declares nothing and passes on what it reads.
 derived.DERIVED["model_nodes"] = """
-SELECT 'm_' || cast(c_custkey AS string) AS name, CASE c_custkey % 4
+SELECT 'm_' || cast(c_custkey AS string) AS name, CASE WHEN c_custkey % 11 = 1 THEN 'select * from {{{{ ref(''' || up || ''') }}}}'
+  ELSE CASE c_custkey % 7
   WHEN 0 THEN 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10) || 'select u.id, u.customer_account_id,'
     || chr(10) || '  u.balance_' || no || chr(10) || 'from up u' || chr(10) || 'where u.id > 0'
   WHEN 1 THEN 'WITH UP AS (' || chr(10) || '  SELECT * FROM {{{{ ref(''' || up || ''') }}}}' || chr(10) || ')' || chr(10)
     || 'SELECT U.id, U.customer_account_id, U.balance_' || no || chr(10) || 'FROM up AS U'
   WHEN 2 THEN 'select u.id, u.customer_account_id, u.balance_' || no || ' -- not u.remark, from old u' || chr(10)
     || 'from {{{{ ref("' || up || '") }}}} as u'
-  ELSE '/* from {{{{ ref(''m_0'') }}}} up, up.gone */' || chr(10) || 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10)
-    || 'select up.id, up.customer_account_id, up.balance_' || no || ' from up' END AS raw_code,
-  up, no,
-  CASE WHEN c_custkey % 4 = 0 THEN 'id,account_id,balance_0,balance_1' WHEN c_custkey % 11 = 1 THEN NULL
+  WHEN 3 THEN '/* from {{{{ ref(''m_0'') }}}} up, up.gone */' || chr(10) || 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10)
+    || 'select up.id, up.customer_account_id, up.balance_' || no || ' from up'
+  WHEN 4 THEN 'select id, upper(customer_account_id) as account, ''gone.x'' as note,' || chr(10) || '  sum(balance_' || no
+    || ') over (partition by id order by id) as running, running * 2 as twice' || chr(10) || 'from {{{{ ref(''' || up || ''') }}}} where id::int > 0 group by account'
+  WHEN 5 THEN 'with a as (select * from {{{{ ref(''' || up || ''') }}}}), b as (select * from a where id > 0)' || chr(10)
+    || 'select b.id, customer_account_id from b where exists (select 1 from other o where o.x = b.balance_' || no || ')'
+  ELSE 'with a as (select * from {{{{ ref(''' || up || ''') }}}}), k as (select 1 as flag, id as no from {{{{ ref(''' || up || ''') }}}})' || chr(10)
+    || 'select y.customer_account_id, flag from (select customer_account_id, balance_' || no || ' as b from a) y join k on k.no = y.b' END END AS raw_code,
+  up, no, c_custkey % 11 = 1 AS passes,
+  CASE WHEN c_custkey % 11 = 1 THEN NULL WHEN c_custkey % 4 = 0 THEN 'id,account_id,balance_0,balance_1'
     ELSE 'id,customer_account_id,balance_0,balance_1,balance_2' END AS declared
 FROM (SELECT c_custkey, 'm_' || cast(IDIV(c_custkey, 2) AS string) AS up, cast(c_custkey % 3 AS string) AS no FROM {customer}) c
 """
@@ -316,7 +324,9 @@ FROM (SELECT c_custkey, 'm_' || cast(IDIV(c_custkey, 2) AS string) AS up, cast(c
 
 @query(
     "contract_breaks",
-    r"""WITH used AS (SELECT name AS node, up AS upstream, unnest(['id', 'customer_account_id', 'balance_' || no]) AS col FROM {model_nodes}),
+    r"""WITH used AS (SELECT m.name AS node, CASE WHEN p.passes THEN p.up ELSE m.up END AS upstream,
+           unnest(['id', 'customer_account_id', 'balance_' || m.no]) AS col
+         FROM {model_nodes} m LEFT JOIN {model_nodes} p ON p.name = m.up WHERE NOT m.passes),
          decl AS (SELECT name AS upstream, string_split(declared, ',') AS cols FROM {model_nodes} WHERE declared IS NOT NULL),
          gone AS (SELECT node, u.upstream, col, cols FROM used u JOIN decl d ON u.upstream = d.upstream WHERE NOT list_contains(cols, col)),
          scored AS (SELECT node, upstream, col, c, levenshtein(c, col) AS d,
