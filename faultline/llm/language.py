@@ -7,9 +7,11 @@ each language, span the feature space, and one ridge regression per language
 against the rest is solved in it. Scoring a block of texts is a product of its
 presence matrix with the landmarks and of that with the regression weights.
 
-Training uses a bounded sample of labelled texts, the same number at most for each
-language. Only their presence bits reach the driver. Texts that are null or have no letter are ``und`` with score 0, as
-is every text if nothing could be learned. Equal texts get equal results.
+Every language among the labels is learned, however many there are, from a bounded sample of its texts. The landmarks
+are chosen first; the products of features that the regressions need are summed by the tasks that hold the
+sample, so only the landmarks and matrices of their size, with one column per language, reach the driver. Texts that are
+null or have no letter are ``und`` with score 0, as is every text if nothing could be learned. Of languages
+with the same score the first by name is taken. Equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from faultline.llm.characters import code_points, folded
-from faultline.llm.shared import Block, blocks, mix
+from faultline.llm.shared import Block, blocks, discard, mix, written
 
 # Places and kernel weight of grams by their length.
 PLACES = {1: 512, 2: 2048, 3: 4096}
 WEIGHTS = {1: 0.5, 2: 1.0, 3: 2.0}
-# Training texts of one language, languages (the most frequent ones), and landmarks.
+# Training texts of one language, landmarks shared by the languages, and the most landmarks there are: beyond 128 languages
+# each gives one, and beyond 512 the landmarks are a sample of the languages.
 ROWS_PER_LANGUAGE = 1000
-MOST_LANGUAGES = 200
 LANDMARKS = 128
+MOST_LANDMARKS = 512
+# Texts whose dense rows are held at once, and tasks that add up sums.
+BLOCK_ROWS = 512
+ADDING_TASKS = 8
 RIDGE = 1e-2
 UNKNOWN = "und"
 
@@ -81,17 +87,17 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
-def _training_bits(docs: DataFrame, usable: Column, rows_per_language: int):
-    """Language and presence bits of the training texts."""
+def _sample(docs: DataFrame, usable: Column, rows_per_language: int) -> DataFrame:
+    """Language, place and presence bits of the training texts, written. At most ``rows_per_language`` of each language."""
     known = docs.select("doc_id", "lang").where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    languages = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = known.groupBy("lang").count()
     # The smallest hashes are wanted: a share of them, a few times the number wanted, is
     # cut out before rows of a language meet for their rank.
     share = F.least(F.lit(1.0), F.lit(4.0 * rows_per_language) / F.col("count"))
     place = F.xxhash64("doc_id")
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     chosen = (
-        known.join(F.broadcast(languages), "lang")
+        known.join(counts, "lang")
         .where(place.cast("double") / 2.0**63 <= 2 * share - 1)
         .withColumn("place", F.row_number().over(order))
         .where(F.col("place") <= rows_per_language)
@@ -100,37 +106,97 @@ def _training_bits(docs: DataFrame, usable: Column, rows_per_language: int):
     texts = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
 
     def run(batches):
-        for block in blocks(batches):
+        for block in blocks(batches, rows=BLOCK_ROWS):
             bits = np.packbits(presence(block) > 0, axis=1)
             yield pa.RecordBatch.from_arrays(
                 [block.rows.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["lang", "bits"]
             )
 
-    # The bits, not the texts, come back; repeated ids could add rows, so the bound is set again.
-    found = texts.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").mapInArrow(run, "lang string, bits binary")
-    rows = found.orderBy(F.xxhash64("bits"), "lang", "bits").limit(rows_per_language * MOST_LANGUAGES).collect()
-    return [r.lang for r in rows], [bytes(r.bits) for r in rows]
+    found = texts.join(chosen, ["doc_id", "lang"], "left_semi").mapInArrow(run, "lang string, bits binary")
+    # Repeated ids could add rows, so the bound is set again.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits")
+    ranked = found.withColumn("place", F.row_number().over(order))
+    return written(ranked.where(F.col("place") <= rows_per_language), "language-sample")
+
+
+def _bits(rows) -> np.ndarray:
+    """Presence rows from packed bits."""
+    packed = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return np.unpackbits(packed, axis=1)[:, :_SIZE]
+
+
+def _sums(sample: DataFrame, landmarks: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Features'features of the sample, and the sum of the features of each language."""
+    spark = sample.sparkSession
+    shared = spark.sparkContext.broadcast((landmarks, root))
+
+    def run(batches):
+        points, axes = shared.value
+        gram, by_language = np.zeros((axes.shape[1], axes.shape[1])), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(at, BLOCK_ROWS)
+                features = (_normal(_bits(part.column("bits").to_pylist())) @ points.T).astype(np.float64) @ axes
+                gram += features.T @ features
+                names = np.array(part.column("lang").to_pylist(), object)
+                for name in set(names):
+                    by_language[name] = by_language.get(name, 0) + features[names == name].sum(axis=0)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array([None, *by_language], pa.string()),
+                "values": pa.array([gram.tobytes(), *[v.tobytes() for v in by_language.values()]], pa.binary()),
+            }
+        )
+
+    def add(batches):
+        totals: dict = {}
+        for batch in batches:
+            for name, values in zip(batch.column("lang").to_pylist(), batch.column("values").to_pylist()):
+                totals[name] = totals.get(name, 0) + np.frombuffer(values)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "lang": pa.array(list(totals), pa.string()),
+                "values": pa.array([v.tobytes() for v in totals.values()], pa.binary()),
+            }
+        )
+
+    schema = "lang string, values binary"
+    partial = sample.select("lang", "bits").mapInArrow(run, schema)
+    # Sums of languages meet by name; the larger matrix is dealt over the tasks.
+    dealt = partial.repartition(ADDING_TASKS, F.coalesce("lang", F.spark_partition_id().cast("string"))).mapInArrow(add, schema)
+    gram, by_language = 0, {}
+    for row in dealt.collect():
+        values = np.frombuffer(bytes(row.values))
+        if row.lang is None:
+            gram = gram + values
+        else:
+            by_language[row.lang] = by_language.get(row.lang, 0) + values
+    return gram.reshape(root.shape[1], root.shape[1]), by_language
 
 
 def train(docs: DataFrame, usable: Column, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model | None:
-    """A model of the languages in ``lang``, from texts where ``usable`` holds."""
-    names, bits = _training_bits(docs, usable, rows_per_language)
-    languages = sorted(set(names))
-    if not languages:
-        return None
-    present = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :_SIZE]
-    x = _normal(present)
-    y = np.array([[float(n == lang) for lang in languages] for n in names])
-    each = max(1, LANDMARKS // len(languages))
-    rows = [k for lang in languages for k in [j for j, n in enumerate(names) if n == lang][:each]]
-    landmarks = np.unique(x[rows], axis=0)
-    norm = float(np.median(np.linalg.norm(present[rows] * _SCALE, axis=1)))
-    values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
-    good = values > 1e-6 * max(values[-1], 1e-12)
-    root = vectors[:, good] / np.sqrt(values[good])
-    features = (x @ landmarks.T) @ root
-    gram = features.T @ features + RIDGE * len(x) * np.eye(features.shape[1]) / features.shape[1]
-    return Model(languages, landmarks, (root @ np.linalg.solve(gram, features.T @ y)).astype(np.float32), norm)
+    """A model of all languages in ``lang``, from texts where ``usable`` holds; none without a labelled text."""
+    sample = _sample(docs, usable, rows_per_language)
+    try:
+        counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+        languages = sorted(counts)
+        if not languages:
+            return None
+        each = max(1, LANDMARKS // len(languages))
+        first = sample.where(F.col("place") <= each).orderBy(F.xxhash64("bits", "lang"), "lang", "place")
+        present = _bits([bytes(r.bits) for r in first.limit(max(MOST_LANDMARKS, LANDMARKS)).collect()])
+        landmarks = np.unique(_normal(present), axis=0)
+        norm = float(np.median(np.linalg.norm(present * _SCALE, axis=1)))
+        values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
+        good = values > 1e-6 * max(values[-1], 1e-12)
+        root = vectors[:, good] / np.sqrt(values[good])
+        gram, by_language = _sums(sample, landmarks, root)
+        total = sum(counts.values())
+        gram = gram + RIDGE * total * np.eye(len(gram)) / len(gram)
+        wanted = np.stack([by_language[name] for name in languages], axis=1)
+        return Model(languages, landmarks, (root @ np.linalg.solve(gram, wanted)).astype(np.float32), norm)
+    finally:
+        discard(sample)
 
 
 def scores(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +231,7 @@ def predict(
     def run(batches):
         known = shared.value
         label = np.array([*known.languages, UNKNOWN], object)
-        for block in blocks(batches, text):
+        for block in blocks(batches, text, rows=BLOCK_ROWS):
             by_language, real, most = _scored(known, block)
             best = np.where(real, by_language.argmax(axis=1), len(known.languages))
             score = by_language.max(axis=1)

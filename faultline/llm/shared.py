@@ -77,8 +77,10 @@ class Block:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut batches into blocks of about ``limit`` bytes of whole texts. Null counts as empty."""
+def blocks(
+    batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK_BYTES, rows: int | None = None
+) -> Iterator[Block]:
+    """Cut batches into blocks of about ``limit`` bytes of whole texts, and at most ``rows`` of them. Null counts as empty."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,7 +92,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < len(texts):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
-            to = min(to, len(texts))
+            to = min(to, len(texts), at + rows if rows else len(texts))
             yield Block(
                 batch.slice(at, to - at),
                 data[offsets[at] : offsets[to]],

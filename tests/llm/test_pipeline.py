@@ -95,3 +95,9 @@ def test_short_and_long_texts_keep_their_language(spark):
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, frame, ROOT).collect()}
     lettered = {r[0] for r in rows if any(c.isalpha() for c in r[1] or "")}
     assert lettered - kept == {3 * 10**6}
+
+
+def test_documents_without_any_label_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c", None, "s", 5), (2, "", None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    name, stage = corpus_pipeline.STAGES[0]
+    assert sorted(r.doc_id for r in stage(spark, docs, ROOT).collect()) == [1, 2]
