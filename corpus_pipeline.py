@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the documents of the next stage. All but the last return the columns of
 documents; the last returns a row per document with its token ids.
 
-Null and empty texts are rejected by the first stage, as they have no language. Repeated rows
+Null and empty texts are rejected by the first stage, as they have no language, unless no document at all
+is labelled with one. Of languages with the same score the first by name counts. Repeated rows
 are near duplicates of each other, so one of them stays. Empty tables pass through. Further columns stay.
 """
 
@@ -29,10 +30,14 @@ RANKS = "byte_bpe_50k.tiktoken"
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a recognised language: null, without a letter, or far from all.
 
-    The model learns from ``lang`` of the documents given, and ``lang`` stays as it is.
+    The model learns from ``lang`` of the documents given, and ``lang`` stays as it is. Where no text has a ``lang``
+    there is nothing to recognise, and all documents stay.
     """
     found, score, share = into = ("__language", "__language_score", "__language_share")
-    scored = language.predict(docs, language.train(docs, F.lit(True)), into=into)
+    model = language.train(docs, F.lit(True))
+    if model is None:
+        return docs
+    scored = language.predict(docs, model, into=into)
     near = (F.col(score) >= LEAST_SCORE) | (F.col(share) >= LEAST_SHARE)
     return scored.where((F.col(found) != language.UNKNOWN) & near).drop(*into)
 
