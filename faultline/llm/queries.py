@@ -114,6 +114,25 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+CHECKS["op1_ngram_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: md5(array_to_string(w[i:i + 4], ' '))))
+    WHEN len(w) > 0 THEN [md5(array_to_string(w, ' '))] ELSE [] END AS s FROM split
+), members AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM members a JOIN members b USING (shingle) WHERE a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), smallest AS (SELECT x, min(y) AS y FROM reached GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, y) AS component_id FROM sets LEFT JOIN smallest ON x = doc_id
+"""
+
+
 @query
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text without the 13-word windows that an earlier document has."""
