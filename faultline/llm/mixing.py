@@ -62,10 +62,11 @@ def flight(chance: np.ndarray, constraints: np.ndarray, rng: np.random.Generator
 
     ``constraints`` has one row per unit and two columns. At most two units stay undecided.
     """
-    chance = chance.copy()
+    # Chances that rounding alone keeps from 0 or 1 are decided, so that no unit is left open for ever.
+    chance = np.where(chance <= _SURE, 0.0, np.where(chance >= 1 - _SURE, 1.0, chance))
     spins = iter(rng.random(len(chance) + 1))
     held: list[int] = []
-    for unit in np.flatnonzero((chance > _SURE) & (chance < 1 - _SURE)).tolist():
+    for unit in np.flatnonzero((chance > 0) & (chance < 1)).tolist():
         held.append(unit)
         if len(held) < 3:
             continue

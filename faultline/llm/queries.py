@@ -200,8 +200,30 @@ def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")), keep=("page_id",))
 
 
+# One pass over entities: what stands between two of them is kept, and each is looked up by itself.
+ENTITIES_SQL = """
+    array_to_string(list_transform(list_zip(string_split_regex({text}, '{pattern}'),
+      list_append(regexp_extract_all({text}, '{pattern}'), '')), lambda z: z[1] || CASE
+        WHEN z[2] = '' OR z[2] IS NULL THEN ''
+        WHEN z[2][2] <> '#' THEN coalesce(map_extract_value(names.t, z[2][2:-2]), z[2])
+        WHEN number(z[2]) BETWEEN 1 AND 55295 OR number(z[2]) BETWEEN 57344 AND 1114111 THEN chr(number(z[2])::INTEGER)
+        ELSE z[2] END), '')"""
+
+
+def _entities_sql(text: str) -> str:
+    number = "(CASE WHEN lower(z[2][3]) = 'x' THEN ('0x' || z[2][4:-2]) ELSE z[2][3:-2] END)::BIGINT"
+    sql = ENTITIES_SQL.replace("{text}", text).replace("{pattern}", warc.ENTITY)
+    return sql.replace("number(z[2])", number)
+
+
+def _names_sql() -> str:
+    names = warc.named_entities()
+    quoted = [", ".join("'" + v.replace("'", "''") + "'" for v in side) for side in (names, names.values())]
+    return f"SELECT map([{quoted[0]}], [{quoted[1]}]) AS t"
+
+
 CHECKS["op8_warc_derivatives"] = r"""
-WITH pages_of AS (
+WITH names AS (@names), pages_of AS (
   SELECT page_id, url AS target_uri, '1970-01-01T00:00:00Z' AS date, coalesce(html, '') AS body,
          sha256(concat_ws('|', 'response', page_id::VARCHAR, url)) AS k,
          'Content-Type: text/html; charset=utf-8' AS h1, 'Content-Length: ' || strlen(coalesce(html, '')) AS h2
@@ -217,33 +239,24 @@ WITH pages_of AS (
       '</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul)\b[^>]*>', chr(10), 'gi'),
       '<[a-zA-Z/!?][^>]*>', '', 'g') AS t,
     regexp_extract(body, '<title\b[^>]*>(.*?)</title\s*>', 1, 'is') AS raw_title,
-    regexp_extract_all(body, '<a\b[^>]*\bhref\s*=\s*"([^"]*)"', 1, 'i') AS links
+    list_transform(regexp_extract_all(body, '<a[\s/]+(?:[^\s=>"''/]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+))?[\s/]+)*?href\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1, 'i'),
+      lambda v: trim(v, '"''')) AS links
   FROM pages_of
 ), decoded AS (
-  SELECT *,
-    list_reduce(list_prepend(t, list_distinct(regexp_extract_all(t, '&#([0-9]{1,7});', 1))),
-      lambda a, x: replace(a, '&#' || x || ';', chr(x::INTEGER))) AS t1,
-    list_reduce(list_prepend(raw_title, list_distinct(regexp_extract_all(raw_title, '&#([0-9]{1,7});', 1))),
-      lambda a, x: replace(a, '&#' || x || ';', chr(x::INTEGER))) AS title1
-  FROM stripped
-), named AS (
-  SELECT *,
-    replace(replace(replace(replace(replace(replace(t1, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t2,
-    replace(replace(replace(replace(replace(replace(title1, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS title2
-  FROM decoded
+  SELECT stripped.*, @text AS t2, @title AS title2, list_transform(links, lambda v: @link) AS outlinks FROM stripped, names
 ), tidy AS (
   SELECT *,
     regexp_replace(regexp_replace(regexp_replace(t2, '[ \t\r\f\x0B\xA0]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text,
     regexp_replace(regexp_replace(replace(title2, chr(10), ' '), '[ \t\r\f\x0B\xA0]+', ' ', 'g'), '^ +| +$', '', 'g') AS title,
     'sha256:' || sha256('HTTP/1.1 200 OK' || e || h1 || e || h2 || e || e || body) AS source_block_digest,
     'sha256:' || sha256(body) AS source_payload_digest
-  FROM named
+  FROM decoded
 ), blocks AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
     'software: faultline' || e || 'source-status: HTTP/1.1 200 OK' || e || 'source-header: ' || h1 || e || 'source-header: ' || h2 || e
     || 'source-block-digest: ' || source_block_digest || e || 'source-payload-digest: ' || source_payload_digest || e
     || 'title: ' || title || e
-    || coalesce(array_to_string(list_transform(links, lambda v: 'outlink: ' || replace(v, '&amp;', '&') || e), ''), '') AS block
+    || coalesce(array_to_string(list_transform(outlinks, lambda v: 'outlink: ' || v || e), ''), '') AS block
   FROM tidy
   UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', text FROM tidy
 ), ids AS (SELECT *, sha256(record_type || '|' || refers_to) AS r FROM blocks)
@@ -252,7 +265,7 @@ SELECT page_id, record_type,
   refers_to, target_uri, date, content_type, strlen(block)::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest,
   source_block_digest, source_payload_digest, block
 FROM ids
-"""
+""".replace("@names", _names_sql()).replace("@text", _entities_sql("stripped.t")).replace("@title", _entities_sql("raw_title")).replace("@link", _entities_sql("v"))
 
 
 @query

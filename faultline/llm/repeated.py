@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from faultline.llm.shared import Block, blocks, bounds, discard, gather, lists, mix, signed, slice_hashes, written
 
@@ -275,7 +276,7 @@ def _located(segments: DataFrame) -> DataFrame:
         .select(shard, F.expr("explode(sequence(0, spread - 1))").alias("part"), F.col("anchor").alias("anchor"), "window", "first")
     )
     name = segments.schema["least"].dataType.simpleString()
-    kind = pa.int64() if name == "bigint" else pa.int32()
+    kind = to_arrow_type(segments.schema["least"].dataType)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         return _occurrences(left, right, kind)

@@ -7,14 +7,17 @@ target, date and digests that the response has. Their own ids are made from it,
 agree. ``serialised`` gives each record as it stands in a file, and ``write`` writes files.
 
 All of it is one projection in the JVM, without a shuffle. Text comes from the body of
-HTML by patterns: comments, scripts and styles go, block elements break lines, entities
-are decoded, blank space is collapsed. Plain text is kept as it is; other kinds have no
+HTML by patterns: comments, scripts and styles go, block elements break lines, all entities of
+HTML are decoded once, blank space is collapsed. Plain text is kept as it is; other kinds have no
 conversion record. A null block is an empty one, a block without an empty line is all header. Null ids and targets
 leave out their header. Equal rows give equal records. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +28,16 @@ BREAKS = (
     "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|head|header|"
     "hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|textarea|tfoot|th|thead|title|tr|ul"
 )
-# Named entities that are decoded; the ampersand comes last.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&amp;": "&"}
+# An entity: a decimal or hexadecimal number, or a name.
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+# A link: ``href`` as an attribute of its own, its value in double, single or no quotes.
+_VALUE = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+LINK = rf"""(?i)<a[\s/]+(?:[^\s=>"'/]+(?:\s*=\s*{_VALUE})?[\s/]+)*?href\s*=\s*({_VALUE})"""
+
+
+def named_entities() -> dict[str, str]:
+    """The characters of every named entity of HTML, by name."""
+    return {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
 
 
 def digest(value: Column) -> Column:
@@ -64,25 +75,26 @@ def plain_text(html: Column) -> Column:
     return text
 
 
-def _numeric(text: Column, mark: str, pattern: str, base: int) -> Column:
-    """Text with numeric entities of one base decoded where they name a character."""
-
-    def one(out: Column, digits: Column) -> Column:
-        point = F.conv(digits, base, 10).cast("long")
-        real = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        return F.when(real, F.replace(out, F.concat(F.lit(mark), digits, F.lit(";")), char)).otherwise(out)
-
-    return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), text, one)
+def _character(entity: Column) -> Column:
+    """What an entity stands for; itself if it stands for nothing."""
+    name = F.regexp_replace(entity, r"^&#?[xX]?|;$", "")
+    hexadecimal = F.lower(F.substring(entity, 3, 1)) == "x"
+    point = F.when(hexadecimal, F.conv(name, 16, 10)).otherwise(F.conv(name, 10, 10)).cast("long")
+    real = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+    number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    table = F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")
+    plain = F.substring(entity, 2, F.length(entity) - 2)
+    # The usual ones need no look into the table.
+    usual = F.when(plain == "amp", "&").when(plain == "lt", "<").when(plain == "gt", ">").when(plain == "quot", '"').when(plain == "nbsp", "\u00a0")
+    named = F.coalesce(usual, F.element_at(table, plain))
+    return F.coalesce(F.when(F.startswith(entity, F.lit("&#")), number).otherwise(named), entity)
 
 
 def _decoded(text: Column) -> Column:
-    """Text with entities decoded, the ampersand last."""
-    text = _numeric(text, "&#", "&#([0-9]{1,7});", 10)
-    text = _numeric(F.replace(text, F.lit("&#X"), F.lit("&#x")), "&#x", "&#x([0-9a-fA-F]{1,6});", 16)
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Text with entities decoded in one pass: what they stand for is not decoded again."""
+    between, entities = F.split(text, ENTITY), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
+    joined = F.array_join(F.zip_with(between, entities, lambda a, b: F.concat(a, F.coalesce(_character(b), F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
 
 
 def _tidy(text: Column) -> Column:
@@ -115,7 +127,7 @@ def derive(records: DataFrame, software: str = "faultline", *, keep: tuple[str,
     rows = _once(
         rows, kind=kind, lines=F.split("head", END), stripped=plain_text(F.col("body")),
         title=F.regexp_extract("body", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1),
-        links=F.regexp_extract_all(F.col("body"), F.lit(r'(?i)<a\b[^>]*\bhref\s*=\s*"([^"]*)"'), F.lit(1)),
+        links=F.transform(F.regexp_extract_all(F.col("body"), F.lit(LINK), F.lit(1)), lambda v: F.regexp_replace(v, r"^[\"']|[\"']$", "")),
         source_block_digest=F.coalesce("given_block_digest", digest(F.col("source"))),
         source_payload_digest=F.coalesce("given_payload_digest", digest(F.col("body"))),
     )
@@ -130,7 +142,7 @@ def derive(records: DataFrame, software: str = "faultline", *, keep: tuple[str,
         lines("source-header", F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1)))),
         F.lit("source-block-digest: "), "source_block_digest", F.lit(f"{END}source-payload-digest: "), "source_payload_digest",
         F.lit(END), F.lit("title: "), _tidy(F.regexp_replace(_decoded(F.col("title")), r"\n", " ")), F.lit(END),
-        lines("outlink", F.transform("links", lambda v: F.regexp_replace(_amp(v), r"[\r\n]+", ""))),
+        lines("outlink", F.transform("links", lambda v: F.regexp_replace(_decoded(v), r"[\r\n]+", ""))),
     )
     rows = _once(rows, fields=fields)
     both = [
@@ -151,15 +163,12 @@ def derive(records: DataFrame, software: str = "faultline", *, keep: tuple[str,
     )
 
 
-def _amp(link: Column) -> Column:
-    return F.replace(link, F.lit("&amp;"), F.lit("&"))
-
-
 def serialised(records: DataFrame) -> DataFrame:
     """``record``: each record as text, without the two line ends that follow it in a file."""
     named = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"),
         ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"),
+        ("WARC-Source-Block-Digest", "source_block_digest"), ("WARC-Source-Payload-Digest", "source_payload_digest"),
         ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
     # A null value makes its whole line null, and concat_ws leaves it out.

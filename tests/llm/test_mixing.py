@@ -81,3 +81,14 @@ def test_sample_has_the_wanted_chances():
     sides = np.stack([np.ones(30), np.arange(30)], axis=1).astype(float)
     runs = np.mean([mixing.flight(np.full(30, 0.3), sides, np.random.default_rng(k)) for k in range(2000)], axis=0)
     assert np.abs(runs - 0.3).max() < 0.05
+
+
+def test_chances_next_to_whole_numbers_are_decided():
+    import time
+
+    for near in (1e-10, 1 - 1e-10, 1e-12, 1 - 1e-12):
+        chance = np.full(40, near)
+        start = time.time()
+        flown = mixing.flight(chance, np.ones((40, 2)), np.random.default_rng(1))
+        out = mixing.landing(flown, np.ones(40))
+        assert (out == round(near)).all() and time.time() - start < 1

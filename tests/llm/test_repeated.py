@@ -70,3 +70,11 @@ def test_one_passage_in_all_documents(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert repeated.remove_repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_any_kind(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    for kind, ids in (("string", ["a", "b"]), ("int", [1, 2]), ("decimal(20,0)", [1, 2])):
+        rows = spark.createDataFrame([(str(i), text) for i in ids], "doc_id string, text string")
+        got = repeated.remove_repeated(rows.selectExpr(f"cast(doc_id as {kind}) as doc_id", "text")).collect()
+        assert sorted(r.n_removed for r in got) == [0, 40]

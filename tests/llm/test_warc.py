@@ -78,3 +78,27 @@ def test_no_shuffle_and_empty_table(spark):
     assert empty.count() == 0
     plan = warc.derive(warc.responses(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")))
     assert "Exchange" not in plan._jdf.queryExecution().toString()
+
+
+def test_entities_are_decoded_once(spark):
+    body = "<p>a &#38;lt; b &#38;#60;i&#38;gt; &copy; &mdash; &eacute; &AMP; &nosuch; &#x26;amp; &#0; & ; &amp;copy; &NotEqualTilde;</p>"
+    rows = spark.createDataFrame([("<urn:uuid:1>", "u", "d", response(body))], "record_id string, target_uri string, date string, block string")
+    [text] = [r.block for r in warc.derive(rows).collect() if r.record_type == "conversion"]
+    assert text == "a &lt; b &#60;i&gt; © — é & &nosuch; &amp; &#0; & ; &copy; ≂̸"
+
+
+def test_links_in_every_form_of_quotes(spark):
+    body = (
+        "<a href='one&amp;1'>1</a><A class=x HREF=two>2</A><a data-href=\"no\">3</a><a title=\"a > b\" href = \"three\">4</a>"
+        "<a\nhref=\"four\" rel='x'>5</a><abbr href='no'>6</abbr><a name=n>7</a><a data-x='href=\"no\"' href='five'>8</a><a href=''>9</a>"
+    )
+    rows = spark.createDataFrame([("<urn:uuid:1>", "u", "d", response(body))], "record_id string, target_uri string, date string, block string")
+    [fields] = [r.block for r in warc.derive(rows).collect() if r.record_type == "metadata"]
+    links = [line[9:] for line in fields.split("\r\n") if line.startswith("outlink: ")]
+    assert links == ["one&1", "two", "three", "four", "five", ""]
+
+
+def test_written_records_name_the_digests_of_their_source(spark):
+    two = warc.derive(records(spark).where("record_id = '<urn:uuid:1>'"))
+    for r in warc.serialised(two).collect():
+        assert f"WARC-Source-Payload-Digest: {sha(PAGE)}\r\n" in r.record
