@@ -8,7 +8,7 @@ from faultline.operators import ownership
 from faultline.plans import alerts, code, telemetry  # noqa: F401  (derived relations)
 from faultline.plans.registry import query
 from faultline.session import scratch_dir
-from faultline.sources import lake
+from faultline.sources import lake, objects
 
 def _month():
     return F.concat(F.substring(F.col("ts").cast("string"), 1, 7), F.lit("-01"))
@@ -278,3 +278,47 @@ def _(t):
     return got.select(
         "run_id", "cluster", "try_number", "operator", F.date_format("received_at", telemetry.FORMAT).alias("received_at")
     )
+
+
+# Attempt logs as objects, each at the key of its address.
+def _object_lake(t) -> str:
+    root = scratch_dir(t.spark, "objects")
+    logs = t.failed_runs.withColumn("key", objects.log_key("cluster", "dag_id", "task_id", "run_id", "attempt"))
+    objects.write_objects(logs.select("key", F.col("log_text").alias("content")), root)
+    return root
+
+
+@query(
+    "objects_at_keys",
+    """SELECT 'cluster=' || cluster || '/dag_id=' || dag_id || '/task_id=' || task_id || '/execution_date=' || run_id
+         || '/attempt=' || cast(attempt AS string) || '.log' AS key, md5(log_text) AS text_md5, attempt
+       FROM {failed_runs} WHERE cluster IN ('eu-analytics-1', 'apac-data-1') AND task_id = 'task_1'""",
+)
+def _(t):
+    """Objects written at their keys, synced again, and read by filters on the keys."""
+    root = _object_lake(t)
+    logs = t.failed_runs.withColumn("key", objects.log_key("cluster", "dag_id", "task_id", "run_id", "attempt"))
+    objects.write_objects(logs.select("key", F.col("log_text").alias("content")), root, changed_only=True)
+    found = objects.read_logs(t.spark, root).where(
+        F.col("cluster").isin("eu-analytics-1", "apac-data-1") & (F.col("task_id") == "task_1")
+    )
+    return found.select(F.substring_index("uri", "/", -5).alias("key"), F.md5("log_text").alias("text_md5"), "attempt")
+
+
+@query(
+    "lookup_objects",
+    """WITH newest AS (SELECT cluster, dag_id, task_id, max(struct_pack(run_id := run_id, attempt := attempt, log_text := log_text)) AS n
+         FROM {failed_runs} GROUP BY ALL)
+       SELECT r.run_id, CASE WHEN f.run_id IS NOT NULL THEN f.run_id ELSE n.run_id END AS found_run,
+         md5(CASE WHEN f.run_id IS NOT NULL THEN f.log_text ELSE n.log_text END) AS text_md5, f.run_id IS NOT NULL OR n IS NOT NULL AS log_found
+       FROM {task_runs} r LEFT JOIN {failed_runs} f ON f.run_id = r.run_id
+       LEFT JOIN newest w ON w.cluster = r.cluster AND w.dag_id = r.dag_id AND w.task_id = r.task_id""",
+)
+def _(t):
+    """The log of every attempt, by its key; attempts that did not fail get the newest failure of their task."""
+    asked = t.task_runs.select("run_id", "cluster", "dag_id", "task_id", F.col("run_id").alias("execution_date"), "attempt")
+    rows = objects.lookup_objects(asked, _object_lake(t))
+    found = F.regexp_extract("uri", "/execution_date=([^/]+)/", 1)
+    return rows.select(
+        "run_id", F.when(F.col("log_found"), found).alias("found_run"), F.md5("log_text").alias("text_md5"), "log_found"
+    )

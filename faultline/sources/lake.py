@@ -34,13 +34,13 @@ def _attempt_logs(rows: DataFrame) -> DataFrame:
         F.col("value").alias("log_text"),
         *LOG_FOLDERS,
         attempt.alias("attempt"),
-        F.col("_metadata.file_path").alias("uri"),
+        object_path(F.col("_metadata.file_path")).alias("uri"),
     )
 
 
 def scan_task_logs(spark: SparkSession, root: str) -> DataFrame:
     """Attempt logs, one row per object: ``log_text``, the folder values, ``attempt``
-    as a number and ``uri``. ``attempt=N`` may be a file name or a folder."""
+    as a number and ``uri``, as it is stored. ``attempt=N`` may be a file name or a folder."""
     reader = spark.read.schema(_strings(["value", *LOG_FOLDERS]))
     return _attempt_logs(reader.text(root, wholetext=True))
 
