@@ -33,41 +33,43 @@ SIGNALS: dict[str, tuple[str, str]] = {
     "statement_timeout_ms": ("ms exceeded", r"\((\d+)ms exceeded\)"),
 }
 
-# Names that announce a credential, alone or as parts of a longer name.
-_NAMED = (
-    r"(?<![A-Za-z0-9])(?:token|passw(?:or)?d|pwd|secret|(?:api|access|private)[_-]?key|credentials?)"
-    r"(?:[_.-][A-Za-z0-9_.-]*)?"
+# Words that announce a credential. A name may hold one at its end, or before a separator; in mixed case too.
+_WORD = r"(?:token|passw(?:or)?d|passphrase|pwd|secret|(?:api|access|private|signing|encryption)[_-]?key|credentials?)"
+_NAMED = rf"(?<![A-Za-z0-9_.-])(?:[A-Za-z0-9_.-]*?{_WORD}(?:[_.-][A-Za-z0-9_.-]*)?)"
+_VALUE = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|[^\s,;&}\"']+"
+
+# A line without one of these, in any case, holds no credential.
+HINTS = (
+    "token", "passw", "passphrase", "pwd", "secret", "key", "credential", "authorization", "bearer", "cookie", "://", "akia",
+    "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "glpat-", "eyj", "_live_", "_test_", "aiza", "npm_",
 )
-_NAMES = ("token", "passw", "pwd", "secret", "key", "credential")
-_VALUE = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\s,;&}\"']+"
+PRIVATE_KEY = (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(?s:.*?)(-----END [A-Z ]*PRIVATE KEY-----|\z)", "$1***$2")
 
-# Credentials to blank out, as (words, pattern, replacement). A match holds one of the
-# words, in any case.
-CREDENTIALS: tuple[tuple[tuple[str, ...], str, str], ...] = (
+# Credentials on a line, as (pattern, replacement), one after the other.
+CREDENTIALS: tuple[tuple[str, str], ...] = (
+    (r"(?i)((?:set-)?cookie[\"']\s*[=:]\s*)(?:(\")[^\"\n]*\"|(')[^'\n]*')", "$1$2$3***$2$3"),
+    (r"(?i)((?<![A-Za-z0-9])(?:set-)?cookie:\s*)[^\n\"']+", "$1***"),
     (
-        ("private key",),
-        r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(?s:.*?)(-----END [A-Z ]*PRIVATE KEY-----|\z)",
-        "$1***$2",
+        r"(?i)(authorization[\"']?\s*[=:]\s*[\"']?(?:basic|token|digest|apikey)\s+|(?<![A-Za-z0-9_])bearer\s+)[A-Za-z0-9._~+/=-]+",
+        "$1***",
     ),
+    # Tokens known by their shape.
     (
-        ("authorization", "bearer"),
-        r"(?i)(authorization[\"']?\s*[=:]\s*[\"']?(?:basic|token)\s+|(?<![A-Za-z0-9_])bearer\s+)[A-Za-z0-9._~+/=-]+",
-        "$1***",
+        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsur]_|github_pat_)[A-Za-z0-9_]{8,}|xox[abeoprs]-[A-Za-z0-9-]{8,}"
+        r"|glpat-[A-Za-z0-9_-]{8,}|[sr]k_(?:live|test)_[A-Za-z0-9]{8,}|AIza[0-9A-Za-z_-]{30,}|npm_[A-Za-z0-9]{20,}"
+        r"|eyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]*)?)",
+        "***",
     ),
     # After a quoted name, as in JSON, the quotes of the value stay.
     (
-        _NAMES,
-        rf"(?i)({_NAMED}[\"']\s*[=:]\s*)(?:(\")(?:[^\"\\\n]|\\.)*\"|(')(?:[^'\\\n]|\\.)*'|[^\s,;&}}\"']+)",
+        rf"(?i)({_NAMED}[\"']\s*[=:]\s*)(?:(\")(?:[^\"\\\n]++|\\.)*+\"|(')(?:[^'\\\n]++|\\.)*+'|[^\s,;&}}\"']+)",
         "$1$2$3***$2$3",
     ),
-    (_NAMES, rf"(?i)({_NAMED}\s*[=:]\s*)(?:{_VALUE})", "$1***"),
-    (("://",), r"(://[^\s:/@]+):[^\s@/]+@", "$1:***@"),
-    (("hooks.",), r"(https://hooks\.[A-Za-z0-9.-]+/)[^\s\"'<>]+", "$1***"),
-    (
-        ("akia", "asia", "gh", "xox"),
-        r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|(?:gh[opsur]_|github_pat_)[A-Za-z0-9_]{8,}|xox[abeoprs]-[A-Za-z0-9-]{8,})",
-        "***",
-    ),
+    (rf"(?i)({_NAMED}\s*[=:]\s*)(?:{_VALUE})", "$1***"),
+    # An option and its value, with a blank between them.
+    (rf"(?i)((?<![A-Za-z0-9_.-])--?[A-Za-z0-9_.-]*?{_WORD}\s+)(?!-)(?:{_VALUE})", "$1***"),
+    (r"(://[^\s:/@]*):[^\s@/]+@", "$1:***@"),
+    (r"(https://hooks\.[A-Za-z0-9.-]+/)[^\s\"'<>]+", "$1***"),
 )
 
 BLANKS = " \t\n\r\f\x0b"
@@ -108,12 +110,22 @@ def evidence(text: Column, keep: int = 6, within: int = 40) -> Column:
     return last_items(F.filter(stripped, lambda line: line != ""), keep)
 
 
-def blank_out(
-    text: Column, lowered: Column, words: tuple[str, ...], pattern: str, replacement: str
-) -> Column:
-    """Apply one credential pattern where one of its words occurs."""
-    present = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in words))
-    return F.when(present, F.regexp_replace(text, pattern, replacement)).otherwise(text)
+def masked(text: Column) -> Column:
+    """A text without the values of its credentials.
+
+    Only lines that hold a hint are rewritten. A line that ends in ``=`` or ``:`` goes on in the next one.
+    """
+
+    def one(line: Column) -> Column:
+        out = line
+        for pattern, replacement in CREDENTIALS:
+            out = F.regexp_replace(out, pattern, replacement)
+        lowered = F.lower(line)
+        hinted = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(hint)) for hint in HINTS))
+        return F.when(hinted, out).otherwise(line)
+
+    bare = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.regexp_replace(text, *PRIVATE_KEY)).otherwise(text)
+    return F.array_join(F.transform(F.split(bare, r"(?<![=:][ \t]{0,8})\n"), one), "\n")
 
 
 def numbers(text: Column, signal: str) -> Column:

@@ -101,6 +101,22 @@ FORMS = [
     ("postgres://u:p@h/d", "postgres://u:***@h/d"),
     ("max_tokens=5 and a token of thanks", "max_tokens=5 and a token of thanks"),
     ("monkey=5 keyboard: x", "monkey=5 keyboard: x"),
+    ("PGPASSWORD=x psql", "PGPASSWORD=*** psql"),
+    ("dbpassword=x, b", "dbpassword=***, b"),
+    ("clientSecret: x", "clientSecret: ***"),
+    ("accessToken=x&y=1", "accessToken=***&y=1"),
+    ("mysql --password x -h db", "mysql --password *** -h db"),
+    ("run --api-key='a b' -q", "run --api-key=*** -q"),
+    ("redis://:pw@host/0", "redis://:***@host/0"),
+    ("jwt eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl end", "jwt *** end"),
+    ("Cookie: session=x; theme=dark\nnext", "Cookie: ***\nnext"),
+    ('{"Set-Cookie": "id=a; Path=/", "b": 1}', '{"Set-Cookie": "***", "b": 1}'),
+    ("clone with glpat-abcdefghijk now", "clone with *** now"),
+    ("sk_live_abcdefgh123 paid", "*** paid"),
+    ("password:\n  hunter2\nnext", "password:\n  ***\nnext"),
+    ("--password\n--next token", "--password\n--next token"),
+    ("tokenizer=bpe secretary: Jo https://host/path?a=b", "tokenizer=bpe secretary: Jo https://host/path?a=b"),
+    ("\n\n", "\n\n"),
 ]
 
 
