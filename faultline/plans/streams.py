@@ -153,6 +153,28 @@ def _(t):
     return rows.withColumn("requested_at", F.date_format("requested_at", FORMAT))
 
 
+@query(
+    "stream_approval_states",
+    """WITH d AS (SELECT approval_id, decision, ts + to_minutes(wait_minutes) AS decided_at FROM {approval_pairs} WHERE answered),
+         mark AS (SELECT date_trunc('millisecond', greatest((SELECT max(ts) FROM {approval_pairs}), (SELECT max(decided_at) FROM d)))
+           - INTERVAL 10 MINUTE AS w),
+         final AS (SELECT q.approval_id, q.ts, d.decision, d.decided_at FROM {approval_pairs} q
+           LEFT JOIN d ON q.approval_id = d.approval_id AND d.decided_at <= q.ts + INTERVAL 1 HOUR),
+         states AS (SELECT approval_id, 'PENDING' AS status, ts AS since FROM final
+           UNION ALL SELECT approval_id, decision, decided_at FROM final WHERE decision IS NOT NULL
+           UNION ALL SELECT approval_id, 'TIMED_OUT', ts + INTERVAL 1 HOUR FROM final, mark WHERE decision IS NULL AND ts + INTERVAL 1 HOUR <= mark.w)
+       SELECT approval_id, status, strftime(since, '%Y-%m-%d %H:%M:%S.%f') AS since FROM states""",
+)
+def _(t):
+    at = F.col("ts").cast("timestamp")
+    requests = t.approval_pairs.select("approval_id", at.alias("requested_at"))
+    decisions = t.approval_pairs.where("answered").select(
+        "approval_id", "decision", (at + F.make_dt_interval(mins=F.col("wait_minutes"))).alias("decided_at")
+    )
+    rows = drained(ops.approval_states(stream_of(requests), stream_of(decisions)))
+    return rows.withColumn("since", F.date_format("since", FORMAT))
+
+
 @query(
     "stream_late",
     """SELECT run_id AS alert_id, event_id % 25 > 10 AS is_late FROM {failed_runs}""",

@@ -205,6 +205,83 @@ def await_approvals(
     )
 
 
+class Approval(StatefulProcessor):
+    """One approval request: pending, then decided or overdue.
+
+    State is the time of the request, its status, and a decision that came before it. It is kept until event time has moved
+    ``timeout`` past the request, or past a decision without one, so what arrives twice changes nothing.
+    """
+
+    def __init__(self, timeout_us: int):
+        self.timeout = timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("approval", "requested bigint, status string, decided bigint, decision string")
+
+    def _fits(self, requested: int, decided: int) -> bool:
+        return requested <= decided <= requested + self.timeout
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        requested, status, decided, decision = self.state.get() if self.state.exists() else (None, None, None, None)
+        known = requested
+        asked, answers = [], [] if decision is None else [(decided, decision)]
+        for r in rows:
+            asked.append(r["at_us"]) if r["decision"] is None else answers.append((r["at_us"], r["decision"]))
+        if requested is None and asked:
+            requested, status = min(asked), "PENDING"
+            yield Row(approval_id=key[0], status=status, since_us=requested)
+        if requested is None:
+            decided, decision = max(answers)
+        else:
+            fitting = sorted(a for a in answers if self._fits(requested, a[0]))
+            decided = decision = None
+            if status == "PENDING" and fitting:
+                at, status = fitting[0]
+                yield Row(approval_id=key[0], status=status, since_us=at)
+        self.state.update((requested, status, decided, decision))
+        if known is None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            # Milliseconds, the next whole one.
+            self.handle.registerTimer(-(-((requested or decided) + self.timeout) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        requested, status, _, _ = self.state.get() if self.state.exists() else (None, None, None, None)
+        self.state.clear()
+        if status == "PENDING":
+            yield Row(approval_id=key[0], status="TIMED_OUT", since_us=requested + self.timeout)
+
+    def close(self) -> None:
+        pass
+
+
+def approval_states(
+    requests: DataFrame, decisions: DataFrame, timeout_minutes: int = 60, delay: str = "10 minutes"
+) -> DataFrame:
+    """Every state of each approval request as it is reached: (``approval_id``, ``status``, ``since``).
+
+    A request is ``PENDING`` at once, then has the first decision made within ``timeout_minutes``, or is ``TIMED_OUT`` when event
+    time has passed that. A decision that arrives before its request waits for it; one made too late or before the request does not
+    count. The state of a request is its row with the latest ``since``. Columns are those of ``await_approvals``; rows without an id or time take
+    no part. Needs the RocksDB state store.
+    """
+    asked = requests.select("approval_id", F.col("requested_at").alias("at"), F.lit(None).cast("string").alias("decision"))
+    answered = decisions.where("decision IS NOT NULL").select("approval_id", F.col("decided_at").alias("at"), "decision")
+    both = asked.unionByName(answered).where("approval_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay)
+    states = (
+        both.withColumn("at_us", F.unix_micros("at"))
+        .groupBy("approval_id")
+        .transformWithState(
+            statefulProcessor=Approval(timeout_minutes * 60_000_000),
+            outputStructType="approval_id string, status string, since_us bigint",
+            outputMode="Append",
+            timeMode="EventTime",
+        )
+    )
+    return states.select("approval_id", "status", F.timestamp_micros("since_us").alias("since"))
+
+
 def split_late(
     alerts: DataFrame, on_time: str, late: str, allowed: str = "10 minutes", arrived: str = "arrived_at"
 ):

@@ -88,6 +88,40 @@ def test_approvals_time_out(spark, tmp_path):
     assert got == {"x": "APPROVED", "y": "TIMED_OUT", "z": "TIMED_OUT"}
 
 
+ASKED, ANSWERED = "approval_id string, requested_at timestamp", "approval_id string, decision string, decided_at timestamp"
+
+
+def test_approval_states_over_a_restart(spark, tmp_path):
+    """Pending is visible, an early decision waits, and state outlives the query that wrote it."""
+    asked, answered = str(tmp_path / "q"), str(tmp_path / "d")
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+
+    def states(*name):
+        rows = drain(ops.approval_states(*name), tmp_path).collect()
+        out = {}
+        for r in sorted(rows, key=lambda r: r.since):
+            out.setdefault(r.approval_id, []).append((r.status, r.since))
+        return out
+
+    requests = batches(spark, asked, ASKED, [("x", minute(0)), ("y", minute(0)), ("z", minute(1)), (None, minute(1)), ("x", minute(2))])
+    decisions = batches(spark, answered, ANSWERED, [("early", "APPROVED", minute(6)), ("w", "REJECTED", minute(1)), ("y", None, minute(3))])
+    first = states(requests, decisions)
+    assert first == {"x": [("PENDING", minute(0))], "y": [("PENDING", minute(0))], "z": [("PENDING", minute(1))]}
+    more = spark.createDataFrame([("early", minute(5)), ("w", minute(4))], ASKED)
+    more.coalesce(1).write.mode("append").parquet(asked)
+    late = [("x", "REJECTED", minute(5)), ("x", "APPROVED", minute(9)), ("z", "APPROVED", minute(62))]
+    spark.createDataFrame(late, ANSWERED).coalesce(1).write.mode("append").parquet(answered)
+    second = states(spark.readStream.schema(ASKED).parquet(asked), spark.readStream.schema(ANSWERED).parquet(answered))
+    assert second["x"] == [("PENDING", minute(0)), ("REJECTED", minute(5))]
+    assert second["early"] == [("PENDING", minute(5)), ("APPROVED", minute(6))]
+    assert second["w"] == [("PENDING", minute(4))]
+    spark.createDataFrame([("end", minute(600))], ASKED).coalesce(1).write.mode("append").parquet(asked)
+    third = states(spark.readStream.schema(ASKED).parquet(asked), spark.readStream.schema(ANSWERED).parquet(answered))
+    assert third["y"] == [("PENDING", minute(0)), ("TIMED_OUT", minute(60))]
+    assert third["z"][-1] == ("TIMED_OUT", minute(61)) and third["w"][-1] == ("TIMED_OUT", minute(64))
+    assert third["end"] == [("PENDING", minute(600))] and third["x"] == second["x"] and third["early"] == second["early"]
+
+
 def test_late_alerts_are_kept(spark, tmp_path):
     schema = ALERT + ", arrived_at timestamp"
     rows = [(*alert(i, "r", 0), T0 + dt.timedelta(minutes=m)) for i, m in enumerate((0, 10, 11, 300))]
