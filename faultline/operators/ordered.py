@@ -1,17 +1,17 @@
 """Ordered computations that stay parallel when one key holds most rows.
 
-A plain window over ``PARTITION BY key`` sorts each key in one task. Here rows are
-windowed per key *and* time bucket, and what must cross a bucket border travels in
-a table with one row per key and bucket. Its size follows the time span, not the
-row count. Results equal those of the plain window.
+A plain window over ``PARTITION BY key`` sorts each key in one task. Here rows are dealt to ranges of (key, time, tie) with
+about equally many rows, which are written to the shared scratch folder with the number of their range, so a key
+with very many rows, in whatever span of time, becomes many ranges. Rows are windowed per key and range, and
+what must cross a border travels in a table with one row per key and range. Results
+equal those of the plain window. Sources are read once to be sampled for the borders and once to be dealt.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-HOUR = 3600
-MINUTE = 60
+from faultline.session import scratch_dir
 
 
 def epoch_us(ts: Column | str) -> Column:
@@ -20,8 +20,13 @@ def epoch_us(ts: Column | str) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def time_bucket(us: Column, seconds: int) -> Column:
-    return F.floor(us / F.lit(seconds * 1_000_000))
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``_bucket``: the number of the range of (``_k``, order) in which a row lies. Written, so it stays."""
+    spark = rows.sparkSession
+    path = scratch_dir(spark, "ranges")
+    ranged = rows.repartitionByRange("_k", *order).withColumn("_bucket", F.spark_partition_id())
+    ranged.write.parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path)
 
 
 def _group(keys: list[str]) -> Column:
@@ -44,7 +49,6 @@ def asof_join(
     tie: str | None = None,
     forward: bool = False,
     tolerance_seconds: int | None = None,
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Attach to each left row the nearest right row in time, per key.
 
@@ -71,11 +75,9 @@ def asof_join(
         (F.col(tie) if tie else F.lit(None).cast("int")).alias("_tie"),
         sample.alias("_sample"),
     )
-    both = (
-        side_left.unionByName(side_right, allowMissingColumns=True)
-        .withColumn("_bucket", time_bucket(F.col("_t"), bucket_seconds))
-        .withColumn("_order", F.col("_t") * sign)
-    )
+    # At the same time a left row lies behind the right ones, seen in the direction of the search.
+    both = side_left.unionByName(side_right, allowMissingColumns=True).withColumn("_place", F.col("_side") * sign)
+    both = _dealt(both, "_t", "_place", "_tie").withColumn("_order", F.col("_t") * sign)
     inside = (
         Window.partitionBy("_k", "_bucket")
         .orderBy("_order", "_side", *(["_tie"] if not forward else [F.desc("_tie")]))
@@ -94,7 +96,7 @@ def asof_join(
     edges = edges.select(
         "_k", "_bucket", F.last("_edge._sample", ignorenulls=True).over(before).alias("_far")
     )
-    hit = F.coalesce("_near", "_far")
+    hit = F.when(F.col("_t").isNotNull(), F.coalesce("_near", "_far"))
     if tolerance_seconds is not None:
         gap = F.abs(hit["_at"] - F.col("_t"))
         hit = F.when(gap <= tolerance_seconds * 1_000_000, hit)
@@ -110,16 +112,13 @@ def neighbour(
     tie: str,
     values: dict[str, str],
     forward: bool = False,
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """``lag`` (or with ``forward`` ``lead``) by one row per key, in (ts, tie) order.
 
     ``values`` maps new column names to the columns they copy.
     """
     sign = -1 if forward else 1
-    rows = rows.select("*", _group(keys)).withColumn("_t", epoch_us(ts)).withColumn(
-        "_bucket", time_bucket(F.col("_t"), bucket_seconds)
-    )
+    rows = _dealt(rows.select("*", _group(keys)).withColumn("_t", epoch_us(ts)), "_t", tie)
     copied = F.struct(*[F.col(source).alias(name) for name, source in values.items()])
     order = [F.col("_t"), F.col(tie)]
     inside = Window.partitionBy("_k", "_bucket").orderBy(*[c.desc() if forward else c for c in order])
@@ -139,14 +138,12 @@ def neighbour(
 
 
 def number_rows(
-    rows: DataFrame, keys: list[str], ts: str, tie: str, bucket_seconds: int = HOUR, weight: str | None = None
+    rows: DataFrame, keys: list[str], ts: str, tie: str, weight: str | None = None
 ) -> DataFrame:
     """Add ``_n``: the row number per key in (ts, tie) order, counted from 0, or with
     ``weight`` the sum of that column over the rows before."""
     each = F.col(weight) if weight else F.lit(1)
-    rows = rows.select("*", _group(keys)).withColumn("_t", epoch_us(ts)).withColumn(
-        "_bucket", time_bucket(F.col("_t"), bucket_seconds)
-    )
+    rows = _dealt(rows.select("*", _group(keys)).withColumn("_t", epoch_us(ts)), "_t", tie)
     inside = Window.partitionBy("_k", "_bucket").orderBy("_t", tie)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumn("_local", F.coalesce(F.sum(each).over(earlier), F.lit(0)))
@@ -173,7 +170,6 @@ def preceding(
     n: int,
     aggregates: dict[str, Column],
     chunk: int = 50_000,
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Aggregates over the ``n`` rows before each row, per key in (ts, tie) order.
 
@@ -182,7 +178,7 @@ def preceding(
     """
     if chunk < n:
         raise ValueError("chunk must hold at least n rows")
-    numbered = number_rows(rows, keys, ts, tie, bucket_seconds)
+    numbered = number_rows(rows, keys, ts, tie)
     own = F.floor(F.col("_n") / chunk)
     in_tail = F.col("_n") % chunk >= chunk - n
     placed = numbered.withColumn(
@@ -205,7 +201,6 @@ def preceding_where(
     n: int,
     aggregates: dict[str, Column],
     chunk: int = 50_000,
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Aggregates over the last ``n`` rows before each row for which ``condition`` holds.
 
@@ -215,7 +210,7 @@ def preceding_where(
     """
     holds = F.coalesce(condition, F.lit(False))
     numbered = number_rows(
-        rows.withColumn("_holds", holds.cast("int")), keys, ts, tie, bucket_seconds, weight="_holds"
+        rows.withColumn("_holds", holds.cast("int")), keys, ts, tie, weight="_holds"
     )
     held = numbered.where("_holds = 1")
     own = F.floor(F.col("_n") / chunk)
@@ -233,18 +228,14 @@ def preceding_where(
 
 
 def running_peak(
-    steps: DataFrame, keys: list[str], ts: str, delta: str, bucket_seconds: int = HOUR
+    steps: DataFrame, keys: list[str], ts: str, delta: str
 ) -> DataFrame:
     """Highest running total of ``delta`` per key, in time order.
 
     Steps at the same instant are summed first, so only totals between instants
     count.
     """
-    instants = (
-        steps.groupBy(_group(keys), epoch_us(ts).alias("_t"))
-        .agg(F.sum(delta).alias("_d"))
-        .withColumn("_bucket", time_bucket(F.col("_t"), bucket_seconds))
-    )
+    instants = _dealt(steps.groupBy(_group(keys), epoch_us(ts).alias("_t")).agg(F.sum(delta).alias("_d")), "_t")
     inside = Window.partitionBy("_k", "_bucket").orderBy("_t").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -276,7 +267,6 @@ def around(
     counts: dict[str, Column],
     first_where: Column,
     values: list[str],
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Summary of the items in ``[t - before, t + after]`` around each mark, without
     forming mark-item pairs.
@@ -315,9 +305,7 @@ def around(
         "_end._rank",
         *[F.lit(0).alias(f"_c_{name}") for name in names],
     )
-    both = mark_rows.unionByName(item_rows, allowMissingColumns=True).withColumn(
-        "_bucket", time_bucket(F.col("_t"), bucket_seconds)
-    )
+    both = _dealt(mark_rows.unionByName(item_rows, allowMissingColumns=True), "_t", "_rank", "_tie")
     span = (Window.unboundedPreceding, Window.currentRow)
     inside = Window.partitionBy("_k", "_bucket")
     onward = inside.orderBy("_t", "_rank", "_tie").rowsBetween(*span)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from faultline.operators import ordered
-from faultline.operators.ordered import HOUR, MINUTE
 
 
 def pod_events(
@@ -32,12 +31,10 @@ def attach_telemetry(
     events: DataFrame,
     key: str = "run_id",
     window_seconds: int = 600,
-    bucket_seconds: int = MINUTE,
 ) -> DataFrame:
     """Add what the cluster's events say around each failure: ``n_events``,
     ``n_errors``, ``n_critical`` and the pivotal event, which is the first critical
-    one, else the last of any severity. A cluster is a coarse key, so buckets are
-    minutes."""
+    one, else the last of any severity."""
     summary = ordered.around(
         incidents,
         events,
@@ -55,7 +52,6 @@ def attach_telemetry(
         },
         F.col("severity") == "CRITICAL",
         ["severity"],
-        bucket_seconds,
     )
     pivot = F.coalesce("first", "last")
     return incidents.join(
@@ -92,7 +88,6 @@ def metric_at_failure(
     metrics: DataFrame,
     metric: str,
     keys: tuple[str, ...] = ("cluster", "pod_name"),
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """The last sample of ``metric`` at or before each failure."""
     samples = metrics.where(F.col("metric") == metric).select(
@@ -100,7 +95,7 @@ def metric_at_failure(
     )
     return ordered.asof_join(
         incidents, samples, list(keys), "ts", "sample_ts", ["sample_ts", "sample_value"],
-        tie="sample_value", bucket_seconds=bucket_seconds,
+        tie="sample_value",
     )
 
 
@@ -108,7 +103,6 @@ def upstream_cause(
     sensor_failures: DataFrame,
     dependencies: DataFrame,
     runs: DataFrame,
-    bucket_seconds: int = HOUR,
 ) -> DataFrame:
     """Failed upstream run behind each sensor failure.
 
@@ -126,7 +120,7 @@ def upstream_cause(
     )
     return ordered.asof_join(
         waiting, upstream, ["upstream_cluster", "upstream_dag_id"], "ts", "_uts",
-        ["upstream_run_id", "upstream_state"], tie="upstream_run_id", bucket_seconds=bucket_seconds,
+        ["upstream_run_id", "upstream_state"], tie="upstream_run_id",
     ).where("upstream_state = 'failed'")
 
 
@@ -202,12 +196,12 @@ def usage_against_limit(metrics: DataFrame, usage: str, limit: str, keys: list[s
 
 
 def metric_saturation(
-    paired: DataFrame, keys: list[str], threshold: float = 0.9, bucket_seconds: int = HOUR
+    paired: DataFrame, keys: list[str], threshold: float = 0.9
 ) -> DataFrame:
     """Peak, mean, last usage, peak share of the limit and seconds spent above
     ``threshold`` of it, per key. A sample holds until the next one."""
     timed = ordered.neighbour(
-        paired, keys, "ts", "used", {"_next": "ts"}, forward=True, bucket_seconds=bucket_seconds
+        paired, keys, "ts", "used", {"_next": "ts"}, forward=True
     )
     held = ordered.epoch_us("_next") - ordered.epoch_us("ts")
     above = F.col("used") > F.col("allowed") * threshold
@@ -223,12 +217,12 @@ def metric_saturation(
 
 
 def spike_recovery(
-    metrics: DataFrame, keys: list[str], tie: str = "value", bucket_seconds: int = HOUR
+    metrics: DataFrame, keys: list[str], tie: str = "value"
 ) -> DataFrame:
     """Whether a series spiked and came back to zero, and how long the last spike
     took to clear: from its last sample to the one after it."""
     timed = ordered.neighbour(
-        metrics, keys, "ts", tie, {"_next": "ts"}, forward=True, bucket_seconds=bucket_seconds
+        metrics, keys, "ts", tie, {"_next": "ts"}, forward=True
     )
     high_at = F.when(F.col("value") != 0, ordered.epoch_us("ts"))
     wait = ordered.epoch_us("_next") - ordered.epoch_us("ts")
@@ -267,7 +261,7 @@ def memory_trend(paired: DataFrame, keys: list[str], origin: Column) -> DataFram
 
 
 def concurrency_peak(
-    spans: DataFrame, keys: list[str], start: str, end: str, limit: int, bucket_seconds: int = HOUR
+    spans: DataFrame, keys: list[str], start: str, end: str, limit: int
 ) -> DataFrame:
     """Most tasks running at once per key, against the connection limit."""
     steps = spans.select(
@@ -279,7 +273,7 @@ def concurrency_peak(
             )
         ).alias("_s"),
     ).select(*keys, "_s.*")
-    peak = ordered.running_peak(steps, keys, "ts", "delta", bucket_seconds)
+    peak = ordered.running_peak(steps, keys, "ts", "delta")
     return peak.withColumn("over_limit", F.col("peak") > limit)
 
 
@@ -288,14 +282,11 @@ def incident_timeline(
     events: DataFrame,
     metrics: DataFrame,
     where: str | Column | None = None,
-    bucket_seconds: int = MINUTE,
 ) -> DataFrame:
     """Log records, cloud events and metric samples per cluster in time order, with
     the gap to the entry before. ``where`` narrows it to one incident.
 
-    Each input has ``cluster``, ``ts`` and a unique ``ref``; the result is sorted. Inputs
-    are read twice, once for the borders of buckets. A cluster is a coarse key, so
-    buckets are minutes.
+    Each input has ``cluster``, ``ts`` and a unique ``ref``; the result is sorted.
     """
     parts = [
         records.select("cluster", "ts", F.lit("log").alias("kind"), "ref", F.col("level").alias("detail")),
@@ -307,7 +298,7 @@ def incident_timeline(
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = rows.withColumn("_tie", F.concat_ws("/", "kind", "ref"))
     timed = ordered.neighbour(
-        rows, ["cluster"], "ts", "_tie", {"_before": "ts"}, bucket_seconds=bucket_seconds
+        rows, ["cluster"], "ts", "_tie", {"_before": "ts"}
     )
     gap = (ordered.epoch_us("ts") - ordered.epoch_us("_before")) / 1e6
     return (

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from faultline.operators import ordered
 
-DAY = 24 * ordered.HOUR
+DAY = 86_400
 
 
 def last_touch(
-    orders: DataFrame, sessions: DataFrame, days: int = 30, bucket_seconds: int = ordered.HOUR
+    orders: DataFrame, sessions: DataFrame, days: int = 30
 ) -> DataFrame:
     """The latest session of the same user within ``days`` before each order.
 
@@ -21,7 +21,7 @@ def last_touch(
     )
     return ordered.asof_join(
         orders, touches, ["user_id"], "order_ts", "_at", ["session_id", "channel"], tie="session_id",
-        tolerance_seconds=days * DAY, bucket_seconds=bucket_seconds,
+        tolerance_seconds=days * DAY,
     ).where("session_id IS NOT NULL")
 
 

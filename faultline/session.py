@@ -36,14 +36,35 @@ def build_session(app: str = "faultline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder for written intermediates, on storage every executor sees.
+# Scratch folders handed out by this process, for ``clear_scratch``.
+_HANDED_OUT: list[str] = []
+
 
-    It lies below ``spark.checkpoint.dir``, or below the warehouse of a session that
-    does not set it.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    A local session without that setting, as in tests, uses its warehouse. On a cluster the setting is required: a default
+    folder would be local to a machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/faultline/{purpose}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder for written intermediates, on storage every executor sees."""
+    folder = f"{shared_root(spark)}/faultline/{purpose}-{uuid.uuid4().hex[:12]}"
+    _HANDED_OUT.append(folder)
+    return folder
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch folders handed out so far. Results that were not written elsewhere cannot be read any more."""
+    remove(spark, *_HANDED_OUT)
+    _HANDED_OUT.clear()
 
 
 def remove(spark: SparkSession, *folders: str) -> None:

@@ -32,7 +32,7 @@ def test_baseline_with_a_hot_key_and_null_keys(spark):
     rows = [(rng.choice(["hot", "hot", "a", None]), T0 + dt.timedelta(seconds=rng.randrange(9000) // 5 * 5), k, rng.choice(["success", "failed"]), rng.random())
             for k in range(800)]
     runs = spark.createDataFrame(rows, "task string, ts timestamp, id int, state string, value double")
-    got = quality.success_baseline(runs, ["task"], "ts", "id", "value", n=4, chunk=10, bucket_seconds=600).collect()
+    got = quality.success_baseline(runs, ["task"], "ts", "id", "value", n=4, chunk=10).collect()
     assert len(got) == 800
     for r in got:
         before = sorted((x for x in rows if x[0] == r.task and (x[1], x[2]) < (r.ts, r.id) and x[3] == "success"), key=lambda x: (x[1], x[2]))[-4:]

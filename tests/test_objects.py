@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from faultline import session
 from faultline.sources import lake, objects
 
 ROWS = [
@@ -120,3 +121,14 @@ def test_a_failed_write_leaves_nothing(spark, root):
     with pytest.raises(Exception, match="not a key below the root"):
         objects.write_objects(rows, root)
     assert files(root) == before
+
+
+def test_scratch_is_removed(spark):
+    folder = session.scratch_dir(spark, "probe")
+    spark.range(3).write.parquet(folder)
+    store = objects.Store(session.shared_root(spark))
+    assert store.below(folder.removeprefix(session.shared_root(spark) + "/"))
+    kept, session._HANDED_OUT[:] = session._HANDED_OUT[:-1], [folder]
+    session.clear_scratch(spark)
+    session._HANDED_OUT[:] = kept
+    assert not store.below(folder.removeprefix(session.shared_root(spark) + "/"))
