@@ -151,22 +151,26 @@ def correlate(
     """Attach to each alert a summary of its cluster's events around it.
 
     The window reaches ``reach_minutes`` to both sides of the step of the clock in which the alert
-    lies, so no border cuts off an event next to it. Events are summed up per cluster
-    and sliding window before the join, so an alert matches one row, not every
-    event around it. An alert without events comes out with zeros once the watermark
+    lies, so no border cuts off an event next to it. Events are summed up per cluster and step of the
+    clock first, and these sums per sliding window, so state and work of the windows do not grow with the
+    events; an alert matches one row, not every event around it. An alert without events comes out with zeros once the watermark
     has passed its window. Windows still open at the end of the input are not reported.
     """
     width = f"{2 * reach_minutes + step_minutes} minutes"
-    summary = (
+    step = f"{step_minutes} minutes"
+    steps = (
         events.withWatermark("ts", delay)
-        .groupBy(F.window("ts", width, f"{step_minutes} minutes").alias("slot"), "cluster")
+        .groupBy(F.window("ts", step).alias("step"), "cluster")
         .agg(
             F.count("*").alias("n_events"),
             F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"),
         )
     )
+    summary = steps.groupBy(F.window(F.window_time("step"), width, step).alias("slot"), "cluster").agg(
+        F.sum("n_events").alias("n_events"), F.sum("n_critical").alias("n_critical")
+    )
     reach = F.expr(f"interval {reach_minutes} minutes")
-    own = F.window("received_at", f"{step_minutes} minutes")
+    own = F.window("received_at", step)
     # The one sliding window that has the alert's step in its middle.
     middle = F.struct((own["start"] - reach).alias("start"), (own["end"] + reach).alias("end"))
     marked = alerts.withWatermark("received_at", delay).withColumn("slot", middle)
