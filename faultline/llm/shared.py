@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.session import scratch_dir
+
 # A word is a run of characters other than these separators.
 SEPARATORS = b" \t\n\x0b\x0c\r"
 SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -150,13 +151,8 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that all executors share.
-
-    It lies below ``spark.checkpoint.dir``; a session without that setting, as in
-    tests, uses its warehouse.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/corpus/{purpose}-{uuid.uuid4().hex[:16]}"
+    """A fresh folder that all executors share; ``faultline.session.clear_scratch`` removes it."""
+    return scratch_dir(spark, f"corpus/{purpose}")
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
