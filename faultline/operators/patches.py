@@ -1,7 +1,7 @@
 """Code patches over source files, one row per file.
 
-Files have ``repo``, ``file_path`` and ``content``. Edits and diffs are column
-expressions.
+Files have ``repo``, ``file_path`` and ``content``. Edits and the diffs of edits are column
+expressions; ``file_diffs`` compares any two texts.
 """
 
 from __future__ import annotations
@@ -9,8 +9,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from faultline.functions import text as X, tokens
+from faultline.functions import diffs, text as X, tokens
 
 # What the edits look for.
 ANY_DIVISION = r"(\w+)\s*/\s*(\w+)"
@@ -174,6 +175,26 @@ def patch_diffs(patched: DataFrame) -> DataFrame:
     return placed.withColumn("unified_diff", unified_diff("_old", "_new", "_places", "file_path")).drop("_old", "_new", "_places")
 
 
+def file_diffs(files: DataFrame, before: str = "content", after: str = "patched", path: str = "file_path") -> DataFrame:
+    """Unified diff of any two texts per row, in ``unified_diff``; rows with equal texts drop out.
+
+    Lines may be inserted, deleted and moved. A null text is an empty one. Each pair is handled within its row; only the texts and the path
+    go to Python.
+    """
+
+    def run(batches):
+        for batch in batches:
+            yield batch[["_row"]].assign(
+                unified_diff=[diffs.unified(o, n, p) for o, n, p in zip(batch["_old"], batch["_new"], batch["_path"])]
+            )
+
+    texts = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((before, "_old"), (after, "_new"), (path, "_path"))]
+    changed = files.where(~F.coalesce(before, F.lit("")).eqNullSafe(F.coalesce(after, F.lit(""))))
+    kind = StructType([StructField("_row", files.schema, False), StructField("unified_diff", StringType())])
+    rows = changed.select(F.struct(*files.columns).alias("_row"), *texts).mapInPandas(run, kind)
+    return rows.select("_row.*", "unified_diff")
+
+
 def patch_kind(framework: Column | str, category: Column | str | None = None) -> Column:
     """Which patch fits: by framework, or without one by the failure category."""
     framework = F.col(framework) if isinstance(framework, str) else framework

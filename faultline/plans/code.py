@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 
 from pyspark.sql import functions as F
@@ -50,12 +51,12 @@ FILE_LINES = (
 COLUMNS = {"#": "cast(doc_id AS string)", "%": "cast(doc_id % 7 AS string)", "@": "text"}
 
 
-def _literal(line: str) -> str:
+def _literal(line: str, marks: str = "#%@") -> str:
     """A line as an SQL expression."""
     pieces = []
-    for piece in re.split("([#%@])", line):
+    for piece in re.split(f"([{marks}])", line):
         quoted = "'" + piece.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'"
-        pieces.append(COLUMNS.get(piece, quoted))
+        pieces.append(COLUMNS[piece] if piece and piece in marks else quoted)
     return " || ".join(pieces)
 
 
@@ -158,6 +159,27 @@ def _(t):
     return diffs.select("doc_id", "unified_diff")
 
 
+# A file of which lines are deleted, inserted, changed and moved; the text of the document follows, unchanged.
+BEFORE = [f"line {k} of #" for k in range(1, 31)]
+AFTER = ["first of #", *BEFORE[:4], "new a", "new b #", *BEFORE[4:9], *BEFORE[11:20], "line 21 changed", *BEFORE[21:24], *BEFORE[25:27], BEFORE[24], *BEFORE[27:]]
+EXPECTED = difflib.unified_diff(BEFORE, AFTER, "a/q.sql", "b/q.sql", lineterm="")
+
+derived.DERIVED["file_versions"] = f"""
+SELECT doc_id, 'q.sql' AS file_path, {" || ".join(f"{_literal(x)} || chr(10)" for x in BEFORE)} || text AS content,
+  {" || ".join(f"{_literal(x)} || chr(10)" for x in AFTER)} || text AS patched
+FROM {{documents}}
+"""
+
+
+# The expected text comes from another implementation, run on the lines above.
+@query(
+    "file_diffs",
+    "SELECT doc_id, " + " || ".join(f"{_literal(x, '#')} || chr(10)" for x in EXPECTED) + " AS unified_diff FROM {file_versions} WHERE content IS NOT NULL",
+)
+def _(t):
+    return patches.file_diffs(t.file_versions).select("doc_id", "unified_diff")
+
+
 @query(
     "patch_affected_files",
     """SELECT g.doc_id, o.n_incidents, g.patched <> g.content AS changed

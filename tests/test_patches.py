@@ -1,7 +1,10 @@
 """Patches on single lines and whole files."""
 
+import re
+
 import pytest
 
+from faultline.functions import diffs
 from faultline.operators import lineage, patches
 
 
@@ -209,6 +212,62 @@ def test_diff_without_a_final_line_end(spark):
     )
 
 
+def applied(old, diff):
+    """The old text with a unified diff applied."""
+    lines, out, at = diffs._lines(old), [], 0
+    body = re.sub(r"\n\\ No newline at end of file\n", "\0\n", diff).split("\n")[2:-1]
+    for line in body:
+        line = line[:-1] if line.endswith("\0") else line + "\n"
+        if line.startswith("@@"):
+            start, _, count = line[4:].split(" ")[0].partition(",")
+            start = int(start) - (count != "0")
+            out += lines[at:start]
+            at = start
+        elif line[0] == "+":
+            out.append(line[1:])
+        else:
+            assert lines[at] == line[1:]
+            at += 1
+            out += [line[1:]] if line[0] == " " else []
+    return "".join(out + lines[at:])
+
+
+def test_diffs_of_any_two_texts(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for k in range(300):
+        old = [rng.choice("abcdefgh" if k % 2 else "ab") + "\n" for _ in range(rng.randint(0, 40))]
+        new = [line for line in old if rng.random() > 0.2]
+        for _ in range(rng.randint(0, 6)):
+            new.insert(rng.randint(0, len(new)), rng.choice("abxyz") + "\n")
+        rng.random() < 0.2 and rng.shuffle(new)
+        texts = ["".join(old), "".join(new)]
+        rows.append((k, *[t[:-1] if rng.random() < 0.3 else t for t in texts]))
+    frame = spark.createDataFrame([*rows, (900, None, "a"), (901, "a\n", None), (902, None, None), (903, "a\x85b\x0cc\n", "a\x85b\n")], "id int, content string, patched string")
+    got = {r.id: r.unified_diff for r in patches.file_diffs(frame.withColumn("file_path", patches.F.lit("f"))).collect()}
+    assert set(got) == {k for k, old, new in rows if old != new} | {900, 901, 903}
+    for k, old, new in rows:
+        if old != new:
+            assert applied(old, got[k]) == new
+    assert got[900] == "--- a/f\n+++ b/f\n@@ -0,0 +1 @@\n+a\n\\ No newline at end of file\n"
+    assert got[903] == "--- a/f\n+++ b/f\n@@ -1 +1 @@\n-a\x85b\x0cc\n+a\x85b\n"
+
+
+def test_long_diffs_end_soon():
+    import time
+
+    start = time.time()
+    old = "".join(f"line {k}\n" for k in range(100_000))
+    new = "".join(f"other {k}\n" for k in range(100_000))
+    assert diffs.unified(old, new, "f").count("\n") == 200_003
+    assert diffs.unified(old, old.replace("line 5000\n", ""), "f").count("\n") == 10
+    assert diffs.unified(old, "x\n" + "".join(reversed(old.splitlines(True))), "f").count("\n") > 100_000
+    assert diffs.unified("a\nb\n" * 50_000, "b\na\n" * 50_000 + "c\n", "f")
+    assert time.time() - start < 20
+
+
 def test_plan_by_framework_or_category(spark):
     rows = [("dbt-core", None), ("custom-sql", None), ("airflow-native", None), (None, "STRUCTURAL_SCHEMA_DRIFT"),
             (None, "UNKNOWN"), ("terraform", "TRANSIENT_OOM")]
