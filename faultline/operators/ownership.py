@@ -42,34 +42,51 @@ def newest_manifest(nodes: DataFrame) -> DataFrame:
     )
 
 
+# Letters of a gram of the index of node ids.
+GRAM = 4
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """The different pieces of a text of one size; the empty one for size 0."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
+
+
 def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each distinct (``task_id``, ``hint``): the first manifest node whose id
     contains the task id or whose path equals the hint.
 
     Only the newest manifest of a project counts. Where ``tasks`` names a ``project``,
     its nodes alone are looked at; else the first project by name that has a match
-    answers. Containment becomes equality: every node id is cut into its pieces of the
-    lengths task ids have, each piece keeps its first node, and pieces join by
-    value. ``nodes`` has ``ord``, ``node_id``, ``original_file_path``.
+    answers. Containment is found by an index of grams: a node whose id contains a task id contains the
+    rarest gram of it, so the nodes of that gram alone are compared with the task id. ``nodes`` has ``ord``, ``node_id``,
+    ``original_file_path``.
     """
     scope = ["project"] if "project" in tasks.columns and "project" in nodes.columns else []
     wanted = tasks.select(*scope, "task_id", C.or_default(F.col("hint"), F.lit(None)).alias("hint")).distinct()
     ids = wanted.select(*scope, "task_id").distinct()
-    # Ids have at most a few hundred characters, so this list is short.
-    lengths = ids.agg(F.sort_array(F.collect_set(F.length("task_id")))).scalar()
     project = F.col("project") if "project" in nodes.columns else F.lit("")
     node = F.struct(project.alias("project"), "ord", "node_id", "original_file_path")
     nodes = newest_manifest(nodes).select(*scope, node.alias("_node"))
-    per_length = (
-        nodes.withColumn("_lengths", lengths)
-        .select(*scope, "_node", F.explode("_lengths").alias("_n"))
-        .where("_n <= length(_node.node_id)")
+    # Ids shorter than a gram are one themselves; there are at most GRAM + 1 sizes.
+    size = F.least(F.length("task_id"), F.lit(GRAM))
+    sizes = ids.agg(F.collect_set(size)).scalar()
+    index = (
+        nodes.withColumn("_size", F.explode(sizes)).where("_size <= length(_node.node_id)")
+        .select(*scope, "_node", F.explode(_grams(F.col("_node.node_id"), F.col("_size"))).alias("_gram"))
+    )
+    frequency = index.groupBy(*scope, "_gram").agg(F.count("*").alias("_nodes"))
+    parts = ids.where("task_id IS NOT NULL").select(*scope, "task_id", F.explode(_grams(F.col("task_id"), size)).alias("_gram"))
+    rarest = (
+        parts.join(frequency, [*scope, "_gram"], "left")
+        .groupBy(*scope, "task_id")
+        # A gram that no node has is the rarest.
+        .agg(F.min(F.struct(F.coalesce("_nodes", F.lit(0)).alias("nodes"), "_gram")).alias("_rarest"))
+        .where("_rarest.nodes > 0")
+        .select(*scope, "task_id", F.col("_rarest._gram").alias("_gram"))
     )
-    starts = F.sequence(F.lit(1), F.length("_node.node_id") - F.col("_n") + 1)
     by_id = (
-        per_length.select(*scope, "_node", "_n", F.explode(starts).alias("_i"))
-        .select(*scope, "_node", F.expr("substring(_node.node_id, _i, _n)").alias("task_id"))
-        .join(ids, [*scope, "task_id"], "left_semi")
+        index.join(rarest, [*scope, "_gram"])
+        .where(F.contains("_node.node_id", F.col("task_id")))
         .groupBy(*scope, "task_id")
         .agg(F.min("_node").alias("_by_id"))
     )

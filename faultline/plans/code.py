@@ -44,7 +44,7 @@ FILE_LINES = (
         [('"m / n".o', '"s"')],
     ),
     ("  , {{ ref('x/y') }} as z, k / {{ w }} as late, g / h[1] as one", None, []),
-    ("  c.customer_account_id, my_customer_account_id_x /* e / f", None, []),
+    ("  c.ledger_party_id, my_ledger_party_id_x /* e / f", None, []),
     ("  @ g / h */, i / j as after", f"  @ g / h */, i / NULLIF(j, 0) as after{NOTE}", [("i", "j")]),
     ('resources = dict("memory": "2048Mi", "cpu": "1000m")', None, []),
 )
@@ -108,13 +108,13 @@ def _(t):
 
 @query(
     "patch_rename",
-    r"""SELECT doc_id, regexp_replace(content, '\bcustomer_account_id\b', 'account_id', 'g') AS whole_words,
-         replace(content, 'customer_account_id', 'account_id') AS everywhere FROM {repo_files}""",
+    r"""SELECT doc_id, regexp_replace(content, '\bledger_party_id\b', 'party_id', 'g') AS whole_words,
+         replace(content, 'ledger_party_id', 'party_id') AS everywhere FROM {repo_files}""",
 )
 def _(t):
-    words = patches.patch_column_rename(t.repo_files, "customer_account_id", "account_id")
+    words = patches.patch_column_rename(t.repo_files, "ledger_party_id", "party_id")
     both = patches.patch_column_rename(
-        words.withColumnRenamed("patched", "whole_words"), "customer_account_id", "account_id", whole_words=False
+        words.withColumnRenamed("patched", "whole_words"), "ledger_party_id", "party_id", whole_words=False
     )
     return both.select("doc_id", "whole_words", F.col("patched").alias("everywhere"))
 
@@ -196,7 +196,7 @@ def _(t):
 
 derived.DERIVED["patch_requests"] = """
 SELECT run_id, task_id, CASE event_id % 5 WHEN 0 THEN 'dbt-core' WHEN 1 THEN 'custom-sql' WHEN 2 THEN 'airflow-native' WHEN 3 THEN 'terraform' END AS framework,
-  'models/marts/m_' || cast(user_id AS string) || '.sql' AS file_path, 'customer_account_id' AS old_column,
+  'models/marts/m_' || cast(user_id AS string) || '.sql' AS file_path, 'ledger_party_id' AS old_column,
   'account_' || cast(user_id % 3 AS string) AS new_column, '4096Mi' AS new_memory
 FROM {task_runs} WHERE event_type = 'error'
 """
@@ -207,7 +207,7 @@ FROM {task_runs} WHERE event_type = 'error'
     """SELECT run_id, framework, CASE WHEN framework IN ('dbt-core', 'custom-sql', 'airflow-native') THEN 'SUCCESS' ELSE 'FAILED' END AS status,
          CASE framework WHEN 'dbt-core' THEN 'fix/dbt-rename-' || new_column WHEN 'custom-sql' THEN 'fix/sql-nullif-guard'
            WHEN 'airflow-native' THEN 'infra/raise-memory-' || task_id END AS branch_name,
-         CASE framework WHEN 'dbt-core' THEN 'fix(dbt): use ' || new_column || ' for customer_account_id in ' || split_part(file_path, '/', -1)
+         CASE framework WHEN 'dbt-core' THEN 'fix(dbt): use ' || new_column || ' for ledger_party_id in ' || split_part(file_path, '/', -1)
            WHEN 'custom-sql' THEN 'fix(sql): guard divisors in ' || split_part(file_path, '/', -1)
            WHEN 'airflow-native' THEN 'infra(dag): 4096Mi memory for task ' || task_id END AS title,
          CASE WHEN framework = 'terraform' THEN 'no patcher for framework terraform' WHEN framework IS NULL THEN 'no patcher for framework (none)' END AS error
@@ -242,7 +242,7 @@ FROM {failed_runs}
               FROM {drifts} d JOIN {routed} r ON d.run_id = r.run_id),
             jobs AS (SELECT DISTINCT repo_name, file_path, kind FROM req WHERE kind IS NOT NULL),
             src AS (SELECT repo_name || '|' || j.file_path || '|' || kind AS id, j.file_path AS path, f.content,
-                CASE kind WHEN 'rename' THEN regexp_replace(f.content, '\bcustomer_account_id\b', 'net$_id', 'g')
+                CASE kind WHEN 'rename' THEN regexp_replace(f.content, '\bledger_party_id\b', 'net$_id', 'g')
                   WHEN 'guard' THEN g.patched ELSE m.patched END AS patched
               FROM jobs j JOIN {owned_files} f ON f.repo = j.repo_name AND f.file_path = j.file_path
               JOIN {guarded_named} g ON g.doc_id = f.doc_id JOIN {resized} m ON m.doc_id = f.doc_id)""",
@@ -262,7 +262,7 @@ def _(t):
         "run_id", "task_id", "framework", "failure_category", repo.alias("repo_name"),
         F.concat(F.lit("https://git.example.com/"), repo, F.lit(".git")).alias("repo_url"),
         F.concat(F.lit("models/m_"), F.col("file_no").cast("string"), F.lit(".sql")).alias("target_file_path"),
-        F.lit("customer_account_id").alias("old_column"), F.lit("net$_id").alias("new_column"),
+        F.lit("ledger_party_id").alias("old_column"), F.lit("net$_id").alias("new_column"),
     )
     plan = patches.incident_patches(requests, t.owned_files.select("repo", "file_path", "content"))
     asked = triage.approval_requests(decided.join(plan.select("run_id", "code_diff", "pr_url"), "run_id", "left"))
@@ -323,23 +323,23 @@ def _(t):
 derived.DERIVED["model_nodes"] = """
 SELECT 'm_' || cast(c_custkey AS string) AS name, CASE WHEN c_custkey % 11 = 1 THEN 'select * from {{{{ ref(''' || up || ''') }}}}'
   ELSE CASE c_custkey % 7
-  WHEN 0 THEN 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10) || 'select u.id, u.customer_account_id,'
+  WHEN 0 THEN 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10) || 'select u.id, u.ledger_party_id,'
     || chr(10) || '  u.balance_' || no || chr(10) || 'from up u' || chr(10) || 'where u.id > 0'
   WHEN 1 THEN 'WITH UP AS (' || chr(10) || '  SELECT * FROM {{{{ ref(''' || up || ''') }}}}' || chr(10) || ')' || chr(10)
-    || 'SELECT U.id, U.customer_account_id, U.balance_' || no || chr(10) || 'FROM up AS U'
-  WHEN 2 THEN 'select u.id, u.customer_account_id, u.balance_' || no || ' -- not u.remark, from old u' || chr(10)
+    || 'SELECT U.id, U.ledger_party_id, U.balance_' || no || chr(10) || 'FROM up AS U'
+  WHEN 2 THEN 'select u.id, u.ledger_party_id, u.balance_' || no || ' -- not u.remark, from old u' || chr(10)
     || 'from {{{{ ref("' || up || '") }}}} as u'
   WHEN 3 THEN '/* from {{{{ ref(''m_0'') }}}} up, up.gone */' || chr(10) || 'with up as (select * from {{{{ ref(''' || up || ''') }}}})' || chr(10)
-    || 'select up.id, up.customer_account_id, up.balance_' || no || ' from up'
-  WHEN 4 THEN 'select id, upper(customer_account_id) as account, ''gone.x'' as note,' || chr(10) || '  sum(balance_' || no
+    || 'select up.id, up.ledger_party_id, up.balance_' || no || ' from up'
+  WHEN 4 THEN 'select id, upper(ledger_party_id) as account, ''gone.x'' as note,' || chr(10) || '  sum(balance_' || no
     || ') over (partition by id order by id) as running, running * 2 as twice' || chr(10) || 'from {{{{ ref(''' || up || ''') }}}} where id::int > 0 group by account'
   WHEN 5 THEN 'with a as (select * from {{{{ ref(''' || up || ''') }}}}), b as (select * from a where id > 0)' || chr(10)
-    || 'select b.id, customer_account_id from b where exists (select 1 from other o where o.x = b.balance_' || no || ')'
+    || 'select b.id, ledger_party_id from b where exists (select 1 from other o where o.x = b.balance_' || no || ')'
   ELSE 'with a as (select * from {{{{ ref(''' || up || ''') }}}}), k as (select 1 as flag, id as no from {{{{ ref(''' || up || ''') }}}})' || chr(10)
-    || 'select y.customer_account_id, flag from (select customer_account_id, balance_' || no || ' as b from a) y join k on k.no = y.b' END END AS raw_code,
+    || 'select y.ledger_party_id, flag from (select ledger_party_id, balance_' || no || ' as b from a) y join k on k.no = y.b' END END AS raw_code,
   up, no, c_custkey % 11 = 1 AS passes,
-  CASE WHEN c_custkey % 11 = 1 THEN NULL WHEN c_custkey % 4 = 0 THEN 'id,account_id,balance_0,balance_1'
-    ELSE 'id,customer_account_id,balance_0,balance_1,balance_2' END AS declared
+  CASE WHEN c_custkey % 11 = 1 THEN NULL WHEN c_custkey % 4 = 0 THEN 'id,party_id,balance_0,balance_1'
+    ELSE 'id,ledger_party_id,balance_0,balance_1,balance_2' END AS declared
 FROM (SELECT c_custkey, 'm_' || cast(IDIV(c_custkey, 2) AS string) AS up, cast(c_custkey % 3 AS string) AS no FROM {customer}) c
 """
 
@@ -347,7 +347,7 @@ FROM (SELECT c_custkey, 'm_' || cast(IDIV(c_custkey, 2) AS string) AS up, cast(c
 @query(
     "contract_breaks",
     r"""WITH used AS (SELECT m.name AS node, CASE WHEN p.passes THEN p.up ELSE m.up END AS upstream,
-           unnest(['id', 'customer_account_id', 'balance_' || m.no]) AS col
+           unnest(['id', 'ledger_party_id', 'balance_' || m.no]) AS col
          FROM {model_nodes} m LEFT JOIN {model_nodes} p ON p.name = m.up WHERE NOT m.passes),
          decl AS (SELECT name AS upstream, string_split(declared, ',') AS cols FROM {model_nodes} WHERE declared IS NOT NULL),
          gone AS (SELECT node, u.upstream, col, cols FROM used u JOIN decl d ON u.upstream = d.upstream WHERE NOT list_contains(cols, col)),

@@ -138,3 +138,17 @@ def test_paths_and_prefixes(spark, tmp_path):
     assert [r.key for r in lake.list_objects(spark, root, "r/dag_id=a").collect()] == ["r/dag_id=abc/x.sql"]
     assert [r.key for r in lake.list_objects(spark, root, "r/", 1).collect()] == ["r/dag_id=abc/x.sql"]
     assert F.col("x") is not None
+
+
+def test_manifest_index_equals_plain_containment(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda a, b: "".join(rng.choices("abc_", k=rng.randint(a, b)))
+    made = [(k, "model.p." + word(3, 30), None) for k in range(300)]
+    asked = ["", "a", "b_", "zzz", "model.p.", "model.p.a", *[word(1, 8) for _ in range(150)]]
+    nodes = spark.createDataFrame(made, "ord int, node_id string, original_file_path string")
+    tasks = spark.createDataFrame([(t, None) for t in [*asked, None]], "task_id string, hint string")
+    got = {r.task_id: r.node_id for r in ownership.manifest_match(tasks, nodes).collect()}
+    want = {t: next((n for _, n, _ in made if t in n), None) for t in asked}
+    assert got == {t: n for t, n in want.items() if n}

@@ -50,18 +50,18 @@ def test_guard_is_idempotent(spark):
 
 
 def test_rename(spark):
-    sql = "\nSELECT\n    c.customer_account_id,\n    old_customer_account_id\nFROM s ON c.customer_account_id = 1;\n"
-    words = patched(spark, sql, patches.patch_column_rename, old="customer_account_id", new="account_id")
-    assert words.count("c.account_id") == 2 and "old_customer_account_id" in words
+    sql = "\nSELECT\n    c.ledger_party_id,\n    old_ledger_party_id\nFROM s ON c.ledger_party_id = 1;\n"
+    words = patched(spark, sql, patches.patch_column_rename, old="ledger_party_id", new="party_id")
+    assert words.count("c.party_id") == 2 and "old_ledger_party_id" in words
     anywhere = patched(
-        spark, sql, patches.patch_column_rename, old="customer_account_id", new="account_id", whole_words=False
+        spark, sql, patches.patch_column_rename, old="ledger_party_id", new="party_id", whole_words=False
     )
-    assert "customer_account_id" not in anywhere
+    assert "ledger_party_id" not in anywhere
     diff = patches.patch_diffs(
-        run(spark, sql, patches.patch_column_rename, old="customer_account_id", new="account_id")
+        run(spark, sql, patches.patch_column_rename, old="ledger_party_id", new="party_id")
     ).first().unified_diff
     assert diff.startswith("--- a/q/f.sql\n+++ b/q/f.sql\n")
-    assert "\n+    c.account_id,\n" in diff
+    assert "\n+    c.party_id,\n" in diff
 
 
 def test_memory(spark):

@@ -25,7 +25,7 @@ LOGS = [
     ("Lock wait timeout exceeded", "TRANSIENT_CONCURRENCY"),
     ("HTTP 429 Too Many Requests: Rate limit exceeded", "TRANSIENT_RATE_LIMIT"),
     ("FAIL unique_pk [FAIL 42 duplicate keys found]", "DATA_QUALITY"),
-    ("column 'customer_account_id' does not exist in relation x", "STRUCTURAL_SCHEMA_DRIFT"),
+    ("column 'ledger_party_id' does not exist in relation x", "STRUCTURAL_SCHEMA_DRIFT"),
     ("bad column\n...\nrelation not found", "STRUCTURAL_SCHEMA_DRIFT"),
     ("Compilation Error in model", "STRUCTURAL_SYNTAX"),
     ("Sensor has timed out", "DEPENDENCY_LAG"),
