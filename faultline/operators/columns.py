@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.functions import tokens
-from faultline.operators.walks import walk
+from faultline.operators.walks import closure
 from faultline.session import scratch_dir
 
 # Words that are no columns (fixed values).
@@ -251,7 +251,7 @@ def column_references(nodes: DataFrame) -> DataFrame:
         F.concat(F.lit("ref:"), "node").alias("come"), F.col("vertex").alias("go")
     )
     edges = blocks.select(F.col("vertex").alias("come"), F.explode("targets").alias("go")).unionByName(tops).distinct()
-    pairs = walk(edges.select(F.col("come").alias("a"), F.col("go").alias("b")), edges, "come", "go", "string").select("a", "b")
+    pairs = closure(edges, "come", "go", "string").select("a", "b")
     uses = facts.where("column IS NOT NULL").select("node", "vertex", "column", F.explode("targets").alias("a"), F.hash("targets").alias("which"))
     reached = uses.withColumn("b", F.col("a")).unionByName(uses.join(pairs, "a").select(*uses.columns, "b"))
     own = offers.withColumnRenamed("vertex", "b")

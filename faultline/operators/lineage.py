@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from faultline.operators.columns import column_references
-from faultline.operators.walks import walk
+from faultline.operators.walks import closure, walk
 
 
 def lineage_closure(edges: DataFrame) -> DataFrame:
@@ -14,8 +14,7 @@ def lineage_closure(edges: DataFrame) -> DataFrame:
     ``edges`` has ``node`` and ``parent``.
     """
     kind = edges.schema["node"].dataType.simpleString()
-    start = edges.select(F.col("node").alias("a"), F.col("parent").alias("b")).distinct()
-    return walk(start, edges, "node", "parent", kind).withColumnsRenamed({"a": "node", "b": "ancestor"})
+    return closure(edges, "node", "parent", kind).withColumnsRenamed({"a": "node", "b": "ancestor"})
 
 
 def blast_radius(edges: DataFrame, broken: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultline.functions import text as X
 from faultline.operators import logs as ops
 from faultline.plans import derived
 from faultline.plans.registry import query
@@ -160,9 +159,44 @@ def _(t):
     )
 
 
+# Where a log states a figure, by the words before and behind it: the check cuts texts at these words and shares no pattern
+# with the operator.
+FIGURES = {
+    "exit_code": ("exit code ", ""),
+    "rss_mib": ("Current RSS: ", "MiB"),
+    "peak_rss_mib": ("Peak container memory RSS: ", "MiB"),
+    "utilization_pct": ("utilization: ", "%"),
+    "model_index": ("Model ", "/"),
+    "model_total": ("Model ", ""),
+    "model_seconds": ("completed in ", "s"),
+    "duplicate_keys": ("", " duplicate keys found"),
+    "rows_received": ("received ", " rows"),
+    "rows_baseline": ("baseline: ", ""),
+    "rows_tolerance": ("+/- ", ""),
+    "retry_after_s": ("Retry-After: ", ""),
+    "clock_drift_s": ("drifted by ", " seconds"),
+    "disk_used_gi": ("usage ", "Gi"),
+    "disk_limit_gi": ("exceeded limit ", "Gi"),
+    "max_connections": ("max_connections=", ""),
+    "active_tasks": ("", " worker tasks connected"),
+    "statement_timeout_ms": ("(", "ms exceeded)"),
+}
+
+
 def _sql_numbers(text: str, signal: str) -> str:
-    pattern = X.SIGNALS[signal][1].replace("'", "''")
-    return f"regexp_extract_all({text}, '{pattern}', 1)"
+    before, after = FIGURES[signal]
+    plain = f"replace(replace(replace({text}, 'exit code: ', 'exit code '), 'Airflow worker', 'worker'), '''', '')"
+    if signal == "model_total":
+        # The number behind the slash.
+        cut = f"list_transform(string_split({plain}, '{before}')[2:], lambda x: regexp_extract(string_split(x, '/')[2], '^[0-9]+'))"
+        cut = f"list_transform(list_zip({cut}, string_split({plain}, '{before}')[2:]), lambda z: CASE WHEN regexp_full_match(string_split(z[2], '/')[1], '[0-9]+') THEN z[1] ELSE '' END)"
+    elif before and after:
+        cut = f"list_transform(string_split({plain}, '{before}')[2:], lambda x: CASE WHEN contains(x, '{after}') THEN string_split(x, '{after}')[1] ELSE '' END)"
+    elif before:
+        cut = f"list_transform(string_split({plain}, '{before}')[2:], lambda x: regexp_extract(x, '^[0-9,]+'))"
+    else:
+        cut = f"list_transform(string_split({plain}, '{after}')[:-2], lambda x: string_split(string_split(x, chr(10))[-1], ' ')[-1])"
+    return f"list_filter({cut}, lambda v: regexp_full_match(v, '[0-9][0-9.,]*'))"
 
 
 @query(
@@ -171,7 +205,7 @@ def _sql_numbers(text: str, signal: str) -> str:
         f"""SELECT run_id, '{name}' AS signal, cast(unnest(range(len(v))) AS int) AS occurrence,
               cast(replace(unnest(v), ',', '') AS double) AS value
             FROM (SELECT run_id, {_sql_numbers('log_text', name)} AS v FROM {{task_runs}}) s"""
-        for name in X.SIGNALS
+        for name in FIGURES
     ),
 )
 def _(t):

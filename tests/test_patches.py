@@ -295,3 +295,15 @@ def test_closure_with_cycle_and_diamond(spark):
     broken = spark.createDataFrame([("a",)], "node string")
     hit = lineage.blast_radius(edges, broken).first()
     assert (hit.node, hit.n_downstream, hit.reach) == ("a", 4, 2)
+
+
+def test_closure_of_a_long_chain_takes_few_rounds(spark):
+    from faultline import session
+    from faultline.sources import objects
+
+    edges = spark.range(1, 1001).selectExpr("id as node", "id - 1 as parent")
+    got = lineage.lineage_closure(edges)
+    rounds = {k.split("/")[0] for k in objects.Store(session._HANDED_OUT[-1]).below("") if k.startswith("reach=")}
+    assert len(rounds) <= 12
+    assert got.count() == 1000 * 1001 // 2
+    assert got.where("node - ancestor <> depth").count() == 0
