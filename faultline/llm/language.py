@@ -103,6 +103,8 @@ def _sample(docs: DataFrame, usable: Column, rows_per_language: int) -> DataFram
         .where(F.col("place") <= rows_per_language)
         .select("doc_id", "lang").distinct()
     )
+    # As a table its size is known, so Spark broadcasts it where it is small, and shuffles no texts.
+    chosen = written(chosen, "language-chosen")
     texts = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text")
 
     def run(batches):
@@ -116,7 +118,9 @@ def _sample(docs: DataFrame, usable: Column, rows_per_language: int) -> DataFram
     # Repeated ids could add rows, so the bound is set again.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits")
     ranked = found.withColumn("place", F.row_number().over(order))
-    return written(ranked.where(F.col("place") <= rows_per_language), "language-sample")
+    sample = written(ranked.where(F.col("place") <= rows_per_language), "language-sample")
+    discard(chosen)
+    return sample
 
 
 def _bits(rows) -> np.ndarray:
