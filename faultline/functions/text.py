@@ -43,6 +43,7 @@ HINTS = (
     "token", "passw", "passphrase", "pwd", "secret", "key", "credential", "authorization", "bearer", "cookie", "://", "akia",
     "asia", "ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "xox", "glpat-", "eyj", "_live_", "_test_", "aiza", "npm_",
 )
+GOES_ON = "\x0b\x0c\x0b"
 PRIVATE_KEY = (r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)(?s:.*?)(-----END [A-Z ]*PRIVATE KEY-----|\z)", "$1***$2")
 
 # Credentials on a line, as (pattern, replacement), one after the other.
@@ -116,16 +117,18 @@ def masked(text: Column) -> Column:
     Only lines that hold a hint are rewritten. A line that ends in ``=`` or ``:`` goes on in the next one.
     """
 
-    def one(line: Column) -> Column:
+    def one(line: Column, lowered: Column) -> Column:
         out = line
         for pattern, replacement in CREDENTIALS:
             out = F.regexp_replace(out, pattern, replacement)
-        lowered = F.lower(line)
         hinted = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(hint)) for hint in HINTS))
         return F.when(hinted, out).otherwise(line)
 
     bare = F.when(F.contains(text, F.lit("PRIVATE KEY-----")), F.regexp_replace(text, *PRIVATE_KEY)).otherwise(text)
-    return F.array_join(F.transform(F.split(bare, r"(?<![=:][ \t]{0,8})\n"), one), "\n")
+    # Blanks stand for the ends of lines that go on, so that lines can be told apart by their ends alone.
+    joined = F.regexp_replace(bare, r"([=:][ \t]*)\n", f"$1{GOES_ON}")
+    lines_of, lowered = F.split(joined, "\n"), F.split(F.lower(joined), "\n")
+    return F.replace(F.array_join(F.zip_with(lines_of, lowered, one), "\n"), F.lit(GOES_ON), F.lit("\n"))
 
 
 def numbers(text: Column, signal: str) -> Column:
