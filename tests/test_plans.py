@@ -15,8 +15,8 @@ from faultline.plans.registry import Tables
 ROOT = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
 
-# The query that needs Python: the stateful retry count.
-PYTHON = {"stream_retry_budget"}
+# The queries that need Python: stateful counts, opened objects, differences of any two texts.
+PYTHON = {"stream_retry_budget", "stream_approval_states", "lookup_objects", "objects_at_keys", "file_diffs"}
 WRITES = {n for n in QUERIES if n.startswith(("stream_", "scan_", "lake_", "list_"))} | {
     "lineage_closure", "blast_radius", "catalog_file", "incident_timeline"
 }
