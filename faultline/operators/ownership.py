@@ -51,6 +51,37 @@ def _grams(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, size)))
 
 
+# A gram is common when it holds more than this part of the index, and more than this many nodes. So there are at most as
+# many common grams as the first says, whatever the size of the index.
+COMMON_PART = 1000
+COMMON_NODES = 10_000
+
+
+def _dealt(
+    index: DataFrame, frequency: DataFrame, rarest: DataFrame, scope: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``index`` and ``rarest`` with the ``_part`` of their gram in which they meet.
+
+    Entries of common grams that are the rarest of no task id, as the words that all ids share, are left out. Those of
+    the others are dealt to parts of about equal size, so no task reads all nodes of a gram.
+    """
+    key = [*scope, "_gram"]
+    size = frequency.agg(F.greatest(F.sum("_nodes") / COMMON_PART, F.lit(COMMON_NODES))).scalar()
+    is_common = F.col("_nodes") > size
+    parts = F.ceil(F.col("_nodes") / size).cast("int")
+    wanted = rarest.where(is_common).select(*key).distinct().withColumn("_wanted", F.lit(True))
+    common = frequency.where(is_common).select(*key, parts.alias("_parts")).join(F.broadcast(wanted), key, "left")
+    dealt = (
+        index.join(F.broadcast(common), key, "left")
+        .where("_parts IS NULL OR _wanted")
+        .withColumn("_part", F.coalesce(F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int"), F.lit(0)))
+        .drop("_parts", "_wanted")
+    )
+    last = F.when(is_common, parts - 1).otherwise(0)
+    asked = rarest.withColumn("_part", F.explode(F.sequence(F.lit(0), last))).drop("_nodes")
+    return dealt, asked
+
+
 def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     """For each distinct (``task_id``, ``hint``): the first manifest node whose id
     contains the task id or whose path equals the hint.
@@ -66,7 +97,8 @@ def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = wanted.select(*scope, "task_id").distinct()
     project = F.col("project") if "project" in nodes.columns else F.lit("")
     node = F.struct(project.alias("project"), "ord", "node_id", "original_file_path")
-    nodes = newest_manifest(nodes).select(*scope, node.alias("_node"))
+    # Files of many nodes are small, and entries of the index many: they are made in more tasks than read.
+    nodes = newest_manifest(nodes).select(*scope, node.alias("_node")).repartition("_node")
     # Ids shorter than a gram are one themselves; there are at most GRAM + 1 sizes.
     size = F.least(F.length("task_id"), F.lit(GRAM))
     sizes = ids.agg(F.collect_set(size)).scalar()
@@ -82,10 +114,11 @@ def manifest_match(tasks: DataFrame, nodes: DataFrame) -> DataFrame:
         # A gram that no node has is the rarest.
         .agg(F.min(F.struct(F.coalesce("_nodes", F.lit(0)).alias("nodes"), "_gram")).alias("_rarest"))
         .where("_rarest.nodes > 0")
-        .select(*scope, "task_id", F.col("_rarest._gram").alias("_gram"))
+        .select(*scope, "task_id", F.col("_rarest._gram").alias("_gram"), F.col("_rarest.nodes").alias("_nodes"))
     )
+    dealt, asked = _dealt(index, frequency, rarest, scope)
     by_id = (
-        index.join(rarest, [*scope, "_gram"])
+        dealt.join(asked, [*scope, "_gram", "_part"])
         .where(F.contains("_node.node_id", F.col("task_id")))
         .groupBy(*scope, "task_id")
         .agg(F.min("_node").alias("_by_id"))

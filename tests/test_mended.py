@@ -152,3 +152,26 @@ def test_manifest_index_equals_plain_containment(spark):
     got = {r.task_id: r.node_id for r in ownership.manifest_match(tasks, nodes).collect()}
     want = {t: next((n for _, n, _ in made if t in n), None) for t in asked}
     assert got == {t: n for t, n in want.items() if n}
+
+
+def test_common_grams_are_dealt_and_left_out(spark, monkeypatch):
+    """No part of a gram holds many nodes, and words that all ids share are not moved at all."""
+    monkeypatch.setattr(ownership, "COMMON_PART", 100)
+    monkeypatch.setattr(ownership, "COMMON_NODES", 20)
+    ids = [f"model.shop.load_{i}_d" for i in range(300)] + [None]
+    nodes = spark.createDataFrame([(i, n, None) for i, n in enumerate(ids)], "ord int, node_id string, original_file_path string")
+    names = [f"load_{i}" for i in (1, 7, 299, 300)] + ["load", "_d", "", "gone"]
+    tasks = spark.createDataFrame([(n, None) for n in names], "task_id string, hint string")
+    seen = []
+    deal = ownership._dealt
+    monkeypatch.setattr(ownership, "_dealt", lambda *a: seen.append(deal(*a)) or seen[0])
+    got = {r.task_id: r.node_id for r in ownership.manifest_match(tasks, nodes).collect()}
+    assert got == {t: next(n for n in ids if t in n) for t in names if any(t in n for n in ids if n)}
+    dealt, asked = seen[0]
+    held = {tuple(r)[:2]: r["count"] for r in dealt.groupBy("_gram", "_part").count().collect()}
+    grams = {g for g, _ in held}
+    # "load" is a task id of its own; "mode" is in every id and in no task id.
+    assert "load" in grams and "mode" not in grams and "shop" not in grams
+    size = max(20, sum(len({n[i:i + k] for i in range(len(n) - k + 1)}) for n in ids if n for k in (0, 2, 4)) / 100)
+    assert max(held.values()) < 2 * size < 300
+    assert asked.where("task_id = 'load'").count() > 1
