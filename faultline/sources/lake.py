@@ -245,20 +245,28 @@ def inventory(listed: DataFrame, group: Column) -> DataFrame:
     )
 
 
+# Objects of text and JSON that a task keeps open; these need little memory, those of Parquet hold a row group each.
+OPEN_OBJECTS = 32
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def write_lake(df: DataFrame, root: str, keys: list[str], fmt: str = "parquet") -> None:
     """Write objects under ``name=value`` folders, replacing the folders touched.
 
     Rows are rebalanced on the keys: small folders share a task, a folder with very
-    many rows is split over several, so no task writes all of a hot one.
+    many rows is split over several, so no task writes all of a hot one. A task with few folders
+    of text or JSON writes rows as they come, others sort them.
     """
-    (
-        df.hint("rebalance", *keys)
-        .write.partitionBy(*keys)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .format(fmt)
-        .save(root)
-    )
+    writer = df.hint("rebalance", *keys).write.partitionBy(*keys).mode("overwrite")
+    writer = writer.option("partitionOverwriteMode", "dynamic").format(fmt)
+    conf = df.sparkSession.conf
+    before = conf.get(_WRITERS)
+    if fmt in ("text", "json"):
+        conf.set(_WRITERS, OPEN_OBJECTS)
+    try:
+        writer.save(root)
+    finally:
+        conf.set(_WRITERS, before)
 
 
 def parse_json(rows: DataFrame, column: str, schema: str) -> DataFrame:

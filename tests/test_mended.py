@@ -175,3 +175,18 @@ def test_common_grams_are_dealt_and_left_out(spark, monkeypatch):
     size = max(20, sum(len({n[i:i + k] for i in range(len(n) - k + 1)}) for n in ids if n for k in (0, 2, 4)) / 100)
     assert max(held.values()) < 2 * size < 300
     assert asked.where("task_id = 'load'").count() > 1
+
+
+def test_few_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Tasks keep a few objects of text or JSON open; more folders than that are sorted, and all rows arrive either way."""
+    from pyspark.sql import DataFrameWriter
+
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("value"), (F.col("id") % 3).alias("k"), (F.col("id") % 100).alias("many"))
+    before, seen, save = spark.conf.get(lake._WRITERS), [], DataFrameWriter.save
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, path: seen.append(spark.conf.get(lake._WRITERS)) or save(self, path))
+    for key, fmt in (("k", "json"), ("many", "text"), ("k", "parquet")):
+        root = str(tmp_path / fmt)
+        lake.write_lake(rows.select("value", key), root, [key], fmt)
+        got = spark.read.schema(f"value string, {key} long").format(fmt).load(root)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.select("value", key).collect()))
+    assert seen == [str(lake.OPEN_OBJECTS)] * 2 + [before] and spark.conf.get(lake._WRITERS) == before
