@@ -245,6 +245,8 @@ def inventory(listed: DataFrame, group: Column) -> DataFrame:
     )
 
 
+# Rows of one text object: such objects are read whole, by one task each.
+TEXT_ROWS = 5_000
 # Objects of text and JSON that a task keeps open; these need little memory, those of Parquet hold a row group each.
 OPEN_OBJECTS = 32
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -255,10 +257,12 @@ def write_lake(df: DataFrame, root: str, keys: list[str], fmt: str = "parquet")
 
     Rows are rebalanced on the keys: small folders share a task, a folder with very
     many rows is split over several, so no task writes all of a hot one. A task with few folders
-    of text or JSON writes rows as they come, others sort them.
+    of text or JSON writes rows as they come, others sort them. Text objects hold at most ``TEXT_ROWS`` rows.
     """
     writer = df.hint("rebalance", *keys).write.partitionBy(*keys).mode("overwrite")
     writer = writer.option("partitionOverwriteMode", "dynamic").format(fmt)
+    if fmt == "text":
+        writer = writer.option("maxRecordsPerFile", TEXT_ROWS)
     conf = df.sparkSession.conf
     before = conf.get(_WRITERS)
     if fmt in ("text", "json"):

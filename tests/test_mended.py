@@ -177,6 +177,17 @@ def test_common_grams_are_dealt_and_left_out(spark, monkeypatch):
     assert asked.where("task_id = 'load'").count() > 1
 
 
+def test_text_objects_stay_small(spark, tmp_path, monkeypatch):
+    """Objects that are read whole do not grow with the rows of their folder."""
+    monkeypatch.setattr(lake, "TEXT_ROWS", 100)
+    rows = spark.range(1000).select(F.concat(F.lit("line "), F.col("id").cast("string")).alias("value"), F.lit("c").alias("cluster"))
+    root = str(tmp_path / "logs")
+    lake.write_lake(rows, root, ["cluster"], "text")
+    texts = [r.value for r in spark.read.text(root, wholetext=True).collect()]
+    assert max(t.count("\n") for t in texts) <= 100
+    assert sorted(line for t in texts for line in t.splitlines()) == sorted(f"line {i}" for i in range(1000))
+
+
 def test_few_folders_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     """Tasks keep a few objects of text or JSON open; more folders than that are sorted, and all rows arrive either way."""
     from pyspark.sql import DataFrameWriter
