@@ -209,11 +209,12 @@ def await_approvals(
     )
 
 
-class Approval(StatefulProcessor):
-    """One approval request: pending, then decided or overdue.
+class Approvals(StatefulProcessor):
+    """The approval requests of one slot: each is pending, then decided or overdue.
 
-    State is the time of the request, its status, and a decision that came before it. It is kept until event time has moved
-    ``timeout`` past the request, or past a decision without one, so what arrives twice changes nothing.
+    State of a request is its time, its status, and a decision that came before it. It is kept until event time has moved
+    ``timeout`` past the request, or past a decision without one, so what arrives twice changes nothing. The requests of a slot
+    are read, written and timed together, because each such call costs more than the work on a request.
     """
 
     def __init__(self, timeout_us: int):
@@ -221,63 +222,96 @@ class Approval(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("approval", "requested bigint, status string, decided bigint, decision string")
+        self.state = handle.getValueState(
+            "approvals",
+            "open array<struct<id:string,requested:bigint,status:string,decided:bigint,decision:string>>, expires bigint",
+        )
 
     def _fits(self, requested: int, decided: int) -> bool:
         return requested <= decided <= requested + self.timeout
 
+    def _due(self, requested: int | None, decided: int | None) -> int:
+        # Milliseconds, the next whole one.
+        return -(-((decided if requested is None else requested) + self.timeout) // 1000)
+
+    def _load(self) -> tuple[dict[str, tuple], int | None]:
+        found = self.state.get()
+        if found is None:
+            return {}, None
+        return {r[0]: tuple(r[1:]) for r in found[0]}, found[1]
+
+    def _store(self, held: dict[str, tuple], expires: int | None) -> None:
+        """Keep the state with a timer for the first request that falls due; ``expires`` is the timer there is."""
+        if not held:
+            self.state.clear()
+            return
+        due = min(self._due(requested, decided) for requested, _, decided, _ in held.values())
+        if due != expires:
+            if expires is not None:
+                self.handle.deleteTimer(expires)
+            self.handle.registerTimer(due)
+        self.state.update(([(name, *values) for name, values in held.items()], due))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        requested, status, decided, decision = self.state.get() if self.state.exists() else (None, None, None, None)
-        known = requested
-        asked, answers = [], [] if decision is None else [(decided, decision)]
+        held, expires = self._load()
+        arrived: dict[str, tuple[list, list]] = {}
         for r in rows:
+            asked, answers = arrived.setdefault(r["approval_id"], ([], []))
             asked.append(r["at_us"]) if r["decision"] is None else answers.append((r["at_us"], r["decision"]))
-        if requested is None and asked:
-            requested, status = min(asked), "PENDING"
-            yield Row(approval_id=key[0], status=status, since_us=requested)
-        if requested is None:
-            decided, decision = max(answers)
-        else:
-            fitting = sorted(a for a in answers if self._fits(requested, a[0]))
-            decided = decision = None
-            if status == "PENDING" and fitting:
-                at, status = fitting[0]
-                yield Row(approval_id=key[0], status=status, since_us=at)
-        self.state.update((requested, status, decided, decision))
-        if known is None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            # Milliseconds, the next whole one.
-            self.handle.registerTimer(-(-((requested or decided) + self.timeout) // 1000))
+        for name, (asked, answers) in arrived.items():
+            requested, status, decided, decision = held.get(name, (None, None, None, None))
+            if decision is not None:
+                answers.append((decided, decision))
+            if requested is None and asked:
+                requested, status = min(asked), "PENDING"
+                yield Row(approval_id=name, status=status, since_us=requested)
+            if requested is None:
+                decided, decision = max(answers)
+            else:
+                fitting = sorted(a for a in answers if self._fits(requested, a[0]))
+                decided = decision = None
+                if status == "PENDING" and fitting:
+                    at, status = fitting[0]
+                    yield Row(approval_id=name, status=status, since_us=at)
+            held[name] = (requested, status, decided, decision)
+        self._store(held, expires)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        requested, status, _, _ = self.state.get() if self.state.exists() else (None, None, None, None)
-        self.state.clear()
-        if status == "PENDING":
-            yield Row(approval_id=key[0], status="TIMED_OUT", since_us=requested + self.timeout)
+        held, _ = self._load()
+        now, kept = timerValues.getCurrentWatermarkInMs(), {}
+        for name, values in held.items():
+            requested, status, decided, _ = values
+            if self._due(requested, decided) > now:
+                kept[name] = values
+            elif status == "PENDING":
+                yield Row(approval_id=name, status="TIMED_OUT", since_us=requested + self.timeout)
+        # The timer that expired is removed by Spark.
+        self._store(kept, None)
 
     def close(self) -> None:
         pass
 
 
 def approval_states(
-    requests: DataFrame, decisions: DataFrame, timeout_minutes: int = 60, delay: str = "10 minutes"
+    requests: DataFrame, decisions: DataFrame, timeout_minutes: int = 60, delay: str = "10 minutes", slots: int = 16_384
 ) -> DataFrame:
     """Every state of each approval request as it is reached: (``approval_id``, ``status``, ``since``).
 
     A request is ``PENDING`` at once, then has the first decision made within ``timeout_minutes``, or is ``TIMED_OUT`` when event
     time has passed that. A decision that arrives before its request waits for it; one made too late or before the request does not
     count. The state of a request is its row with the latest ``since``. Columns are those of ``await_approvals``; rows without an id or time take
-    no part. Needs the RocksDB state store.
+    no part. Requests share ``slots`` states by a hash of their id, each rewritten when one of its requests changes: take more where
+    many millions are open at a time. It is fixed for the life of a checkpoint. Needs the RocksDB state store.
     """
     asked = requests.select("approval_id", F.col("requested_at").alias("at"), F.lit(None).cast("string").alias("decision"))
     answered = decisions.where("decision IS NOT NULL").select("approval_id", F.col("decided_at").alias("at"), "decision")
     both = asked.unionByName(answered).where("approval_id IS NOT NULL AND at IS NOT NULL").withWatermark("at", delay)
     states = (
         both.withColumn("at_us", F.unix_micros("at"))
-        .groupBy("approval_id")
+        .withColumn("slot", F.pmod(F.xxhash64("approval_id"), F.lit(slots)))
+        .groupBy("slot")
         .transformWithState(
-            statefulProcessor=Approval(timeout_minutes * 60_000_000),
+            statefulProcessor=Approvals(timeout_minutes * 60_000_000),
             outputStructType="approval_id string, status string, since_us bigint",
             outputMode="Append",
             timeMode="EventTime",

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import Row
+from pyspark.sql.streaming.stateful_processor import TimerValues
+
 from faultline.streaming import alerts as ops
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -122,6 +125,70 @@ def test_approval_states_over_a_restart(spark, tmp_path):
     assert third["end"] == [("PENDING", minute(600))] and third["x"] == second["x"] and third["early"] == second["early"]
 
 
+def test_approvals_of_a_slot_share_their_calls():
+    """Requests of a slot cost one read, one write and one timer together, and those not yet due stay."""
+    calls, kept = [], {}
+
+    class Handle:
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return kept.get("value")
+
+        def update(self, value):
+            calls.append("update")
+            kept["value"] = value
+
+        def clear(self):
+            calls.append("clear")
+            kept.clear()
+
+        def registerTimer(self, at):
+            calls.append(("timer", at))
+
+        def deleteTimer(self, at):
+            calls.append(("gone", at))
+
+    def row(name, at, decision=None):
+        return Row(approval_id=name, at_us=at * 1_000_000, decision=decision)
+
+    def mark(second):
+        return TimerValues(0, second * 1000)
+
+    slot = ops.Approvals(60_000_000)
+    slot.init(Handle())
+    first = [row(f"a{i}", i) for i in range(100)] + [row("a7", 9, "APPROVED"), row("early", 50, "REJECTED"), row("a3", 200, "APPROVED")]
+    got = [(r.approval_id, r.status) for r in slot.handleInputRows((0,), iter(first), mark(0))]
+    assert sorted(got) == sorted([(f"a{i}", "PENDING") for i in range(100)] + [("a7", "APPROVED")])
+    assert calls == ["get", ("timer", 60_000), "update"]
+    calls.clear()
+    got = [(r.approval_id, r.status) for r in slot.handleInputRows((0,), iter([row("early", 45), row("a7", 9, "REJECTED")]), mark(0))]
+    assert got == [("early", "PENDING"), ("early", "REJECTED")] and calls == ["get", "update"]
+    calls.clear()
+    due = [(r.approval_id, r.status, r.since_us // 1_000_000) for r in slot.handleExpiredTimer((0,), mark(109), None)]
+    assert sorted(due) == sorted((f"a{i}", "TIMED_OUT", i + 60) for i in range(50) if i != 7)
+    assert calls == ["get", ("timer", 110_000), "update"]
+    calls.clear()
+    assert len([*slot.handleExpiredTimer((0,), mark(1000), None)]) == 50
+    assert calls == ["get", "clear"]
+
+
+def test_approvals_do_not_depend_on_their_slots(spark, tmp_path):
+    minute = lambda m: T0 + dt.timedelta(minutes=m)
+    asked = [(f"r{i}", minute(i)) for i in range(30)] + [("r3", minute(5)), (None, minute(1)), ("r4", None), ("end", minute(95))]
+    answered = [(f"r{i}", "REJECTED" if i % 2 else "APPROVED", minute(i + 7 * i % 90)) for i in range(0, 30, 2)] + [("lone", "APPROVED", minute(2))]
+    got = []
+    for slots in (1, 3, 16_384):
+        folder = tmp_path / str(slots)
+        folder.mkdir()
+        streams = batches(spark, str(folder / "q"), ASKED, asked), batches(spark, str(folder / "d"), ANSWERED, answered)
+        rows = drain(ops.approval_states(*streams, slots=slots), folder).collect()
+        got.append(sorted(map(tuple, rows)))
+    assert got[0] == got[1] == got[2] and {r[1] for r in got[0]} == {"PENDING", "APPROVED", "TIMED_OUT"}
+
+
 def test_late_alerts_are_kept(spark, tmp_path):
     schema = ALERT + ", arrived_at timestamp"
     rows = [(*alert(i, "r", 0), T0 + dt.timedelta(minutes=m)) for i, m in enumerate((0, 10, 11, 300))]
